@@ -40,8 +40,9 @@ target AS (
   SELECT CAST(year(d) AS INTEGER) AS "Year", strftime(d, '%b %Y') AS Month_and_Year,
          CAST(year(d) * 100 + month(d) AS INTEGER) AS Month_and_Year_Sort, p_brand AS Brand, s_name AS Salesman,
          s_nation AS Manager, s_region AS GM, c_region AS Emirate, c_mktsegment AS Channel, c_name AS Customer_Name,
-         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (40 + (7 * o_orderkey + 13 * l_linenumber) % 200) / 100
-              AS DECIMAL(18,2)) AS Target
+         CAST(CAST((CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)
+                     * (40 + (7 * o_orderkey + 13 * l_linenumber) % 200) + 50) // 100 AS DECIMAL(18,0))
+              * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS Target
   FROM star WHERE o_orderkey % 6 <> 0
 ),
 sales_summary AS (

@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salescope.operators import stock
+from salescope.operators import stock, targets
 from salescope.plans import params as P
+from salescope.sources import catalog
 from salescope.sources.tables import Tables, star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +48,34 @@ register("decline_cause")(lambda t, s, d: stock.decline_cause(t.sales, as_of=P.A
 register("channel_oos")(lambda t, s, d: stock.channel_oos(t.sales, as_of=P.AS_OF, days_threshold=P.DAYS))
 register("multi_account_oos")(lambda t, s, d: stock.multi_account_oos(t.sales, as_of=P.AS_OF))
 register("oos_impact")(lambda t, s, d: stock.oos_impact(t.sales, as_of=P.AS_OF, oos_days=P.DAYS))
+
+# ---- marts and catalog --------------------------------------------------------------------------
+register("sales_summary")(lambda t, s, d: t.sales_summary.select(
+    *[c for c in t.sales_summary.columns if c not in ("Total_Amount",)],
+    t.sales_summary.Total_Amount.cast("double").alias("Total_Amount")))
+register("target_summary")(lambda t, s, d: t.target_summary.withColumn(
+    "Total_Target", t.target_summary.Total_Target.cast("double")))
+register("load_audit_years")(lambda t, s, d: catalog.rows_per_year(t.sales))
+register("load_audit_top_brands")(lambda t, s, d: catalog.top_brands_by_rows(t.sales, 5))
+register("load_audit_totals")(lambda t, s, d: catalog.load_totals(t))
+register("selector_gm")(lambda t, s, d: catalog.selector(t.sales_summary, "GM", year=P.REPORT_YEAR, non_blank=True))
+register("selector_brand")(lambda t, s, d: catalog.selector(t.sales_summary, "Brand", year=P.REPORT_YEAR))
+register("selector_salesman")(lambda t, s, d: catalog.selector(t.sales_summary, "Salesman", year=P.REPORT_YEAR))
+
+# ---- sales vs target ----------------------------------------------------------------------------
+register("brand_performance")(lambda t, s, d: targets.brand_performance(t, year=P.REPORT_YEAR))
+register("gm_performance")(lambda t, s, d: targets.gm_performance(t, year=P.REPORT_YEAR))
+register("salesman_performance")(lambda t, s, d: targets.salesman_performance(t, year=P.REPORT_YEAR))
+register("salesman_performance_brand")(
+    lambda t, s, d: targets.salesman_performance(t, year=P.REPORT_YEAR, brand_filter=P.BRAND))
+register("account_performance")(lambda t, s, d: targets.account_performance(t, year=P.REPORT_YEAR))
+register("account_performance_brand")(
+    lambda t, s, d: targets.account_performance(t, year=P.REPORT_YEAR, brand_filter=P.BRAND))
+register("monthly_trend")(lambda t, s, d: targets.monthly_trend(t, year=P.REPORT_YEAR))
+register("monthly_trend_brand")(
+    lambda t, s, d: targets.monthly_trend(t, year=P.REPORT_YEAR, dimension="Brand", dimension_value=P.BRAND))
+register("yoy_comparison")(lambda t, s, d: targets.yoy_comparison(t))
+register("yoy_comparison_brand")(lambda t, s, d: targets.yoy_comparison(t, brand=P.BRAND))
+register("recommendations")(lambda t, s, d: targets.recommendations(
+    targets.brand_performance(t, year=P.REPORT_YEAR), entity_type="Brand", key="Brand"))
+register("gap_top10")(lambda t, s, d: targets.gap_top(targets.brand_performance(t, year=P.REPORT_YEAR), key="Brand"))

@@ -83,8 +83,12 @@ TARGET_SKIP_MOD = 6
 
 def target_from_star(base: DataFrame) -> DataFrame:
     d = F.col("o_orderdate").cast("date")
-    amount = F.col("l_extendedprice").cast(MONEY)
-    factor = F.lit(40) + (F.lit(7) * F.col("o_orderkey") + F.lit(13) * F.col("l_linenumber")) % F.lit(200)
+    # Amount x factor / 100, rounded half up to the cent in integer arithmetic (amounts are
+    # positive), then scaled back exactly: no engine-specific decimal division involved.
+    target_cents = F.expr(
+        "(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)"
+        " * (40 + (7 * o_orderkey + 13 * l_linenumber) % 200) + 50) div 100")
+    target = (target_cents.cast("decimal(18,0)") * F.lit(0.01).cast("decimal(3,2)")).cast(MONEY)
     return base.filter(F.col("o_orderkey") % TARGET_SKIP_MOD != 0).select(
         *_dims(d),
         F.col("p_brand").alias("Brand"),
@@ -94,5 +98,5 @@ def target_from_star(base: DataFrame) -> DataFrame:
         F.col("c_region").alias("Emirate"),
         F.col("c_mktsegment").alias("Channel"),
         F.col("c_name").alias("Customer_Name"),
-        (amount * factor / F.lit(100)).cast(MONEY).alias("Target"),
+        target.alias("Target"),
     )
