@@ -74,7 +74,7 @@ def optional_eq(df: DataFrame, column: str, value) -> DataFrame:
 def brand_filter(brand: str, use_brand_mask: bool = False) -> Column:
     """``Brand = b`` or case-insensitive ``Brand_Mask LIKE '%b%'`` (SQLite LIKE ignores ASCII case)."""
     if use_brand_mask:
-        return F.col("Brand_Mask").ilike(F.lit(f"%{brand}%"))
+        return F.col("Brand_Mask").ilike(f"%{brand}%")
     return F.col("Brand") == F.lit(brand)
 
 

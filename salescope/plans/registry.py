@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salescope.operators import stock, targets
+from salescope.operators import growth, sqlsurface, stock, targets
 from salescope.plans import params as P
 from salescope.sources import catalog
 from salescope.sources.tables import Tables, star_tables
@@ -79,3 +79,46 @@ register("yoy_comparison_brand")(lambda t, s, d: targets.yoy_comparison(t, brand
 register("recommendations")(lambda t, s, d: targets.recommendations(
     targets.brand_performance(t, year=P.REPORT_YEAR), entity_type="Brand", key="Brand"))
 register("gap_top10")(lambda t, s, d: targets.gap_top(targets.brand_performance(t, year=P.REPORT_YEAR), key="Brand"))
+
+# ---- growth / decline (every brand at once) -----------------------------------------------------
+_G = dict(brand=None, year1=P.YEAR1, year2=P.YEAR2)
+register("growth_items")(lambda t, s, d: growth.item_growth(t.sales, **_G))
+register("growth_customers")(lambda t, s, d: growth.customer_growth(t.sales, **_G))
+register("brand_month_pivot")(lambda t, s, d: growth.month_pivot(t.sales, **_G))
+register("growth_summary")(lambda t, s, d: growth.growth_summary(t.sales, **_G))
+register("growth_classes")(lambda t, s, d: growth.growth_classes(t.sales, **_G))
+register("growth_top_customers")(lambda t, s, d: growth.top_customers(t.sales, **_G))
+register("brand_overview_items")(lambda t, s, d: growth.year_overview(t.sales, with_lines=False, **_G))
+register("growth_categories_overlapping")(lambda t, s, d: growth.growth_flags(t.sales, **_G))
+register("growth_customers_top50")(lambda t, s, d: growth.customers_top(t.sales, **_G))
+register("brand_months")(lambda t, s, d: growth.brand_months(t.sales, **_G))
+register("growth_category_counts")(lambda t, s, d: growth.category_counts(t.sales, **_G))
+register("brand_overview")(lambda t, s, d: growth.year_overview(t.sales, **_G))
+register("brand_overview_summary")(lambda t, s, d: growth.overview_summary(t.sales, **_G))
+register("change_word")(lambda t, s, d: growth.change_words(growth.overview_summary(t.sales, **_G)))
+for _part in growth.CONTRIBUTION_SPECS:
+    register(f"contrib_{_part}")(
+        lambda t, s, d, _p=_part: growth.contribution_by(t.sales, _p, focus="growing", **_G))
+register("contrib_brand_mask")(lambda t, s, d: growth.contribution_by(
+    t.sales, "item", brand=P.MASK, year1=P.YEAR1, year2=P.YEAR2, focus="declining", use_brand_mask=True))
+
+# ---- SQL surface and documented questions -------------------------------------------------------
+_B = dict(brand=P.BRAND, year1=P.YEAR1, year2=P.YEAR2)
+ADHOC_SQL = ("SELECT Channel, COUNT(DISTINCT Customer_Name) AS Customers, CAST(SUM(Amount) AS DOUBLE) AS Sales "
+             "FROM sales WHERE Year = :year GROUP BY Channel")
+register("non_growing_items")(lambda t, s, d: sqlsurface.non_growing_items(s, t, **_B))
+register("growing_items")(lambda t, s, d: sqlsurface.growing_items(s, t, **_B))
+register("top_customers")(lambda t, s, d: sqlsurface.top_customers(s, t, year=P.REPORT_YEAR, n=10))
+register("sales_vs_target_3key")(lambda t, s, d: sqlsurface.sales_vs_target_3key(t, year=P.REPORT_YEAR))
+register("total_sales_by_year")(lambda t, s, d: sqlsurface.total_sales_by_year(s, t))
+register("top10_brands")(lambda t, s, d: sqlsurface.top10_brands(s, t))
+register("top_bottom_n")(lambda t, s, d: sqlsurface.top_bottom_n(
+    t, entity="Salesman", year=P.REPORT_YEAR, n=10, bottom=True))
+register("adhoc_sql")(lambda t, s, d: sqlsurface.adhoc_sql(s, t, ADHOC_SQL, {"year": P.REPORT_YEAR}))
+register("never_bought_brand")(lambda t, s, d: sqlsurface.never_bought_brand(t.sales, brand=P.BRAND))
+register("items_lost_coverage")(lambda t, s, d: sqlsurface.items_lost_coverage(t.sales, as_of=P.AS_OF))
+register("underperforming_channels")(lambda t, s, d: sqlsurface.underperforming_channels(t.sales, **_G))
+register("items_not_repeated")(lambda t, s, d: sqlsurface.items_not_repeated(t.sales))
+register("customers_seasonal_buyers")(lambda t, s, d: sqlsurface.customers_seasonal_buyers(t.sales))
+register("bonus_dependency")(lambda t, s, d: sqlsurface.bonus_dependency(t.sales, year1=P.YEAR1, year2=P.YEAR2))
+register("decline_contributors")(lambda t, s, d: sqlsurface.decline_contributors(t.sales, **_G))
