@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salescope.operators import growth, sqlsurface, stock, targets
+from salescope.operators import coverage, growth, sqlsurface, stock, targets
 from salescope.plans import params as P
 from salescope.sources import catalog
 from salescope.sources.tables import Tables, star_tables
@@ -102,6 +102,16 @@ for _part in growth.CONTRIBUTION_SPECS:
 register("contrib_brand_mask")(lambda t, s, d: growth.contribution_by(
     t.sales, "item", brand=P.MASK, year1=P.YEAR1, year2=P.YEAR2, focus="declining", use_brand_mask=True))
 
+# ---- coverage -----------------------------------------------------------------------------------
+register("coverage_windows")(lambda t, s, d: coverage.coverage_windows(t.sales, as_of=P.AS_OF))
+register("coverage_windows_brand")(lambda t, s, d: coverage.coverage_windows(t.sales, as_of=P.AS_OF, level="brand"))
+register("coverage_brand_vs_company")(
+    lambda t, s, d: coverage.coverage_brand_vs_company(t.sales, as_of=P.AS_OF, brand=None))
+register("coverage_loss")(lambda t, s, d: coverage.coverage_loss(t.sales, as_of=P.AS_OF, entity=None))
+register("coverage_comparison")(lambda t, s, d: coverage.coverage_comparison(
+    t.sales, as_of=P.AS_OF, brand1=P.BRAND, brand2=P.BRAND2))
+register("new_lost_retained")(lambda t, s, d: coverage.new_lost_retained(t.sales, as_of=P.AS_OF, entity=None))
+
 # ---- SQL surface and documented questions -------------------------------------------------------
 _B = dict(brand=P.BRAND, year1=P.YEAR1, year2=P.YEAR2)
 ADHOC_SQL = ("SELECT Channel, COUNT(DISTINCT Customer_Name) AS Customers, CAST(SUM(Amount) AS DOUBLE) AS Sales "
