@@ -1,9 +1,10 @@
 """All DuckDB oracle queries, keyed like the registry, each wrapped in the star-schema prelude."""
 
-from salescope.plans import oracle_coverage, oracle_growth, oracle_stock, oracle_targets
+from salescope.plans import oracle_coverage, oracle_growth, oracle_patterns, oracle_stock, oracle_targets
 from salescope.plans.oracle_base import wrap
 
-_GROUPS = [oracle_stock.ORACLES, oracle_targets.ORACLES, oracle_growth.ORACLES, oracle_coverage.ORACLES]
+_GROUPS = [oracle_stock.ORACLES, oracle_targets.ORACLES, oracle_growth.ORACLES, oracle_coverage.ORACLES,
+           oracle_patterns.ORACLES]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salescope.operators import coverage, growth, sqlsurface, stock, targets
+from salescope.operators import coverage, growth, patterns, sqlsurface, stock, targets
 from salescope.plans import params as P
 from salescope.sources import catalog
 from salescope.sources.tables import Tables, star_tables
@@ -112,6 +112,15 @@ register("coverage_comparison")(lambda t, s, d: coverage.coverage_comparison(
     t.sales, as_of=P.AS_OF, brand1=P.BRAND, brand2=P.BRAND2))
 register("new_lost_retained")(lambda t, s, d: coverage.new_lost_retained(t.sales, as_of=P.AS_OF, entity=None))
 
+# ---- run-rate and patterns ----------------------------------------------------------------------
+register("item_pattern")(lambda t, s, d: patterns.item_pattern(t.sales, as_of=P.AS_OF, months=P.ITEM_MONTHS))
+register("item_monthly_data")(
+    lambda t, s, d: patterns.item_monthly_data(t.sales, as_of=P.AS_OF, months=P.ITEM_MONTHS))
+register("seasonal_items")(lambda t, s, d: patterns.seasonal_items(t.sales, as_of=P.AS_OF, months=P.ITEM_MONTHS))
+register("anomalies")(lambda t, s, d: patterns.anomalies(t.sales, as_of=P.AS_OF, months=P.ITEM_MONTHS))
+register("run_rate_stability")(lambda t, s, d: patterns.run_rate_stability(t.sales, as_of=P.AS_OF, months=12))
+register("overstock_risk")(lambda t, s, d: patterns.overstock_risk(t.sales, as_of=P.AS_OF, days_threshold=90))
+
 # ---- SQL surface and documented questions -------------------------------------------------------
 _B = dict(brand=P.BRAND, year1=P.YEAR1, year2=P.YEAR2)
 ADHOC_SQL = ("SELECT Channel, COUNT(DISTINCT Customer_Name) AS Customers, CAST(SUM(Amount) AS DOUBLE) AS Sales "
