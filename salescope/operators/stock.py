@@ -36,12 +36,13 @@ def _brand(df: DataFrame, brand: str | None) -> DataFrame:
 
 
 def oos_items(sales: DataFrame, *, as_of, brand: str | None = None, days_threshold: int = 30,
-              min_historical_sales: float = 10000) -> DataFrame:
+              min_historical_sales: float = 10000, per_brand: bool = False) -> DataFrame:
     """O1: items whose sales in the last ``days_threshold`` days fell below 0.3 x their average line.
 
     History = [as_of - 12 months, as_of - days); recent = [as_of - days, ...). One scan, one
     aggregate per (code, desc, brand); the recent side is joined back on ``Item_Code`` only,
-    as the reference does (an item with two descriptions fans out).
+    as the reference does (an item with two descriptions fans out). ``per_brand`` also matches
+    on Brand, which gives every brand's brand-filtered result in one job.
     """
     c12 = dates.months_ago(as_of, 12)
     cd = dates.days_ago(as_of, days_threshold)
@@ -66,8 +67,11 @@ def oos_items(sales: DataFrame, *, as_of, brand: str | None = None, days_thresho
     hist = g.filter((F.col("_n_hist") > 0) & (F.col("_hist_sales") > F.lit(min_historical_sales))).drop(
         "_recent_sales", "_last_sale", "_n_recent")
     recent = g.filter(F.col("_n_recent") > 0).select(
-        F.col("Item_Code").alias("_r_code"), "_recent_sales", "_last_sale")
-    j = hist.join(recent, hist.Item_Code == recent._r_code, "left")
+        F.col("Item_Code").alias("_r_code"), F.col("Brand").alias("_r_brand"), "_recent_sales", "_last_sale")
+    on = hist.Item_Code == recent._r_code
+    if per_brand:
+        on = on & (hist.Brand == recent._r_brand)
+    j = hist.join(recent, on, "left")
     recent_sales = F.coalesce(money("_recent_sales"), F.lit(0.0))
     low = recent_sales < F.col("Avg_Monthly_Sales") * F.lit(LOW_SALES_FACTOR)
     zero = recent_sales == F.lit(0.0)

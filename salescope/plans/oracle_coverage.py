@@ -14,13 +14,14 @@ SELECT '{m}M' AS Time_Window, CAST({m} AS INTEGER) AS Months, COUNT(DISTINCT Cus
 FROM sales WHERE Invoice_Date >= {M[m]}""" for m in WINDOWS)
 
 
-def brand_windows() -> str:
+def brand_windows(col: str = "Brand", windows=WINDOWS) -> str:
+    lo = months_ago(max(windows))
     return "\nUNION ALL\n".join(f"""
-SELECT Brand, '{m}M' AS Time_Window, CAST({m} AS INTEGER) AS Months,
-       COUNT(DISTINCT CASE WHEN Invoice_Date >= {M[m]} THEN Customer_Name END) AS Coverage_Count,
-       {dbl(f'SUM(CASE WHEN Invoice_Date >= {M[m]} THEN Amount END)')} AS Total_Sales,
-       COUNT(DISTINCT CASE WHEN Invoice_Date >= {M[m]} THEN Invoice_No END) AS Transaction_Count
-FROM sales WHERE Invoice_Date >= {M[48]} AND Brand IS NOT NULL GROUP BY Brand""" for m in WINDOWS)
+SELECT {col}, '{m}M' AS Time_Window, CAST({m} AS INTEGER) AS Months,
+       COUNT(DISTINCT CASE WHEN Invoice_Date >= {months_ago(m)} THEN Customer_Name END) AS Coverage_Count,
+       {dbl(f'SUM(CASE WHEN Invoice_Date >= {months_ago(m)} THEN Amount END)')} AS Total_Sales,
+       COUNT(DISTINCT CASE WHEN Invoice_Date >= {months_ago(m)} THEN Invoice_No END) AS Transaction_Count
+FROM sales WHERE Invoice_Date >= {lo} AND {col} IS NOT NULL GROUP BY {col}""" for m in windows)
 
 
 BRAND_VS_COMPANY = f"""
@@ -78,6 +79,7 @@ FROM B
 ORACLES = {
     "coverage_windows": company_windows(),
     "coverage_windows_brand": brand_windows(),
+    "coverage_windows_item": brand_windows("Item_Code", (12, 24, 36)),
     "coverage_brand_vs_company": BRAND_VS_COMPANY,
     "coverage_loss": COVERAGE_LOSS,
     "coverage_comparison": COMPARISON,

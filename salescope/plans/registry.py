@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salescope.operators import coverage, growth, patterns, sqlsurface, stock, targets
+from salescope.operators import coverage, growth, integrated, patterns, sqlsurface, stock, targets
 from salescope.plans import params as P
 from salescope.sources import catalog
 from salescope.sources.tables import Tables, star_tables
@@ -121,6 +121,14 @@ register("anomalies")(lambda t, s, d: patterns.anomalies(t.sales, as_of=P.AS_OF,
 register("run_rate_stability")(lambda t, s, d: patterns.run_rate_stability(t.sales, as_of=P.AS_OF, months=12))
 register("overstock_risk")(lambda t, s, d: patterns.overstock_risk(t.sales, as_of=P.AS_OF, days_threshold=90))
 
+# ---- integrated reports -------------------------------------------------------------------------
+register("item_health")(lambda t, s, d: integrated.item_health(t.sales, as_of=P.AS_OF))
+register("supply_chain_dashboard")(lambda t, s, d: integrated.supply_chain_dashboard(t.sales, as_of=P.AS_OF))
+register("dashboard_counts")(lambda t, s, d: integrated.supply_chain_dashboard(
+    t.sales, as_of=P.AS_OF, brand=P.BRAND, cards=("oos_items", "supply_issues", "coverage_loss", "seasonal_items")))
+register("coverage_windows_item")(lambda t, s, d: coverage.coverage_windows(
+    t.sales, as_of=P.AS_OF, level="item", time_windows=(12, 24, 36)))
+
 # ---- SQL surface and documented questions -------------------------------------------------------
 _B = dict(brand=P.BRAND, year1=P.YEAR1, year2=P.YEAR2)
 ADHOC_SQL = ("SELECT Channel, COUNT(DISTINCT Customer_Name) AS Customers, CAST(SUM(Amount) AS DOUBLE) AS Sales "
