@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salescope.operators import coverage, growth, integrated, patterns, sqlsurface, stock, targets
+from salescope.operators import coverage, growth, integrated, patterns, reports, sqlsurface, stock, targets
 from salescope.plans import params as P
 from salescope.sources import catalog
 from salescope.sources.tables import Tables, star_tables
@@ -121,6 +121,57 @@ register("anomalies")(lambda t, s, d: patterns.anomalies(t.sales, as_of=P.AS_OF,
 register("run_rate_stability")(lambda t, s, d: patterns.run_rate_stability(t.sales, as_of=P.AS_OF, months=12))
 register("overstock_risk")(lambda t, s, d: patterns.overstock_risk(t.sales, as_of=P.AS_OF, days_threshold=90))
 
+# ---- report pages (over the four performance views of the report year) -------------------------
+def _bp(t):
+    return targets.brand_performance(t, year=P.REPORT_YEAR)
+
+
+def _gp(t):
+    return targets.gm_performance(t, year=P.REPORT_YEAR)
+
+
+def _sp(t):
+    return targets.salesman_performance(t, year=P.REPORT_YEAR)
+
+
+def _ap(t):
+    return targets.account_performance(t, year=P.REPORT_YEAR)
+
+
+_ACC = ["Salesman", "Emirate", "Channel", "Gap", "Achievement"]
+register("brand_kpis")(lambda t, s, d: reports.brand_kpis(_bp(t)))
+register("brand_top10_share")(lambda t, s, d: reports.brand_top10_share(_bp(t)))
+register("achievement_hist")(lambda t, s, d: reports.achievement_hist(_bp(t)))
+register("achievement_hist_salesman")(lambda t, s, d: reports.achievement_hist(_sp(t)))
+register("gm_kpis")(lambda t, s, d: reports.gm_kpis(_gp(t)))
+register("gm_gauge")(lambda t, s, d: reports.gm_gauge(_gp(t)))
+register("salesman_kpis")(lambda t, s, d: reports.salesman_kpis(_sp(t)))
+register("salesman_top15")(lambda t, s, d: reports.salesman_top15(_sp(t)))
+register("salesman_avg_top10")(lambda t, s, d: reports.salesman_avg_top10(_sp(t)))
+register("salesman_categories")(lambda t, s, d: reports.salesman_categories(_sp(t)))
+register("account_kpis")(lambda t, s, d: reports.account_kpis(_ap(t)))
+register("account_top15")(lambda t, s, d: reports.account_top15(_ap(t)))
+register("emirate_distribution")(lambda t, s, d: reports.emirate_distribution(_ap(t)))
+register("channel_sales")(lambda t, s, d: reports.channel_sales(_ap(t)))
+register("account_size_distribution")(lambda t, s, d: reports.account_size_distribution(_ap(t)))
+register("account_health")(lambda t, s, d: reports.account_health(_ap(t)))
+register("account_underperforming")(lambda t, s, d: reports.account_underperforming(_ap(t), 10))
+register("executive_summary")(lambda t, s, d: reports.executive_summary(_bp(t)))
+register("brand_gaps")(lambda t, s, d: reports.ranked_gaps(_bp(t), "Brand", 20, ["Gap", "Achievement", "Customers"]))
+register("gm_gaps")(lambda t, s, d: reports.gm_gaps(_gp(t)))
+register("salesman_gap_quadrants")(lambda t, s, d: reports.salesman_gap_quadrants(_sp(t)))
+register("account_gaps")(lambda t, s, d: reports.ranked_gaps(_ap(t), "Customer_Name", 20, _ACC))
+register("emirate_gaps")(lambda t, s, d: reports.emirate_gaps(_ap(t)))
+register("priority_accounts")(lambda t, s, d: reports.account_underperforming(_ap(t), 5))
+register("salesmen_needing_support")(lambda t, s, d: reports.salesmen_needing_support(_sp(t)))
+register("quick_win_brands")(lambda t, s, d: reports.quick_win_brands(_bp(t)))
+register("high_value_accounts_below_target")(lambda t, s, d: reports.high_value_accounts_below_target(_ap(t)))
+register("critical_counts")(lambda t, s, d: reports.critical_counts(_bp(t), _sp(t)))
+register("improvement_zone")(lambda t, s, d: reports.improvement_zone(_bp(t)))
+register("best_practice_salesmen")(lambda t, s, d: reports.best_practice_salesmen(_sp(t)))
+register("gm_scatter")(lambda t, s, d: reports.gm_scatter(_gp(t)))
+register("salesman_scatter")(lambda t, s, d: reports.salesman_scatter(_sp(t)))
+
 # ---- integrated reports -------------------------------------------------------------------------
 register("item_health")(lambda t, s, d: integrated.item_health(t.sales, as_of=P.AS_OF))
 register("supply_chain_dashboard")(lambda t, s, d: integrated.supply_chain_dashboard(t.sales, as_of=P.AS_OF))
