@@ -10,9 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salescope.operators import coverage, growth, integrated, patterns, reports, sqlsurface, stock, targets
+from salescope.operators import (coverage, growth, integrated, patterns, questions, reports, sqlsurface, stock,
+                                 targets)
 from salescope.plans import params as P
 from salescope.sources import catalog
+from salescope.sources.fixtures import read_table
 from salescope.sources.tables import Tables, star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,6 +182,31 @@ register("dashboard_counts")(lambda t, s, d: integrated.supply_chain_dashboard(
 register("coverage_windows_item")(lambda t, s, d: coverage.coverage_windows(
     t.sales, as_of=P.AS_OF, level="item", time_windows=(12, 24, 36)))
 
+# ---- question tagging over the user turns of the conversations table ---------------------------
+_QK = ["conv_id", "turn"]
+
+
+def _questions(s, d):
+    return questions.questions_from_conversations(read_table(s, d, "conversations"))
+
+
+def _tag(col: str):
+    return lambda t, s, d: questions.tag_rules(_questions(s, d)).select(*_QK, col)
+
+
+register("q_needs_analysis")(_tag("Needs_Analysis"))
+register("q_enhanced_intent")(_tag("Intent"))
+register("q_focus")(_tag("Focus"))
+register("q_decline_analysis")(_tag("Decline_Analysis"))
+register("q_years")(lambda t, s, d: questions.tag_rules(_questions(s, d)).select(*_QK, "Year1", "Year2"))
+register("q_days")(_tag("Days"))
+register("q_is_classification")(_tag("Is_Classification"))
+register("q_overstock_route")(_tag("Overstock_Route"))
+register("q_brand")(lambda t, s, d: questions.detect_brand(_questions(s, d), t.sales, _QK))
+register("q_item")(lambda t, s, d: questions.detect_item(_questions(s, d), t.sales, _QK))
+register("q_auto_context")(lambda t, s, d: questions.auto_context(_questions(s, d), t.sales, _QK))
+register("q_route")(lambda t, s, d: questions.route(_questions(s, d), t.sales, _QK))
+
 # ---- SQL surface and documented questions -------------------------------------------------------
 _B = dict(brand=P.BRAND, year1=P.YEAR1, year2=P.YEAR2)
 ADHOC_SQL = ("SELECT Channel, COUNT(DISTINCT Customer_Name) AS Customers, CAST(SUM(Amount) AS DOUBLE) AS Sales "

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from salescope.sources.schema import MONEY
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_read = read_table
+
+
 def star_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joined star rows with every column the two fact tables need, plus the order/line keys."""
     li = _read(spark, sf_dir, "lineitem").select(
