@@ -4,13 +4,13 @@ All four performance views are one pattern: ``sales_summary`` of one year LEFT J
 ``target_summary`` on (Brand, Salesman, Month_and_Year, Customer_Name), then one grouped
 aggregate. The join is literal by default: ``sales_summary`` has more keys than the join, so a
 target row can be matched by several summary rows (the reference's fan-out, which is the
-oracle). ``dedup_targets=True`` pre-aggregates both sides to the four join keys first.
+oracle). ``dedup_targets=True`` counts every 4-key target once (credited to one summary row).
 Both sides are aggregates already; AQE picks broadcast or sort-merge from their real size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salescope.functions.expr import money, not_blank, optional_eq, safe_div, zero_if_null
@@ -23,9 +23,15 @@ def _joined(t: Tables, year: int, *, dedup_targets: bool = False, filters: dict
     for col, val in (filters or {}).items():
         ss = optional_eq(ss, col, val)
     ts = t.target_summary.select(*TARGET_JOIN_KEYS, "Total_Target")
-    if dedup_targets:
-        ts = ts.groupBy(*TARGET_JOIN_KEYS).agg(F.sum("Total_Target").alias("Total_Target"))
-    return ss.join(ts, TARGET_JOIN_KEYS, "left")
+    if not dedup_targets:
+        return ss.join(ts, TARGET_JOIN_KEYS, "left")
+    # Each 4-key target once: summed per key, credited to one summary row of that key (the first
+    # in key order), so views grouped by other columns still see every target exactly once.
+    ts = ts.groupBy(*TARGET_JOIN_KEYS).agg(F.sum("Total_Target").alias("Total_Target"))
+    rest = [c for c in ("Year", "Month_and_Year_Sort", "Manager", "GM", "Emirate", "Channel") if c in ss.columns]
+    w = Window.partitionBy(*TARGET_JOIN_KEYS).orderBy(*rest)
+    j = ss.withColumn("_rn", F.row_number().over(w)).join(ts, TARGET_JOIN_KEYS, "left")
+    return j.withColumn("Total_Target", F.when(F.col("_rn") == 1, F.col("Total_Target"))).drop("_rn")
 
 
 def _perf(g: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
