@@ -46,88 +46,100 @@ def monthly(sales: DataFrame, *, as_of, months: int, keys: list[str], with_detai
             .groupBy(*keys, dates.year_month().alias("Month")).agg(*aggs))
 
 
-def _asum(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0).cast(WIDE), lambda acc, x: (acc + x).cast(WIDE))
+def _z(x: Column, m: Column, s: Column) -> Column:
+    return F.try_divide(F.abs(x.cast("double") - m), s)
 
 
-def _series_stats(series: DataFrame, keys: list[str]) -> DataFrame:
-    """Per entity: n, exact sums, ordered values, moments."""
-    g = series.groupBy(*keys).agg(
+def _item_sums(series: DataFrame) -> DataFrame:
+    """Per item: n, exact sums, and every positional sum the pattern rules need, as aggregates.
+
+    Stage 1 collects each item's (Month, Sales) points in month order (at most ``months`` points).
+    Stage 2 explodes them with their position and aggregates again by item; the data is already
+    hash-partitioned by Item_Code, so this second aggregate adds no shuffle. Keeping the sums as
+    aggregate outputs also stops later filters (e.g. "is seasonal") from being pushed below them
+    and re-evaluating them.
+    """
+    per = series.groupBy("Item_Code").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("Sales").alias("sx"),
         F.sum(F.col("Sales") * F.col("Sales")).alias("sxx"),
         F.array_sort(F.collect_list(F.struct("Month", "Sales"))).alias("_pts"),
     )
-    g = g.withColumn("_v", F.transform("_pts", lambda p: p["Sales"]))
-    return g.withColumn("_mean", mean(F.col("n"), F.col("sx"))).withColumn(
-        "_std", std_pop(F.col("n"), F.col("sx"), F.col("sxx")))
-
-
-def _lag_r(v: Column, n: Column, lag: int) -> Column:
-    a = F.slice(v, 1, lag)
-    b = F.slice(v, F.greatest(n - F.lit(lag - 1), F.lit(1)).cast("int"), lag)
-    sq = lambda arr: F.transform(arr, lambda x: x * x)
-    return pearson(F.lit(lag), _asum(a), _asum(b), _asum(sq(a)), _asum(sq(b)),
-                   _asum(F.zip_with(a, b, lambda x, y: x * y)))
-
-
-def _z(x: Column, m: Column, s: Column) -> Column:
-    return F.try_divide(F.abs(x.cast("double") - m), s)
+    n, pts = F.col("n"), F.col("_pts")
+
+    def point(p, i):  # each point with its position and, for the first ``lag`` points, its lag partner
+        partners = [F.when((i < lag) & (n >= 2 * lag), F.element_at(pts, (i + n - lag + 1).cast("int"))["Sales"])
+                    .alias(f"p{lag}") for lag in SEASONAL_LAGS]
+        return F.struct(i.alias("pos"), p["Month"].alias("Month"), p["Sales"].alias("Sales"), *partners)
+
+    pe = per.select("Item_Code", "n", "sx", "sxx", F.explode(F.transform(pts, point)).alias("pt"))
+    x, pos = F.col("pt.Sales"), F.col("pt.pos")
+    m, s = mean(n, F.col("sx")), std_pop(n, F.col("sx"), F.col("sxx"))
+    anom = F.coalesce(_z(x, m, s) > Z_THRESHOLD, F.lit(False))
+    aggs = []
+    for lag in SEASONAL_LAGS:
+        first = pos < lag
+        last = pos >= n - lag
+        partner = F.col(f"pt.p{lag}")
+        aggs += [F.sum(F.when(first, x)).alias(f"_l{lag}_0"), F.sum(F.when(last, x)).alias(f"_l{lag}_1"),
+                 F.sum(F.when(first, x * x)).alias(f"_l{lag}_2"), F.sum(F.when(last, x * x)).alias(f"_l{lag}_3"),
+                 F.sum(x * partner).alias(f"_l{lag}_4")]
+    mm = F.month(F.to_date(F.concat(F.col("pt.Month"), F.lit("-01"))))
+    for k in range(1, 13):
+        aggs += [F.sum(F.when(mm == k, x)).alias(f"_m{k}_s"), F.count(F.when(mm == k, 1)).alias(f"_m{k}_n")]
+    aggs += [F.sum(x * pos).alias("_six"), F.count(F.when(anom, 1)).alias("_k"), F.sum(F.when(anom, x)).alias("_anom_sum")]
+    return pe.groupBy("Item_Code", "n", "sx", "sxx").agg(*aggs)
+
+
+def _lag_r(lag: int) -> Column:
+    s = [F.coalesce(F.col(f"_l{lag}_{i}"), F.lit(0)) for i in range(5)]
+    return pearson(F.lit(lag), *s)
+
+
+def _peaks(top: int = 3) -> Column:
+    """Top calendar months ('MM') by mean monthly sales (ties by month), from the 12 month sums."""
+    months = F.array(*[F.struct(
+        (-F.try_divide(F.col(f"_m{k}_s").cast("double"), F.col(f"_m{k}_n").cast("double"))).alias("neg_avg"),
+        F.lit(f"{k:02d}").alias("mm"), F.col(f"_m{k}_n").alias("cnt")) for k in range(1, 13)])
+    present = F.filter(months, lambda e: e["cnt"] > 0)
+    return F.transform(F.slice(F.array_sort(F.transform(present, lambda e: F.struct(e["neg_avg"], e["mm"]))), 1, top),
+                       lambda e: e["mm"])
 
 
 def item_pattern(sales: DataFrame, *, as_of, months: int = 12, item_code: str | None = None) -> DataFrame:
     """Pattern class and metrics per item (positional monthly series over ``months``)."""
     df = sales if item_code is None else sales.filter(F.col("Item_Code") == F.lit(item_code))
-    series = monthly(df, as_of=as_of, months=months, keys=["Item_Code"])
-    st = _series_stats(series, ["Item_Code"])
-    n, v, m, s = F.col("n"), F.col("_v"), F.col("_mean"), F.col("_std")
+    st = _item_sums(monthly(df, as_of=as_of, months=months, keys=["Item_Code"]))
+    n = F.col("n")
+    m, s = mean(n, F.col("sx")), std_pop(n, F.col("sx"), F.col("sxx"))
 
     # Seasonality: first of lags 3, 6, 12 with enough points and r(first lag, last lag) > 0.7.
-    lag_hit = [(lag, (n >= SEASONAL_MIN_POINTS) & (n >= 2 * lag) & F.coalesce(_lag_r(v, n, lag) > SEASONAL_MIN_R,
-                                                                              F.lit(False)))
-               for lag in SEASONAL_LAGS]
     seasonal_lag = F.lit(None).cast("int")
-    for lag, hit in reversed(lag_hit):
+    for lag in reversed(SEASONAL_LAGS):
+        hit = (n >= SEASONAL_MIN_POINTS) & (n >= 2 * lag) & F.coalesce(_lag_r(lag) > SEASONAL_MIN_R, F.lit(False))
         seasonal_lag = F.when(hit, F.lit(lag)).otherwise(seasonal_lag)
 
-    # Anomalies: |z| > 2.5 with population sigma; Spike when their mean exceeds the series mean.
-    is_anom = lambda x: F.coalesce(_z(x, m, s) > Z_THRESHOLD, F.lit(False))
-    anom = F.filter(v, is_anom)
-    k = F.size(anom)
-    anom_sum = _asum(anom)
-
     # Trend: r of (index, value) with |r| > max(0.7, rcrit(n)), n >= 6; direction from the slope sign.
     idx_sum = F.expr("CAST(n * (n - 1) div 2 AS DECIMAL(20,0))")
     idx_sq = F.expr("CAST((n - 1) * n * (2 * n - 1) div 6 AS DECIMAL(20,0))")
-    six = _asum(F.transform(v, lambda x, i: x * i))
+    six = F.col("_six")
     r_trend = pearson(n, idx_sum, F.col("sx"), idx_sq, F.col("sxx"), six)
-    slope_num = (n.cast("decimal(20,0)") * six - idx_sum * F.col("sx").cast(WIDE)).cast(WIDE)
+    slope_num = (n.cast("decimal(20,0)") * six.cast(WIDE) - idx_sum * F.col("sx").cast(WIDE)).cast(WIDE)
 
     cv = F.when(m > 0, F.try_divide(s, m)).otherwise(F.lit(0.0))
     st = st.select(
-        "Item_Code", "n", "sx", "_pts", "_mean", "_std",
-        cv.alias("_cv"), seasonal_lag.alias("seasonal_lag"), k.alias("_k"),
-        F.when(k > 0, anom_sum).alias("_anom_sum"),
+        "Item_Code", "n", "sx", m.alias("_mean"), s.alias("_std"),
+        cv.alias("_cv"), seasonal_lag.alias("seasonal_lag"), F.col("_k"),
+        F.when(F.col("_k") > 0, F.col("_anom_sum")).alias("_anom_sum"),
         F.when(n >= TREND_MIN_POINTS, F.coalesce(F.abs(r_trend) > trend_threshold(n), F.lit(False)))
         .otherwise(F.lit(False)).alias("has_trend"),
         F.when(n < TREND_MIN_POINTS, F.lit("none")).when(slope_num > 0, F.lit("increasing"))
         .otherwise(F.lit("decreasing")).alias("trend_direction"),
+        _peaks().alias("_peaks"),
     )
-    peaks = peak_months(series)
-    st = st.join(peaks, "Item_Code", "left")
     return _classify(st)
 
 
-def peak_months(series: DataFrame, top: int = 3) -> DataFrame:
-    """Top ``top`` calendar months ('MM') by mean monthly sales per item (ties by month)."""
-    mm = series.groupBy("Item_Code", F.substring("Month", 6, 2).alias("MM")).agg(
-        F.try_divide(F.sum("Sales").cast("double"), F.count(F.lit(1)).cast("double")).alias("_avg"))
-    w = Window.partitionBy("Item_Code").orderBy(F.col("_avg").desc(), F.col("MM"))
-    ranked = mm.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= top)
-    return ranked.groupBy("Item_Code").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rk", "MM"))), lambda p: p["MM"]).alias("_peaks"))
-
-
 def _classify(st: DataFrame) -> DataFrame:
     n, cv, k = F.col("n"), F.col("_cv"), F.col("_k")
     seasonal = F.col("seasonal_lag").isNotNull()
