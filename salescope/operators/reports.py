@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salescope.functions.quantile import exact_quantile
 from salescope.functions.series import round_half_up
 
 CENTS = "decimal(38,2)"
@@ -237,7 +238,7 @@ QUADRANTS = ["High Gap, Few Customers", "High Gap, Many Customers", "Low Gap, Fe
 def salesman_gap_quadrants(sp: DataFrame) -> DataFrame:
     """Salesmen with a gap in 4 quadrants against the medians of Gap and Customers of those rows."""
     g = sp.filter(F.col("Gap") > 0)
-    med = g.agg(F.median("Gap").alias("_mg"), F.median(F.col("Customers").cast("double")).alias("_mc"))
+    med = exact_quantile(g, "Gap", 0.5, alias="_mg").crossJoin(exact_quantile(g, "Customers", 0.5, alias="_mc"))
     j = g.crossJoin(F.broadcast(med))  # n rows x 1 row
     high = F.col("Gap") > F.col("_mg")
     few = F.col("Customers") < F.col("_mc")
@@ -266,7 +267,7 @@ def quick_win_brands(bp: DataFrame, n: int = 5) -> DataFrame:
 
 def high_value_accounts_below_target(ap: DataFrame, n: int = 5) -> DataFrame:
     """Accounts with Target above the 75th percentile (linear) and achievement < 100, top n by target."""
-    q = ap.agg(F.percentile(F.col("Target"), F.lit(0.75)).alias("_q"))
+    q = exact_quantile(ap, "Target", 0.75, alias="_q")
     j = ap.crossJoin(F.broadcast(q))  # n rows x 1 row
     f = j.filter((F.col("Target") > F.col("_q")) & (F.col("Achievement") < 100))
     return f.orderBy(F.col("Target").desc(), "Customer_Name", "Salesman", "Emirate", "Channel").limit(n).select(

@@ -67,12 +67,21 @@ def write_fact(df: DataFrame, path: str, *, mode: str = "overwrite", sort_cols=(
 
 
 def write_tables(t: Tables, root: str, *, mode: str = "overwrite") -> None:
-    """Write the two facts and the two marts (SRC4, SRC6-SRC8) under ``root``."""
+    """Write the two facts, then the two marts (SRC4, SRC6-SRC8) from the written facts under ``root``.
+
+    The marts read the stored facts back instead of re-deriving them, so each fact is computed
+    once and the written table is the recovery point (lineage is cut there).
+    """
+    from salescope.sources import marts
+
     root = root.rstrip("/")
+    spark = t.sales.sparkSession
     write_fact(t.sales, f"{root}/sales", mode=mode)
     write_fact(t.target, f"{root}/target", mode=mode, sort_cols=("Brand",))
-    t.sales_summary.write.mode("overwrite").partitionBy("Year").parquet(f"{root}/sales_summary")
-    t.target_summary.write.mode("overwrite").parquet(f"{root}/target_summary")
+    sales = spark.read.parquet(f"{root}/sales")
+    target = spark.read.parquet(f"{root}/target")
+    marts.sales_summary(sales).write.mode("overwrite").partitionBy("Year").parquet(f"{root}/sales_summary")
+    marts.target_summary(target).write.mode("overwrite").parquet(f"{root}/target_summary")
 
 
 _SAFE = re.compile(r"^[A-Za-z0-9_\-./:]+$")
