@@ -1,0 +1,5 @@
+"""Incremental ingest with Structured Streaming (the append path of the yearly load)."""
+
+from salescope.streaming.ingest_stream import ingest_stream, load_streamed_tables
+
+__all__ = ["ingest_stream", "load_streamed_tables"]
