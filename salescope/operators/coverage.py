@@ -90,7 +90,7 @@ def coverage_brand_vs_company(sales: DataFrame, *, as_of, brand: str | None, tim
 
 def coverage_loss(sales: DataFrame, *, as_of, entity: str | None, entity_type: str = "Brand",
                   recent_months: int = 12, historical_months: int = 24,
-                  dimension: str = "Customer_Name") -> DataFrame:
+                  dimension: str = "Customer_Name", ordered: bool = True) -> DataFrame:
     """Members who bought in [now-hist, now-recent) but not since; their all-time figures.
 
     One aggregate per member over all of the entity's rows: the last date decides "not since",
@@ -118,11 +118,12 @@ def coverage_loss(sales: DataFrame, *, as_of, entity: str | None, entity_type: s
         F.countDistinct("Item_Code").alias("Items_Bought"),
     )
     lost = g.filter((F.col("_hist") == 1) & (F.col("Last_Purchase_Date") < c_recent))
-    return lost.select(
+    out = lost.select(
         *keys, "Last_Purchase_Date", money("_sales").alias("Historical_Sales"), "Historical_Qty",
         "Historical_Transactions", "Items_Bought",
         F.datediff(dates.as_date(as_of), F.col("Last_Purchase_Date")).alias("Days_Since_Last_Purchase"),
-    ).orderBy(*keys[:-1], F.col("Historical_Sales").desc(), member)
+    )
+    return out.orderBy(*keys[:-1], F.col("Historical_Sales").desc(), member) if ordered else out
 
 
 def coverage_comparison(sales: DataFrame, *, as_of, brand1: str, brand2: str, months: int = 12) -> DataFrame:

@@ -48,7 +48,7 @@ def top_n(df: DataFrame, n: int | None, order: list[Column], partition: list[str
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def item_growth(sales: DataFrame, *, brand: str | None, year1: int, year2: int) -> DataFrame:
+def item_growth(sales: DataFrame, *, brand: str | None, year1: int, year2: int, ordered: bool = True) -> DataFrame:
     """G1: per item Sales/Qty of both years, Growth_Value, Growth_Pct (inf/NaN -> 0)."""
     keys = _keys(brand, "Item_Desc")
     g = brand_slice(sales, brand, year1, year2).groupBy(*keys).agg(
@@ -57,7 +57,7 @@ def item_growth(sales: DataFrame, *, brand: str | None, year1: int, year2: int)
         sum_when(_y(year1), "Regular_Qty").alias("Qty_y1"),
         sum_when(_y(year2), "Regular_Qty").alias("Qty_y2"),
     )
-    return g.select(
+    out = g.select(
         *keys,
         money("_s1").alias("Sales_y1"),
         money("_s2").alias("Sales_y2"),
@@ -65,7 +65,8 @@ def item_growth(sales: DataFrame, *, brand: str | None, year1: int, year2: int)
         F.col("Qty_y2").cast("bigint").alias("Qty_y2"),
         money(F.col("_s2") - F.col("_s1")).alias("Growth_Value"),
         growth_pct_zero(F.col("_s1"), F.col("_s2")).alias("Growth_Pct"),
-    ).orderBy(*(["Brand"] if brand is None else []), F.col("Sales_y1").desc(), "Item_Desc")
+    )
+    return out.orderBy(*(["Brand"] if brand is None else []), F.col("Sales_y1").desc(), "Item_Desc") if ordered else out
 
 
 def customer_growth(sales: DataFrame, *, brand: str | None, year1: int, year2: int) -> DataFrame:
@@ -117,7 +118,7 @@ CLASS_NEW, CLASS_DISCONTINUED, CLASS_DECLINING, CLASS_GROWING = "new", "disconti
 
 def growth_classes(sales: DataFrame, *, brand: str | None, year1: int, year2: int) -> DataFrame:
     """Exclusive class per item (new / discontinued / declining / growing); unchanged dropped."""
-    items = item_growth(sales, brand=brand, year1=year1, year2=year2)
+    items = item_growth(sales, brand=brand, year1=year1, year2=year2, ordered=False)
     s1, s2, gv = F.col("Sales_y1"), F.col("Sales_y2"), F.col("Growth_Value")
     cls = (F.when((s1 == 0) & (s2 > 0), CLASS_NEW)
            .when((s1 > 0) & (s2 == 0), CLASS_DISCONTINUED)
@@ -140,19 +141,20 @@ def top_customers(sales: DataFrame, *, brand: str | None, year1: int, year2: int
 
 
 def year_overview(sales: DataFrame, *, brand: str | None, year1: int, year2: int,
-                  use_brand_mask: bool = False, with_lines: bool = True) -> DataFrame:
+                  use_brand_mask: bool = False, with_lines: bool = True, ordered: bool = True) -> DataFrame:
     """Per year Total_Sales, [line count,] distinct customers and item descriptions."""
     keys = _keys(brand, "Year")
     aggs = [money(F.sum("Amount")).alias("Total_Sales")]
     if with_lines:
         aggs.append(F.count(F.lit(1)).alias("Transactions"))
     aggs += [F.countDistinct("Customer_Name").alias("Customers"), F.countDistinct("Item_Desc").alias("Items")]
-    return brand_slice(sales, brand, year1, year2, use_brand_mask).groupBy(*keys).agg(*aggs).orderBy(*keys)
+    out = brand_slice(sales, brand, year1, year2, use_brand_mask).groupBy(*keys).agg(*aggs)
+    return out.orderBy(*keys) if ordered else out
 
 
 def growth_flags(sales: DataFrame, *, brand: str | None, year1: int, year2: int) -> DataFrame:
     """Overlapping sets as four flags per item (new is also growing, discontinued also declining)."""
-    items = item_growth(sales, brand=brand, year1=year1, year2=year2)
+    items = item_growth(sales, brand=brand, year1=year1, year2=year2, ordered=False)
     s1, s2, gv = F.col("Sales_y1"), F.col("Sales_y2"), F.col("Growth_Value")
     return items.select(
         *_keys(brand, "Item_Desc"), "Sales_y1", "Sales_y2", "Growth_Value", "Growth_Pct",
@@ -187,7 +189,7 @@ def category_counts(sales: DataFrame, *, brand: str | None, year1: int, year2: i
 def overview_summary(sales: DataFrame, *, brand: str | None, year1: int, year2: int,
                      use_brand_mask: bool = False) -> DataFrame:
     """Totals and growth; when only one of the two years has sales, growth is 0."""
-    ov = year_overview(sales, brand=brand, year1=year1, year2=year2, use_brand_mask=use_brand_mask)
+    ov = year_overview(sales, brand=brand, year1=year1, year2=year2, use_brand_mask=use_brand_mask, ordered=False)
     keys = _keys(brand)
     aggs = [
         F.sum(F.when(_y(year1), F.col("Total_Sales"))).alias("_t1"),

@@ -33,7 +33,7 @@ def item_health(sales: DataFrame, *, as_of, item_code: str | None = None, days_t
     pat = patterns.item_pattern(df, as_of=as_of, months=12)
     pat = pat.select("Item_Code", F.struct(*[c for c in pat.columns if c != "Item_Code"]).alias("pattern"))
     # The all-brand OOS report, first row per item (by historical sales) as in a records lookup.
-    oos = stock.oos_items(sales, as_of=as_of, days_threshold=days_threshold)
+    oos = stock.oos_items(sales, as_of=as_of, days_threshold=days_threshold, ordered=False)
     w = Window.partitionBy("Item_Code").orderBy(F.col("Historical_Sales").desc(), F.col("Item_Desc"))
     oos = (oos.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
            .select("Item_Code", F.struct(*[c for c in oos.columns if c != "Item_Code"]).alias("oos_risk")))
@@ -74,12 +74,14 @@ def supply_chain_dashboard(sales: DataFrame, *, as_of, brand: str | None = None,
     """
     src = sales if brand is None else sales.filter(F.col("Brand") == F.lit(brand))
     parts = {
-        "oos_items": stock.oos_items(src, as_of=as_of, days_threshold=days_threshold, per_brand=True),
+        "oos_items": stock.oos_items(src, as_of=as_of, days_threshold=days_threshold, per_brand=True,
+                                     ordered=False),
         "supply_issues": stock.multi_account_oos(sales, as_of=as_of, brand=brand, min_accounts=5,
-                                                 days_threshold=days_threshold),
+                                                 days_threshold=days_threshold, ordered=False),
         "coverage_loss": coverage.coverage_loss(src, as_of=as_of, entity=None, entity_type="Brand",
-                                                recent_months=12, historical_months=24),
-        "seasonal_items": patterns.seasonal_items(sales, as_of=as_of, brand=brand, min_sales=50000, months=24),
+                                                recent_months=12, historical_months=24, ordered=False),
+        "seasonal_items": patterns.seasonal_items(sales, as_of=as_of, brand=brand, min_sales=50000, months=24,
+                                                  ordered=False),
         "anomalies": patterns.anomalies(src, as_of=as_of, months=12, per_brand=True),
     }
     names = cards or tuple(parts)

@@ -187,7 +187,7 @@ def item_monthly_data(sales: DataFrame, *, as_of, months: int = 12, item_code: s
 
 
 def seasonal_items(sales: DataFrame, *, as_of, brand: str | None = None, min_sales: float = 50000,
-                   months: int = 24) -> DataFrame:
+                   months: int = 24, ordered: bool = True) -> DataFrame:
     """R2: items above ``min_sales`` in the window whose pattern is flagged seasonal.
 
     Candidates are (code, desc, brand) groups (brand-filtered); the pattern is computed per
@@ -199,11 +199,12 @@ def seasonal_items(sales: DataFrame, *, as_of, brand: str | None = None, min_sal
     cand = (base.groupBy("Item_Code", "Item_Desc", "Brand").agg(F.sum("Amount").alias("_total"))
             .filter(F.col("_total") > F.lit(min_sales)))
     pat = item_pattern(sales, as_of=as_of, months=months).filter(F.col("is_seasonal"))
-    return cand.join(pat, "Item_Code").select(
+    out = cand.join(pat, "Item_Code").select(
         "Item_Code", "Item_Desc", "Brand", money("_total").alias("Total_Sales"),
         F.col("pattern").alias("Pattern"), F.col("peak_months").alias("Peak_Months"),
         F.col("cv").alias("CV"), F.col("seasonal_lag").alias("Seasonal_Lag"),
-    ).orderBy(F.col("Total_Sales").desc(), "Item_Code", "Item_Desc")
+    )
+    return out.orderBy(F.col("Total_Sales").desc(), "Item_Code", "Item_Desc") if ordered else out
 
 
 def anomalies(sales: DataFrame, *, as_of, brand: str | None = None, months: int = 12, threshold: float = Z_THRESHOLD,

@@ -36,7 +36,7 @@ def _brand(df: DataFrame, brand: str | None) -> DataFrame:
 
 
 def oos_items(sales: DataFrame, *, as_of, brand: str | None = None, days_threshold: int = 30,
-              min_historical_sales: float = 10000, per_brand: bool = False) -> DataFrame:
+              min_historical_sales: float = 10000, per_brand: bool = False, ordered: bool = True) -> DataFrame:
     """O1: items whose sales in the last ``days_threshold`` days fell below 0.3 x their average line.
 
     History = [as_of - 12 months, as_of - days); recent = [as_of - days, ...). One scan, one
@@ -75,7 +75,7 @@ def oos_items(sales: DataFrame, *, as_of, brand: str | None = None, days_thresho
     recent_sales = F.coalesce(money("_recent_sales"), F.lit(0.0))
     low = recent_sales < F.col("Avg_Monthly_Sales") * F.lit(LOW_SALES_FACTOR)
     zero = recent_sales == F.lit(0.0)
-    return (
+    out = (
         j.filter(low)
         .select(
             *ITEM_KEYS,
@@ -90,8 +90,8 @@ def oos_items(sales: DataFrame, *, as_of, brand: str | None = None, days_thresho
             F.when(zero, RISK_HIGH).when(low, RISK_MEDIUM).otherwise(RISK_LOW).alias("OOS_Risk_Level"),
             F.when(zero, SUGGEST_HIGH).when(low, SUGGEST_MEDIUM).otherwise(SUGGEST_LOW).alias("Forecast_Suggestion"),
         )
-        .orderBy(F.col("Historical_Sales").desc(), F.col("Item_Code"), F.col("Item_Desc"))
     )
+    return out.orderBy(F.col("Historical_Sales").desc(), F.col("Item_Code"), F.col("Item_Desc")) if ordered else out
 
 
 def decline_cause(sales: DataFrame, *, as_of, item_code: str | None = None) -> DataFrame:
@@ -147,7 +147,7 @@ def channel_oos(sales: DataFrame, *, as_of, item_code: str | None = None, days_t
 
 
 def multi_account_oos(sales: DataFrame, *, as_of, brand: str | None = None, min_accounts: int = 5,
-                      days_threshold: int = 30) -> DataFrame:
+                      days_threshold: int = 30, ordered: bool = True) -> DataFrame:
     """Items where at least ``min_accounts`` accounts last bought more than ``days`` days ago.
 
     The reference re-joins the 12-month fact on (Item_Code, Customer_Name); summing that join
@@ -168,7 +168,7 @@ def multi_account_oos(sales: DataFrame, *, as_of, brand: str | None = None, min_
         .filter(F.col("Last_Purchase") < cd)
     )
     stopped = _brand(stopped, brand)
-    return (
+    out = (
         stopped.groupBy(*ITEM_KEYS)
         .agg(
             F.countDistinct("Customer_Name").alias("Stopped_Accounts"),
@@ -176,8 +176,10 @@ def multi_account_oos(sales: DataFrame, *, as_of, brand: str | None = None, min_
             money(F.sum("_code_cust_amt")).alias("Lost_Sales_Potential"),
         )
         .filter(F.col("Stopped_Accounts") >= min_accounts)
-        .orderBy(F.col("Stopped_Accounts").desc(), F.col("Lost_Sales_Potential").desc(), F.col("Item_Code"))
     )
+    if not ordered:
+        return out
+    return out.orderBy(F.col("Stopped_Accounts").desc(), F.col("Lost_Sales_Potential").desc(), F.col("Item_Code"))
 
 
 def oos_impact(sales: DataFrame, *, as_of, oos_days: int = 30, item_code: str | None = None) -> DataFrame:

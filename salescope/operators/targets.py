@@ -51,7 +51,7 @@ def achievement_expr(sales: F.Column, target: F.Column) -> F.Column:
     return zero_if_null(safe_div(sales, target) * F.lit(100.0))
 
 
-def brand_performance(t: Tables, *, year: int, dedup_targets: bool = False) -> DataFrame:
+def brand_performance(t: Tables, *, year: int, dedup_targets: bool = False, ordered: bool = True) -> DataFrame:
     """Per brand Sales, Target, Quantity, Transactions, #Customers, #Salesmen, Achievement, Gap."""
     g = _joined(t, year, dedup_targets=dedup_targets).groupBy("Brand").agg(
         F.sum("Total_Amount").alias("_sales"),
@@ -61,11 +61,11 @@ def brand_performance(t: Tables, *, year: int, dedup_targets: bool = False) -> D
         F.countDistinct("Customer_Name").alias("Customers"),
         F.countDistinct("Salesman").alias("Salesmen"),
     )
-    return _perf(g, ["Brand"], ["Quantity", "Transactions", "Customers", "Salesmen"]).orderBy(
-        F.col("Sales").desc(), "Brand")
+    out = _perf(g, ["Brand"], ["Quantity", "Transactions", "Customers", "Salesmen"])
+    return out.orderBy(F.col("Sales").desc(), "Brand") if ordered else out
 
 
-def gm_performance(t: Tables, *, year: int, dedup_targets: bool = False) -> DataFrame:
+def gm_performance(t: Tables, *, year: int, dedup_targets: bool = False, ordered: bool = True) -> DataFrame:
     """Per non-empty GM."""
     g = (
         _joined(t, year, dedup_targets=dedup_targets)
@@ -80,11 +80,12 @@ def gm_performance(t: Tables, *, year: int, dedup_targets: bool = False) -> Data
             F.sum("Total_Qty").alias("Quantity"),
         )
     )
-    return _perf(g, ["GM"], ["Brands", "Salesmen", "Customers", "Quantity"]).orderBy(F.col("Sales").desc(), "GM")
+    out = _perf(g, ["GM"], ["Brands", "Salesmen", "Customers", "Quantity"])
+    return out.orderBy(F.col("Sales").desc(), "GM") if ordered else out
 
 
 def salesman_performance(t: Tables, *, year: int, gm_filter: str | None = None, brand_filter: str | None = None,
-                         dedup_targets: bool = False) -> DataFrame:
+                         dedup_targets: bool = False, ordered: bool = True) -> DataFrame:
     """Per (Salesman, GM, Manager), with Avg_per_Customer; optional GM / Brand filter."""
     g = (
         _joined(t, year, dedup_targets=dedup_targets, filters={"GM": gm_filter, "Brand": brand_filter})
@@ -99,12 +100,13 @@ def salesman_performance(t: Tables, *, year: int, gm_filter: str | None = None,
         )
     )
     out = _perf(g, ["Salesman", "GM", "Manager"], ["Brands", "Customers", "Quantity", "Transactions"])
-    return out.withColumn("Avg_per_Customer", zero_if_null(safe_div(F.col("Sales"), F.col("Customers")))).orderBy(
-        F.col("Sales").desc(), "Salesman", "GM", "Manager")
+    out = out.withColumn("Avg_per_Customer", zero_if_null(safe_div(F.col("Sales"), F.col("Customers"))))
+    return out.orderBy(F.col("Sales").desc(), "Salesman", "GM", "Manager") if ordered else out
 
 
 def account_performance(t: Tables, *, year: int, salesman_filter: str | None = None,
-                        brand_filter: str | None = None, dedup_targets: bool = False) -> DataFrame:
+                        brand_filter: str | None = None, dedup_targets: bool = False,
+                        ordered: bool = True) -> DataFrame:
     """T4: per (Customer, Salesman, Emirate, Channel)."""
     g = (
         _joined(t, year, dedup_targets=dedup_targets, filters={"Salesman": salesman_filter, "Brand": brand_filter})
@@ -118,9 +120,9 @@ def account_performance(t: Tables, *, year: int, salesman_filter: str | None = N
             F.countDistinct("Brand").alias("Brands_Bought"),
         )
     )
-    return _perf(g, ["Customer_Name", "Salesman", "Emirate", "Channel"],
-                 ["Quantity", "Bonus_Qty", "Transactions", "Brands_Bought"]).orderBy(
-        F.col("Sales").desc(), "Customer_Name", "Salesman", "Emirate", "Channel")
+    out = _perf(g, ["Customer_Name", "Salesman", "Emirate", "Channel"],
+                ["Quantity", "Bonus_Qty", "Transactions", "Brands_Bought"])
+    return out.orderBy(F.col("Sales").desc(), "Customer_Name", "Salesman", "Emirate", "Channel") if ordered else out
 
 
 def monthly_trend(t: Tables, *, year: int, dimension: str | None = None, dimension_value: str | None = None) -> DataFrame:

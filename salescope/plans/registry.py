@@ -79,8 +79,9 @@ register("monthly_trend_brand")(
 register("yoy_comparison")(lambda t, s, d: targets.yoy_comparison(t))
 register("yoy_comparison_brand")(lambda t, s, d: targets.yoy_comparison(t, brand=P.BRAND))
 register("recommendations")(lambda t, s, d: targets.recommendations(
-    targets.brand_performance(t, year=P.REPORT_YEAR), entity_type="Brand", key="Brand"))
-register("gap_top10")(lambda t, s, d: targets.gap_top(targets.brand_performance(t, year=P.REPORT_YEAR), key="Brand"))
+    targets.brand_performance(t, year=P.REPORT_YEAR, ordered=False), entity_type="Brand", key="Brand"))
+register("gap_top10")(lambda t, s, d: targets.gap_top(
+    targets.brand_performance(t, year=P.REPORT_YEAR, ordered=False), key="Brand"))
 
 # ---- growth / decline (every brand at once) -----------------------------------------------------
 _G = dict(brand=None, year1=P.YEAR1, year2=P.YEAR2)
@@ -125,19 +126,19 @@ register("overstock_risk")(lambda t, s, d: patterns.overstock_risk(t.sales, as_o
 
 # ---- report pages (over the four performance views of the report year) -------------------------
 def _bp(t):
-    return targets.brand_performance(t, year=P.REPORT_YEAR)
+    return targets.brand_performance(t, year=P.REPORT_YEAR, ordered=False)
 
 
 def _gp(t):
-    return targets.gm_performance(t, year=P.REPORT_YEAR)
+    return targets.gm_performance(t, year=P.REPORT_YEAR, ordered=False)
 
 
 def _sp(t):
-    return targets.salesman_performance(t, year=P.REPORT_YEAR)
+    return targets.salesman_performance(t, year=P.REPORT_YEAR, ordered=False)
 
 
 def _ap(t):
-    return targets.account_performance(t, year=P.REPORT_YEAR)
+    return targets.account_performance(t, year=P.REPORT_YEAR, ordered=False)
 
 
 _ACC = ["Salesman", "Emirate", "Channel", "Gap", "Achievement"]
