@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 256
 
 
+def _count_below(cuts: Column, v: Column, lo: int, hi: int) -> Column:
+    """Number of the sorted ``cuts`` (0-based indices lo..hi-1 searched) below ``v``: binary search
+    as a nested CASE, O(log buckets) comparisons per row."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(F.element_at(cuts, mid + 1) < v, _count_below(cuts, v, mid + 1, hi)).otherwise(
+        _count_below(cuts, v, lo, mid))
+
+
 def exact_quantile(df: DataFrame, value: Column | str, q: float, *, alias: str = "value",
                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """One-row DataFrame with the q-quantile of ``value`` (NULL when there are no values)."""
@@ -26,7 +36,7 @@ def exact_quantile(df: DataFrame, value: Column | str, q: float, *, alias: str =
     probs = [i / buckets for i in range(1, buckets)]
     cuts = d.agg(F.percentile_approx("_v", probs, 10000).alias("_cuts"), F.sum("_c").alias("_n"))
     b = d.crossJoin(F.broadcast(cuts)).withColumn(  # distinct values x 1 row
-        "_b", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_v"))))
+        "_b", _count_below(F.col("_cuts"), F.col("_v"), 0, buckets - 1))
     totals = b.groupBy("_b").agg(F.sum("_c").alias("_bc"))
     starts = totals.select("_b", (F.sum("_bc").over(Window.orderBy("_b")) - F.col("_bc")).alias("_start"))
     w = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
