@@ -82,6 +82,21 @@ def not_blank(c: str) -> Column:
     return F.col(c).isNotNull() & (F.col(c) != F.lit(""))
 
 
+def thousands(c: Column) -> Column:
+    """F16: thousands separators, no decimals ('1,234,568')."""
+    return F.format_number(c.cast("double"), 0)
+
+
+def pct_text(c: Column, digits: int = 2) -> Column:
+    """percentage text ('12.35%'), 'N/A' for NULL."""
+    return F.coalesce(F.concat(F.format_number(c.cast("double"), digits).cast("string"), F.lit("%")), F.lit("N/A"))
+
+
+def money_text(c: Column, currency: str = "AED", digits: int = 2) -> Column:
+    """Currency text used by the report tables ('AED 1,234.50')."""
+    return F.concat(F.lit(currency + " "), F.format_number(c.cast("double"), digits))
+
+
 def month_number(mon3: Column) -> Column:
     """'Jan'..'Dec' -> 1..12 by parsing, for calendar ordering."""
     return F.month(F.to_date(F.concat(F.lit("01 "), mon3, F.lit(" 2000")), "dd MMM yyyy"))

@@ -144,9 +144,11 @@ def items_lost_coverage(sales: DataFrame, *, as_of, months: int = 12) -> DataFra
     c1 = dates.months_ago(as_of, months)
     c2 = dates.months_ago(as_of, 2 * months)
     d = F.col("Invoice_Date")
-    g = dates.since(sales, c2).groupBy("Item_Code").agg(
-        F.countDistinct(F.when((d >= c2) & (d < c1), F.col("Customer_Name"))).alias("Customers_Previous"),
-        F.countDistinct(F.when(d >= c1, F.col("Customer_Name"))).alias("Customers_Recent"),
+    per = (dates.since(sales, c2).filter(F.col("Customer_Name").isNotNull())
+           .groupBy("Item_Code", "Customer_Name").agg(F.max(d).alias("_last"), F.min(d).alias("_first")))
+    g = per.groupBy("Item_Code").agg(
+        F.count(F.when(F.col("_first") < c1, 1)).alias("Customers_Previous"),
+        F.count(F.when(F.col("_last") >= c1, 1)).alias("Customers_Recent"),
     )
     return (g.filter(F.col("Customers_Recent") < F.col("Customers_Previous"))
             .withColumn("Change", F.col("Customers_Recent") - F.col("Customers_Previous")))

@@ -100,12 +100,25 @@ def decline_cause(sales: DataFrame, *, as_of, item_code: str | None = None) -> D
     c90 = dates.days_ago(as_of, 90)
     d = F.col("Invoice_Date")
     df = sales if item_code is None else sales.filter(F.col("Item_Code") == F.lit(item_code))
-    g = df.groupBy("Item_Code").agg(
-        sum_when(d >= c30, "Amount").alias("rs"),
-        sum_when((d >= c90) & (d < c30), "Amount").alias("hs"),
-        F.countDistinct(F.when(d >= c30, F.col("Customer_Name"))).alias("rc"),
-        F.countDistinct(F.when((d >= c90) & (d < c30), F.col("Customer_Name"))).alias("hc"),
+    # Every item ever sold gets a verdict; only the last 90 days need measures. The item list reads
+    # one column of the whole table; the measures read the pruned 90-day slice, via per-customer
+    # flags (no multi-distinct expansion). Both sides are partitioned by Item_Code for the join.
+    items = df.select("Item_Code").distinct()
+    per_cust = dates.since(df, c90).groupBy("Item_Code", "Customer_Name").agg(
+        F.sum(F.when(d >= c30, F.col("Amount"))).alias("_r"),
+        F.sum(F.when(d < c30, F.col("Amount"))).alias("_h"),
+        F.max(F.when(d >= c30, 1)).alias("_rc"),
+        F.max(F.when(d < c30, 1)).alias("_hc"),
     )
+    recent = per_cust.groupBy("Item_Code").agg(
+        F.sum("_r").alias("_rs"), F.sum("_h").alias("_hs"),
+        F.count(F.when(F.col("Customer_Name").isNotNull() & (F.col("_rc") == 1), 1)).alias("rc"),
+        F.count(F.when(F.col("Customer_Name").isNotNull() & (F.col("_hc") == 1), 1)).alias("hc"),
+    )
+    g = items.join(recent, "Item_Code", "left").select(
+        "Item_Code",
+        F.coalesce(F.col("_rs"), F.lit(0)).alias("rs"), F.coalesce(F.col("_hs"), F.lit(0)).alias("hs"),
+        F.coalesce(F.col("rc"), F.lit(0)).alias("rc"), F.coalesce(F.col("hc"), F.lit(0)).alias("hc"))
     rs, hs = F.col("rs"), F.col("hs")
     cause = (
         F.when((hs > 1000) & (rs == 0), CAUSE_SUPPLY_ZERO)
