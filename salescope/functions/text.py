@@ -28,14 +28,6 @@ def first_label(text_lower: Column, rules: list[tuple[str, list[str]]], default=
     return expr
 
 
-def is_word_at(text: Column, pos0: Column) -> Column:
-    """Whether the character at 0-based ``pos0`` is a word character (False outside the text)."""
-    inside = (pos0 >= 0) & (pos0 < F.length(text))
-    ch = text.substr((pos0 + 1).cast("int"), F.lit(1))
-    return inside & F.coalesce(ch.rlike(f"^{WORD_CHAR}$"), F.lit(False))
-
-
-def boundaries(text: Column) -> Column:
-    """0-based positions p in [0, len] where a word boundary holds, as an array."""
-    n = F.length(text)
-    return F.filter(F.sequence(F.lit(0), n), lambda p: is_word_at(text, p - 1) != is_word_at(text, p))
+def is_word_char(ch: Column) -> Column:
+    """Whether a one-character string is a word character ('' and NULL are not)."""
+    return F.coalesce(ch.rlike(f"^{WORD_CHAR}$"), F.lit(False))

@@ -3,8 +3,8 @@
 Each tag is a column expression over the lower-cased question, except the two dictionary
 lookups (brand N3/N10, item N4), which are equi-joins between candidate substrings of the
 questions and the brand / item dictionaries derived from ``sales``. Candidates are generated
-only for the string lengths present in the dictionary (a small broadcast side), at word
-boundaries for whole-word matches, so no question x dictionary product is formed.
+only for the string lengths present in the dictionary (a small broadcast side), and word
+boundaries are tested on the matches only, so no question x dictionary product is formed.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salescope.functions.text import any_keyword, boundaries, first_label, is_word_at
+from salescope.functions.text import any_keyword, first_label, is_word_char
 
 Q = "question"
 
@@ -173,20 +173,24 @@ def _dictionary_hits(questions: DataFrame, keys: list[str], dictionary: DataFram
     """(keys, Brand, _len) for every dictionary entry found in the lower-cased question."""
     lengths = dictionary.select("_len").distinct()
     q = questions.select(*keys, lower_q().alias("_ql"))
-    if whole_word:
-        q = q.withColumn("_b", boundaries(F.col("_ql")))  # once per question, before the fan-out
     q = q.crossJoin(F.broadcast(lengths))  # questions x distinct lengths (a handful of rows)
     ql, ln = F.col("_ql"), F.col("_len")
-    if whole_word:
-        starts = F.filter(F.col("_b"), lambda p: p + ln <= F.length(ql))
-    else:
-        starts = F.when(F.length(ql) >= ln, F.sequence(F.lit(0), F.length(ql) - ln)).otherwise(
-            F.array().cast("array<int>"))
+    starts = F.when(F.length(ql) >= ln, F.sequence(F.lit(0), F.length(ql) - ln)).otherwise(
+        F.array().cast("array<int>"))
     cand = q.select(*keys, "_ql", "_len", F.explode(starts).alias("_s"))
-    if whole_word:  # boundary at the end as well
-        cand = cand.filter(is_word_at(ql, F.col("_s") + ln - 1) != is_word_at(ql, F.col("_s") + ln))
-    cand = cand.select(*keys, "_len", ql.substr((F.col("_s") + 1).cast("int"), ln.cast("int")).alias("_key"))
-    return cand.join(dictionary, ["_len", "_key"]).select(*keys, "Brand", "_len").distinct()
+    s = F.col("_s")
+    cand = cand.select(
+        *keys, "_len",
+        ql.substr((s + 1).cast("int"), ln.cast("int")).alias("_key"),
+        ql.substr(s.cast("int"), F.when(s > 0, F.lit(1)).otherwise(F.lit(0))).alias("_prev"),  # char before
+        ql.substr((s + ln + 1).cast("int"), F.lit(1)).alias("_next"),  # char after ('' at the end)
+    )
+    hits = cand.join(dictionary, ["_len", "_key"])
+    if whole_word:  # word boundary at both ends, tested on the matches only
+        first, last = F.substring("_key", 1, 1), F.expr("substring(_key, -1, 1)")
+        hits = hits.filter((is_word_char(F.col("_prev")) != is_word_char(first))
+                           & (is_word_char(last) != is_word_char(F.col("_next"))))
+    return hits.select(*keys, "Brand", "_len").distinct()
 
 
 def _longest(hits: DataFrame, keys: list[str], out: str) -> DataFrame:
