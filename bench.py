@@ -25,7 +25,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
     only = [k for k in os.environ.get("BENCH_QUERIES", "").split(",") if k]
 
     from pyspark.sql import SparkSession
