@@ -30,26 +30,42 @@ def _count_below(cuts: Column, v: Column, lo: int, hi: int) -> Column:
 def exact_quantile(df: DataFrame, value: Column | str, q: float, *, alias: str = "value",
                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """One-row DataFrame with the q-quantile of ``value`` (NULL when there are no values)."""
-    v = F.col(value) if isinstance(value, str) else value
-    d = df.select(v.cast("double").alias("_v")).filter(F.col("_v").isNotNull()).groupBy("_v").agg(
-        F.count(F.lit(1)).alias("_c"))
+    return exact_quantiles(df, {alias: (value, q)}, buckets=buckets)
+
+
+def exact_quantiles(df: DataFrame, specs: dict, *, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Several exact quantiles in one pass: ``{alias: (column, q)}`` -> one row, one column per alias.
+
+    The columns are stacked as (series, value) rows and every step is grouped by series.
+    """
+    names = list(specs)
+    cols = [F.col(c) if isinstance(c, str) else c for c, _ in specs.values()]
+    qs = [float(q) for _, q in specs.values()]
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_k"), c.cast("double").alias("_v")) for i, c in enumerate(cols)])).alias("_e"))
+    d = (stacked.select("_e._k", "_e._v").filter(F.col("_v").isNotNull())
+         .groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c")))
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = d.agg(F.percentile_approx("_v", probs, 10000).alias("_cuts"), F.sum("_c").alias("_n"))
-    b = d.crossJoin(F.broadcast(cuts)).withColumn(  # distinct values x 1 row
+    cuts = d.groupBy("_k").agg(F.percentile_approx("_v", probs, 10000).alias("_cuts"), F.sum("_c").alias("_n"))
+    b = d.join(F.broadcast(cuts), "_k").withColumn(  # one cut row per series
         "_b", _count_below(F.col("_cuts"), F.col("_v"), 0, buckets - 1))
-    totals = b.groupBy("_b").agg(F.sum("_c").alias("_bc"))
-    starts = totals.select("_b", (F.sum("_bc").over(Window.orderBy("_b")) - F.col("_bc")).alias("_start"))
-    w = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (b.join(F.broadcast(starts), "_b")  # at most ``buckets`` rows
+    totals = b.groupBy("_k", "_b").agg(F.sum("_c").alias("_bc"))
+    starts = totals.select("_k", "_b", (F.sum("_bc").over(Window.partitionBy("_k").orderBy("_b"))
+                                        - F.col("_bc")).alias("_start"))
+    w = Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (b.join(F.broadcast(starts), ["_k", "_b"])  # at most series x ``buckets`` rows
               .withColumn("_end", F.col("_start") + F.sum("_c").over(w))
               .withColumn("_begin", F.col("_end") - F.col("_c")))
-    pos = (F.col("_n") - F.lit(1)).cast("double") * F.lit(float(q))
+    qcol = F.element_at(F.array(*[F.lit(q) for q in qs]), (F.col("_k") + 1).cast("int"))
+    pos = (F.col("_n") - F.lit(1)).cast("double") * qcol
     lo, hi = F.floor(pos), F.ceil(pos)
     hit_lo = (F.col("_begin") <= lo) & (lo < F.col("_end"))
     hit_hi = (F.col("_begin") <= hi) & (hi < F.col("_end"))
-    picked = ranked.filter(hit_lo | hit_hi).agg(
+    picked = ranked.filter(hit_lo | hit_hi).groupBy("_k").agg(
         F.max(F.when(hit_lo, F.col("_v"))).alias("_lo"), F.max(F.when(hit_hi, F.col("_v"))).alias("_hi"),
         F.max(pos).alias("_pos"))
     frac = F.col("_pos") - F.floor(F.col("_pos"))
-    return picked.select(F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
-                         .otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias(alias))
+    value = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
+        F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac)
+    per = picked.select("_k", value.alias("_q"))
+    return per.agg(*[F.max(F.when(F.col("_k") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salescope.functions.quantile import exact_quantile
+from salescope.functions.quantile import exact_quantile, exact_quantiles
 from salescope.functions.series import round_half_up
 
 CENTS = "decimal(38,2)"
@@ -238,7 +238,7 @@ QUADRANTS = ["High Gap, Few Customers", "High Gap, Many Customers", "Low Gap, Fe
 def salesman_gap_quadrants(sp: DataFrame) -> DataFrame:
     """Salesmen with a gap in 4 quadrants against the medians of Gap and Customers of those rows."""
     g = sp.filter(F.col("Gap") > 0)
-    med = exact_quantile(g, "Gap", 0.5, alias="_mg").crossJoin(exact_quantile(g, "Customers", 0.5, alias="_mc"))
+    med = exact_quantiles(g, {"_mg": ("Gap", 0.5), "_mc": ("Customers", 0.5)})
     j = g.crossJoin(F.broadcast(med))  # n rows x 1 row
     high = F.col("Gap") > F.col("_mg")
     few = F.col("Customers") < F.col("_mc")

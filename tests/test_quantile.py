@@ -19,3 +19,15 @@ def test_matches_numpy(spark, q, buckets):
 def test_empty_and_single(spark):
     assert exact_quantile(spark.createDataFrame([(None,)], "x double"), "x", 0.5).collect()[0]["value"] is None
     assert exact_quantile(spark.createDataFrame([(3.5,)], "x double"), "x", 0.75).collect()[0]["value"] == 3.5
+
+
+def test_several_quantiles_in_one_pass(spark):
+    from salescope.functions.quantile import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(0, 1, 300).round(3), rng.integers(0, 20, 300)
+    df = spark.createDataFrame([(float(x), int(y)) for x, y in zip(a, b)], "a double, b long")
+    r = exact_quantiles(df, {"ma": ("a", 0.5), "qb": ("b", 0.75), "none": ("a", 0.1)}, buckets=5).collect()[0]
+    assert r["ma"] == pytest.approx(float(np.percentile(a, 50)), abs=1e-12)
+    assert r["qb"] == pytest.approx(float(np.percentile(b, 75)), abs=1e-12)
+    assert r["none"] == pytest.approx(float(np.percentile(a, 10)), abs=1e-12)
