@@ -26,6 +26,13 @@ def execute_query(spark: SparkSession, tables: Tables, sql: str, args: dict | No
         return None, str(e)
 
 
+def register_table(spark: SparkSession, name: str, path: str) -> None:
+    """An external catalog table over a stored folder (partitioning inferred), partitions recovered."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{path}'")
+    if any(c.isPartition for c in spark.catalog.listColumns(name)):
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+
+
 def analyze(spark: SparkSession, table: str) -> None:
     """SRC9: column statistics for the cost-based optimizer (catalog tables only)."""
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")

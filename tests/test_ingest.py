@@ -64,3 +64,15 @@ def test_execute_query_returns_rows_or_error(spark, tables):
     assert df is None and "no_such_column" in err
     info = catalog.table_info(tables)
     assert ("Amount", "decimal(18,2)") in info["sales"] and ("Total_Target", "decimal(28,2)") in info["target_summary"]
+
+
+def test_analyze_collects_column_statistics(spark, tables):
+    root = scratch(spark, "analyzed")
+    ingest.write_tables(tables, root)
+    name = f"sales_{uuid.uuid4().hex[:8]}"
+    catalog.register_table(spark, name, f"{root}/sales")
+    assert spark.table(name).count() == tables.sales.count()
+    catalog.analyze(spark, name)
+    stats = {r["info_name"]: r["info_value"] for r in spark.sql(f"DESCRIBE EXTENDED {name} Brand").collect()}
+    assert abs(int(stats["distinct_count"]) - 25) <= 2 and stats["num_nulls"] == "0"  # NDV is an HLL estimate
+    spark.sql(f"DROP TABLE {name}")
