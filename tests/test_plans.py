@@ -57,3 +57,8 @@ def test_item_pattern_has_no_inlined_array_lambdas_below_filters(spark, stored):
     opt =registry.run_on(stored, spark, "seasonal_items")._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in opt.split("\n") if "Filter" in line]
     assert not any("lambdafunction" in f for f in filters)
+
+
+def test_per_group_top_n_is_limited_before_the_shuffle(spark, stored):
+    for key in ("contrib_customer", "growth_customers_top50", "salesman_categories"):
+        assert plan(registry.run_on(stored, spark, key)).count("WindowGroupLimit") >= 2, key
