@@ -28,18 +28,10 @@ def main() -> None:
     repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
     only = [k for k in os.environ.get("BENCH_QUERIES", "").split(",") if k]
 
-    from pyspark.sql import SparkSession
+    from salescope.session import build_session
 
-    spark = (SparkSession.builder.master(f"local[{cpus}]").appName("salescope-bench")
-             .config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false")
-             .config("spark.sql.shuffle.partitions", str(2 * cpus))
-             .config("spark.sql.adaptive.enabled", "true")
-             .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-             .config("spark.sql.adaptive.skewJoin.enabled", "true")
-             .config("spark.sql.session.timeZone", "UTC")
-             .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
-             .getOrCreate())
+    os.environ.setdefault("SALESCOPE_DRIVER_MEMORY", os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=2 * cpus, app="salescope-bench")
     spark.sparkContext.setLogLevel("OFF")
 
     from salescope.plans import registry

@@ -44,11 +44,6 @@ def since(df: DataFrame, cutoff: Column, col: str = DATE_COL) -> DataFrame:
     return df.filter(on_or_after(cutoff, col))
 
 
-def in_window(lo: Column, hi: Column, col: str = DATE_COL) -> Column:
-    """Half-open ``[lo, hi)``."""
-    return (F.col(col) >= lo) & (F.col(col) < hi)
-
-
 def year_month(col: str = DATE_COL) -> Column:
     """``yyyy-MM`` month key of a date (strftime('%Y-%m'))."""
     return F.date_format(F.col(col), "yyyy-MM")

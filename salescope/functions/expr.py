@@ -37,10 +37,6 @@ def zero_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-def pct_change(new: Column, old: Column) -> Column:
-    return safe_div(new - old, old) * F.lit(100.0)
-
-
 def sum_when(cond: Column, value: Column | str) -> Column:
     """SUM(CASE WHEN cond THEN value ELSE 0 END) for decimal money or integer quantities."""
     value = F.col(value) if isinstance(value, str) else value

@@ -7,10 +7,6 @@ from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
 
-SALES_DIMENSIONS = [
-    "Brand", "Brand_Mask", "Salesman", "Manager", "GM", "Customer_Name", "Group", "Emirate", "Channel",
-]
-
 SALES = T.StructType([
     T.StructField("Year", T.IntegerType()),
     T.StructField("Month_and_Year", T.StringType()),

@@ -54,7 +54,7 @@ def test_three_key_target_join_emits_no_pairs(spark, stored):
 
 
 def test_item_pattern_has_no_inlined_array_lambdas_below_filters(spark, stored):
-    opt =registry.run_on(stored, spark, "seasonal_items")._jdf.queryExecution().optimizedPlan().toString()
+    opt = registry.run_on(stored, spark, "seasonal_items")._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in opt.split("\n") if "Filter" in line]
     assert not any("lambdafunction" in f for f in filters)
 
