@@ -33,10 +33,19 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder: the session's ``spark.checkpoint.dir``; set one only if unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="salescope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    """Shared checkpoint folder: the one the session names in ``spark.checkpoint.dir``.
+
+    Only a local session without the setting gets a scratch folder of its own; on a cluster a
+    machine-local folder would be lost with its executor, so an unset setting is an error there.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(named)
+        return named
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="salescope-ckpt-")
+    sc.setCheckpointDir(own)
+    return own
