@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm import toxicity
+from salescope.llm import simhash, toxicity
 from salescope.llm.common import crc_mod, read
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -20,7 +25,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_toxicity,)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
