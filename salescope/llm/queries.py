@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm import simhash, toxicity
+from salescope.llm import bpe, decontam, simhash, toxicity
 from salescope.llm.common import crc_mod, read
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file; operators take the file's content, whatever its place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that contaminates it."""
+    found = decontam.matches(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    one = found.where("size(matches) > 0").select("doc_id", F.explode("matches").alias("m"))
+    return one.select("doc_id", "m.item_id", F.round("m.coverage", 6).alias("coverage"), F.size("m.tiles").alias("n_tiles"),
+                      F.array_max("m.tiles.words").alias("longest_tile"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -24,8 +39,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "n_matched")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = bpe.load(tokenizer("word_bpe_49k.json"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, source).select("doc_id", "ids"), source)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op7_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash_dedup, op7_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -112,8 +112,8 @@ def _value(density: float, slope: float, offset: float) -> float:
     return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def score(df: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """All rows with ``score`` (0 to 1), ``n_matched`` and ``predicted`` (score >= 0.3)."""
+def score(df: DataFrame, model: Model, *, text: str = "text", prefix: str = "") -> DataFrame:
+    """All rows with ``score`` (0 to 1), ``n_matched`` and ``predicted`` (score >= 0.3), named with ``prefix``."""
     sent = df.sparkSession.sparkContext.broadcast(model)  # at most MAX_ENTRIES entries
 
     def start():
@@ -127,7 +127,12 @@ def score(df: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
         return rows
 
-    return with_columns(df, text, [("score", "double"), ("n_matched", "int"), ("predicted", "int")], start)
+    return with_columns(df, text, [(f"{prefix}score", "double"), (f"{prefix}n_matched", "int"), (f"{prefix}predicted", "int")], start)
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows that are not predicted toxic, with their own columns."""
+    return score(docs, model, prefix="__toxicity_").where("__toxicity_predicted = 0").select(*(f"`{c}`" for c in docs.columns))
 
 
 def _stems(word: str) -> set[str]:
