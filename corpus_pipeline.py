@@ -8,15 +8,17 @@ A stage's result is written once to the shared checkpoint folder, and the next s
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from salescope.llm import simhash, toxicity
+from salescope.llm import bpe, decontam, simhash, toxicity
 from salescope.llm.common import cut, read
+from salescope.llm.queries import tokenizer
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject; it learns from all labels of these documents."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.clean(docs, model)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,20 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.deduplicate(docs)
 
 
-STAGES = [("toxicity", remove_toxic), ("simhash_dedup", remove_near_copies)]
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item contaminates."""
+    return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids (``ids``), their number (``n_tokens``) and the decoded text."""
+    source = bpe.load(tokenizer(TOKENIZER))
+    return bpe.decode(bpe.encode(docs, source), source).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+TOKENIZER = "word_bpe_49k.json"
+
+STAGES = [("toxicity", remove_toxic), ("simhash_dedup", remove_near_copies), ("decontamination", remove_contaminated), ("bpe", encode)]
 
 #: A learned lexicon, XXH64 and a tokenizer's merges cannot be written in SQL; tests/llm holds brute force against them.
 ORACLE_SQL = None
