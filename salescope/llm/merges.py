@@ -20,7 +20,9 @@ class Merges:
 
     def __init__(self, rank: Callable[[str, str], float | None], known, end: str = ""):
         self.rank, self.known, self.end = rank, known, end
-        self.longest = max(map(len, known), default=1)
+        # Endings of tokens, with whether they are tokens themselves.
+        self.endings: dict[str, bool] = {t[i:]: False for t in known for i in range(len(t))}
+        self.endings.update(dict.fromkeys(known, True))
         self._sides: dict[str, tuple[list, list] | None] = {}
         self._fits: dict[tuple[str, str], bool] = {}
 
@@ -90,16 +92,19 @@ class Merges:
         """Carry the states on to the first ``upto`` symbols of ``path``, the last of them marked.
         ``tokens[i]`` and ``starts[i]``: the last token of the encoding of the first i + 1 symbols, and how many
         symbols lie before it."""
-        known, longest, sides, fits = self.known, self.longest, self.sides, self.fits
+        endings, sides, fits = self.endings.get, self.sides, self.fits
         for end in range(len(tokens) + 1, upto + 1):
             tail = mark if end == upto else ""
-            for start in range(max(0, end - longest), end):
+            for start in range(end - 1, -1, -1):
                 token = path[start:end] + tail
-                if (start == end - 1 or token in known) and sides(token) is not None and (start == 0 or fits(tokens[start - 1], token)):
+                whole = endings(token)
+                if (whole or start == end - 1) and sides(token) is not None and (start == 0 or fits(tokens[start - 1], token)):
                     tokens.append(token)
                     starts.append(start)
                     break
-            else:
+                if whole is None:
+                    break  # no longer token ends so
+            if len(tokens) < end:
                 raise ValueError(f"no token ends at {end} of {path!r}")
 
     @staticmethod

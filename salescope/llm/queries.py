@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm import bpe, decontam, simhash, toxicity
+from salescope.llm import bpe, decontam, simhash, token_counts, toxicity
 from salescope.llm.common import crc_mod, read
 
 
@@ -39,6 +39,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "n_matched")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count(docs, token_counts.load(tokenizer("piece_bpe_32k.model")), budget=4096)
+    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
+                          (F.col("n_tokens") > 4096).alias("over_limit"), "kept_chars")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = bpe.load(tokenizer("word_bpe_49k.json"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,7 +55,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash_dedup, op7_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash_dedup, op7_toxicity, op8_token_counts, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
