@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm import bpe, decontam, simhash, token_counts, toxicity
+from salescope.llm import bpe, chat, decontam, simhash, token_counts, toxicity
 from salescope.llm.common import crc_mod, read
 
 
@@ -31,6 +34,47 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _conversation_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Reads segments back, ordered by conversation; holds one conversation's running hashes at a time."""
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    key, state = None, None
+
+    def row():
+        return (key[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
+
+    for frame in batches:
+        out = []
+        for conv, segment, start, end in zip(frame.conv_id, frame.segment, frame.loss_start, frame.loss_end):
+            conv = None if pd.isna(conv) else int(conv)
+            if key != (conv,):
+                if key is not None:
+                    out.append(row())
+                key, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            for role, text in chat.parse(segment):
+                state[0] += 1
+                state[1].update(f"{role}\n{text}\n".encode())
+            if not pd.isna(end):
+                loss = chat.unescape(segment[int(start):int(end)])
+                state[2] += len(loss)
+                state[3].update(loss.encode())
+            state[4] += len(segment)
+        yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+    if key is not None:
+        yield pd.DataFrame([row()], columns=names).astype({"conv_id": "Int64"})
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))).alias("record"))
+    hard = "</s>[INST] ok [/INST]"
+    one = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast(rows.schema["turn"].dataType).alias("turn"),
+                                F.lit(json.dumps({"prompt": hard, "completion": hard})).alias("record"))
+    turns = chat.canonical(rows.union(one))
+    rank = F.struct("turn", "place", "role", F.coalesce("text", F.lit("")).alias("text"))
+    segments = chat.format_turns(turns.withColumn("rank", rank))
+    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "rank").select("conv_id", "segment", "loss_start", "loss_end")
+    return ordered.mapInPandas(_conversation_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -55,8 +99,28 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash_dedup, op7_toxicity, op8_token_counts, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash_dedup, op3_chat_format, op7_toxicity, op8_token_counts, op10_bpe)}
+
+
+#: op3: the turns in order, then hashes of what the contract names; the escape character is doubled and one more
+#: character goes behind the first sign of each control string.
+_ESCAPED = "length({0}) + (length({0}) - length(replace({0}, chr(9243), ''))) + len(regexp_extract_all({0}, '" + "|".join(
+    chat.re.escape(c).replace("'", "''") for c in chat.CONTROLS) + "'))"
+
+OP3_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, 0 AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 0, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, place, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, place, role, text), '')) AS loss_sha256,
+  CAST(sum({_ESCAPED.format('role')} + (length(role) - length(replace(role, chr(10), ''))) + {_ESCAPED.format('text')} + {len(chat.TURN) + len(chat.STOP) + 2}) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": OP3_SQL}
