@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm import bpe, chat, decontam, simhash, token_counts, toxicity
+from salescope.llm import bpe, chat, decontam, licenses, simhash, token_counts, toxicity, warc
 from salescope.llm.common import crc_mod, read
 
 
@@ -75,6 +75,14 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.mapInPandas(_conversation_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.col("blocks.label"))))
+    score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("blocks.containment"), F.lit(0.0)))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+                        F.array_join(labels, ",").alias("labels"), score.alias("score"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -90,6 +98,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("n_tokens") > 4096).alias("over_limit"), "kept_chars")
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversion and the metadata record of every page's response."""
+    derived = warc.derive(warc.responses(read(spark, sf_dir, "pages")))
+    one = derived.select("page_id", F.explode("derived").alias("d")).select("page_id", "d.*")
+    return one.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = bpe.load(tokenizer("word_bpe_49k.json"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -99,7 +114,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash_dedup, op3_chat_format, op7_toxicity, op8_token_counts, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash_dedup, op3_chat_format, op4_license_scan, op7_toxicity, op8_token_counts, op9_warc_derivatives, op10_bpe)}
 
 
 #: op3: the turns in order, then hashes of what the contract names; the escape character is doubled and one more
