@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm import bpe, chat, decontam, licenses, simhash, token_counts, toxicity, warc
+from salescope.llm import bpe, chat, decontam, licenses, lm, simhash, token_counts, toxicity, warc
 from salescope.llm.common import crc_mod, read
 
 
@@ -83,6 +83,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join(labels, ",").alias("labels"), score.alias("score"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))
+    scored, model = lm.fit_and_score(docs, ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -114,7 +121,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash_dedup, op3_chat_format, op4_license_scan, op7_toxicity, op8_token_counts, op9_warc_derivatives, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash_dedup, op3_chat_format, op4_license_scan, op5_lm_scores, op7_toxicity, op8_token_counts, op9_warc_derivatives, op10_bpe)}
 
 
 #: op3: the turns in order, then hashes of what the contract names; the escape character is doubled and one more
