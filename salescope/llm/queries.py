@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm import bpe, chat, decontam, licenses, lm, simhash, token_counts, toxicity, warc
+from salescope.llm import bpe, chat, decontam, iblt, licenses, lm, simhash, token_counts, toxicity, warc
 from salescope.llm.common import crc_mod, read
 
 
@@ -90,6 +90,19 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op6_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = iblt.successors(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.char_length("text")
+    quarter = F.floor(size / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), size - quarter), F.substring("next_text", F.lit(1), quarter))
+    rows = rows.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_text")
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), iblt.digests(F.col("text")).alias("own"),
+                       iblt.digests(F.col("edited")).alias("other"), iblt.digests(F.col("next_text")).alias("next"))
+    own, other, following = F.col("own"), F.col("other"), F.col("next")
+    return rows.select("doc_id", "n_chars", "edited_sha256", iblt.fingerprint(own).alias("fingerprint"), iblt.fingerprint(other).alias("edited_fingerprint"),
+                       iblt.likeness(own, other).alias("near_edited"), iblt.likeness(own, following).alias("near_next"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -121,7 +134,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash_dedup, op3_chat_format, op4_license_scan, op5_lm_scores, op7_toxicity, op8_token_counts, op9_warc_derivatives, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash_dedup, op3_chat_format, op4_license_scan, op5_lm_scores, op6_iblt_fingerprints, op7_toxicity, op8_token_counts, op9_warc_derivatives, op10_bpe)}
 
 
 #: op3: the turns in order, then hashes of what the contract names; the escape character is doubled and one more

@@ -163,6 +163,7 @@ def classes(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingl
     heads = members.groupBy("class_fp").agg(F.min("head").alias("class_head"))
     named = each.join(members.join(heads, "class_fp").select("fp", "class_fp", "class_head"), "fp", "left").select(
         "fp", F.coalesce("class_fp", "fp").alias("class_fp"), F.coalesce("class_head", "head").alias("head"))
+    named = cut(named)  # the join below then stands alone between two exchanges, where a hot fingerprint's rows can be split
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "class_fp", F.col("head.doc_id").alias("component_id"), (rank == F.col("head")).alias("first"))
 
 
