@@ -34,7 +34,7 @@ from salescope.llm.common import with_columns
 from salescope.llm.merges import Merges
 
 END = "</w>"
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -64,7 +64,6 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.vocab: dict[str, int] = model["vocab"]
-        self.strings = {i: t for t, i in chain(self.vocab.items(), self.special.items())}
         order = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.merges = Merges(lambda a, b: order.get((a, b)), self.vocab, END)
         self.letters = byte_letters()
@@ -116,6 +115,14 @@ class Codec:
         kept = self.kept
         return [b"".join([kept[w] if w.__class__ is str else np.int32(w).tobytes() for w in p]) for p in parts]
 
+
+class Decoder:
+    def __init__(self, source: str):
+        spec = json.loads(source)
+        if spec["decoder"] is not None:
+            raise ValueError("only files without a decoder are supported")
+        self.strings = dict(chain(((i, t) for t, i in spec["model"]["vocab"].items()), ((t["id"], t["content"]) for t in spec["added_tokens"])))
+
     def decode(self, ids) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
 
@@ -125,12 +132,17 @@ def codec(source: str) -> Codec:
     return Codec(source)
 
 
+@lru_cache(maxsize=2)
+def decoder(source: str) -> Decoder:
+    return Decoder(source)
+
+
 def load(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
-def _groups(batch: list[bytes], size: int = 4_000_000):
+def _groups(batch: list[bytes], size: int = 1_000_000):
     """Runs of texts of about ``size`` bytes."""
     at, held = 0, 0
     for i, t in enumerate(batch):
@@ -167,7 +179,7 @@ def decode(df: DataFrame, source: str, *, ids: str = "ids", out: str = "decoded"
     kept = [f for f in df.schema.fields if f.name.lower() != out.lower()]
 
     def run(batches):
-        own = codec(sent.value)
+        own = decoder(sent.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             made = [own.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in column]

@@ -13,6 +13,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from math import inf
 
+KEPT_PAIRS = 200_000
+
 
 class Merges:
     """``rank(a, b)`` is the priority (smaller first, leftmost among equals) with which two neighbouring tokens
@@ -83,7 +85,7 @@ class Merges:
                 i += 1
             else:
                 j += 1
-        if len(self._fits) > 1_000_000:
+        if len(self._fits) >= KEPT_PAIRS:
             self._fits.clear()
         self._fits[a, b] = got
         return got
