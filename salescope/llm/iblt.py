@@ -30,11 +30,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP = 16
-CELLS = 8
+GROUP = 8
+CELLS = 6
 FIXED = 6
 TRIES = 6
-ROUNDS = 8
+ROUNDS = 6
 RANGE_ROWS = 1000
 MOST_RANGES = 10_000
 LONG = 160
