@@ -54,7 +54,7 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 _FOLDED = str.maketrans(LOOKALIKES | SUBSTITUTES)
 _GAPS = re.compile(r"[\W_]+")
 #: A sign for a letter counts only where a letter follows: "idiot!" ends with a sign, "!diot" does not.
-_LOOSE = re.compile(r"[@$!0-9]+(?![^\W\d_])")
+_LOOSE = re.compile(r"[@$!0-9]++(?![^\W\d_])")
 
 
 def fold(text: str) -> str:
