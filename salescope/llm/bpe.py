@@ -5,7 +5,7 @@ words of a batch form a trie, walked depth first in sorted order: the state of a
 token of the encoding of its prefix, see ``merges``) is computed once for all words below it, the
 stack of states is cut back to the common prefix when the walk goes on to the next branch, and a
 word's ids are read back from its last node. Encodings of words are kept for later batches, up to a
-fixed number, beyond which they are computed anew.
+fixed number; words not met for long are dropped and computed anew.
 
 Supported are files with a byte-level BPE model with an end-of-word suffix, NFC, white space folding
 and lower-casing, without a decoder (whose decoded text is the token strings joined by blanks), as
@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -30,11 +31,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from salescope.llm.common import with_columns
-from salescope.llm.merges import Merges
+from salescope.llm.common import groups, with_columns
+from salescope.llm.merges import Kept, Merges, shared
 
 END = "</w>"
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -67,7 +68,7 @@ class Codec:
         order = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.merges = Merges(lambda a, b: order.get((a, b)), self.vocab, END)
         self.letters = byte_letters()
-        self.kept: dict[str, bytes] = {}
+        self.kept = Kept(KEPT_WORDS, self.walk)
         self.plain = re.compile("[\x00-ɏ]*")
 
     def words(self, text: str) -> list[str]:
@@ -79,27 +80,19 @@ class Codec:
         back = {c: b for b, c in enumerate(self.letters)}
         return [bytes(back[c] for c in w).decode("utf-8") for w, _ in self.cut(self.normalize(text))]
 
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that are not kept yet, in one walk through their trie."""
-        new = words - self.kept.keys()
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-            new = words
-        spelled = sorted(("".join([self.letters[b] for b in w.encode("utf-8")]), w) for w in new)
+    def walk(self, words: list[str]):
+        """(word, ids) of each word, in one walk through their trie."""
+        spelled = sorted(("".join([self.letters[b] for b in w.encode("utf-8")]), w) for w in words)
         before, tokens, starts = "", [], []  # the path from the root and the states along it
         for path, word in spelled:
-            same = 0
-            for a, b in zip(before, path):
-                if a != b:
-                    break
-                same += 1
+            same = shared(before, path)
             del tokens[same:], starts[same:]
             self.merges.extend(path, tokens, starts, len(path))
             # The end of the word is one more branch, whose symbol is the last letter with the end mark.
             last_tokens, last_starts = tokens[:-1], starts[:-1]
             self.merges.extend(path, last_tokens, last_starts, len(path), END)
             ids = [self.vocab[t] for t in Merges.encoding(last_tokens, last_starts, len(path))]
-            self.kept[word] = np.array(ids, np.int32).tobytes()
+            yield word, array("i", ids).tobytes()
             before = path
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -111,8 +104,8 @@ class Codec:
                 parts.append([w for p in pieces for w in ([special[p]] if p in special else self.words(p))])
             else:
                 parts.append(self.words(text))
-        self.learn({w for p in parts for w in p if w.__class__ is str})
         kept = self.kept
+        kept.hold({w for p in parts for w in p if w.__class__ is str})
         return [b"".join([kept[w] if w.__class__ is str else np.int32(w).tobytes() for w in p]) for p in parts]
 
 
@@ -142,18 +135,6 @@ def load(path: str) -> str:
         return f.read()
 
 
-def _groups(batch: list[bytes], size: int = 1_000_000):
-    """Runs of texts of about ``size`` bytes."""
-    at, held = 0, 0
-    for i, t in enumerate(batch):
-        held += len(t)
-        if held >= size:
-            yield batch[at:i + 1]
-            at, held = i + 1, 0
-    if at < len(batch):
-        yield batch[at:]
-
-
 def encode(df: DataFrame, source: str, *, text: str = "text", out: str = "ids") -> DataFrame:
     """All rows with ``out``: array<int>, the ids of the whole text without added special tokens."""
     sent = df.sparkSession.sparkContext.broadcast(source)  # one file of fixed size
@@ -162,7 +143,7 @@ def encode(df: DataFrame, source: str, *, text: str = "text", out: str = "ids")
         own = codec(sent.value)
 
         def rows(batch):
-            got = [ids for part in _groups(batch) for ids in own.encode_batch([t.decode("utf-8", "replace") for t in part])]
+            got = [ids for part in groups(batch) for ids in own.encode_batch([t.decode("utf-8", "replace") for t in part])]
             ends = np.cumsum([0, *(len(x) // 4 for x in got)], dtype=np.int32)
             return (pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32))),)
 

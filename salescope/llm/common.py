@@ -58,3 +58,15 @@ def with_columns(df: DataFrame, column: str, fields: list[tuple[str, str]],
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *(n for n, _ in fields)])
 
     return source.mapInArrow(run, schema)
+
+
+def groups(batch: list[bytes], size: int = 1_000_000):
+    """Runs of texts of about ``size`` bytes."""
+    at, held = 0, 0
+    for i, t in enumerate(batch):
+        held += len(t)
+        if held >= size:
+            yield batch[at:i + 1]
+            at, held = i + 1, 0
+    if at < len(batch):
+        yield batch[at:]

@@ -10,7 +10,7 @@ The symbols of a text are its characters; the last one of a word may carry a mar
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from math import inf
 
 KEPT_PAIRS = 200_000
@@ -94,16 +94,24 @@ class Merges:
         """Carry the states on to the first ``upto`` symbols of ``path``, the last of them marked.
         ``tokens[i]`` and ``starts[i]``: the last token of the encoding of the first i + 1 symbols, and how many
         symbols lie before it."""
-        endings, sides, fits = self.endings.get, self.sides, self.fits
+        ending, sides, known_fits, fits = self.endings.get, self.sides, self._fits.get, self.fits
         for end in range(len(tokens) + 1, upto + 1):
             tail = mark if end == upto else ""
             for start in range(end - 1, -1, -1):
                 token = path[start:end] + tail
-                whole = endings(token)
-                if (whole or start == end - 1) and sides(token) is not None and (start == 0 or fits(tokens[start - 1], token)):
-                    tokens.append(token)
-                    starts.append(start)
-                    break
+                whole = ending(token)
+                if whole or start == end - 1:
+                    if start == 0:
+                        ok = sides(token) is not None
+                    else:
+                        pair = (tokens[start - 1], token)
+                        ok = known_fits(pair)
+                        if ok is None:
+                            ok = sides(token) is not None and fits(*pair)
+                    if ok:
+                        tokens.append(token)
+                        starts.append(start)
+                        break
                 if whole is None:
                     break  # no longer token ends so
             if len(tokens) < end:
@@ -117,3 +125,38 @@ class Merges:
             out.append(tokens[end - 1])
             end = starts[end - 1]
         return out[::-1]
+
+
+class Kept(dict):
+    """Values by word, computed in sorted batches and kept in two generations of at most ``most`` words: when the
+    younger is full it becomes the older, so frequent words stay."""
+
+    def __init__(self, most: int, make: Callable[[list[str]], Iterable[tuple[str, object]]]):
+        self.most, self.make, self.older = most, make, {}
+
+    def hold(self, words: set[str]) -> None:
+        """Afterwards all of ``words`` have their values."""
+        new = words - self.keys()
+        if len(self) + len(new) > self.most:
+            self.older = dict(self)
+            self.clear()
+            new = words
+        older = self.older.get
+        missing = []
+        for w in new:
+            value = older(w)
+            if value is None:
+                missing.append(w)
+            else:
+                self[w] = value
+        self.update(self.make(sorted(missing)))
+
+
+def shared(before: str, path: str) -> int:
+    """Length of the common beginning."""
+    n = 0
+    for a, b in zip(before, path):
+        if a != b:
+            break
+        n += 1
+    return n
