@@ -92,8 +92,3 @@ def trend_threshold(n: Column) -> Column:
     for k in sorted(RCRIT, reverse=True):
         expr = F.when(n == F.lit(k), F.lit(RCRIT[k])).otherwise(expr)
     return expr
-
-
-def trend_threshold_sql(n: str) -> str:
-    arms = " ".join(f"WHEN {n} = {k} THEN {RCRIT[k]!r}" for k in sorted(RCRIT))
-    return f"(CASE {arms} ELSE {TREND_MIN_ABS_R} END)"

@@ -19,7 +19,10 @@ HEALTH_WINDOWS = (12, 24, 36)
 
 
 def item_health(sales: DataFrame, *, as_of, item_code: str | None = None, days_threshold: int = 30) -> DataFrame:
-    """H1: per item 12-month basics + coverage (12/24/36) + 12-month pattern + OOS row + channels."""
+    """H1: for every item ever sold 12-month basics + coverage (12/24/36) + 12-month pattern + OOS row + channels.
+
+    An item without a sale in the last year has no description, sales or last date, and no customer.
+    """
     df = sales if item_code is None else sales.filter(F.col("Item_Code") == F.lit(item_code))
     basic = dates.since(df, dates.months_ago(as_of, 12)).groupBy("Item_Code").agg(
         F.max(F.struct("Invoice_Date", "Item_Desc", "Brand")).alias("_last"),
@@ -28,6 +31,9 @@ def item_health(sales: DataFrame, *, as_of, item_code: str | None = None, days_t
         F.max("Invoice_Date").alias("last_sale_date"),
     )
     cov = coverage.coverage_windows(df, as_of=as_of, level="item", entity=None, time_windows=HEALTH_WINDOWS)
+    none = F.array(*[F.struct(F.lit(m).alias("Months"), F.lit(f"{m}M").alias("Time_Window"), F.lit(0).cast("bigint").alias("Coverage_Count"),
+                              F.lit(None).cast("double").alias("Total_Sales"), F.lit(0).cast("bigint").alias("Transaction_Count"))
+                     for m in HEALTH_WINDOWS])
     cov = cov.groupBy("Item_Code").agg(F.array_sort(F.collect_list(F.struct(
         "Months", "Time_Window", "Coverage_Count", "Total_Sales", "Transaction_Count"))).alias("coverage"))
     pat = patterns.item_pattern(df, as_of=as_of, months=12)
@@ -40,18 +46,31 @@ def item_health(sales: DataFrame, *, as_of, item_code: str | None = None, days_t
     ch = stock.channel_oos(df, as_of=as_of, days_threshold=days_threshold)
     ch = ch.groupBy("Item_Code").agg(F.array_sort(F.collect_list(
         F.struct(*[c for c in ch.columns if c != "Item_Code"]))).alias("channel_distribution"))
-    out = basic.join(cov, "Item_Code", "left").join(pat, "Item_Code", "left").join(
+    # The patterns list every item.
+    out = pat.join(basic, "Item_Code", "left").join(cov, "Item_Code", "left").join(
         oos, "Item_Code", "left").join(ch, "Item_Code", "left")
     return out.select(
         F.col("Item_Code").alias("item_code"),
         F.col("_last.Item_Desc").alias("item_desc"),
         F.col("_last.Brand").alias("brand"),
-        "total_sales_12m", "customer_count", "last_sale_date", "coverage", "pattern", "oos_risk",
+        "total_sales_12m", F.coalesce("customer_count", F.lit(0).cast("bigint")).alias("customer_count"), "last_sale_date",
+        F.coalesce("coverage", none).alias("coverage"), "pattern", "oos_risk",
         F.coalesce(F.col("channel_distribution"),
                    F.array().cast(ch.schema["channel_distribution"].dataType)).alias("channel_distribution"),
     )
 
 
+def health_columns(health: DataFrame) -> DataFrame:
+    """The nested health report as one flat row per item: reach per window, pattern, risk and channel counts."""
+    reach = [F.col("coverage")[i]["Coverage_Count"].alias(f"coverage_{m}m") for i, m in enumerate(HEALTH_WINDOWS)]
+    return health.select(
+        "item_code", "item_desc", "brand", "total_sales_12m", "customer_count", "last_sale_date", *reach,
+        F.col("coverage")[2]["Total_Sales"].alias("sales_36m"), "pattern.pattern", "pattern.planning_implication", "pattern.months_present",
+        F.col("oos_risk.OOS_Risk_Level").alias("oos_level"), F.col("oos_risk.Historical_Sales").alias("oos_historical_sales"),
+        F.size("channel_distribution").cast("bigint").alias("channels"),
+        F.size(F.filter("channel_distribution", lambda c: c["OOS_Risk"])).cast("bigint").alias("channels_at_risk"))
+
+
 def supply_chain_parts(sales: DataFrame, *, as_of, brand: str, days_threshold: int = 30) -> dict[str, DataFrame]:
     """H2 detail for one brand: the five lists, each a DataFrame."""
     return {

@@ -106,9 +106,23 @@ def _peaks(top: int = 3) -> Column:
                        lambda e: e["mm"])
 
 
+def _with_silent(found: DataFrame, sales: DataFrame, key: str, defaults: dict) -> DataFrame:
+    """``found`` and a row for every entity of ``sales`` without a month in the window, with ``defaults``."""
+    listed = sales.select(key).filter(F.col(key).isNotNull()).distinct().join(found, key, "left")
+    return listed.select(*[F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in found.columns])
+
+
 def item_pattern(sales: DataFrame, *, as_of, months: int = 12, item_code: str | None = None) -> DataFrame:
-    """Pattern class and metrics per item (positional monthly series over ``months``)."""
+    """Pattern class and metrics for every item (positional monthly series over ``months``); an item
+    without a month in the window has insufficient data."""
     df = sales if item_code is None else sales.filter(F.col("Item_Code") == F.lit(item_code))
+    return _with_silent(_active_patterns(df, as_of=as_of, months=months), df, "Item_Code", {
+        "months_present": 0, "pattern": INSUFFICIENT, "planning_implication": IMPL_INSUFFICIENT, "is_seasonal": False,
+        "has_anomalies": False, "peak_months": ""})
+
+
+def _active_patterns(df: DataFrame, *, as_of, months: int) -> DataFrame:
+    """R1 for the items that have a month in the window."""
     st = _item_sums(monthly(df, as_of=as_of, months=months, keys=["Item_Code"]))
     n = F.col("n")
     m, s = mean(n, F.col("sx")), std_pop(n, F.col("sx"), F.col("sxx"))
@@ -198,7 +212,7 @@ def seasonal_items(sales: DataFrame, *, as_of, brand: str | None = None, min_sal
         base = base.filter(F.col("Brand") == F.lit(brand))
     cand = (base.groupBy("Item_Code", "Item_Desc", "Brand").agg(F.sum("Amount").alias("_total"))
             .filter(F.col("_total") > F.lit(min_sales)))
-    pat = item_pattern(sales, as_of=as_of, months=months).filter(F.col("is_seasonal"))
+    pat = _active_patterns(sales, as_of=as_of, months=months).filter(F.col("is_seasonal"))
     out = cand.join(pat, "Item_Code").select(
         "Item_Code", "Item_Desc", "Brand", money("_total").alias("Total_Sales"),
         F.col("pattern").alias("Pattern"), F.col("peak_months").alias("Peak_Months"),
@@ -241,7 +255,7 @@ def anomalies(sales: DataFrame, *, as_of, brand: str | None = None, months: int
 
 def run_rate_stability(sales: DataFrame, *, as_of, entity: str | None = None, entity_type: str = "Brand",
                        months: int = 12) -> DataFrame:
-    """CV class of the monthly series per entity; mean, std, min, max monthly sales."""
+    """CV class of the monthly series of every entity; mean, std, min, max monthly sales."""
     df = sales.filter(F.col(entity_type).isNotNull())
     if entity is not None:
         df = df.filter(F.col(entity_type) == F.lit(entity))
@@ -258,7 +272,7 @@ def run_rate_stability(sales: DataFrame, *, as_of, entity: str | None = None, en
     for bound, label in reversed(STABILITY_BANDS):
         band = F.when(cv < bound, F.lit(label)).otherwise(band)
     enough = n >= MIN_POINTS
-    return g.select(
+    found = g.select(
         entity_type,
         F.when(enough, band).otherwise(F.lit(INSUFFICIENT)).alias("stability"),
         F.when(enough, round_half_up(cv, 3)).alias("cv"),
@@ -267,6 +281,7 @@ def run_rate_stability(sales: DataFrame, *, as_of, entity: str | None = None, en
         F.when(enough, money("_min")).alias("min_monthly_sales"),
         F.when(enough, money("_max")).alias("max_monthly_sales"),
     )
+    return _with_silent(found, df, entity_type, {"stability": INSUFFICIENT})
 
 
 def overstock_risk(sales: DataFrame, *, as_of, days_threshold: int = 90) -> DataFrame:

@@ -73,7 +73,7 @@ def sales_vs_target_3key(t: Tables, *, year: int) -> DataFrame:
     keys = ["Brand", "Salesman", "Month_and_Year"]
     s = (t.sales_summary.filter(F.col("Year") == F.lit(year)).groupBy(*keys)
          .agg(F.sum("Total_Amount").alias("_a"), F.count(F.lit(1)).alias("_ns")))
-    tt = t.target_summary.groupBy(*keys).agg(F.sum("Total_Target").alias("_t"), F.count(F.lit(1)).alias("_nt"))
+    tt = t.target_summary.filter(F.col("Year") == F.lit(year)).groupBy(*keys).agg(F.sum("Total_Target").alias("_t"), F.count(F.lit(1)).alias("_nt"))
     j = s.join(tt, keys, "left")
     g = j.groupBy("Brand").agg(
         F.sum(F.col("_a") * F.coalesce(F.col("_nt"), F.lit(1))).alias("_sales"),
@@ -197,11 +197,11 @@ def bonus_dependency(sales: DataFrame, *, year1: int, year2: int) -> DataFrame:
 
 
 def decline_contributors(sales: DataFrame, *, brand: str | None, year1: int, year2: int) -> DataFrame:
-    """Top contributors to a decline: the brand report's dimension breakdowns, focus 'declining'."""
+    """Top contributors to a decline: the members that fell, in the brand report's dimension breakdowns."""
     parts = []
     for part in ("group", "item", "customer", "emirate", "salesman", "channel"):
         d = growth.CONTRIBUTION_SPECS[part][0]
-        c = growth.contribution_by(sales, part, brand=brand, year1=year1, year2=year2, focus="declining")
+        c = growth.contribution_by(sales, part, brand=brand, year1=year1, year2=year2, focus="declining").filter(F.col("Variance") < 0)
         parts.append(c.select(*([] if brand else ["Brand"]), F.lit(d).alias("Dimension"),
                               F.col(d).alias("Member"), "Sales_y1", "Sales_y2", "Variance", "Growth_Pct"))
     out = parts[0]

@@ -196,7 +196,7 @@ def multi_account_oos(sales: DataFrame, *, as_of, brand: str | None = None, min_
 
 
 def oos_impact(sales: DataFrame, *, as_of, oos_days: int = 30, item_code: str | None = None) -> DataFrame:
-    """Mean (day, customer) sales x days, affected customers, 12-month sales, per item."""
+    """Mean (day, customer) sales x days, affected customers, 12-month sales, for every item ever sold."""
     c12 = dates.months_ago(as_of, 12)
     df = sales if item_code is None else sales.filter(F.col("Item_Code") == F.lit(item_code))
     daily = (
@@ -204,8 +204,12 @@ def oos_impact(sales: DataFrame, *, as_of, oos_days: int = 30, item_code: str |
         .groupBy("Item_Code", "Invoice_Date", "Customer_Name")
         .agg(F.sum("Amount").alias("daily_sales"))
     )
-    return daily.groupBy("Item_Code").agg(
+    figures = daily.groupBy("Item_Code").agg(
         (avg_of(F.col("daily_sales")) * F.lit(float(oos_days))).alias("Estimated_Lost_Sales"),
         F.countDistinct("Customer_Name").alias("Affected_Customers"),
         money(F.sum("daily_sales")).alias("Annual_Sales"),
     )
+    # Items silent for a year are the ones in question: they stay, without an estimate.
+    items = df.select("Item_Code").distinct()
+    return items.join(figures, "Item_Code", "left").withColumn(
+        "Affected_Customers", F.coalesce("Affected_Customers", F.lit(0).cast("bigint")))

@@ -22,7 +22,8 @@ def _joined(t: Tables, year: int, *, dedup_targets: bool = False, filters: dict
     ss = t.sales_summary.filter(F.col("Year") == F.lit(year))
     for col, val in (filters or {}).items():
         ss = optional_eq(ss, col, val)
-    ts = t.target_summary.select(*TARGET_JOIN_KEYS, "Total_Target")
+    # Month labels are a join key and end with their year, so only that year's targets can match.
+    ts = t.target_summary.filter(F.col("Year") == F.lit(year)).select(*TARGET_JOIN_KEYS, "Total_Target")
     if not dedup_targets:
         return ss.join(ts, TARGET_JOIN_KEYS, "left")
     # Each 4-key target once: summed per key, credited to one summary row of that key (the first

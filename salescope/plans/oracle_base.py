@@ -43,7 +43,7 @@ target AS (
          CAST(CAST((CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)
                      * (40 + (7 * o_orderkey + 13 * l_linenumber) % 200) + 50) // 100 AS DECIMAL(18,0))
               * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS Target
-  FROM star WHERE o_orderkey % 6 <> 0
+  FROM star
 ),
 sales_summary AS (
   SELECT "Year", Month_and_Year, Month_and_Year_Sort, Brand, Salesman, Manager, GM, Emirate, Channel, Customer_Name,

@@ -31,22 +31,14 @@ UNION ALL
 SELECT 'Company' AS Type, * FROM ({company_windows()}) c
 """
 
+# A member is lost if some purchase lies in the second year back and none is younger.
 COVERAGE_LOSS = f"""
-WITH Recent AS (
-  SELECT DISTINCT Brand, Customer_Name FROM sales WHERE Invoice_Date >= {M[12]}
-), Historical AS (
-  SELECT DISTINCT Brand, Customer_Name FROM sales WHERE Invoice_Date >= {M[24]} AND Invoice_Date < {M[12]}
-)
-SELECT h.Brand, h.Customer_Name, MAX(s.Invoice_Date) AS Last_Purchase_Date, {dbl('SUM(s.Amount)')} AS Historical_Sales,
-       {big('SUM(s.Regular_Qty)')} AS Historical_Qty, COUNT(DISTINCT s.Invoice_No) AS Historical_Transactions,
-       COUNT(DISTINCT s.Item_Code) AS Items_Bought,
-       CAST(date_diff('day', MAX(s.Invoice_Date), {AS_OF_SQL}) AS INTEGER) AS Days_Since_Last_Purchase
-FROM Historical h
-LEFT JOIN Recent r ON h.Customer_Name = r.Customer_Name AND h.Brand = r.Brand
-JOIN sales s ON h.Customer_Name = s.Customer_Name AND s.Brand = h.Brand
-WHERE r.Customer_Name IS NULL
-GROUP BY h.Brand, h.Customer_Name
-ORDER BY h.Brand, Historical_Sales DESC
+SELECT Brand, Customer_Name, max(Invoice_Date) AS Last_Purchase_Date, {dbl('sum(Amount)')} AS Historical_Sales,
+       {big('sum(Regular_Qty)')} AS Historical_Qty, count(DISTINCT Invoice_No) AS Historical_Transactions,
+       count(DISTINCT Item_Code) AS Items_Bought, CAST({AS_OF_SQL} - max(Invoice_Date) AS INTEGER) AS Days_Since_Last_Purchase
+FROM sales WHERE Brand IS NOT NULL AND Customer_Name IS NOT NULL
+GROUP BY Brand, Customer_Name
+HAVING max(Invoice_Date) < {M[12]} AND max(Invoice_Date) >= {M[24]}
 """
 
 COMPARISON = f"""
@@ -59,21 +51,13 @@ FROM (
   FROM sales WHERE Brand IN ('{BRAND}', '{BRAND2}') AND Invoice_Date >= {M[12]}) x
 """
 
+# From each member's first and last date of the two years: both in this year, both in the year before, or one in each.
 NEW_LOST_RETAINED = f"""
-WITH Cur AS (
-  SELECT DISTINCT Brand, Customer_Name FROM sales WHERE Invoice_Date >= {M[12]} AND Customer_Name IS NOT NULL
-), Prev AS (
-  SELECT DISTINCT Brand, Customer_Name FROM sales
-  WHERE Invoice_Date >= {M[24]} AND Invoice_Date < {M[12]} AND Customer_Name IS NOT NULL
-), B AS (SELECT DISTINCT Brand FROM sales WHERE Invoice_Date >= {M[24]} AND Brand IS NOT NULL)
-SELECT B.Brand,
-  (SELECT COUNT(*) FROM Cur c LEFT JOIN Prev p ON c.Customer_Name = p.Customer_Name AND c.Brand = p.Brand
-   WHERE c.Brand = B.Brand AND p.Customer_Name IS NULL) AS New_Customers,
-  (SELECT COUNT(*) FROM Prev p LEFT JOIN Cur c ON p.Customer_Name = c.Customer_Name AND p.Brand = c.Brand
-   WHERE p.Brand = B.Brand AND c.Customer_Name IS NULL) AS Lost_Customers,
-  (SELECT COUNT(*) FROM Cur c JOIN Prev p ON c.Customer_Name = p.Customer_Name AND c.Brand = p.Brand
-   WHERE c.Brand = B.Brand) AS Retained_Customers
-FROM B
+SELECT Brand, count_if(first_day >= {M[12]}) AS New_Customers, count_if(last_day < {M[12]}) AS Lost_Customers,
+       count_if(first_day < {M[12]} AND last_day >= {M[12]}) AS Retained_Customers
+FROM (SELECT Brand, Customer_Name, min(Invoice_Date) AS first_day, max(Invoice_Date) AS last_day
+      FROM sales WHERE Invoice_Date >= {M[24]} AND Brand IS NOT NULL AND Customer_Name IS NOT NULL GROUP BY ALL)
+GROUP BY Brand
 """
 
 ORACLES = {

@@ -144,7 +144,7 @@ FROM ({pivot('Item_Desc', where=f"AND Brand = '{BRAND}'")}) g WHERE {cond}
 
 DECLINE_CONTRIBUTORS = "\nUNION ALL\n".join(
     f"""SELECT Brand, '{d}' AS Dimension, "{d}" AS Member, Sales_y1, Sales_y2, Variance, Growth_Pct
-FROM ({contribution(d, lim, de, 'ASC')}) c{i}"""
+FROM ({contribution(d, lim, de, 'ASC')}) c{i} WHERE Variance < 0"""
     for i, (d, lim, de) in enumerate(SPECS[p] for p in ("group", "item", "customer", "emirate", "salesman", "channel")))
 
 M12, M24 = months_ago(12), months_ago(24)

@@ -1,7 +1,9 @@
 """DuckDB oracle text for the supply-chain dashboard counts."""
 
-from salescope.plans.oracle_base import days_ago, months_ago
+from salescope.plans.oracle_base import dbl, days_ago, months_ago
+from salescope.plans.oracle_coverage import brand_windows
 from salescope.plans.oracle_patterns import item_pattern
+from salescope.plans.oracle_stock import CHANNEL_OOS, OOS_ITEMS
 from salescope.plans.params import BRAND
 
 D30, M12, M24 = days_ago(30), months_ago(12), months_ago(24)
@@ -11,24 +13,17 @@ def parts(brand_pred: str) -> dict[str, str]:
     b = f"AND {brand_pred}" if brand_pred else ""
     return {
         "oos_items": f"""
-WITH R AS (SELECT Item_Code, Item_Desc, Brand, SUM(Amount) AS rs FROM sales WHERE Invoice_Date >= {D30} {b}
-           GROUP BY Item_Code, Item_Desc, Brand),
-H AS (SELECT Item_Code, Item_Desc, Brand, CAST(SUM(Amount) AS DOUBLE) / COUNT(Amount) AS av FROM sales
-      WHERE Invoice_Date >= {M12} AND Invoice_Date < {D30} {b} GROUP BY Item_Code, Item_Desc, Brand
-      HAVING SUM(Amount) > 10000)
-SELECT h.Brand FROM H h LEFT JOIN R r ON h.Item_Code = r.Item_Code AND h.Brand = r.Brand
-WHERE COALESCE(CAST(r.rs AS DOUBLE), 0.0) < h.av * 0.3""",
+WITH early AS (SELECT Item_Code, Item_Desc, Brand, CAST(sum(Amount) AS DOUBLE) / count(Amount) AS mean_line FROM sales
+               WHERE Invoice_Date >= {M12} AND Invoice_Date < {D30} {b} GROUP BY ALL HAVING sum(Amount) > 10000),
+late AS (SELECT Item_Code, Item_Desc, Brand, {dbl('sum(Amount)')} AS total FROM sales WHERE Invoice_Date >= {D30} {b} GROUP BY ALL)
+SELECT early.Brand FROM early LEFT JOIN late USING (Item_Code, Brand) WHERE coalesce(total, 0.0) < mean_line * 0.3""",
         "supply_issues": f"""
-WITH SA AS (SELECT Item_Code, Item_Desc, Brand, Customer_Name FROM sales WHERE Invoice_Date >= {M12} {b}
-            GROUP BY Item_Code, Item_Desc, Brand, Customer_Name HAVING MAX(Invoice_Date) < {D30})
-SELECT sa.Brand FROM SA sa
-JOIN sales s ON sa.Item_Code = s.Item_Code AND sa.Customer_Name = s.Customer_Name AND s.Invoice_Date >= {M12}
-GROUP BY sa.Item_Code, sa.Item_Desc, sa.Brand HAVING COUNT(DISTINCT sa.Customer_Name) >= 5""",
+SELECT Brand FROM (SELECT Item_Code, Item_Desc, Brand, Customer_Name, max(Invoice_Date) AS latest FROM sales
+                   WHERE Invoice_Date >= {M12} {b} GROUP BY ALL)
+WHERE latest < {D30} GROUP BY Item_Code, Item_Desc, Brand HAVING count(Customer_Name) >= 5""",
         "coverage_loss": f"""
-WITH Rc AS (SELECT DISTINCT Brand, Customer_Name FROM sales WHERE Invoice_Date >= {M12} {b}),
-Hi AS (SELECT DISTINCT Brand, Customer_Name FROM sales WHERE Invoice_Date >= {M24} AND Invoice_Date < {M12} {b})
-SELECT h.Brand FROM Hi h LEFT JOIN Rc r ON h.Brand = r.Brand AND h.Customer_Name = r.Customer_Name
-WHERE r.Customer_Name IS NULL AND h.Customer_Name IS NOT NULL""",
+SELECT Brand FROM sales WHERE Customer_Name IS NOT NULL {b} GROUP BY Brand, Customer_Name
+HAVING max(Invoice_Date) < {M12} AND max(Invoice_Date) >= {M24}""",
         "seasonal_items": f"""
 WITH cand AS (SELECT Item_Code, Item_Desc, Brand FROM sales WHERE Invoice_Date >= {M24} {b}
               GROUP BY Item_Code, Item_Desc, Brand HAVING SUM(Amount) > 50000),
@@ -63,7 +58,25 @@ SELECT B.Brand AS brand, {cols} FROM B {joins}
 ALL = ("oos_items", "supply_issues", "coverage_loss", "seasonal_items", "anomalies")
 CARDS = ("oos_items", "supply_issues", "coverage_loss", "seasonal_items")
 
+ITEM_HEALTH = f"""
+WITH year_of AS (
+  SELECT Item_Code, max(struct_pack(day := Invoice_Date, item := Item_Desc, brand := Brand)) AS newest, {dbl('sum(Amount)')} AS total,
+         count(DISTINCT Customer_Name) AS customers FROM sales WHERE Invoice_Date >= {M12} GROUP BY Item_Code
+), reach AS ({brand_windows("Item_Code", (12, 24, 36))}),
+pattern_of AS ({item_pattern(M12)}),
+risk AS (FROM ({OOS_ITEMS}) QUALIFY row_number() OVER (PARTITION BY Item_Code ORDER BY Historical_Sales DESC, Item_Desc) = 1),
+channel AS (SELECT Item_Code, count(*) AS n, count_if(OOS_Risk) AS at_risk FROM ({CHANNEL_OOS}) GROUP BY Item_Code),
+wide AS (SELECT Item_Code, max(Coverage_Count) FILTER (Months = 12) AS c12, max(Coverage_Count) FILTER (Months = 24) AS c24,
+                max(Coverage_Count) FILTER (Months = 36) AS c36, max(Total_Sales) FILTER (Months = 36) AS s36 FROM reach GROUP BY Item_Code)
+SELECT p.Item_Code AS item_code, newest.item AS item_desc, newest.brand AS brand, total AS total_sales_12m, coalesce(customers, 0) AS customer_count,
+       newest.day AS last_sale_date, coalesce(c12, 0) AS coverage_12m, coalesce(c24, 0) AS coverage_24m, coalesce(c36, 0) AS coverage_36m, s36 AS sales_36m,
+       p.pattern, p.planning_implication, p.months_present, risk.OOS_Risk_Level AS oos_level, risk.Historical_Sales AS oos_historical_sales,
+       coalesce(n, 0) AS channels, CAST(coalesce(at_risk, 0) AS BIGINT) AS channels_at_risk
+FROM pattern_of p LEFT JOIN year_of USING (Item_Code) LEFT JOIN wide USING (Item_Code) LEFT JOIN risk USING (Item_Code) LEFT JOIN channel USING (Item_Code)
+"""
+
 ORACLES = {
+    "item_health": ITEM_HEALTH,
     "supply_chain_dashboard": dashboard("", ALL),
     "dashboard_counts": dashboard(f"Brand = '{BRAND}'", CARDS),
 }

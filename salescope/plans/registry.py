@@ -55,7 +55,7 @@ register("oos_impact")(lambda t, s, d: stock.oos_impact(t.sales, as_of=P.AS_OF,
 register("sales_summary")(lambda t, s, d: t.sales_summary.select(
     *[c for c in t.sales_summary.columns if c not in ("Total_Amount",)],
     t.sales_summary.Total_Amount.cast("double").alias("Total_Amount")))
-register("target_summary")(lambda t, s, d: t.target_summary.withColumn(
+register("target_summary")(lambda t, s, d: t.target_summary.drop("Year").withColumn(
     "Total_Target", t.target_summary.Total_Target.cast("double")))
 register("load_audit_years")(lambda t, s, d: catalog.rows_per_year(t.sales))
 register("load_audit_top_brands")(lambda t, s, d: catalog.top_brands_by_rows(t.sales, 5))
@@ -176,7 +176,7 @@ register("gm_scatter")(lambda t, s, d: reports.gm_scatter(_gp(t)))
 register("salesman_scatter")(lambda t, s, d: reports.salesman_scatter(_sp(t)))
 
 # ---- integrated reports -------------------------------------------------------------------------
-register("item_health")(lambda t, s, d: integrated.item_health(t.sales, as_of=P.AS_OF))
+register("item_health")(lambda t, s, d: integrated.health_columns(integrated.item_health(t.sales, as_of=P.AS_OF)))
 register("supply_chain_dashboard")(lambda t, s, d: integrated.supply_chain_dashboard(t.sales, as_of=P.AS_OF))
 register("dashboard_counts")(lambda t, s, d: integrated.supply_chain_dashboard(
     t.sales, as_of=P.AS_OF, brand=P.BRAND, cards=("oos_items", "supply_issues", "coverage_loss", "seasonal_items")))

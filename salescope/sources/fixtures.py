@@ -78,10 +78,8 @@ def sales_from_star(base: DataFrame) -> DataFrame:
     )
 
 
-# Fixed values of the target fixture: orders whose key is a multiple of TARGET_SKIP_MOD carry no
-# target (so accounts without target exist), and the target is Amount * (40 + (7*orderkey +
-# 13*linenumber) % 200) / 100.
-TARGET_SKIP_MOD = 6
+# Fixed value of the target fixture: the target of a line is Amount * (40 + (7*orderkey +
+# 13*linenumber) % 200) / 100. Every order has one.
 
 
 def target_from_star(base: DataFrame) -> DataFrame:
@@ -92,7 +90,7 @@ def target_from_star(base: DataFrame) -> DataFrame:
         "(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)"
         " * (40 + (7 * o_orderkey + 13 * l_linenumber) % 200) + 50) div 100")
     target = (target_cents.cast("decimal(18,0)") * F.lit(0.01).cast("decimal(3,2)")).cast(MONEY)
-    return base.filter(F.col("o_orderkey") % TARGET_SKIP_MOD != 0).select(
+    return base.select(
         *_dims(d),
         F.col("p_brand").alias("Brand"),
         F.col("s_name").alias("Salesman"),

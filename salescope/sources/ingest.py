@@ -81,7 +81,7 @@ def write_tables(t: Tables, root: str, *, mode: str = "overwrite") -> None:
     sales = spark.read.parquet(f"{root}/sales")
     target = spark.read.parquet(f"{root}/target")
     marts.sales_summary(sales).write.mode("overwrite").partitionBy("Year").parquet(f"{root}/sales_summary")
-    marts.target_summary(target).write.mode("overwrite").parquet(f"{root}/target_summary")
+    marts.target_summary(target).write.mode("overwrite").partitionBy("Year").parquet(f"{root}/target_summary")
 
 
 _SAFE = re.compile(r"^[A-Za-z0-9_\-./:]+$")

@@ -1,7 +1,8 @@
 """Pre-aggregated marts (the reference's summary tables), built once and written by the caller.
 
 ``sales_summary``: 10 keys -> Total_Amount, Total_Qty, Total_Bonus, Transaction_Count (line count).
-``target_summary``: 9 keys -> Total_Target. Both are plain ``groupBy().agg()`` jobs: partial
+``target_summary``: 9 keys -> Total_Target, and the Year its month label ends with, by which it is
+stored and pruned. Both are plain ``groupBy().agg()`` jobs: partial
 aggregation map-side, one shuffle on the keys.
 """
 
@@ -23,4 +24,5 @@ def sales_summary(sales: DataFrame) -> DataFrame:
 
 
 def target_summary(target: DataFrame) -> DataFrame:
-    return target.groupBy(*TARGET_SUMMARY_KEYS).agg(F.sum("Target").alias("Total_Target"))
+    summed = target.groupBy(*TARGET_SUMMARY_KEYS).agg(F.sum("Target").alias("Total_Target"))
+    return summed.withColumn("Year", F.expr("try_cast(right(Month_and_Year, 4) AS INT)"))

@@ -33,7 +33,8 @@ class Tables:
     def register(self, spark: SparkSession) -> "Tables":
         """Expose the four tables as temp views for the SQL surface."""
         for name in TABLE_NAMES:
-            getattr(self, name).createOrReplaceTempView(name)
+            view = getattr(self, name)
+            (view.drop("Year") if name == "target_summary" else view).createOrReplaceTempView(name)
         return self
 
 
