@@ -73,8 +73,10 @@ AUTO_TYPE_RULES = [
 ]
 DEFAULT_YEARS = (2024, 2025)
 DEFAULT_DAYS = 30
-YEAR_PATTERN = r"20[0-9]{2}"
-DAYS_PATTERN = r"([0-9]+)[ \t\n\x0B\f\r]*days?"
+# Years and day counts in a question. The (?U) flag gives \s and \d their Unicode meaning.
+YEAR_PATTERN = r"20\d{2}"
+DAYS_PATTERN = r"(?U)(\d+)\s*days?"
+UNREADABLE_DAYS = -1  # a day count beyond 64 bits
 QUOTED_PATTERN = r'"([^"]*)"'
 CODE_PATTERN = (r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
                 r"[A-Za-z0-9]+-[A-Za-z0-9-]+"
@@ -127,9 +129,10 @@ def years() -> tuple[Column, Column]:
 
 
 def days() -> Column:
-    """First 'N day(s)' in the question, default 30 (digits beyond BIGINT give NULL)."""
+    """First 'N day(s)' in the question, default 30; ``UNREADABLE_DAYS`` where the number is no BIGINT."""
     raw = F.regexp_extract(lower_q(), DAYS_PATTERN, 1)
-    return F.when(raw == "", F.lit(DEFAULT_DAYS).cast("bigint")).otherwise(raw.try_cast("bigint"))
+    return F.when(raw == "", F.lit(DEFAULT_DAYS).cast("bigint")).otherwise(
+        F.coalesce(raw.try_cast("bigint"), F.lit(UNREADABLE_DAYS).cast("bigint")))
 
 
 def is_classification() -> Column:
@@ -173,23 +176,23 @@ def _dictionary_hits(questions: DataFrame, keys: list[str], dictionary: DataFram
     """(keys, Brand, _len) for every dictionary entry found in the lower-cased question."""
     lengths = dictionary.select("_len").distinct()
     q = questions.select(*keys, lower_q().alias("_ql"))
-    q = q.crossJoin(F.broadcast(lengths))  # questions x distinct lengths (a handful of rows)
+    q = q.join(lengths, F.length("_ql") >= F.col("_len"))  # one row for each of the few lengths that names have
     ql, ln = F.col("_ql"), F.col("_len")
-    starts = F.when(F.length(ql) >= ln, F.sequence(F.lit(0), F.length(ql) - ln)).otherwise(
-        F.array().cast("array<int>"))
-    cand = q.select(*keys, "_ql", "_len", F.explode(starts).alias("_s"))
-    s = F.col("_s")
-    cand = cand.select(
-        *keys, "_len",
-        ql.substr((s + 1).cast("int"), ln.cast("int")).alias("_key"),
-        ql.substr(s.cast("int"), F.when(s > 0, F.lit(1)).otherwise(F.lit(0))).alias("_prev"),  # char before
-        ql.substr((s + ln + 1).cast("int"), F.lit(1)).alias("_next"),  # char after ('' at the end)
-    )
+
+    def at(s: Column) -> Column:
+        return F.struct(
+            ql.substr((s + 1).cast("int"), ln.cast("int")).alias("_key"),
+            ql.substr(s.cast("int"), F.when(s > 0, F.lit(1)).otherwise(F.lit(0))).alias("_prev"),  # char before
+            ql.substr((s + ln + 1).cast("int"), F.lit(1)).alias("_next"))  # char after ('' at the end)
+
+    # Only the candidates are exploded, not the question beside each of them; for whole words only those at boundaries.
+    found = F.transform(F.sequence(F.lit(0), F.length(ql) - ln), at)
+    if whole_word:
+        found = F.filter(found, lambda c: is_word_char(c["_prev"]) != is_word_char(F.substring(c["_key"], 1, 1)))
+    cand = q.select(*keys, "_len", F.explode(found).alias("_c")).select(*keys, "_len", "_c.*")
     hits = cand.join(dictionary, ["_len", "_key"])
     if whole_word:  # word boundary at both ends, tested on the matches only
-        first, last = F.substring("_key", 1, 1), F.expr("substring(_key, -1, 1)")
-        hits = hits.filter((is_word_char(F.col("_prev")) != is_word_char(first))
-                           & (is_word_char(last) != is_word_char(F.col("_next"))))
+        hits = hits.filter(is_word_char(F.expr("substring(_key, -1, 1)")) != is_word_char(F.col("_next")))
     return hits.select(*keys, "Brand", "_len").distinct()
 
 
@@ -231,8 +234,8 @@ def detect_item(questions: DataFrame, sales: DataFrame, keys: list[str]) -> Data
     substring, then dashed codes in the question; first hit in that order; the smallest matching
     Item_Code stands in for the reference's unordered ``LIMIT 1``.
 
-    Substring matches join on the quoted text's first 5 characters against every 5-character
-    window of the descriptions, then verify containment (exact, no question x item product).
+    A quoted text without an exact match is looked up as a substring through its rarest 5-character window among
+    the descriptions, so that the words all descriptions share bring no pairs; containment is then verified.
     """
     items = item_dictionary(sales)
     quoted = questions.select(*keys, F.posexplode(F.regexp_extract_all(F.col(Q), F.lit(QUOTED_PATTERN), F.lit(1)))
@@ -241,15 +244,22 @@ def detect_item(questions: DataFrame, sales: DataFrame, keys: list[str]) -> Data
     by_desc = quoted.join(items.select("Item_Code", F.col("Item_Desc").alias("_q")), "_q")
     exact = by_code.unionByName(by_desc).select(*keys, F.lit(0).alias("_src"), "_pos", F.lit(0).alias("_kind"),
                                                 "Item_Code")
-    long_q = quoted.filter(F.length("_q") >= SUBSTRING_MIN_LEN).withColumn(
-        "_g", F.lower(F.substring("_q", 1, SUBSTRING_MIN_LEN)))
+    open_q = quoted.filter(F.length("_q") >= SUBSTRING_MIN_LEN).join(exact.select(*keys, "_pos").distinct(), [*keys, "_pos"], "left_anti")
+
+    def windows(text: str) -> Column:
+        return F.when(F.length(text) >= SUBSTRING_MIN_LEN, F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.length(text) - SUBSTRING_MIN_LEN + 1), lambda i: F.col(text).substr(i, F.lit(SUBSTRING_MIN_LEN)))))
+
     d = items.select("Item_Code", F.lower("Item_Desc").alias("_dl"))
-    windows = F.when(F.length("_dl") >= SUBSTRING_MIN_LEN,
-                     F.sequence(F.lit(1), F.length("_dl") - SUBSTRING_MIN_LEN + 1)).otherwise(F.array().cast("array<int>"))
-    grams = d.select("Item_Code", "_dl", F.explode(windows).alias("_i"))
-    grams = grams.select("Item_Code", "_dl", F.col("_dl").substr(F.col("_i"), F.lit(SUBSTRING_MIN_LEN)).alias("_g"))
-    sub = (long_q.join(grams, "_g").filter(F.col("_dl").contains(F.lower("_q")))
-           .select(*keys, F.lit(0).alias("_src"), "_pos", F.lit(1).alias("_kind"), "Item_Code"))
+    grams = d.select("Item_Code", "_dl", F.explode(windows("_dl")).alias("_g"))
+    counts = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    seeds = open_q.select(F.lower("_q").alias("_ql")).distinct()
+    seeds = seeds.select("_ql", F.explode(windows("_ql")).alias("_g")).join(counts, "_g", "left")
+    rarest = seeds.groupBy("_ql").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_m")).filter("_m.n > 0")
+    contained = (rarest.select("_ql", F.col("_m._g").alias("_g")).join(grams, "_g").filter(F.col("_dl").contains(F.col("_ql")))
+                 .groupBy("_ql").agg(F.min("Item_Code").alias("Item_Code")))
+    sub = open_q.withColumn("_ql", F.lower("_q")).join(contained, "_ql").select(
+        *keys, F.lit(0).alias("_src"), "_pos", F.lit(1).alias("_kind"), "Item_Code")
     codes = questions.select(*keys, F.posexplode(F.regexp_extract_all(F.col(Q), F.lit(CODE_PATTERN), F.lit(0)))
                              .alias("_pos", "_q"))
     by_dash = codes.join(items.select("Item_Code", F.col("Item_Code").alias("_q")).distinct(), "_q").select(
@@ -259,17 +269,24 @@ def detect_item(questions: DataFrame, sales: DataFrame, keys: list[str]) -> Data
     return questions.select(*keys).join(best, keys, "left").select(*keys, F.col("_m.Item_Code").alias("Item_Code"))
 
 
+PATTERN_MONTHS = 24  # window of the pattern routes
+MASK_BRANDS = {"BAYER_MASK": "Bayer"}  # fixed value: brand families that are found by Brand_Mask
+
+
 def route(questions: DataFrame, sales: DataFrame, keys: list[str]) -> DataFrame:
-    """N11 (+N12): the operator a question is routed to, with its brand, item and day arguments.
+    """N11 (+N12): the operator a question is routed to, with its arguments.
 
-    Pattern questions route in the intended order overstock -> brand -> item -> all.
+    Pattern questions route in the intended order overstock -> brand -> item -> all. A question without an intent
+    that asks for an analysis and names a brand goes to the brand's two-year analysis, any other to SQL. A brand family
+    has its mask in ``Route_Mask``.
     """
     tags = tag_rules(questions)
     j = tags.join(detect_brand(questions, sales, keys), keys, "left").join(detect_item(questions, sales, keys), keys,
                                                                             "left")
     it, b, i = F.col("Intent"), F.col("Brand"), F.col("Item_Code")
     has_b, has_i = b.isNotNull(), i.isNotNull()
-    r = (F.when(it.isNull(), F.lit("sql"))
+    deep = (F.col("Needs_Analysis") | F.col("Decline_Analysis")) & has_b
+    r = (F.when(it.isNull(), F.when(deep, F.lit("brand_analysis")).otherwise(F.lit("sql")))
          .when(it == "coverage", F.when(has_b, F.lit("coverage_windows:brand")).otherwise(F.lit("coverage_windows:company")))
          .when(it == "coverage_loss", F.when(has_i, F.lit("coverage_loss:item"))
                .when(has_b, F.lit("coverage_loss:brand+new_lost_retained")).otherwise(F.lit("needs_entity")))
@@ -280,5 +297,9 @@ def route(questions: DataFrame, sales: DataFrame, keys: list[str]) -> DataFrame:
                .when(has_b, F.lit("seasonal_items:brand+anomalies")).when(has_i, F.lit("item_pattern"))
                .otherwise(F.lit("seasonal_items:all")))
          .when(it == "supply_chain", F.when(has_b, F.lit("supply_chain_dashboard")).otherwise(F.lit("needs_brand"))))
-    return j.select(*keys, "Intent", r.alias("Route"), b.alias("Route_Brand"), i.alias("Route_Item"),
-                    F.col("Days").alias("Route_Days"), "Overstock_Route")
+    mask = F.lit(None).cast("string")
+    for name, text in MASK_BRANDS.items():
+        mask = F.when(b == name, F.lit(text)).otherwise(mask)
+    return j.select(*keys, "Intent", r.alias("Route"), F.when(~b.isin(*MASK_BRANDS), b).alias("Route_Brand"), mask.alias("Route_Mask"),
+                    i.alias("Route_Item"), F.col("Days").alias("Route_Days"), F.when(it == "pattern", F.lit(PATTERN_MONTHS)).alias("Route_Months"),
+                    "Year1", "Year2", "Focus", "Overstock_Route")

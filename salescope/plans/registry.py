@@ -14,7 +14,7 @@ from salescope.operators import (coverage, growth, integrated, patterns, questio
                                  targets)
 from salescope.plans import params as P
 from salescope.sources import catalog
-from salescope.sources.fixtures import read_table
+from salescope.sources.questions import questions_table
 from salescope.sources.tables import Tables, star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,12 +183,12 @@ register("dashboard_counts")(lambda t, s, d: integrated.supply_chain_dashboard(
 register("coverage_windows_item")(lambda t, s, d: coverage.coverage_windows(
     t.sales, as_of=P.AS_OF, level="item", time_windows=(12, 24, 36)))
 
-# ---- question tagging over the user turns of the conversations table ---------------------------
-_QK = ["conv_id", "turn"]
+# ---- question tagging over templates crossed with every brand and item, and the conversations' user turns ------
+_QK = ["qid"]
 
 
 def _questions(s, d):
-    return questions.questions_from_conversations(read_table(s, d, "conversations"))
+    return questions_table(s, d)
 
 
 def _tag(col: str):

@@ -77,12 +77,12 @@ def test_substring_keywords_are_literal(spark):
 
 def test_years_and_days(spark):
     texts = ["2024 vs 2025", "sales in 2023", "no year", "2025 then 2021 and 2025", "last 60 days", "90day view",
-             "99999999999999999999999 days"]
+             "99999999999999999999999 days", "in 45\u00a0days"]
     df = N.tag_rules(qdf(spark, texts))
     y = {r["qid"]: (r["Year1"], r["Year2"], r["Days"]) for r in df.collect()}
     assert y[0][:2] == (2024, 2025) and y[1][:2] == (2022, 2023) and y[2][:2] == (2024, 2025)
     assert y[3][:2] == (2021, 2025)
-    assert (y[4][2], y[5][2], y[0][2], y[6][2]) == (60, 90, 30, None)
+    assert (y[4][2], y[5][2], y[0][2], y[6][2]) == (60, 90, 30, N.UNREADABLE_DAYS) and y[7][2] == 45
 
 
 def _brute_brand(q):
@@ -159,6 +159,8 @@ ROUTE_CASES = [
     ("What is our coverage?", "coverage_windows:company"),
     ("no sales for DUP in 60 days", "oos_items:brand+multi_account_oos"),
     ("total sales by year", "sql"),
+    ("Why is DUP declining?", "brand_analysis"),
+    ("Coverage for bayer", "coverage_windows:brand"),
 ]
 
 
