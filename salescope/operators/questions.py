@@ -174,9 +174,10 @@ def _alias_expr(aliases: list[tuple[str, str]]) -> Column:
 
 def _dictionary_hits(questions: DataFrame, keys: list[str], dictionary: DataFrame, *, whole_word: bool) -> DataFrame:
     """(keys, Brand, _len) for every dictionary entry found in the lower-cased question."""
-    lengths = dictionary.select("_len").distinct()
+    lengths = dictionary.agg(F.collect_set("_len").alias("_lens"))  # one row, no longer than the longest name
     q = questions.select(*keys, lower_q().alias("_ql"))
-    q = q.join(lengths, F.length("_ql") >= F.col("_len"))  # one row for each of the few lengths that names have
+    q = q.crossJoin(F.broadcast(lengths))
+    q = q.select(*keys, "_ql", F.explode(F.filter("_lens", lambda n: n <= F.length("_ql"))).alias("_len"))
     ql, ln = F.col("_ql"), F.col("_len")
 
     def at(s: Column) -> Column:

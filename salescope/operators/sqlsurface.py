@@ -123,7 +123,7 @@ def adhoc_sql(spark: SparkSession, t: Tables, sql: str, args: dict | None = None
     """Q8: a user's SELECT over the four views (SRC5); raises the error text on failure."""
     from salescope.sources.catalog import execute_query
 
-    df, err = execute_query(spark, t, sql, args)
+    df, err = execute_query(spark, t, sql, args, run=False)
     if err is not None:
         raise ValueError(err)
     return df

@@ -1,41 +1,63 @@
 """SQL surface and catalog helpers (SRC5, SRC9-SRC11, SRC13).
 
-``execute_query`` runs any SQL over the registered four tables and returns ``(df, error)``
-like the reference: the error text of an analysis failure instead of an exception.
+``execute_query`` runs one SELECT over the four tables and returns ``(df, error)``: the text of an
+error, whether of planning or of running, instead of an exception.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException, ParseException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salescope.functions.expr import dim, not_blank
+from salescope.session import checkpoint_dir
 from salescope.sources.tables import TABLE_NAMES, Tables
 
 
-def execute_query(spark: SparkSession, tables: Tables, sql: str, args: dict | None = None):
-    """SRC5: plan ``sql`` over the four views; ``(DataFrame, None)`` or ``(None, message)``.
+def execute_query(spark: SparkSession, tables: Tables, sql: str, args: dict | None = None, *, run: bool = True):
+    """SRC5: one SELECT over the four tables; ``(DataFrame, None)`` or ``(None, message)``.
 
-    Values can be bound with ``args`` (named parameters) instead of being spliced into the text.
+    The text stands inside a subquery, so nothing but a query parses. The tables' names are views only while it is
+    planned; views the caller has under these names come back. With ``run`` the rows are written once to the
+    checkpoint folder, which brings errors of running to light; otherwise the result stays lazy. Values can be bound
+    with ``args`` (named parameters) instead of being spliced into the text.
     """
-    tables.register(spark)
+    own = {n: spark.table(n) for n in TABLE_NAMES if any(v.name == n and v.isTemporary for v in spark.catalog.listTables())}
     try:
-        return spark.sql(sql, args=args), None
-    except (AnalysisException, ParseException) as e:
+        tables.register(spark)
+        df = spark.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n) AS result", args=args)
+        if run:
+            checkpoint_dir(spark)
+            df = df.checkpoint()
+        return df, None
+    except (PySparkException, Py4JJavaError) as e:
         return None, str(e)
+    finally:
+        for n in TABLE_NAMES:
+            if n in own:
+                own[n].createOrReplaceTempView(n)
+            else:
+                spark.catalog.dropTempView(n)
+
+
+def _quoted(name: str) -> str:
+    """A table name of one to three parts as quoted identifiers."""
+    return ".".join("`" + part.replace("`", "``") + "`" for part in name.split("."))
 
 
 def register_table(spark: SparkSession, name: str, path: str) -> None:
     """An external catalog table over a stored folder (partitioning inferred), partitions recovered."""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{path}'")
+    if not spark.catalog.tableExists(name):
+        spark.catalog.createTable(name, path=path, source="parquet")
     if any(c.isPartition for c in spark.catalog.listColumns(name)):
-        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        spark.catalog.recoverPartitions(name)
 
 
 def analyze(spark: SparkSession, table: str) -> None:
     """SRC9: column statistics for the cost-based optimizer (catalog tables only)."""
-    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+    spark.sql(f"ANALYZE TABLE {_quoted(table)} COMPUTE STATISTICS FOR ALL COLUMNS")
 
 
 def table_info(tables: Tables) -> dict[str, list[tuple[str, str]]]:

@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from salescope.session import checkpoint_dir
 from salescope.sources import catalog, ingest
 from salescope.sources.tables import TABLE_NAMES, load_tables
 
 
 def scratch(spark, name):
-    return os.path.join(spark.conf.get("spark.checkpoint.dir"), f"{name}-{uuid.uuid4().hex[:8]}")
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:8]}")
 
 
 def test_clean_columns_and_year_label():
@@ -62,10 +63,29 @@ def test_execute_query_returns_rows_or_error(spark, tables):
     assert err is None and df.collect()[0]["n"] > 0
     df, err = catalog.execute_query(spark, tables, "SELECT no_such_column FROM sales")
     assert df is None and "no_such_column" in err
+    assert df is None
+    df, err = catalog.execute_query(spark, tables, "SELECT 1 / (Year - Year) AS x FROM sales ORDER BY x;")
+    assert df is None and "DIVIDE_BY_ZERO" in err
+    df, err = catalog.execute_query(spark, tables, "SELECT Brand FROM sales -- all\n WHERE Brand = 'Brand#1' LIMIT 2")
+    assert err is None and df.count() == 2
     info = catalog.table_info(tables)
     assert ("Amount", "decimal(18,2)") in info["sales"] and ("Total_Target", "decimal(28,2)") in info["target_summary"]
 
 
+def test_execute_query_takes_one_select_and_leaves_views_alone(spark, tables):
+    spark.range(3).createOrReplaceTempView("sales")
+    spark.range(2).createOrReplaceTempView("mine")
+    for ddl in ("DROP VIEW mine", "CREATE TEMP VIEW other AS SELECT 1", "SELECT 1; DROP VIEW mine"):
+        df, err = catalog.execute_query(spark, tables, ddl)
+        assert df is None and err
+    df, err = catalog.execute_query(spark, tables, "SELECT count(*) AS n FROM sales")
+    assert err is None and df.first().n == tables.sales.count()
+    assert spark.table("sales").count() == 3 and spark.table("mine").count() == 2
+    assert not any(v.name == "target" for v in spark.catalog.listTables())
+    for name in ("sales", "mine"):
+        spark.catalog.dropTempView(name)
+
+
 def test_analyze_collects_column_statistics(spark, tables):
     root = scratch(spark, "analyzed")
     ingest.write_tables(tables, root)

@@ -5,8 +5,8 @@ import uuid
 
 import pytest
 
-import __spark_entry__ as E
 from salescope.plans import registry
+from salescope.session import checkpoint_dir
 from salescope.sources.ingest import write_tables
 from salescope.sources.tables import load_tables, star_tables
 
@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def stored(spark):
-    root = os.path.join(spark.conf.get("spark.checkpoint.dir"), f"plans-{uuid.uuid4().hex[:8]}")
+    root = os.path.join(checkpoint_dir(spark), f"plans-{uuid.uuid4().hex[:8]}")
     write_tables(star_tables(spark, SF), root)
     return load_tables(spark, root)
 
@@ -42,7 +42,7 @@ def test_anti_join_for_never_bought(spark, stored):
 
 
 def test_no_python_udf_and_no_cartesian_product_anywhere(spark):
-    for key, q in E.queries().items():
+    for key, q in registry.queries().items():
         p = plan(q(spark, SF))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, key
         assert "CartesianProduct" not in p, key
@@ -53,6 +53,12 @@ def test_three_key_target_join_emits_no_pairs(spark, stored):
     assert p.count("HashAggregate") >= 4  # both sides aggregated to the 3 keys before the join
 
 
+def test_targets_are_pruned_to_the_report_year(spark, stored):
+    for key in ("brand_performance", "gm_performance", "salesman_performance", "account_performance", "sales_vs_target_3key"):
+        scans = [line for line in plan(registry.run_on(stored, spark, key)).split("\n") if "FileScan" in line]
+        assert len(scans) == 2 and all("(Year#" in s and "= 2000)" in s.split("PartitionFilters")[1] for s in scans), key
+
+
 def test_item_pattern_has_no_inlined_array_lambdas_below_filters(spark, stored):
     opt = registry.run_on(stored, spark, "seasonal_items")._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in opt.split("\n") if "Filter" in line]

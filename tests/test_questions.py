@@ -172,6 +172,41 @@ def test_routes(spark, fixture_sales):
     assert days[10] == 60
 
 
+def test_every_route_and_rule_is_met_by_the_questions_table(spark, tables):
+    from salescope.sources.questions import questions_table
+
+    asked = questions_table(spark, "/root/testdata/sf0.001")
+    routes = {r.Route for r in N.route(asked, tables.sales, ["qid"]).select("Route").distinct().collect()}
+    assert routes == {"sql", "brand_analysis", "coverage_windows:brand", "coverage_windows:company", "coverage_loss:item", "coverage_loss:brand+new_lost_retained",
+                      "needs_entity", "coverage_brand_vs_company", "needs_brand", "decline_cause", "oos_items:brand+multi_account_oos", "oos_items:all",
+                      "overstock_risk", "seasonal_items:brand+anomalies", "item_pattern", "seasonal_items:all", "supply_chain_dashboard"}
+    tags = N.tag_rules(asked)
+    for col, values in (("Intent", 7), ("Focus", 3), ("Decline_Analysis", 2), ("Is_Classification", 2), ("Overstock_Route", 2), ("Needs_Analysis", 2)):
+        assert tags.select(col).distinct().count() >= values, col
+    assert {10, 30, 45, 60, 90, N.UNREADABLE_DAYS} <= {r.Days for r in tags.select("Days").distinct().collect()}
+
+
+def test_dispatcher_answers(spark, tables):
+    import datetime as dt
+
+    from salescope.operators import coverage, stock
+    from salescope.operators.dispatch import answer
+
+    as_of = dt.date(2001, 8, 1)
+    got = answer("Which Brand#1 items had no sales in the last 45 days?", tables, as_of=as_of)
+    assert got["route"]["Route"] == "oos_items:brand+multi_account_oos" and got["also"] is not None
+    assert got["data"].collect() == stock.oos_items(tables.sales, as_of=as_of, brand="Brand#1", days_threshold=45).collect()
+    got = answer("Coverage for bayer", tables, as_of=as_of)
+    assert got["route"]["Route_Mask"] == "Bayer" and [r.Coverage_Count for r in got["data"].collect()] == [0, 0, 0, 0]
+    got = answer("Why is Brand#1 declining in 1999 vs 2000?", tables, as_of=as_of)
+    assert got["route"]["Route"] == "brand_analysis" and got["data"].count() == 1 and got["also"].count() > 0
+    got = answer("What is our coverage?", tables, as_of=as_of)
+    assert got["data"].collect() == coverage.coverage_windows(tables.sales, as_of=as_of).collect()
+    assert answer("Total sales by year", tables, as_of=as_of)["data"] is None
+    with pytest.raises(ValueError):
+        answer("oos for 99999999999999999999999 days", tables, as_of=as_of)
+
+
 def test_auto_context(spark, fixture_sales):
     texts = ["Why is obg down in 2024?", "duphaston top sellers", "pfizer plus vs pfizer", "nothing"]
     df = N.auto_context(qdf(spark, texts), fixture_sales, ["qid"])
