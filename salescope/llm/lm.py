@@ -38,7 +38,8 @@ MIN_SHARE = 2e-6
 DIVERGENCE = 0.01
 EVIDENCE = 20.0
 _SHIFT = 1 << 24  # identifiers of symbols and sequences are below this for any share above 6e-8
-_BLOCK = 8_000_000
+_BLOCK = 2_000_000  # bytes of text taken at once
+_HELD = 4_000_000  # codes that a task adds up before it sends their counts
 
 
 def symbols(text: bytes) -> list[bytes]:
@@ -130,7 +131,7 @@ def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for t in texts(batch, text):
                 seen.update(symbols(t))
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     yield from flush()
         yield from flush()
 
@@ -144,13 +145,23 @@ def _count(docs: DataFrame, model: Model, text: str, least: float) -> Order:
     def run(batches):
         numbers, orders = sent.value
         end = numbers.get(END, 0)
+        held: list[np.ndarray] = []
+
+        def counted():
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_pydict({"code": code, "n": n.astype(np.int64)})
+
         for batch in batches:
             all_texts = texts(batch, text)
             for a, b in _groups(all_texts):
                 ids = _stream([symbols(t) for t in all_texts[a:b]], numbers)
                 codes = _codes(_sequences(ids, orders, end), ids, end)
-                code, n = np.unique(codes[codes > 0], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"code": code, "n": n.astype(np.int64)})
+                held.append(codes[codes > 0])
+                if sum(map(len, held)) >= _HELD:
+                    yield counted()
+        if held:
+            yield counted()
 
     rows = docs.select(text).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     got = rows.orderBy("code").toPandas()  # at most 1 / min_share rows
