@@ -35,13 +35,6 @@ def _agg(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
 
-def _combine(frames: list[DataFrame], keys: list[str]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.join(f, keys, "left") if keys else out.crossJoin(f)  # keyless: 1 row x 1 row
-    return out
-
-
 def coverage_windows(sales: DataFrame, *, as_of, level: str = "company", entity: str | None = None,
                      time_windows=DEFAULT_WINDOWS, dimension: str = "Customer_Name",
                      filters: dict | None = None) -> DataFrame:
@@ -52,15 +45,20 @@ def coverage_windows(sales: DataFrame, *, as_of, level: str = "company", entity:
     cut = {m: dates.months_ago(as_of, m) for m in windows}
     base = dates.since(base, dates.months_ago(as_of, max(windows)))
     d = F.col("Invoice_Date")
-    last = F.col("_last")
-    members = _agg(
-        base.filter(F.col(member).isNotNull()).groupBy(*keys, member).agg(F.max(d).alias("_last")), keys,
-        *[F.count(F.when(last >= cut[m], 1)).alias(f"_c{m}") for m in windows])
-    invoices = _agg(
-        base.filter(F.col("Invoice_No").isNotNull()).groupBy(*keys, "Invoice_No").agg(F.max(d).alias("_last")), keys,
-        *[F.count(F.when(last >= cut[m], 1)).alias(f"_t{m}") for m in windows])
-    amounts = _agg(base, keys, *[F.sum(F.when(d >= cut[m], F.col("Amount"))).alias(f"_s{m}") for m in windows])
-    j = _combine([amounts, members, invoices], keys)
+    # One scan: each row counts for its member, for its invoice and for the totals, summed before the shuffle.
+    kinds = F.array(*[F.struct(F.lit(k).alias("_kind"), v.cast("string").alias("_id")) for k, v in (
+        ("member", F.col(member)), ("invoice", F.col("Invoice_No")), ("total", F.lit("")))])
+    each = (base.select(*keys, d.alias("_d"), "Amount", F.explode(kinds).alias("_k")).select(*keys, "_d", "Amount", "_k.*")
+            .filter(F.col("_id").isNotNull()))
+    last, total = F.col("_last"), F.col("_kind") == "total"
+    per = each.groupBy(*keys, "_kind", "_id").agg(
+        F.max("_d").alias("_last"), *[F.sum(F.when(total & (F.col("_d") >= cut[m]), F.col("Amount"))).alias(f"_a{m}") for m in windows])
+
+    def in_window(kind: str, m: int) -> Column:
+        return F.count(F.when((F.col("_kind") == kind) & (last >= cut[m]), 1))
+
+    j = _agg(per, keys, *[in_window("member", m).alias(f"_c{m}") for m in windows], *[in_window("invoice", m).alias(f"_t{m}") for m in windows],
+             *[F.sum(f"_a{m}").alias(f"_s{m}") for m in windows])
     rows = F.array(*[
         F.struct(
             F.lit(f"{m}M").alias("Time_Window"),

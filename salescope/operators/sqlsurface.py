@@ -198,16 +198,8 @@ def bonus_dependency(sales: DataFrame, *, year1: int, year2: int) -> DataFrame:
 
 def decline_contributors(sales: DataFrame, *, brand: str | None, year1: int, year2: int) -> DataFrame:
     """Top contributors to a decline: the members that fell, in the brand report's dimension breakdowns."""
-    parts = []
-    for part in ("group", "item", "customer", "emirate", "salesman", "channel"):
-        d = growth.CONTRIBUTION_SPECS[part][0]
-        c = growth.contribution_by(sales, part, brand=brand, year1=year1, year2=year2, focus="declining").filter(F.col("Variance") < 0)
-        parts.append(c.select(*([] if brand else ["Brand"]), F.lit(d).alias("Dimension"),
-                              F.col(d).alias("Member"), "Sales_y1", "Sales_y2", "Variance", "Growth_Pct"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return growth.contributions(sales, ("group", "item", "customer", "emirate", "salesman", "channel"), brand=brand, year1=year1, year2=year2,
+                                only_falling=True)
 
 
 def underperforming_channels(sales: DataFrame, *, brand: str | None, year1: int, year2: int) -> DataFrame:
