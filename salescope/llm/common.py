@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,21 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [t or b"" for t in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
 
 
+def parts(batches: Iterable[pa.RecordBatch], column: str, size: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of Arrow batches of about ``size`` bytes of text, with their texts: a task holds few texts as Python
+    objects at a time, however many rows a batch has."""
+    for batch in batches:
+        at = batch.schema.get_field_index(column)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+            piece = batch.slice(start, stop - start)
+            yield piece, texts(piece, column)
+            start = stop
+
+
 def with_columns(df: DataFrame, column: str, fields: list[tuple[str, str]],
                  start: Callable[[], Callable[[list[bytes]], Iterable[Iterable]]]) -> DataFrame:
     """Append columns computed from the whole text of each row, in Arrow batches.
@@ -52,8 +69,8 @@ def with_columns(df: DataFrame, column: str, fields: list[tuple[str, str]],
 
         fn = start()
         types = [to_arrow_type(schema[name].dataType) for name, _ in fields]
-        for batch in batches:
-            made = fn(texts(batch, column))
+        for batch, own in parts(batches, column):
+            made = fn(own)
             arrays = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *(n for n, _ in fields)])
 

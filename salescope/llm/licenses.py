@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salescope.llm.common import texts, with_columns
+from salescope.llm.common import parts, with_columns
 
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 THRESHOLD = 0.9
@@ -106,8 +106,8 @@ def block_counts(df: DataFrame, templates=TEMPLATES, *, text: str = "text") -> d
 
     def run(batches):
         n: Counter[bytes] = Counter()
-        for batch in batches:
-            for t in texts(batch, text):
+        for _, own in parts(batches, text):
+            for t in own:
                 for line in t.split(b"\n"):
                     n.update(wanted.intersection(words(line)))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(n), pa.binary()), "n": pa.array(list(n.values()), pa.int64())})

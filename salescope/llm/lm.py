@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salescope.llm.common import cut, texts
+from salescope.llm.common import cut, parts
 
 END = b""
 DEPTH = 3
@@ -105,17 +105,6 @@ def _context(found, k: int, ids: np.ndarray, end: int) -> np.ndarray:
     return found[k] if k == 0 else np.where(ids == end, 0, found[k])
 
 
-def _groups(batch: list[bytes]):
-    at, size = 0, 0
-    for i, t in enumerate(batch):
-        size += len(t)
-        if size >= _BLOCK:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(batch):
-        yield at, len(batch)
-
-
 def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token, c): how often each symbol occurs in the texts."""
 
@@ -128,8 +117,8 @@ def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"token": pa.array(part, pa.binary()), "n": pa.array([seen[k] for k in part], pa.int64())})
             seen.clear()
 
-        for batch in batches:
-            for t in texts(batch, text):
+        for _, own in parts(batches, text):
+            for t in own:
                 seen.update(symbols(t))
                 if len(seen) > 200_000:
                     yield from flush()
@@ -152,14 +141,12 @@ def _count(docs: DataFrame, model: Model, text: str, least: float) -> Order:
             held.clear()
             return pa.RecordBatch.from_pydict({"code": code, "n": n.astype(np.int64)})
 
-        for batch in batches:
-            all_texts = texts(batch, text)
-            for a, b in _groups(all_texts):
-                ids = _stream([symbols(t) for t in all_texts[a:b]], numbers)
-                codes = _codes(_sequences(ids, orders, end), ids, end)
-                held.append(codes[codes > 0])
-                if sum(map(len, held)) >= _HELD:
-                    yield counted()
+        for _, own in parts(batches, text, _BLOCK):
+            ids = _stream([symbols(t) for t in own], numbers)
+            codes = _codes(_sequences(ids, orders, end), ids, end)
+            held.append(codes[codes > 0])
+            if sum(map(len, held)) >= _HELD:
+                yield counted()
         if held:
             yield counted()
 
@@ -244,23 +231,21 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, doc_id: str = "do
 
     def run(batches):
         model = sent.value
-        for batch in batches:
-            all_texts = texts(batch, "text")
-            for a, b in _groups(all_texts):
-                base, tree, sizes, known, lost = _score_block([symbols(t) for t in all_texts[a:b]], model)
-                rows, tokens, n = [], [], []
-                for i, c in enumerate(lost):
-                    rows += [a + i] * len(c)
-                    tokens += c.keys()
-                    n += c.values()
-                # One head for each text; its token holds a blank, as no symbol does, and the row's place against skew.
-                heads = b - a
-                take = pa.array([*range(a, b), *rows], pa.int64())
-                none = [None] * len(rows)
-                column = lambda x, t: pa.array([*x.tolist(), *none], t)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(take), batch.column(1).take(take), pa.array([b" %d" % i for i in range(a, b)] + tokens, pa.binary()), pa.array([0] * heads + n, pa.int64()),
-                    column(sizes, pa.int64()), column(known, pa.int64()), column(base, pa.float64()), column(tree, pa.float64())], schema.names)
+        for batch, own in parts(batches, "text", _BLOCK):
+            base, tree, sizes, known, lost = _score_block([symbols(t) for t in own], model)
+            rows, tokens, n = [], [], []
+            for i, c in enumerate(lost):
+                rows += [i] * len(c)
+                tokens += c.keys()
+                n += c.values()
+            # One head for each text; its token holds a blank, as no symbol does, and its score's digits against skew.
+            heads = len(own)
+            take = pa.array([*range(heads), *rows], pa.int64())
+            none = [None] * len(rows)
+            column = lambda x, t: pa.array([*x.tolist(), *none], t)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(take), batch.column(1).take(take), pa.array([b" %r" % s for s in tree.tolist()] + tokens, pa.binary()), pa.array([0] * heads + n, pa.int64()),
+                column(sizes, pa.int64()), column(known, pa.int64()), column(base, pa.float64()), column(tree, pa.float64())], schema.names)
 
     rows = source.mapInArrow(run, schema).join(counts, "token", "left")
     share = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(model.scale))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salescope.llm.common import cut, texts, with_columns
+from salescope.llm.common import cut, parts, with_columns
 
 MAX_ROWS = 12_000
 MAX_ENTRIES = 5_000
@@ -152,8 +152,8 @@ def _counted(sample: DataFrame, features) -> DataFrame:
 
     def run(batches):
         seen: Counter[str] = Counter()
-        for batch in batches:
-            for t in texts(batch, "text"):
+        for _, own in parts(batches, "text"):
+            for t in own:
                 seen.update(features(fold(t.decode("utf-8", "replace")).split()))
         for part in _blocks(seen.items()):
             yield pa.RecordBatch.from_pydict({"feature": [k for k, _ in part], "n": [n for _, n in part]})
@@ -207,9 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_ent
     stems = lambda words: set().union(*map(_stems, words))
 
     def listed(batches):
-        for batch in batches:
+        for batch, own in parts(batches, "text"):
             seen: dict[str, list[int]] = {}
-            for t, d in zip(texts(batch, "text"), batch.column(1).to_pylist()):
+            for t, d in zip(own, batch.column(1).to_pylist()):
                 for f in stems(fold(t.decode("utf-8", "replace")).split()):
                     seen.setdefault(f, []).append(d)
             for part in _blocks(seen.items()):
