@@ -238,13 +238,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, doc_id: str = "do
                 rows += [i] * len(c)
                 tokens += c.keys()
                 n += c.values()
-            # One head for each text; its token holds a blank, as no symbol does, and its score's digits against skew.
+            # One head for each text; its token holds a blank, as no symbol does, and its place in the block against skew.
             heads = len(own)
             take = pa.array([*range(heads), *rows], pa.int64())
             none = [None] * len(rows)
             column = lambda x, t: pa.array([*x.tolist(), *none], t)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(take), batch.column(1).take(take), pa.array([b" %r" % s for s in tree.tolist()] + tokens, pa.binary()), pa.array([0] * heads + n, pa.int64()),
+                batch.column(0).take(take), batch.column(1).take(take), pa.array([b" %d" % i for i in range(heads)] + tokens, pa.binary()), pa.array([0] * heads + n, pa.int64()),
                 column(sizes, pa.int64()), column(known, pa.int64()), column(base, pa.float64()), column(tree, pa.float64())], schema.names)
 
     rows = source.mapInArrow(run, schema).join(counts, "token", "left")
