@@ -35,7 +35,7 @@ from salescope.llm.common import groups, with_columns
 from salescope.llm.merges import Kept, Merges, shared
 
 END = "</w>"
-KEPT_WORDS = 200_000
+KEPT_WORDS = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -152,6 +152,27 @@ def encode(df: DataFrame, source: str, *, text: str = "text", out: str = "ids")
     return with_columns(df, text, [(out, "array<int>")], start)
 
 
+def encode_and_decode(df: DataFrame, source: str, *, text: str = "text", out: str = "ids", back: str = "decoded") -> DataFrame:
+    """All rows with ``out``, the ids, and ``back``, the text decoded from them, in one pass: a task has one worker."""
+    sent = df.sparkSession.sparkContext.broadcast(source)
+
+    def start():
+        own, strings = codec(sent.value), decoder(sent.value)
+
+        def rows(batch):
+            ids, texts = [], []
+            for part in groups(batch):
+                coded = own.encode_batch([t.decode("utf-8", "replace") for t in part])
+                ids += coded
+                texts += [strings.decode(np.frombuffer(x, np.int32).tolist()) for x in coded]
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32))), texts
+
+        return rows
+
+    return with_columns(df, text, [(out, "array<int>"), (back, "string")], start)
+
+
 def decode(df: DataFrame, source: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All rows with ``out``: the text the library's decode gives, special tokens included."""
     from pyspark.sql import types as T

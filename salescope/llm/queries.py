@@ -128,7 +128,7 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = bpe.load(tokenizer("word_bpe_49k.json"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, source).select("doc_id", "ids"), source)
+    coded = bpe.encode_and_decode(docs, source)
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -51,6 +51,9 @@ def test_columns_and_odd_rows(spark, library):
     assert len(rows) == len(ODD) + 1
     for r in rows:
         assert r.ids == ids_of(library, r.text) and r.decoded == library.decode(r.ids, skip_special_tokens=False)
+    both = bpe.encode_and_decode(df, SOURCE)
+    assert both.columns == coded.columns and sorted(both.collect(), key=str) == sorted(rows, key=str)
+    assert bpe.encode_and_decode(df.limit(0), SOURCE).collect() == []
     nulls = bpe.decode(spark.createDataFrame([(None,)], "ids array<int>"), SOURCE)
     assert nulls.first().decoded == ""
     assert bpe.encode(df.limit(0), SOURCE).collect() == []
