@@ -34,7 +34,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids (``ids``), their number (``n_tokens``) and the decoded text."""
     source = bpe.load(tokenizer(TOKENIZER))
-    return bpe.decode(bpe.encode(docs, source), source).withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.encode_and_decode(docs, source).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 TOKENIZER = "word_bpe_49k.json"
