@@ -47,6 +47,7 @@ def parts(batches: Iterable[pa.RecordBatch], column: str, size: int = 4_000_000)
             piece = batch.slice(start, stop - start)
             yield piece, texts(piece, column)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker process stays for later tasks
 
 
 def with_columns(df: DataFrame, column: str, fields: list[tuple[str, str]],
