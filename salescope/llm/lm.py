@@ -2,17 +2,21 @@
 
 Symbols are the lower-cased words of a text and one end per text; a text starts after an end. The
 root holds the smoothed frequency of every symbol of the training texts. A context of one to
-``depth`` symbols is a candidate if it and what follows it are frequent: only sequences with at
-least ``min_share`` of all training symbols are counted (twice at least), so each length has at most
-1 / min_share of them, whatever the size of the corpus. A candidate is retained if its next-symbol
-distribution diverges from that of its longest retained suffix: by ``divergence`` per occurrence
-and ``evidence`` in all (natural units). Its distribution is smoothed with its suffix's, which gets
-the weight of the uncounted occurrences and of one more for every counted follower. A symbol is
-scored by the longest retained context before it.
-
-Counting is one pass for each length with partial sums in every task. Symbols below the share are
-not sent to the tasks: a text's rare words are joined with the table of counts, pre-aggregated by
-text, and their factors added to the text's sums.
+``depth`` symbols is a candidate if it and what follows it occur twice at least, whatever the size of
+the corpus (``min_share`` above zero: also with at least that share of all training symbols). A
+candidate is retained if its next-symbol distribution diverges from that of its longest retained
+suffix: by ``divergence`` per occurrence and ``evidence`` in all (natural units). Its distribution is
+smoothed with its suffix's, which gets the weight of the uncounted occurrences and of one more for
+every counted follower. A symbol is scored by the longest retained context before it.
+
+Sequences are known by 64-bit keys, a polynomial in hashes of their symbols. Counts, tests and the
+tree are tables by key. A retained context changes the log probability of what follows by log(rest /
+total), and by a further term if the follower is counted after it, so a text's score is the sum over
+its sequences of one value each: the sequence's term as a follower and its own as a context. These
+sums are joins of values with counts pre-aggregated by text. Only the values of frequent sequences
+(``SENT`` of all symbols) go to the tasks, which add them up themselves; and a bitmap of fixed size
+by which sequences without a value are passed over. A fuller bitmap passes over fewer, and changes
+no result.
 
 Defined results: null text is empty and consists of its end; without training texts every symbol
 has probability one at the root; a symbol that training texts lack has the root's rest. Repeated rows
@@ -21,8 +25,8 @@ each get their row.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,233 +38,218 @@ from salescope.llm.common import cut, parts
 
 END = b""
 DEPTH = 3
-MIN_SHARE = 2e-6
+MIN_SHARE = 0.0
 DIVERGENCE = 0.01
 EVIDENCE = 20.0
-_SHIFT = 1 << 24  # identifiers of symbols and sequences are below this for any share above 6e-8
+SENT = 2e-6  # share of all symbols from which on a sequence's value is sent to the tasks
+_BASE = 0x9E3779B97F4A7C15
+_BITS = 1 << 28  # of a bitmap
+_PIECE = 1 << 15  # bits of a row of bitmap_construct_agg
 _BLOCK = 2_000_000  # bytes of text taken at once
-_HELD = 4_000_000  # codes that a task adds up before it sends their counts
+_HELD = 2_000_000  # keys that a task adds up before it sends their counts
 
 
 def symbols(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]  # bytes: A-Z only, blanks \x20 and \x09-\x0D only
 
 
-@dataclass
-class Order:
-    """Counted sequences of one length, numbered from 1 by their code; place 0 stands for none."""
-
-    codes: np.ndarray  #: number of the sequence without its last symbol * _SHIFT + number of the last symbol, ascending
-    counts: np.ndarray
-    suffix: np.ndarray  #: number of the sequence without its first symbol
-    rest: np.ndarray | None = None  #: as a context: weight of the suffix's distribution; 0 where not retained
-    total: np.ndarray | None = None
-
-    def find(self, codes: np.ndarray) -> np.ndarray:
-        if len(self.codes) == 0:
-            return np.zeros(len(codes), np.int64)
-        at = np.searchsorted(self.codes, codes)
-        at[at == len(self.codes)] = 0
-        return np.where(self.codes[at] == codes, at + 1, 0)
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return h
 
 
 @dataclass
 class Model:
-    numbers: dict[bytes, int]  #: frequent symbols, from 1
-    root: np.ndarray  #: their probabilities at the root; place 0 is 1, the factor of a rare symbol
-    orders: list[Order]  #: by length, the first for single symbols
+    values: DataFrame  #: (key, n, root, v): log10 at the root, of single symbols; what a sequence adds to a text's score
+    bitmap: np.ndarray  #: of the keys of ``values``
     tokens: int
     distinct: int
+    depth: int
 
     @property
     def scale(self) -> float:
         return self.tokens + 0.5 * (self.distinct + 1)
 
 
-def _stream(blocks: list[list[bytes]], numbers: dict[bytes, int]) -> np.ndarray:
-    """Numbers of the symbols of several texts, each after an end."""
-    get = numbers.get
-    ids = [numbers.get(END, 0)]
-    for words in blocks:
-        ids += [get(w, 0) for w in words]
-    return np.array(ids, np.int64)
-
-
-def _sequences(ids: np.ndarray, orders: list[Order], end: int):
-    """For each length, the number of the counted sequence that ends at each place."""
-    found = [ids]
-    for order in orders[1:]:
-        found.append(order.find(_codes(found, ids, end)))
+def _keys(blocks: list[list[bytes]], hashes: _Hashes, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length up to ``length``: keys of the sequences that end at each place of the texts, each text after an
+    end, and whether they lie within a text; an end may be their first and their last symbol only."""
+    ids = np.fromiter((hashes[w] for words in ([END], *blocks) for w in words), np.uint64)
+    inner = ids != np.uint64(hashes[END])
+    found = [(ids, np.ones(len(ids), bool))]
+    for k in range(1, length):
+        key, valid = found[-1]
+        longer = np.concatenate([ids[:1], key[:-1] * np.uint64(_BASE) + ids[1:]])
+        found.append((longer, np.concatenate([[False], valid[:-1] & (inner[:-1] | (k == 1))])))
     return found
 
 
-def _codes(found: list[np.ndarray], ids: np.ndarray, end: int) -> np.ndarray:
-    """Codes of the sequences one longer than the longest found; 0 where a part is not counted."""
-    before = np.concatenate([[0], _context(found, len(found) - 1, ids, end)[:-1]])
-    return np.where((before > 0) & (found[-1] > 0), before * _SHIFT + ids, 0)
-
-
-def _context(found, k: int, ids: np.ndarray, end: int) -> np.ndarray:
-    """Sequences as contexts of what follows: an end is one only by itself."""
-    return found[k] if k == 0 else np.where(ids == end, 0, found[k])
-
-
-def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(token, c): how often each symbol occurs in the texts."""
-
-    def run(batches):
-        seen: Counter[bytes] = Counter()
-
-        def flush():
-            for i in range(0, len(keys := list(seen)), 100_000):
-                part = keys[i:i + 100_000]
-                yield pa.RecordBatch.from_pydict({"token": pa.array(part, pa.binary()), "n": pa.array([seen[k] for k in part], pa.int64())})
-            seen.clear()
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits at the keys modulo ``_BITS``; at most its own size is gathered."""
+    at = F.pmod(F.col("key"), F.lit(_BITS))
+    bits = keys.select(F.floor(at / _PIECE).cast("int").alias("piece"), F.pmod("key", F.lit(_PIECE)).alias("bit")).repartition("piece")
+    out = np.zeros(_BITS // 8, np.uint8)
+    for r in bits.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        out[r.piece * _PIECE // 8:(r.piece + 1) * _PIECE // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
 
-        for _, own in parts(batches, text):
-            for t in own:
-                seen.update(symbols(t))
-                if len(seen) > 200_000:
-                    yield from flush()
-        yield from flush()
 
-    return docs.select(text).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
+def _listed(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(_BITS - 1)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _count(docs: DataFrame, model: Model, text: str, least: float) -> Order:
-    """Counts of the sequences one longer than those of the model."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.numbers, model.orders))
+def _count(docs: DataFrame, text: str, length: int, shorter: np.ndarray | None, least: float) -> DataFrame:
+    """(key, ctx, suf, n): sequences of ``length`` symbols that occur at least ``least`` times, with the keys of the
+    sequences without their last and without their first symbol. Those with parts not in ``shorter`` are passed over."""
+    sent = docs.sparkSession.sparkContext.broadcast(shorter) if shorter is not None else None
 
     def run(batches):
-        numbers, orders = sent.value
-        end = numbers.get(END, 0)
-        held: list[np.ndarray] = []
+        hashes = _Hashes()
+        held: list[tuple[np.ndarray, ...]] = []
 
         def counted():
-            code, n = np.unique(np.concatenate(held), return_counts=True)
+            key, ctx, suf = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            return pa.RecordBatch.from_pydict({"code": code, "n": n.astype(np.int64)})
+            key, at, n = np.unique(key, return_index=True, return_counts=True)
+            for i in range(0, len(key), 100_000):
+                own = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_pydict({"key": key[own].view(np.int64), "ctx": ctx[at[own]].view(np.int64), "suf": suf[at[own]].view(np.int64), "n": n[own].astype(np.int64)})
 
         for _, own in parts(batches, text, _BLOCK):
-            ids = _stream([symbols(t) for t in own], numbers)
-            codes = _codes(_sequences(ids, orders, end), ids, end)
-            held.append(codes[codes > 0])
-            if sum(map(len, held)) >= _HELD:
-                yield counted()
+            found = _keys([symbols(t) for t in own], hashes, length)
+            key, valid = found[-1]
+            if length == 1:
+                held.append((key[1:],) * 3)  # the first place is the end before the first text
+            else:
+                near = found[-2][0]
+                places = np.flatnonzero(valid)
+                listed = _listed(sent.value, near)
+                places = places[listed[places] & listed[places - 1]]
+                held.append((key[places], near[places - 1], near[places]))
+            if sum(len(h[0]) for h in held) >= _HELD:
+                yield from counted()
         if held:
-            yield counted()
-
-    rows = docs.select(text).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    got = rows.orderBy("code").toPandas()  # at most 1 / min_share rows
-    codes, counts = got.code.to_numpy(np.int64), got.n.to_numpy(np.int64)
-    last = model.orders[-1]
-    suffix = codes % _SHIFT
-    if len(model.orders) > 1:
-        suffix = last.find(np.concatenate([[0], last.suffix])[codes // _SHIFT] * _SHIFT + codes % _SHIFT)
-    return Order(codes, counts, suffix)
-
-
-def _retain(orders: list[Order], root: np.ndarray, divergence: float, evidence: float) -> None:
-    """Divergence tests, from short contexts to long ones."""
-    shorter = root[1:]  # probability of each sequence's last symbol after the rest of it
-    for order, longer in zip(orders, orders[1:]):
-        at, seen = longer.codes // _SHIFT - 1, len(order.counts)
-        parent = shorter[longer.suffix - 1]
-        counted = np.bincount(at, longer.counts, seen)
-        followers = np.bincount(at, minlength=seen)
-        uncounted = np.maximum(order.counts - counted, 0)
-        rest = uncounted + followers + 1.0
-        total = counted + rest
-        own = (longer.counts + rest[at] * parent) / total[at]
-        gain = np.bincount(at, longer.counts * np.log(own / parent), seen) + uncounted * np.log(rest / total)
-        kept = (followers > 0) & (gain >= evidence) & (gain >= divergence * order.counts)
-        order.rest, order.total = np.where(kept, rest, 0.0), np.where(kept, total, 1.0)
-        shorter = np.where(kept[at], own, parent)
-
-
-def fit(docs: DataFrame, counts: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE,
-        evidence: float = EVIDENCE) -> Model:
-    """The tree of the training texts; ``counts`` is their ``token_counts``."""
-    size = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, distinct = size.n or 0, size.v
-    least = max(2.0, min_share * tokens)
-    frequent = counts.where(F.col("c") >= least).orderBy("token").toPandas()  # at most 1 / min_share rows
-    numbers = {bytes(t): i + 1 for i, t in enumerate(frequent.token)}
-    n = frequent.c.to_numpy(np.int64)
-    model = Model(numbers, np.ones(1), [Order(np.arange(1, len(n) + 1), n, np.zeros(len(n), np.int64))], tokens, distinct)
-    model.root = np.concatenate([[1.0], (n + 0.5) / model.scale])
-    for _ in range(depth):
-        if len(model.orders[-1].codes) == 0:
-            break
-        model.orders.append(_count(docs, model, text, least))
-    _retain(model.orders, model.root, divergence, evidence)
+            yield from counted()
+
+    rows = docs.select(text).mapInArrow(run, "key long, ctx long, suf long, n long")
+    return rows.groupBy("key").agg(F.first("ctx").alias("ctx"), F.first("suf").alias("suf"), F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def _retain(longer: DataFrame, shorter: DataFrame, divergence: float, evidence: float) -> tuple[DataFrame, DataFrame]:
+    """Divergence tests of the contexts ``shorter`` (key, n, p) with the followers ``longer``: the retained contexts
+    (ctx, rest, total), and (key, n, p, term) of the followers."""
+    beside = longer.join(shorter.select(F.col("key").alias("suf"), F.col("p").alias("parent")), "suf").select("key", "ctx", "n", "parent")
+    sums = beside.groupBy("ctx").agg(F.sum("n").alias("counted"), F.count(F.lit(1)).alias("followers"))
+    sums = sums.join(shorter.select(F.col("key").alias("ctx"), F.col("n").alias("seen")), "ctx")
+    sums = sums.withColumn("uncounted", F.greatest(F.col("seen") - F.col("counted"), F.lit(0)))
+    sums = sums.withColumn("rest", F.col("uncounted") + F.col("followers") + 1.0).withColumn("total", F.col("counted") + F.col("rest"))
+    own = (F.col("n") + F.col("rest") * F.col("parent")) / F.col("total")
+    left = F.col("uncounted") * F.ln(F.col("rest") / F.col("total"))
+    gains = beside.join(sums, "ctx").groupBy("ctx", "seen", "rest", "total", left.alias("left")).agg(F.sum(F.col("n") * F.ln(own / F.col("parent"))).alias("gain"))
+    gain = F.col("gain") + F.col("left")
+    kept = cut(gains.where((gain >= evidence) & (gain >= divergence * F.col("seen"))).select("ctx", "rest", "total"))
+    term = F.log10(own / F.col("parent")) - F.log10(F.col("rest") / F.col("total"))
+    return kept, beside.join(kept, "ctx", "left").select("key", "n", F.coalesce(own, "parent").alias("p"), F.coalesce(term, F.lit(0.0)).alias("term"))
+
+
+def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE, evidence: float = EVIDENCE) -> Model:
+    """The tree of the training texts."""
+    single = cut(_count(docs, text, 1, None, 1).select("key", "n"))
+    size = single.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    model = Model(single, np.zeros(0, np.uint8), size.n or 0, size.v, depth)
+    least, sent = max(2.0, min_share * model.tokens), SENT * model.tokens
+    p = (F.col("n") + 0.5) / F.lit(model.scale)
+    level = single.select("key", "n", p.alias("p"), F.log10(p).alias("term"), F.log10(p).alias("root"))
+    values = []
+    for length in range(2, depth + 2):
+        known = level.where(F.col("n") >= least)
+        longer = cut(_count(docs, text, length, _bitmap(known), least))
+        kept, after = _retain(longer, known, divergence, evidence)
+        values.append(level.join(kept.withColumnRenamed("ctx", "key"), "key", "left").select(
+            "key", "n", "root", (F.col("term") + F.coalesce(F.log10(F.col("rest") / F.col("total")), F.lit(0.0))).alias("v")))
+        level = cut(after).withColumn("root", F.lit(None).cast("double"))
+    values.append(level.select("key", "n", "root", F.col("term").alias("v")))
+    table = values[0]
+    for other in values[1:]:
+        table = table.unionByName(other)
+    model.values = cut(table.where(F.col("root").isNotNull() | (F.col("v") != 0) | (F.col("n") >= sent)))
+    model.bitmap = _bitmap(model.values)
     return model
 
 
-def _score_block(words: list[list[bytes]], model: Model):
-    """For each text: sums of log10 at the root and in the tree over frequent symbols (a rare one adds its factor in the
-    tree), number of symbols, and the rare symbols."""
-    end = model.numbers.get(END, 0)
-    ids = _stream(words, model.numbers)
-    found = _sequences(ids, model.orders, end)
-    p = model.root[ids]
-    base = np.log10(p)
-    for k, order in enumerate(model.orders[:-1]):
-        context = np.concatenate([[0], _context(found, k, ids, end)[:-1]])
-        places = np.flatnonzero(context)
-        places = places[order.rest[context[places] - 1] > 0]
-        s = context[places] - 1
-        g = found[k + 1][places]
-        n = np.where(g > 0, np.concatenate([[0], model.orders[k + 1].counts])[g], 0)
-        p[places] = (n + order.rest[s] * p[places]) / order.total[s]
-    tree = np.log10(p)
-    sizes = np.array([len(w) for w in words])
-    starts = np.concatenate([[1], 1 + np.cumsum(sizes)[:-1]])
-    known = np.add.reduceat((ids > 0).astype(np.int64), starts)
-    rare = ids == 0
-    lost = [Counter(w[j] for j in np.flatnonzero(rare[a:a + n]).tolist()) for w, a, n in zip(words, starts.tolist(), sizes.tolist())]
-    return np.add.reduceat(base, starts), np.add.reduceat(tree, starts), sizes, known, lost
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_tokens, n_known, base_score, score) for each row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    frequent = model.values.where(F.col("n") >= max(2.0, SENT * model.tokens)).orderBy("key").toPandas()  # at most 1 / SENT rows of each length
+    order = np.argsort(keys := frequent.key.to_numpy(np.int64).view(np.uint64))
+    root, value = (frequent[c].to_numpy(np.float64)[order] for c in ("root", "v"))
+    sent = docs.sparkSession.sparkContext.broadcast((keys[order], np.nan_to_num(root), value, model.bitmap))
+    length = model.depth + 1
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     schema = T.StructType([source.schema["doc_id"], source.schema["text_hash"], *(T.StructField(n, t) for n, t in (
-        ("token", T.BinaryType()), ("n", T.LongType()), ("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("tree", T.DoubleType())))])
+        ("key", T.LongType()), ("n", T.LongType()), ("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("tree", T.DoubleType())))])
 
     def run(batches):
-        model = sent.value
+        keys, root, value, bitmap = sent.value
+        hashes = _Hashes()
         for batch, own in parts(batches, "text", _BLOCK):
-            base, tree, sizes, known, lost = _score_block([symbols(t) for t in own], model)
-            rows, tokens, n = [], [], []
-            for i, c in enumerate(lost):
-                rows += [i] * len(c)
-                tokens += c.keys()
-                n += c.values()
-            # One head for each text; its token holds a blank, as no symbol does, and its place in the block against skew.
+            words = [symbols(t) for t in own]
             heads = len(own)
-            take = pa.array([*range(heads), *rows], pa.int64())
-            none = [None] * len(rows)
-            column = lambda x, t: pa.array([*x.tolist(), *none], t)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(take), batch.column(1).take(take), pa.array([b" %d" % i for i in range(heads)] + tokens, pa.binary()), pa.array([0] * heads + n, pa.int64()),
-                column(sizes, pa.int64()), column(known, pa.int64()), column(base, pa.float64()), column(tree, pa.float64())], schema.names)
-
-    rows = source.mapInArrow(run, schema).join(counts, "token", "left")
-    share = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(model.scale))
+            sizes = np.array([len(w) for w in words])
+            owner = np.concatenate([[0], np.repeat(np.arange(heads), sizes)])
+            known, base, tree = np.zeros(heads, np.int64), np.zeros(heads), np.zeros(heads)
+            rows, rest = [], []
+            for k, (key, valid) in enumerate(_keys(words, hashes, length)):
+                places = 1 + np.flatnonzero(valid[1:])
+                places = places[_listed(bitmap, key[places])]
+                own_keys, text_at = key[places], owner[places]
+                if len(keys):
+                    at = np.searchsorted(keys, own_keys)
+                    at[at == len(keys)] = 0
+                    hit = keys[at] == own_keys
+                    tree += np.bincount(text_at[hit], value[at[hit]], heads)
+                    if k == 0:
+                        known += np.bincount(text_at[hit], minlength=heads)
+                        base += np.bincount(text_at[hit], root[at[hit]], heads)
+                    own_keys, text_at = own_keys[~hit], text_at[~hit]
+                rows.append(text_at)
+                rest.append(own_keys)
+            rows, rest = np.concatenate(rows), np.concatenate(rest)
+            by = np.lexsort((rest, rows))
+            rows, rest = rows[by], rest[by]
+            first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (rest[1:] != rest[:-1])])[:len(rows)])
+            n = np.diff(np.append(first, len(rows)))
+            rows, rest = rows[first], rest[first]
+            # One head for each text, with n of zero; its key is by its place in the block, against skew, and joined with nothing.
+            spread = (np.arange(heads, dtype=np.uint64) * np.uint64(_BASE)).view(np.int64)
+            for i in range(0, heads + len(rows), 100_000):
+                head, tail = slice(min(i, heads), min(i + 100_000, heads)), slice(max(i - heads, 0), max(i + 100_000 - heads, 0))
+                take = pa.array(np.concatenate([np.arange(heads)[head], rows[tail]]), pa.int64())
+                tail_here = len(rows[tail])
+                column = lambda x, t: pa.concat_arrays([pa.array(x[head], t), pa.nulls(tail_here, t)])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate([spread[head], rest[tail].view(np.int64)]), pa.int64()),
+                    pa.array(np.concatenate([np.zeros(len(sizes[head]), np.int64), n[tail]]), pa.int64()),
+                    column(sizes, pa.int64()), column(known, pa.int64()), column(base, pa.float64()), column(tree, pa.float64())], schema.names)
+
+    rows = source.mapInArrow(run, schema)
+    values = model.values.select(F.col("key").alias("valued"), "root", "v")
+    rows = rows.join(values, (F.col("key") == F.col("valued")) & (F.col("n") > 0), "left")
     sums = rows.groupBy("doc_id", "text_hash").agg(
         F.count("n_tokens").alias("copies"), F.max("n_tokens").alias("n_tokens"), F.max("known").alias("known"), F.max("base").alias("base"), F.max("tree").alias("tree"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("also"), F.sum(share).alias("rare"))
-    each = sums.withColumn("rare", F.col("rare") / F.col("copies"))
-    one = each.select("doc_id", "text_hash", "n_tokens", (F.col("known") + F.expr("also div copies")).alias("n_known"), (F.col("base") + F.col("rare")).alias("base_score"),
-                      (F.col("tree") + F.col("rare")).alias("score"), F.expr("array_repeat(0, int(copies))").alias("each"))
+        F.sum(F.when(F.col("root").isNotNull(), F.col("n")).otherwise(0)).alias("also"), F.coalesce(F.sum(F.col("n") * F.col("root")), F.lit(0.0)).alias("rare"),
+        F.coalesce(F.sum(F.col("n") * F.col("v")), F.lit(0.0)).alias("more"))
+    known = F.col("known") + F.expr("also div copies")
+    lacking = (F.col("n_tokens") - known) * F.log10(F.lit(0.5 / model.scale))
+    one = sums.select("doc_id", "text_hash", "n_tokens", known.alias("n_known"), (F.col("base") + F.col("rare") / F.col("copies") + lacking).alias("base_score"),
+                      (F.col("tree") + F.col("more") / F.col("copies") + lacking).alias("score"), F.expr("array_repeat(0, int(copies))").alias("each"))
     return one.withColumn("each", F.explode("each")).drop("each")
 
 
 def fit_and_score(docs: DataFrame, train, **options) -> tuple[DataFrame, Model]:
     """Scores of all rows by a tree of the rows for which the column ``train`` holds."""
-    learn = docs.where(train).select("text")
-    counts = cut(token_counts(learn))
-    model = fit(learn, counts, **options)
-    return score(docs, model, counts), model
+    model = fit(docs.where(train).select("text"), **options)
+    return score(docs, model), model

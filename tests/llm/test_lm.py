@@ -106,3 +106,16 @@ def test_query(spark):
         assert math.isclose(g.base_score, brute.base(r.text), rel_tol=1e-9) and math.isclose(g.score, brute.score(r.text, lm.DEPTH), rel_tol=1e-9)
     out = [g for g in got.values() if g.held_out]
     assert sum(g.score for g in out) > sum(g.base_score for g in out)
+
+
+def test_rare_contexts_are_kept_whatever_the_size_of_the_corpus(spark):
+    rnd = random.Random(7)
+    noise = [" ".join(f"w{rnd.randrange(200)}" for _ in range(20_000)) for _ in range(75)]  # 1.5 million symbols
+    rare = ["qa qb qc qd qe"] * 2  # below 2e-6 of them, with the evidence the test asks for
+    docs = spark.createDataFrame([*enumerate(noise + rare), (900, "qa qb qc qd qe")], "doc_id long, text string")
+    scored, model = lm.fit_and_score(docs, docs.doc_id < 900, evidence=5.0)
+    assert 2 < 2e-6 * model.tokens
+    got = {r.doc_id: r for r in scored.where("doc_id >= 75").collect()}
+    brute = Brute(noise + rare, lm.DEPTH, 0.0, lm.DIVERGENCE, 5.0)
+    assert math.isclose(got[900].score, brute.score("qa qb qc qd qe", lm.DEPTH), rel_tol=1e-9)
+    assert got[900].score > got[900].base_score + 5
