@@ -1,12 +1,18 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with license templates.
 
-A block is one line of a text, as the set of its words. It meets a template if it contains at least
-``threshold`` (0.9) of the template's words. The join is exact: words are ordered by how many
+A block is one line of a text, as the set of its words; or, for notices wrapped over lines, a window of
+consecutive words of two or more lines that has at most 1 / ``threshold`` times as many words as the
+template, blank lines and comment signs between them or not. A block meets a template if it contains at
+least ``threshold`` (0.9) of the template's words. Windows are looked for between lines that meet the
+template by themselves; of windows that overlap, the fullest counts, then the first, from its first word
+of the template to its last, and its line is that of its first word.
+
+The join is exact: words are ordered by how many
 blocks of the whole corpus have them, rarest first; a template is listed under its prefix, the first
 |T| - a + 1 words for a required overlap of a words, of which every block that meets it must have
 one. A listed pair goes on only if the block has at least ``a`` words of the templates (length
 filter) and the words still to come on both sides can make up the overlap (positional filter); the
-rest is counted. The templates are a parameter and go to every task; documents are not shuffled.
+rest is counted. Windows are formed only for the templates of which the text has the overlap. The templates are a parameter and go to every task; documents are not shuffled.
 
 Apart from the join, ``phrases`` are found at every place where their words stand consecutively,
 across lines.
@@ -18,7 +24,9 @@ through; columns named like the output are replaced.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
+from itertools import chain
 from math import ceil
 
 import pyarrow as pa
@@ -64,14 +72,16 @@ class Templates:
         self.words = frozenset(self.rank)
         self.need = [ceil(threshold * len(s) - 1e-9) for _, s in self.sets]
         self.least = min(self.need, default=1)
+        lengths = [len(words(t.encode())) for _, t in templates]
+        self.widths = [int(n / threshold + 1 - 1e-9) for n in lengths if n]  # longest windows, in words
         self.ordered = [sorted(self.rank[w] for w in s) for _, s in self.sets]
         self.listed: dict[int, list[tuple[int, int]]] = {}
         for t, order in enumerate(self.ordered):
             for at, rank in enumerate(order[:len(order) - self.need[t] + 1]):
                 self.listed.setdefault(rank, []).append((t, at))
 
-    def meets(self, block: list[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of every template that the block meets."""
+    def meets(self, block: list[bytes]) -> list[tuple[int, float]]:
+        """(template, containment) of every template that the block meets."""
         common = self.words.intersection(block)
         if len(common) < self.least:
             return []
@@ -87,7 +97,41 @@ class Templates:
                     continue
                 shared = len(own.intersection(self.ordered[t]))
                 if shared >= self.need[t]:
-                    out.append((self.sets[t][0], shared / len(self.ordered[t])))
+                    out.append((t, shared / len(self.ordered[t])))
+        return out
+
+    def wrapped(self, lines: list[list[bytes]], met: list[list[int]]) -> list[tuple[int, int, float]]:
+        """(line, template, containment) of the windows over lines; ``met``: the templates that each line meets."""
+        common = self.words.intersection(chain.from_iterable(lines))
+        if len(lines) < 2 or len(common) < self.least:
+            return []
+        out = []
+        for t, (_, wanted) in enumerate(self.sets):
+            if len(common & wanted) < self.need[t]:
+                continue
+            hits, at, part = [], 0, 0  # (place, line, word, part): parts are the runs between lines that meet the template
+            for i, line in enumerate(lines):
+                if t in met[i]:
+                    part += 1
+                elif not wanted.isdisjoint(line):
+                    hits += [(at + j, i, w, part) for j, w in enumerate(line) if w in wanted]
+                at += len(line)
+            found, seen, stop = [], Counter(), 0
+            for start, (place, line, word, part) in enumerate(hits):
+                while stop < len(hits) and hits[stop][0] < place + self.widths[t] and hits[stop][3] == part:
+                    seen[hits[stop][2]] += 1
+                    stop += 1
+                if len(seen) >= self.need[t] and hits[stop - 1][1] > line:
+                    found.append((-len(seen), place, hits[stop - 1][0], line))
+                seen[word] -= 1
+                if not seen[word]:
+                    del seen[word]
+            taken: list[tuple[int, int]] = []
+            for n, first, last, line in sorted(found):
+                k = bisect_left(taken, (first, last))
+                if (k == 0 or taken[k - 1][1] < first) and (k == len(taken) or taken[k][0] > last):
+                    taken.insert(k, (first, last))
+                    out.append((line, t, -n / len(wanted)))
         return out
 
 
@@ -126,13 +170,12 @@ def scan(df: DataFrame, *, templates=TEMPLATES, phrases=PHRASES, threshold: floa
         framed = [(b" " + b" ".join(words(p.encode())) + b" ", label) for p, label in phrases if words(p.encode())]
 
         def row(t: bytes):
-            n, blocks, lines = 0, [], []
-            for i, line in enumerate(t.split(b"\n")):
-                own = words(line)
-                n += len(own)
-                lines += own
-                blocks += [{"line": i, "label": label, "containment": c} for label, c in index.meets(own)]
-            joined = b" " + b" ".join(lines) + b" "
+            lines = [words(line) for line in t.split(b"\n")]
+            n = sum(map(len, lines))
+            met = [index.meets(line) for line in lines]
+            found = [(i, k, c) for i, ks in enumerate(met) for k, c in ks] + index.wrapped(lines, [[k for k, _ in ks] for ks in met])
+            blocks = [{"line": i, "label": index.sets[k][0], "containment": c} for i, k, c in sorted(found)]
+            joined = b" " + b" ".join(w for line in lines for w in line) + b" "
             found = [(at, label) for p, label in framed for at in _places(joined, p)]
             at = [a for a, _ in found]
             return n, len(at), min(at, default=None), max(at, default=None), sorted({label for _, label in found}), blocks

@@ -54,3 +54,26 @@ def test_query(spark):
         assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels) == (n, places, first, last, ",".join(base))
         assert g.labels == ",".join(sorted({*base, *(b[1] for b in blocks)}))
         assert g.score == (1.0 if places else max((b[2] for b in blocks), default=0.0))
+
+
+def test_wrapped_notices(spark):
+    mit = ("Copyright (c) someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n"
+           "of this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction")
+    apache = (" * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n"
+              " *     http://www.apache.org/licenses/LICENSE-2.0\n */")
+    gpl = ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General\n# Public License as published by")
+    short = "text\nLicensed under CC\nBY-NC 4.0. More text"
+    line = "Released under the MIT License."
+    texts = [(mit, ["mit"], [2]), (apache, ["apache-2"], [0]), (gpl, ["gpl"], [0]), (short, ["cc-by-nc"], [1]),
+             (line + "\nReleased under\nthe MIT License.\n" + line, ["mit"] * 3, [0, 1, 3]),
+             ("Licensed under CC\n" + "and many other words " * 3 + "\nBY-NC 4.0.", [], []),
+             (gpl.replace("redistribute", "sell").replace("modify", "change").replace("terms", "eyes"), [], [])]
+    for _, t in licenses.TEMPLATES:  # one word a line
+        texts.append(("\n".join(t.split()), None, [0]))
+    got = {r.i: r.blocks for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)], "i int, text string")).collect()}
+    for i, (t, labels, lines) in enumerate(texts):
+        blocks = got[i]
+        if labels is None:
+            assert any(b.label == licenses.TEMPLATES[i - 7][0] and b.containment == 1.0 for b in blocks), t
+        else:
+            assert ([b.label for b in blocks], [b.line for b in blocks]) == (labels, lines), t
