@@ -1,6 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in SQL functions only.
 
-A text's paragraphs (its lines, long ones cut after sentences) are hashed; the set of digests goes
+A text's paragraphs are hashed: its lines, long ones cut after sentences; what is still long is cut after
+the words whose hash is 0 modulo ``WORD_CUT``, then after such characters (``SIGN_CUT``, text without
+blanks), then at fixed lengths (repeated words). The places depend on the content, so what a version
+keeps of a long line keeps its digests. The set of digests goes
 into a sketch of three rows of cells, each digest into one cell of each row. A cell holds a count,
 the digests and their check hashes, both folded by exclusive or. The cells of one version subtract
 from another's, what both have cancels, and peeling recovers the rest: a cell with one digest left
@@ -38,6 +41,9 @@ ROUNDS = 6
 RANGE_ROWS = 1000
 MOST_RANGES = 10_000
 LONG = 160
+WORD_CUT = 8
+SIGN_CUT = 32
+SLICE = 100
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,9 +51,19 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Lines, and the sentences of the lines of more than ``LONG`` characters."""
+    """Lines, and the parts of those of more than ``LONG`` characters."""
+    def long(pieces: Column, finer: Callable[[Column], Column]) -> Column:
+        return F.flatten(F.transform(pieces, lambda x: F.when(F.char_length(x) <= LONG, F.array(x)).otherwise(finer(x))))
+
+    def after(units: Column, n: int) -> Column:
+        marked = F.transform(units, lambda u: F.concat(u, F.when(F.pmod(F.xxhash64(u), F.lit(n)) == 0, F.lit("\n")).otherwise(F.lit(""))))
+        return F.filter(F.split(F.array_join(marked, ""), "\n"), lambda x: x != "")  # a line holds no line end
+
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    return F.flatten(F.transform(lines, lambda x: F.when(F.char_length(x) <= LONG, F.array(x)).otherwise(F.split(x, "(?<=[.!?]) "))))
+    sentences = long(lines, lambda x: F.split(x, "(?<=[.!?]) "))
+    by_words = long(sentences, lambda x: after(F.split(x, "(?<= )"), WORD_CUT))
+    by_signs = long(by_words, lambda x: after(F.split(x, ""), SIGN_CUT))
+    return long(by_signs, lambda x: F.regexp_extract_all(x, F.lit(f"(?s).{{1,{SLICE}}}"), F.lit(0)))
 
 
 def digests(text: Column) -> Column:

@@ -88,3 +88,32 @@ def test_query(spark):
         assert (g.n_chars, g.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert g.near_edited == pytest.approx(near(text, edited)) and g.near_next == pytest.approx(near(text, following))
         assert (g.fingerprint == g.edited_fingerprint) == (parts(text) == parts(edited))
+
+
+def test_long_lines_without_sentences_keep_their_digests(spark):
+    rnd = random.Random(5)
+    prose = [f"w{rnd.randrange(3000)}" for _ in range(2000)]
+    signs = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(4000))
+    texts = [" ".join(prose), " | ".join(prose), ",".join(prose), signs, " ".join(["again"] * 3000) + " " + " ".join(prose[:200])]
+    rows = [(i, t, t[:len(t) - len(t) // 4] + "\nnew end") for i, t in enumerate(texts)] + [(9, texts[0], " ".join(f"v{w}" for w in prose))]
+    rows.append((10, texts[0], "first " + " ".join(prose[:700] + ["other"] + prose[700:])))  # places follow the content, not the start
+    rows.append((11, texts[3], "丁" + signs))
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    df = df.select("i", iblt.digests(F.col("a")).alias("a"), iblt.digests(F.col("b")).alias("b"))
+    got = {r.i: r.near for r in df.select("i", iblt.likeness(F.col("a"), F.col("b")).alias("near")).collect()}
+    assert got.pop(9) == 0.0
+    assert got[4] > 0.1 and all(near > 0.7 for i, near in got.items() if i != 4), got
+
+
+def test_query_over_the_pieces_of_long_lines(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    edits = [(i, t, t[:len(t) - len(t) // 4] + rows[(k + 1) % len(rows)][1][:len(t) // 4]) for k, (i, t) in enumerate(rows)]
+    df = spark.createDataFrame(edits, "doc_id long, a string, b string")
+    pieces = {r.doc_id: (r.a, r.b) for r in df.select("doc_id", iblt.paragraphs(F.col("a")).alias("a"), iblt.paragraphs(F.col("b")).alias("b")).collect()}
+    got = {r.doc_id: r.near_edited for r in queries.op6_iblt_fingerprints(spark, SF).collect()}
+    for i, t, _ in edits:
+        a, b = pieces[i]
+        assert "".join(a).replace(" ", "") == t.replace("\n", "").replace(" ", "") and all(len(p) <= iblt.LONG for p in a)
+        assert got[i] == pytest.approx(1 - len(set(a) ^ set(b)) / (len(set(a)) + len(set(b))))
+        assert len(t) <= iblt.LONG * 10 or got[i] > 0, i  # three quarters are unchanged
