@@ -3,7 +3,9 @@
 ``canonical`` reads JSON records. The set of nested field paths of a record (list places written
 ``[]``), kept to the paths any layout names, is hashed; the hash selects a declarative layout, which
 says where turns, roles and texts lie. A layout with optional fields is listed under the hash of
-every combination of them.
+every combination of them. A record with paths of several layouts, whose hash is unknown, has the most
+specific layout whose required paths are all there: the one with most of its paths there, then one
+that requires some, then the first; further paths are ignored, but a top-level ``system`` text stays the first turn.
 
 ``format_turns`` writes one segment for each turn: a start mark with the role, the text, an end mark.
 Control strings of this and other templates inside roles and texts are broken up by an escape
@@ -12,7 +14,7 @@ conversation in order form a text in which marks are only marks, and ``parse`` g
 exactly. The loss mask is the span of an assistant's text.
 
 Defined results: a null or missing text is empty, a null role is empty; records without a known
-layout and records that are no JSON objects give no turns and a null layout; turns keep the order of
+layout and records that are no JSON objects have no turns and are given by ``unmatched``; turns keep the order of
 their ``turn`` column (nulls first), then of their place in the record, then of role and text;
 repeated rows are repeated turns. Extra columns are dropped by ``canonical``, which names its own.
 """
@@ -81,6 +83,7 @@ def fingerprint(paths) -> str:
 class Registry:
     def __init__(self, layouts=LAYOUTS):
         self.known = {p for layout in layouts for p in layout.paths()}
+        self.layouts = tuple(layouts)
         self.by_print: dict[str, Layout] = {}
         for layout in layouts:
             fixed = [p for p in layout.paths() if p not in layout.optional]
@@ -97,8 +100,9 @@ class Registry:
             return None, None, []
         if not isinstance(record, dict):
             return None, None, []
-        key = fingerprint(field_paths(record) & self.known)
-        layout = self.by_print.get(key)
+        paths = field_paths(record) & self.known
+        key = fingerprint(paths)
+        layout = self.by_print.get(key) or self._nearest(paths)
         if layout is None:
             return key, None, []
         if layout.turns is None:
@@ -113,15 +117,25 @@ class Registry:
             items = record
             for step in layout.turns.split("."):
                 items = items[step]
-        return key, layout.name, [(layout.roles.get(r := _text(i.get(layout.role)), r), _text(i.get(layout.text))) for i in items if isinstance(i, dict)]
+        head = [("system", _text(record["system"]))] if layout.turns and "system" in paths and record["system"] is not None else []
+        return key, layout.name, head + [(layout.roles.get(r := _text(i.get(layout.role)), r), _text(i.get(layout.text))) for i in items if isinstance(i, dict)]
+
+
+    def _nearest(self, paths: set[str]) -> Layout | None:
+        def rank(layout: Layout) -> tuple[int, bool]:
+            fixed = set(layout.paths()) - set(layout.optional)
+            return (len(paths.intersection(layout.paths())), bool(fixed)) if fixed <= paths else (0, False)
+
+        best = max(self.layouts, key=rank, default=None)
+        return best if best and rank(best)[0] else None
 
 
 def _text(value) -> str:
     return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
-def canonical(records: DataFrame, *, record: str = "record", conv_id: str = "conv_id", turn: str = "turn", layouts=LAYOUTS) -> DataFrame:
-    """(conv_id, turn, place, layout, role, text): one row for each turn of each JSON record."""
+def _read(records: DataFrame, record: str, conv_id: str, turn: str, layouts) -> DataFrame:
+    """(conv_id, turn, record, schema_print, layout, turns) of each JSON record."""
 
     def start():
         registry = Registry(layouts)
@@ -133,10 +147,20 @@ def canonical(records: DataFrame, *, record: str = "record", conv_id: str = "con
         return rows
 
     own = records.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(record).alias("record"))
-    read = with_columns(own, "record", [("schema_print", "string"), ("layout", "string"), ("turns", "array<struct<role:string,text:string>>")], start)
+    return with_columns(own, "record", [("schema_print", "string"), ("layout", "string"), ("turns", "array<struct<role:string,text:string>>")], start)
+
+
+def canonical(records: DataFrame, *, record: str = "record", conv_id: str = "conv_id", turn: str = "turn", layouts=LAYOUTS) -> DataFrame:
+    """(conv_id, turn, place, layout, role, text): one row for each turn of each JSON record."""
+    read = _read(records, record, conv_id, turn, layouts)
     return read.select("conv_id", "turn", "layout", F.posexplode("turns").alias("place", "t")).select("conv_id", "turn", "place", "layout", "t.role", "t.text")
 
 
+def unmatched(records: DataFrame, *, record: str = "record", conv_id: str = "conv_id", turn: str = "turn", layouts=LAYOUTS) -> DataFrame:
+    """(conv_id, turn, record, schema_print): the records that no layout reads, of which ``canonical`` has no turns."""
+    return _read(records, record, conv_id, turn, layouts).where(F.col("layout").isNull()).select("conv_id", "turn", "record", "schema_print")
+
+
 TURN, STOP = "<|turn|>", "<|stop|>"
 ESCAPE = "␛"
 #: Marks of this template and of others: none may stand unbroken in a role or text.

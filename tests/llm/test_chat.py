@@ -71,3 +71,23 @@ def test_odd_rows(spark, tmp_path):
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/a/conversations.parquet/*.parquet'")
     assert rows(queries.op3_chat_format(spark, f"{tmp_path}/a")) == sorted((tuple(r) for r in con.execute(queries.OP3_SQL).fetchall()), key=str)
     assert [r.conv_id for r in queries.op3_chat_format(spark, f"{tmp_path}/b").collect()] == [-1]
+
+
+def test_records_with_paths_of_several_layouts(spark):
+    turns = [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]
+    shared = [{"from": "human", "value": "u"}, {"from": "gpt", "value": "a"}]
+    want = [("user", "u"), ("assistant", "a")]
+    cases = [({"instruction": "i", "input": "n", "output": "o", "text": "all of it"}, "instruction", [("user", "i\n\nn"), ("assistant", "o")]),
+             ({"system": "s", "messages": turns}, "messages", [("system", "s"), *want]),
+             ({"system": "s", "conversations": shared}, "shared conversations", [("system", "s"), *want]),
+             ({"prompt": "u", "completion": "a", "context": "c"}, "prompt", want),
+             ({"messages": turns, "prompt": "u"}, "messages", want),
+             ({"system": None, "messages": turns}, "messages", want),
+             ({"role": "user", "text": "t", "prompt": "p"}, "turn row", [("user", "t")]), ({"prompt": "p", "text": "t"}, "prompt", [("user", "p")]),
+             ({"system": "s"}, None, []), ({"other": 1}, None, [])]
+    df = spark.createDataFrame([(i, 0, json.dumps(r)) for i, (r, _, _) in enumerate(cases)] + [(90, 0, "no json"), (91, 0, None)], "conv_id long, turn int, record string")
+    got = {}
+    for r in chat.canonical(df).orderBy("conv_id", "place").collect():
+        got.setdefault(r.conv_id, []).append((r.layout, r.role, r.text))
+    assert got == {i: [(name, *t) for t in ts] for i, (_, name, ts) in enumerate(cases) if ts}
+    assert sorted((r.conv_id, r.record) for r in chat.unmatched(df).collect()) == [(8, '{"system": "s"}'), (9, '{"other": 1}'), (90, "no json"), (91, None)]
