@@ -5,7 +5,8 @@ sheet name and appends to one table. Here each yearly extract is a CSV or Parque
 the fixed schema, the year is a literal column, and the union is written once, partitioned by
 ``Year`` (the partition column replaces the reference's per-column indexes: year filters prune
 files, and the writer sorts within partitions by Brand and date so Parquet min/max statistics
-skip row groups for brand and date predicates).
+skip row groups for brand and date predicates). Month labels are trimmed; a label that does not end
+with its row's year, by which the marts are stored and joined, stops the ingest.
 """
 
 from __future__ import annotations
@@ -40,6 +41,16 @@ def read_extract(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return spark.read.format(fmt).load(path)
 
 
+def checked_months(df: DataFrame) -> DataFrame:
+    """Trimmed month labels; a row whose label or sort key is of another year than ``Year`` raises when it is read."""
+    label = F.trim("Month_and_Year")
+    year = F.expr("try_cast(right(trim(Month_and_Year), 4) AS INT)")
+    other = ~year.eqNullSafe(F.col("Year")) | F.coalesce(F.floor(F.col("Month_and_Year_Sort") / 100) != F.col("Year"), F.lit(False))
+    text = F.concat(F.lit("month label '"), label, F.lit("' ("), F.coalesce(F.col("Month_and_Year_Sort").cast("string"), F.lit("no sort key")),
+                    F.lit(") does not agree with year "), F.coalesce(F.col("Year").cast("string"), F.lit("null")))
+    return df.withColumn("Month_and_Year", F.when(label.isNotNull() & other, F.raise_error(text)).otherwise(label))
+
+
 def read_yearly(spark: SparkSession, extracts: dict[str, str], fmt: str = "parquet") -> DataFrame:
     """SRC1: one extract per labelled year -> cleaned names + literal Year -> union by name."""
     frames = []
@@ -47,12 +58,12 @@ def read_yearly(spark: SparkSession, extracts: dict[str, str], fmt: str = "parqu
         df = clean_columns(read_extract(spark, path, fmt)).withColumn("Year", F.lit(year_of_label(label)))
         frames.append(df)
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return validate(merged, SALES, "sales")
+    return checked_months(validate(merged, SALES, "sales"))
 
 
 def read_target(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """SRC2: the target extract, same cleaning and schema validation."""
-    return validate(clean_columns(read_extract(spark, path, fmt)), TARGET, "target")
+    return checked_months(validate(clean_columns(read_extract(spark, path, fmt)), TARGET, "target"))
 
 
 def write_fact(df: DataFrame, path: str, *, mode: str = "overwrite", sort_cols=("Brand", "Invoice_Date")) -> None:

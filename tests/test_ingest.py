@@ -4,6 +4,7 @@ import glob
 import os
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from salescope.session import checkpoint_dir
@@ -96,3 +97,21 @@ def test_analyze_collects_column_statistics(spark, tables):
     stats = {r["info_name"]: r["info_value"] for r in spark.sql(f"DESCRIBE EXTENDED {name} Brand").collect()}
     assert abs(int(stats["distinct_count"]) - 25) <= 2 and stats["num_nulls"] == "0"  # NDV is an HLL estimate
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_month_labels_agree_with_the_year(spark, tables):
+    root = scratch(spark, "labels")
+    rows = tables.target.where("Year = 1999").limit(5)
+    label, sort = F.col("Month_and_Year"), F.col("Month_and_Year_Sort")
+    rows.withColumn("Month_and_Year", F.concat(F.lit(" "), label, F.lit("  "))).write.parquet(f"{root}/blank")
+    got = ingest.read_target(spark, f"{root}/blank").collect()
+    assert sorted(r.Month_and_Year for r in got) == sorted(r.Month_and_Year for r in rows.collect())
+    bad = {"short": (F.lit("Jan-25"), sort), "other": (F.lit("Dec 1998"), sort), "sort": (label, sort + 100)}
+    for name, (own, key) in bad.items():
+        rows.withColumns({"Month_and_Year": own, "Month_and_Year_Sort": key.cast("int")}).write.parquet(f"{root}/{name}")
+        with pytest.raises(Exception, match="does not agree with year"):
+            ingest.read_target(spark, f"{root}/{name}").collect()
+    sales = tables.sales.where("Year = 1999").limit(5).drop("Year").withColumn("Month_and_Year", F.lit("Dec 1998"))
+    sales.write.parquet(f"{root}/sales")
+    with pytest.raises(Exception, match="does not agree with year"):
+        ingest.read_yearly(spark, {"1999 Sales": f"{root}/sales"}).collect()
