@@ -43,7 +43,7 @@ DIVERGENCE = 0.01
 EVIDENCE = 20.0
 SENT = 2e-6  # share of all symbols from which on a sequence's value is sent to the tasks
 _BASE = 0x9E3779B97F4A7C15
-_BITS = 1 << 28  # of a bitmap
+_BITS = 1 << 26  # of a bitmap: 8 MB, as each broadcast is a file at the driver and at every executor
 _PIECE = 1 << 15  # bits of a row of bitmap_construct_agg
 _BLOCK = 2_000_000  # bytes of text taken at once
 _HELD = 2_000_000  # keys that a task adds up before it sends their counts
@@ -102,10 +102,12 @@ def _listed(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _count(docs: DataFrame, text: str, length: int, shorter: np.ndarray | None, least: float) -> DataFrame:
+def _count(docs: DataFrame, text: str, length: int, shorter: np.ndarray | None, least: float, *, often: np.ndarray | None = None, whole: bool = True) -> DataFrame:
     """(key, ctx, suf, n): sequences of ``length`` symbols that occur at least ``least`` times, with the keys of the
-    sequences without their last and without their first symbol. Those with parts not in ``shorter`` are passed over."""
-    sent = docs.sparkSession.sparkContext.broadcast(shorter) if shorter is not None else None
+    sequences without their last and without their first symbol. Those with parts not in ``shorter``, or not in ``often`` themselves, are passed over;
+    without ``whole`` they are counted by key alone."""
+    sent = docs.sparkSession.sparkContext.broadcast((shorter, often))
+    columns = ["key", "ctx", "suf", "n"] if whole else ["key", "n"]
 
     def run(batches):
         hashes = _Hashes()
@@ -117,7 +119,7 @@ def _count(docs: DataFrame, text: str, length: int, shorter: np.ndarray | None,
             key, at, n = np.unique(key, return_index=True, return_counts=True)
             for i in range(0, len(key), 100_000):
                 own = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_pydict({"key": key[own].view(np.int64), "ctx": ctx[at[own]].view(np.int64), "suf": suf[at[own]].view(np.int64), "n": n[own].astype(np.int64)})
+                yield pa.RecordBatch.from_pydict({"key": key[own].view(np.int64), "ctx": ctx[at[own]].view(np.int64), "suf": suf[at[own]].view(np.int64), "n": n[own].astype(np.int64)}).select(columns)
 
         for _, own in parts(batches, text, _BLOCK):
             found = _keys([symbols(t) for t in own], hashes, length)
@@ -127,16 +129,19 @@ def _count(docs: DataFrame, text: str, length: int, shorter: np.ndarray | None,
             else:
                 near = found[-2][0]
                 places = np.flatnonzero(valid)
-                listed = _listed(sent.value, near)
+                shorter, often = sent.value
+                listed = _listed(shorter, near)
                 places = places[listed[places] & listed[places - 1]]
+                if often is not None:
+                    places = places[_listed(often, key[places])]
                 held.append((key[places], near[places - 1], near[places]))
             if sum(len(h[0]) for h in held) >= _HELD:
                 yield from counted()
         if held:
             yield from counted()
 
-    rows = docs.select(text).mapInArrow(run, "key long, ctx long, suf long, n long")
-    return rows.groupBy("key").agg(F.first("ctx").alias("ctx"), F.first("suf").alias("suf"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    rows = docs.select(text).mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+    return rows.groupBy("key").agg(*(F.first(c).alias(c) for c in columns[1:-1]), F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def _retain(longer: DataFrame, shorter: DataFrame, divergence: float, evidence: float) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +163,7 @@ def _retain(longer: DataFrame, shorter: DataFrame, divergence: float, evidence:
 
 def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE, evidence: float = EVIDENCE) -> Model:
     """The tree of the training texts."""
-    single = cut(_count(docs, text, 1, None, 1).select("key", "n"))
+    single = cut(_count(docs, text, 1, None, 1, whole=False))
     size = single.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     model = Model(single, np.zeros(0, np.uint8), size.n or 0, size.v, depth)
     least, sent = max(2.0, min_share * model.tokens), SENT * model.tokens
@@ -167,7 +172,10 @@ def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: f
     values = []
     for length in range(2, depth + 2):
         known = level.where(F.col("n") >= least)
-        longer = cut(_count(docs, text, length, _bitmap(known), least))
+        near = _bitmap(known)
+        # Most pairs occur once: they are left out by their keys, before their parts are shuffled.
+        often = _bitmap(_count(docs, text, length, near, least, whole=False)) if length == 2 else None
+        longer = cut(_count(docs, text, length, near, least, often=often))
         kept, after = _retain(longer, known, divergence, evidence)
         values.append(level.join(kept.withColumnRenamed("ctx", "key"), "key", "left").select(
             "key", "n", "root", (F.col("term") + F.coalesce(F.log10(F.col("rest") / F.col("total")), F.lit(0.0))).alias("v")))
