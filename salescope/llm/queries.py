@@ -312,12 +312,12 @@ FROM turns GROUP BY conv_id
 OP11_SQL = """
 WITH usable AS (
   SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
-    list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
-    CAST(list_sum(list_transform(range(1, len(a.v) + 1), i -> a.v[i] * r.v[i])) AS BIGINT) AS score
+    CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * r.v[i])) AS BIGINT) AS score
   FROM usable a JOIN usable r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
 ), positive AS (
   SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
@@ -326,8 +326,8 @@ WITH usable AS (
 SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
 FROM positive JOIN scored s USING (anchor_id)
 WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
-QUALIFY row_number() OVER best <= 10
 WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER best <= 10
 """
 
 
