@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from salescope.functions import dates
 from salescope.functions.expr import apply_filters, dim, money
+from salescope.sources import rollups
 
 DEFAULT_WINDOWS = (12, 24, 36, 48)
 LEVEL_COLUMN = {"brand": "Brand", "item": "Item_Code"}
@@ -38,7 +39,9 @@ def _agg(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
 def coverage_windows(sales: DataFrame, *, as_of, level: str = "company", entity: str | None = None,
                      time_windows=DEFAULT_WINDOWS, dimension: str = "Customer_Name",
                      filters: dict | None = None) -> DataFrame:
-    """Per window: distinct members of ``dimension``, SUM(Amount), distinct invoices."""
+    """Per window: distinct members of ``dimension``, SUM(Amount), distinct invoices.
+
+    ``sales`` is the fact or, where the entity and the members are among its keys, the ``item_days`` rollup."""
     member = dim(dimension)
     windows = [int(m) for m in time_windows]
     base, keys = _scope(sales, level, entity, filters)
@@ -46,10 +49,8 @@ def coverage_windows(sales: DataFrame, *, as_of, level: str = "company", entity:
     base = dates.since(base, dates.months_ago(as_of, max(windows)))
     d = F.col("Invoice_Date")
     # One scan: each row counts for its member, for its invoice and for the totals, summed before the shuffle.
-    kinds = F.array(*[F.struct(F.lit(k).alias("_kind"), v.cast("string").alias("_id")) for k, v in (
-        ("member", F.col(member)), ("invoice", F.col("Invoice_No")), ("total", F.lit("")))])
-    each = (base.select(*keys, d.alias("_d"), "Amount", F.explode(kinds).alias("_k")).select(*keys, "_d", "Amount", "_k.*")
-            .filter(F.col("_id").isNotNull()))
+    kinds = rollups.counted(base, {"member": F.col(member), "invoice": rollups.invoices(base), "total": F.lit("")})
+    each = base.select(*keys, d.alias("_d"), "Amount", F.explode(kinds).alias("_k")).select(*keys, "_d", "Amount", "_k.*")
     last, total = F.col("_last"), F.col("_kind") == "total"
     per = each.groupBy(*keys, "_kind", "_id").agg(
         F.max("_d").alias("_last"), *[F.sum(F.when(total & (F.col("_d") >= cut[m]), F.col("Amount"))).alias(f"_a{m}") for m in windows])
@@ -86,42 +87,56 @@ def coverage_brand_vs_company(sales: DataFrame, *, as_of, brand: str | None, tim
     return b.unionByName(c)
 
 
+def _loss_scope(sales: DataFrame, entity: str | None, entity_type: str, dimension: str) -> tuple[DataFrame, list[str]]:
+    """The entity's rows with a member, and the keys: (entity,) member."""
+    member, ent = dim(dimension), dim(entity_type)
+    base = sales.filter(F.col(member).isNotNull())
+    if entity is None:
+        return base.filter(F.col(ent).isNotNull()), [ent, member]
+    return base.filter(F.col(ent) == F.lit(entity)), [member]
+
+
+def lost_members(sales: DataFrame, *, as_of, entity: str | None, entity_type: str = "Brand", recent_months: int = 12,
+                 historical_months: int = 24, dimension: str = "Customer_Name") -> DataFrame:
+    """Who bought in [now-hist, now-recent) but not since, from the pruned window alone."""
+    base, keys = _loss_scope(sales, entity, entity_type, dimension)
+    c_recent, c_hist = dates.months_ago(as_of, recent_months), dates.months_ago(as_of, historical_months)
+    last = dates.since(base, F.least(c_hist, c_recent)).groupBy(*keys).agg(F.max("Invoice_Date").alias("_last"))
+    return last.filter((F.col("_last") < c_recent) & (F.col("_last") >= c_hist)).select(*keys)
+
+
 def coverage_loss(sales: DataFrame, *, as_of, entity: str | None, entity_type: str = "Brand",
                   recent_months: int = 12, historical_months: int = 24,
                   dimension: str = "Customer_Name", ordered: bool = True) -> DataFrame:
     """Members who bought in [now-hist, now-recent) but not since; their all-time figures.
 
-    One aggregate per member over all of the entity's rows: the last date decides "not since",
-    a flag decides "bought in the historical window", and every measure is all-time as in the
-    reference's re-join (which also does not limit the measures to the window).
+    Whose last purchase lies between the two cut-offs is decided first, from the pruned window alone. Every measure is
+    all-time, as in the reference's re-join, but only the rows of these members are kept for it (a semi-join), and a
+    member's sums, invoices and items are counted in one aggregate without expanding all history. ``sales`` is the fact
+    or its ``item_days`` rollup.
     """
-    member = dim(dimension)
-    ent = dim(entity_type)
-    base = sales.filter(F.col(member).isNotNull())
-    keys = [member]
-    if entity is None:
-        base = base.filter(F.col(ent).isNotNull())
-        keys = [ent, member]
-    else:
-        base = base.filter(F.col(ent) == F.lit(entity))
-    c_recent = dates.months_ago(as_of, recent_months)
-    c_hist = dates.months_ago(as_of, historical_months)
-    d = F.col("Invoice_Date")
-    g = base.groupBy(*keys).agg(
-        F.max(d).alias("Last_Purchase_Date"),
-        F.max(F.when((d >= c_hist) & (d < c_recent), F.lit(1))).alias("_hist"),
-        F.sum("Amount").alias("_sales"),
-        F.sum("Regular_Qty").alias("Historical_Qty"),
-        F.countDistinct("Invoice_No").alias("Historical_Transactions"),
-        F.countDistinct("Item_Code").alias("Items_Bought"),
+    base, keys = _loss_scope(sales, entity, entity_type, dimension)
+    gone = lost_members(sales, as_of=as_of, entity=entity, entity_type=entity_type, recent_months=recent_months,
+                        historical_months=historical_months, dimension=dimension)
+    theirs = base.join(gone, keys, "left_semi")
+    kinds = rollups.counted(theirs, {"invoice": rollups.invoices(theirs), "item": F.col("Item_Code"), "total": F.lit("")})
+    each = theirs.select(*keys, F.col("Invoice_Date").alias("_d"), "Amount", "Regular_Qty", F.explode(kinds).alias("_k")).select(*keys, "_d", "Amount", "Regular_Qty", "_k.*")
+    total = F.col("_kind") == "total"
+    per = each.groupBy(*keys, "_kind", "_id").agg(
+        F.max("_d").alias("_d"), F.sum(F.when(total, F.col("Amount"))).alias("_sales"), F.sum(F.when(total, F.col("Regular_Qty"))).alias("_qty"))
+    lost = per.groupBy(*keys).agg(
+        F.max("_d").alias("Last_Purchase_Date"),
+        F.sum("_sales").alias("_sales"),
+        F.sum("_qty").alias("Historical_Qty"),
+        F.count(F.when(F.col("_kind") == "invoice", 1)).alias("Historical_Transactions"),
+        F.count(F.when(F.col("_kind") == "item", 1)).alias("Items_Bought"),
     )
-    lost = g.filter((F.col("_hist") == 1) & (F.col("Last_Purchase_Date") < c_recent))
     out = lost.select(
         *keys, "Last_Purchase_Date", money("_sales").alias("Historical_Sales"), "Historical_Qty",
         "Historical_Transactions", "Items_Bought",
         F.datediff(dates.as_date(as_of), F.col("Last_Purchase_Date")).alias("Days_Since_Last_Purchase"),
     )
-    return out.orderBy(*keys[:-1], F.col("Historical_Sales").desc(), member) if ordered else out
+    return out.orderBy(*keys[:-1], F.col("Historical_Sales").desc(), keys[-1]) if ordered else out
 
 
 def coverage_comparison(sales: DataFrame, *, as_of, brand1: str, brand2: str, months: int = 12) -> DataFrame:

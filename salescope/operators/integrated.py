@@ -18,10 +18,10 @@ from salescope.operators import coverage, patterns, stock
 HEALTH_WINDOWS = (12, 24, 36)
 
 
-def item_health(sales: DataFrame, *, as_of, item_code: str | None = None, days_threshold: int = 30) -> DataFrame:
+def item_health(sales: DataFrame, *, as_of, item_code: str | None = None, days_threshold: int = 30, items: DataFrame | None = None) -> DataFrame:
     """H1: for every item ever sold 12-month basics + coverage (12/24/36) + 12-month pattern + OOS row + channels.
 
-    An item without a sale in the last year has no description, sales or last date, and no customer.
+    ``sales`` is the fact or its ``item_days`` rollup, ``items`` the items ever sold (without it ``sales`` lists them). An item without a sale in the last year has no description, sales or last date, and no customer.
     """
     df = sales if item_code is None else sales.filter(F.col("Item_Code") == F.lit(item_code))
     basic = dates.since(df, dates.months_ago(as_of, 12)).groupBy("Item_Code").agg(
@@ -36,7 +36,7 @@ def item_health(sales: DataFrame, *, as_of, item_code: str | None = None, days_t
                      for m in HEALTH_WINDOWS])
     cov = cov.groupBy("Item_Code").agg(F.array_sort(F.collect_list(F.struct(
         "Months", "Time_Window", "Coverage_Count", "Total_Sales", "Transaction_Count"))).alias("coverage"))
-    pat = patterns.item_pattern(df, as_of=as_of, months=12)
+    pat = patterns.item_pattern(df, as_of=as_of, months=12, item_code=item_code, items=items)
     pat = pat.select("Item_Code", F.struct(*[c for c in pat.columns if c != "Item_Code"]).alias("pattern"))
     # The all-brand OOS report, first row per item (by historical sales) as in a records lookup.
     oos = stock.oos_items(sales, as_of=as_of, days_threshold=days_threshold, ordered=False)
@@ -85,9 +85,11 @@ def supply_chain_parts(sales: DataFrame, *, as_of, brand: str, days_threshold: i
 
 
 def supply_chain_dashboard(sales: DataFrame, *, as_of, brand: str | None = None, days_threshold: int = 30,
-                           cards: tuple[str, ...] | None = None) -> DataFrame:
+                           cards: tuple[str, ...] | None = None, items: DataFrame | None = None) -> DataFrame:
     """Per brand the counts of the five lists (every brand at once when ``brand`` is None).
 
+    ``sales`` is the fact or its ``item_days`` rollup, ``items`` lists the brands ever sold (without it ``sales`` does).
+
     Each list is computed per brand in one job (brand-filtered semantics for every brand) and
     counted by brand; the counts are joined onto the brand list.
     """
@@ -97,14 +99,15 @@ def supply_chain_dashboard(sales: DataFrame, *, as_of, brand: str | None = None,
                                      ordered=False),
         "supply_issues": stock.multi_account_oos(sales, as_of=as_of, brand=brand, min_accounts=5,
                                                  days_threshold=days_threshold, ordered=False),
-        "coverage_loss": coverage.coverage_loss(src, as_of=as_of, entity=None, entity_type="Brand",
-                                                recent_months=12, historical_months=24, ordered=False),
+        "coverage_loss": coverage.lost_members(src, as_of=as_of, entity=None, entity_type="Brand",
+                                               recent_months=12, historical_months=24),
         "seasonal_items": patterns.seasonal_items(sales, as_of=as_of, brand=brand, min_sales=50000, months=24,
                                                   ordered=False),
         "anomalies": patterns.anomalies(src, as_of=as_of, months=12, per_brand=True),
     }
     names = cards or tuple(parts)
-    out = src.filter(F.col("Brand").isNotNull()).select("Brand").distinct()
+    listed = src if items is None else items if brand is None else items.filter(F.col("Brand") == F.lit(brand))
+    out = listed.filter(F.col("Brand").isNotNull()).select("Brand").distinct()
     for name in names:
         counts = parts[name].groupBy("Brand").agg(F.count(F.lit(1)).alias(f"{name}_count"))
         out = out.join(counts, "Brand", "left")

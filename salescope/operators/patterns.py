@@ -106,24 +106,31 @@ def _peaks(top: int = 3) -> Column:
                        lambda e: e["mm"])
 
 
-def _with_silent(found: DataFrame, sales: DataFrame, key: str, defaults: dict) -> DataFrame:
-    """``found`` and a row for every entity of ``sales`` without a month in the window, with ``defaults``."""
-    listed = sales.select(key).filter(F.col(key).isNotNull()).distinct().join(found, key, "left")
+def _with_silent(found: DataFrame, entities: DataFrame, key: str, defaults: dict) -> DataFrame:
+    """``found`` and a row for every one of ``entities`` without a month in the window, with ``defaults``."""
+    listed = entities.select(key).filter(F.col(key).isNotNull()).distinct().join(found, key, "left")
     return listed.select(*[F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in found.columns])
 
 
-def item_pattern(sales: DataFrame, *, as_of, months: int = 12, item_code: str | None = None) -> DataFrame:
+def item_pattern(sales: DataFrame, *, as_of, months: int = 12, item_code: str | None = None, items: DataFrame | None = None) -> DataFrame:
     """Pattern class and metrics for every item (positional monthly series over ``months``); an item
-    without a month in the window has insufficient data."""
-    df = sales if item_code is None else sales.filter(F.col("Item_Code") == F.lit(item_code))
-    return _with_silent(_active_patterns(df, as_of=as_of, months=months), df, "Item_Code", {
+    without a month in the window has insufficient data. ``items`` lists the items ever sold (the dimension); without
+    it ``sales`` does."""
+    one = lambda rows: rows if item_code is None else rows.filter(F.col("Item_Code") == F.lit(item_code))
+    df = one(sales)
+    return _with_silent(_active_patterns(df, as_of=as_of, months=months), df if items is None else one(items), "Item_Code", {
         "months_present": 0, "pattern": INSUFFICIENT, "planning_implication": IMPL_INSUFFICIENT, "is_seasonal": False,
         "has_anomalies": False, "peak_months": ""})
 
 
 def _active_patterns(df: DataFrame, *, as_of, months: int) -> DataFrame:
     """R1 for the items that have a month in the window."""
-    st = _item_sums(monthly(df, as_of=as_of, months=months, keys=["Item_Code"]))
+    return _patterns_of(monthly(df, as_of=as_of, months=months, keys=["Item_Code"]))
+
+
+def _patterns_of(series: DataFrame) -> DataFrame:
+    """R1 from the monthly sums (Item_Code, Month, Sales)."""
+    st = _item_sums(series)
     n = F.col("n")
     m, s = mean(n, F.col("sx")), std_pop(n, F.col("sx"), F.col("sxx"))
 
@@ -205,14 +212,20 @@ def seasonal_items(sales: DataFrame, *, as_of, brand: str | None = None, min_sal
     """R2: items above ``min_sales`` in the window whose pattern is flagged seasonal.
 
     Candidates are (code, desc, brand) groups (brand-filtered); the pattern is computed per
-    Item_Code over all of its rows, as the reference does, and joined back once.
+    Item_Code over all of its rows, as the reference does, for the candidates alone, and joined back once.
+    One scan: the monthly sums of all groups lie by item (an item has a row for each month and description at most),
+    which serves their totals, the candidates' series and the join without another shuffle.
     """
-    base = dates.since(sales, dates.months_ago(as_of, months))
+    detail = monthly(sales, as_of=as_of, months=months, keys=["Item_Code", "Item_Desc", "Brand"]).repartition("Item_Code")
+    detail = detail.withColumn("_total", F.sum("Sales").over(Window.partitionBy("Item_Code", "Item_Desc", "Brand")))
+    wanted = F.col("_total") > F.lit(min_sales)
     if brand:
-        base = base.filter(F.col("Brand") == F.lit(brand))
-    cand = (base.groupBy("Item_Code", "Item_Desc", "Brand").agg(F.sum("Amount").alias("_total"))
-            .filter(F.col("_total") > F.lit(min_sales)))
-    pat = _active_patterns(sales, as_of=as_of, months=months).filter(F.col("is_seasonal"))
+        wanted = wanted & (F.col("Brand") == F.lit(brand))
+    cand = detail.filter(wanted).groupBy("Item_Code", "Item_Desc", "Brand").agg(F.max("_total").alias("_total"))
+    any_wanted = F.max(F.when(wanted, 1)).over(Window.partitionBy("Item_Code"))
+    series = (detail.withColumn("_wanted", any_wanted).filter(F.col("_wanted") == 1)
+              .groupBy("Item_Code", "Month").agg(F.sum("Sales").cast("decimal(28,2)").alias("Sales")))
+    pat = _patterns_of(series).filter(F.col("is_seasonal"))
     out = cand.join(pat, "Item_Code").select(
         "Item_Code", "Item_Desc", "Brand", money("_total").alias("Total_Sales"),
         F.col("pattern").alias("Pattern"), F.col("peak_months").alias("Peak_Months"),
@@ -254,11 +267,15 @@ def anomalies(sales: DataFrame, *, as_of, brand: str | None = None, months: int
 
 
 def run_rate_stability(sales: DataFrame, *, as_of, entity: str | None = None, entity_type: str = "Brand",
-                       months: int = 12) -> DataFrame:
-    """CV class of the monthly series of every entity; mean, std, min, max monthly sales."""
-    df = sales.filter(F.col(entity_type).isNotNull())
-    if entity is not None:
-        df = df.filter(F.col(entity_type) == F.lit(entity))
+                       months: int = 12, entities: DataFrame | None = None) -> DataFrame:
+    """CV class of the monthly series of every entity; mean, std, min, max monthly sales.
+
+    ``entities`` lists the entities (a dimension); without it ``sales`` does."""
+    def known(rows: DataFrame) -> DataFrame:
+        rows = rows.filter(F.col(entity_type).isNotNull())
+        return rows if entity is None else rows.filter(F.col(entity_type) == F.lit(entity))
+
+    df = known(sales)
     series = monthly(df, as_of=as_of, months=months, keys=[entity_type])
     g = series.groupBy(entity_type).agg(
         F.count(F.lit(1)).alias("n"), F.sum("Sales").alias("sx"),
@@ -281,7 +298,7 @@ def run_rate_stability(sales: DataFrame, *, as_of, entity: str | None = None, en
         F.when(enough, money("_min")).alias("min_monthly_sales"),
         F.when(enough, money("_max")).alias("max_monthly_sales"),
     )
-    return _with_silent(found, df, entity_type, {"stability": INSUFFICIENT})
+    return _with_silent(found, df if entities is None else known(entities), entity_type, {"stability": INSUFFICIENT})
 
 
 def overstock_risk(sales: DataFrame, *, as_of, days_threshold: int = 90) -> DataFrame:

@@ -91,6 +91,7 @@ def gm_kpis(gm_perf: DataFrame) -> DataFrame:
                        F.sum("Salesmen").cast("bigint").alias("Total_Salesmen"))
 
 
+# Bands of the gauge.
 GAUGE_BANDS = [(70, "0-70"), (100, "70-100")]
 
 
@@ -122,6 +123,7 @@ def salesman_avg_top10(sp: DataFrame) -> DataFrame:
     return top(sp, 10, "Salesman", "Avg_per_Customer").select("Salesman", "Avg_per_Customer", "Customers")
 
 
+# Salesman categories.
 CATEGORY_RULES = [(70, "Needs Support"), (100, "Potential")]
 CATEGORY_LABELS = ["Stars", "Potential", "Needs Support"]
 
@@ -182,6 +184,7 @@ def account_size_distribution(ap: DataFrame) -> DataFrame:
     return label_counts(ap, cat, [b[1] for b in SIZE_BINS] + [SIZE_TOP])
 
 
+# Account health classes.
 HEALTH_RULES = [(50, "Critical"), (100, "At Risk")]
 
 
@@ -220,6 +223,7 @@ def ranked_gaps(perf: DataFrame, key: str, n: int | None, cols: list[str]) -> Da
     return g.select(key, *cols).withColumn("Rank", F.row_number().over(w))
 
 
+# Status colours.
 GM_STATUS = [(70, "red"), (100, "yellow")]
 
 
@@ -231,6 +235,7 @@ def gm_gaps(gm_perf: DataFrame) -> DataFrame:
         F.when(a < 70, F.lit("Urgent intervention")).otherwise(F.lit("Focus improvement")).alias("Action"))
 
 
+# Quadrants of gap and customers.
 QUADRANTS = ["High Gap, Few Customers", "High Gap, Many Customers", "Low Gap, Few Customers",
              "Low Gap, Many Customers"]
 

@@ -7,6 +7,8 @@ aggregates over a single pushed-down date range.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -14,6 +16,7 @@ from pyspark.sql import Window
 from salescope.functions import dates
 from salescope.functions.expr import avg_of, money, sum_when
 from salescope.functions.series import round_half_up
+from salescope.sources import rollups
 
 ITEM_KEYS = ["Item_Code", "Item_Desc", "Brand"]
 
@@ -39,39 +42,41 @@ def oos_items(sales: DataFrame, *, as_of, brand: str | None = None, days_thresho
               min_historical_sales: float = 10000, per_brand: bool = False, ordered: bool = True) -> DataFrame:
     """O1: items whose sales in the last ``days_threshold`` days fell below 0.3 x their average line.
 
-    History = [as_of - 12 months, as_of - days); recent = [as_of - days, ...). One scan, one
-    aggregate per (code, desc, brand); the recent side is joined back on ``Item_Code`` only,
-    as the reference does (an item with two descriptions fans out). ``per_brand`` also matches
-    on Brand, which gives every brand's brand-filtered result in one job.
+    History = [as_of - 12 months, as_of - days); recent = [as_of - days, ...). ``sales`` is the fact or its
+    ``item_days`` rollup, read once. A row counts for the totals of its (code, desc, brand), for its customer and for its
+    invoices, all in one aggregate, so the distinct counts need no expansion; a second one brings the three together.
+    Recent sales belong to the item whatever its description, so an item with two recent descriptions fans out: a
+    window over the item gathers these few pairs. ``per_brand`` gathers them for the item and the brand, which gives
+    every brand's brand-filtered result in one job.
     """
     c12 = dates.months_ago(as_of, 12)
     cd = dates.days_ago(as_of, days_threshold)
     d = F.col("Invoice_Date")
-    is_recent = d >= cd
     is_hist = (d >= c12) & (d < cd)
-    g = (
-        dates.since(_brand(sales, brand), F.least(c12, cd))
-        .groupBy(*ITEM_KEYS)
-        .agg(
-            F.count(F.when(is_recent, 1)).alias("_n_recent"),
-            F.sum(F.when(is_recent, F.col("Amount"))).alias("_recent_sales"),
-            F.max(F.when(is_recent, d)).alias("_last_sale"),
-            F.count(F.when(is_hist, 1)).alias("_n_hist"),
-            F.sum(F.when(is_hist, F.col("Amount"))).alias("_hist_sales"),
-            F.countDistinct(F.when(is_hist, F.col("Customer_Name"))).alias("Affected_Accounts"),
-            F.countDistinct(F.when(is_hist, F.col("Invoice_No"))).alias("Historical_Transactions"),
-            avg_of(F.when(is_hist, F.col("Amount"))).alias("Avg_Monthly_Sales"),
-            F.sum(F.when(is_hist, F.col("Regular_Qty"))).alias("Historical_Qty"),
-        )
-    )
-    hist = g.filter((F.col("_n_hist") > 0) & (F.col("_hist_sales") > F.lit(min_historical_sales))).drop(
-        "_recent_sales", "_last_sale", "_n_recent")
-    recent = g.filter(F.col("_n_recent") > 0).select(
-        F.col("Item_Code").alias("_r_code"), F.col("Brand").alias("_r_brand"), "_recent_sales", "_last_sale")
-    on = hist.Item_Code == recent._r_code
-    if per_brand:
-        on = on & (hist.Brand == recent._r_brand)
-    j = hist.join(recent, on, "left")
+    df = dates.since(_brand(sales, brand), F.least(c12, cd))
+    kinds = F.concat(F.array(F.struct(F.lit("total").alias("_kind"), F.lit("").alias("_id"))),
+                     rollups.counted(df, {"customer": F.col("Customer_Name"), "invoice": rollups.invoices(df)}, is_hist))
+    each = df.select(*ITEM_KEYS, d.alias("_d"), "Amount", "Regular_Qty", rollups.lines(df).alias("_lines"),
+                     rollups.priced_lines(df).alias("_priced"), F.explode(kinds).alias("_k")).select(
+        *ITEM_KEYS, "_d", "Amount", "Regular_Qty", "_lines", "_priced", "_k.*")
+    total = F.col("_kind") == "total"
+    now, then = total & (F.col("_d") >= cd), total & (F.col("_d") >= c12) & (F.col("_d") < cd)
+    sums = {"_n_recent": (now, "_lines"), "_recent_sales": (now, "Amount"), "_n_hist": (then, "_lines"), "_hist_sales": (then, "Amount"),
+            "_priced_hist": (then, "_priced"), "Historical_Qty": (then, "Regular_Qty")}
+    per = each.groupBy(*ITEM_KEYS, "_kind", "_id").agg(
+        *[F.sum(F.when(cond, F.col(c))).alias(name) for name, (cond, c) in sums.items()], F.max(F.when(now, F.col("_d"))).alias("_last_sale"))
+    g = per.groupBy(*ITEM_KEYS).agg(
+        *[F.sum(name).alias(name) for name in sums], F.max("_last_sale").alias("_last_sale"),
+        F.count(F.when(F.col("_kind") == "customer", 1)).alias("Affected_Accounts"),
+        F.count(F.when(F.col("_kind") == "invoice", 1)).alias("Historical_Transactions"))
+    on = ["Item_Code", "Brand"] if per_brand else ["Item_Code"]
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    recent = F.collect_list(F.when((F.col("_n_recent") > 0) & known, F.struct("_recent_sales", "_last_sale")))
+    hist = g.select("*", recent.over(Window.partitionBy(*on)).alias("_recent")).filter(
+        (F.col("_n_hist") > 0) & (F.col("_hist_sales") > F.lit(min_historical_sales)))
+    j = hist.drop("_recent_sales", "_last_sale").select(
+        "*", F.try_divide(F.col("_hist_sales").cast("double"), F.col("_priced_hist").cast("double")).alias("Avg_Monthly_Sales"),
+        F.explode_outer("_recent").alias("_r")).select("*", "_r.*")
     recent_sales = F.coalesce(money("_recent_sales"), F.lit(0.0))
     low = recent_sales < F.col("Avg_Monthly_Sales") * F.lit(LOW_SALES_FACTOR)
     zero = recent_sales == F.lit(0.0)
@@ -94,16 +99,22 @@ def oos_items(sales: DataFrame, *, as_of, brand: str | None = None, days_thresho
     return out.orderBy(F.col("Historical_Sales").desc(), F.col("Item_Code"), F.col("Item_Desc")) if ordered else out
 
 
-def decline_cause(sales: DataFrame, *, as_of, item_code: str | None = None) -> DataFrame:
-    """O2: Supply-driven / demand-driven / inconclusive per item (last 30 days vs days 30-90)."""
+def _items(listed: DataFrame, item_code: str | None) -> DataFrame:
+    rows = listed if item_code is None else listed.filter(F.col("Item_Code") == F.lit(item_code))
+    return rows.select("Item_Code").distinct()
+
+
+def decline_cause(sales: DataFrame, *, as_of, item_code: str | None = None, items: DataFrame | None = None) -> DataFrame:
+    """O2: Supply-driven / demand-driven / inconclusive per item (last 30 days vs days 30-90).
+
+    ``items`` lists the items ever sold (the dimension); without it ``sales`` does."""
     c30 = dates.days_ago(as_of, 30)
     c90 = dates.days_ago(as_of, 90)
     d = F.col("Invoice_Date")
     df = sales if item_code is None else sales.filter(F.col("Item_Code") == F.lit(item_code))
-    # Every item ever sold gets a verdict; only the last 90 days need measures. The item list reads
-    # one column of the whole table; the measures read the pruned 90-day slice, via per-customer
-    # flags (no multi-distinct expansion). Both sides are partitioned by Item_Code for the join.
-    items = df.select("Item_Code").distinct()
+    # Every item ever sold gets a verdict; only the last 90 days need measures, which come from the pruned 90-day
+    # slice via per-customer flags (no multi-distinct expansion). Both sides are partitioned by Item_Code for the join.
+    listed = _items(sales if items is None else items, item_code)
     per_cust = dates.since(df, c90).groupBy("Item_Code", "Customer_Name").agg(
         F.sum(F.when(d >= c30, F.col("Amount"))).alias("_r"),
         F.sum(F.when(d < c30, F.col("Amount"))).alias("_h"),
@@ -115,7 +126,7 @@ def decline_cause(sales: DataFrame, *, as_of, item_code: str | None = None) -> D
         F.count(F.when(F.col("Customer_Name").isNotNull() & (F.col("_rc") == 1), 1)).alias("rc"),
         F.count(F.when(F.col("Customer_Name").isNotNull() & (F.col("_hc") == 1), 1)).alias("hc"),
     )
-    g = items.join(recent, "Item_Code", "left").select(
+    g = listed.join(recent, "Item_Code", "left").select(
         "Item_Code",
         F.coalesce(F.col("_rs"), F.lit(0)).alias("rs"), F.coalesce(F.col("_hs"), F.lit(0)).alias("hs"),
         F.coalesce(F.col("rc"), F.lit(0)).alias("rc"), F.coalesce(F.col("hc"), F.lit(0)).alias("hc"))
@@ -195,7 +206,7 @@ def multi_account_oos(sales: DataFrame, *, as_of, brand: str | None = None, min_
     return out.orderBy(F.col("Stopped_Accounts").desc(), F.col("Lost_Sales_Potential").desc(), F.col("Item_Code"))
 
 
-def oos_impact(sales: DataFrame, *, as_of, oos_days: int = 30, item_code: str | None = None) -> DataFrame:
+def oos_impact(sales: DataFrame, *, as_of, oos_days: int = 30, item_code: str | None = None, items: DataFrame | None = None) -> DataFrame:
     """Mean (day, customer) sales x days, affected customers, 12-month sales, for every item ever sold."""
     c12 = dates.months_ago(as_of, 12)
     df = sales if item_code is None else sales.filter(F.col("Item_Code") == F.lit(item_code))
@@ -210,6 +221,5 @@ def oos_impact(sales: DataFrame, *, as_of, oos_days: int = 30, item_code: str |
         money(F.sum("daily_sales")).alias("Annual_Sales"),
     )
     # Items silent for a year are the ones in question: they stay, without an estimate.
-    items = df.select("Item_Code").distinct()
-    return items.join(figures, "Item_Code", "left").withColumn(
+    return _items(sales if items is None else items, item_code).join(figures, "Item_Code", "left").withColumn(
         "Affected_Customers", F.coalesce("Affected_Customers", F.lit(0).cast("bigint")))

@@ -30,38 +30,38 @@ FROM judged JOIN verdict ON nothing_sold = (late_total = 0)
 WHERE late_total < mean_line * 0.3
 """
 
+# What customers spent on an item in each of the two spans; the labels' conditions stand beside them, first fit first.
 DECLINE_CAUSE = f"""
-WITH per_item AS (
-  SELECT Item_Code,
-         SUM(CASE WHEN Invoice_Date >= {D30} THEN Amount ELSE 0 END) AS rs,
-         SUM(CASE WHEN Invoice_Date >= {D90} AND Invoice_Date < {D30} THEN Amount ELSE 0 END) AS hs,
-         COUNT(DISTINCT CASE WHEN Invoice_Date >= {D30} THEN Customer_Name END) AS rc,
-         COUNT(DISTINCT CASE WHEN Invoice_Date >= {D90} AND Invoice_Date < {D30} THEN Customer_Name END) AS hc
-  FROM sales GROUP BY Item_Code
+WITH slice AS (
+  SELECT Item_Code, if(Invoice_Date >= {D30}, 'month', 'before') AS span, sum(Amount) AS spent, count(DISTINCT Customer_Name) AS buyers
+  FROM sales WHERE Invoice_Date >= {D90} GROUP BY ALL
+), figures AS (
+  SELECT Item_Code, coalesce(m.spent, 0) AS m_spent, coalesce(m.buyers, 0) AS m_buyers, coalesce(b.spent, 0) AS b_spent, coalesce(b.buyers, 0) AS b_buyers
+  FROM (SELECT DISTINCT Item_Code FROM sales) LEFT JOIN (FROM slice WHERE span = 'month') m USING (Item_Code)
+  LEFT JOIN (FROM slice WHERE span = 'before') b USING (Item_Code)
+), verdict AS (
+  SELECT Item_Code, 1 AS place, 'Supply-Driven (High Probability OOS) - Sudden zero sales' AS label FROM figures WHERE m_spent = 0 AND b_spent > 1000
+  UNION ALL SELECT Item_Code, 2, 'Supply-Driven (Widespread Stoppage) - All accounts stopped buying' FROM figures WHERE m_buyers = 0 AND b_buyers >= 6
+  UNION ALL SELECT Item_Code, 3, 'Demand-Driven (Declining Trend) - Sales dropped but not zero' FROM figures WHERE m_spent > 0 AND b_spent > 2 * m_spent
+  UNION ALL SELECT Item_Code, 4, 'Inconclusive - Needs manual check' FROM figures
 )
-SELECT Item_Code AS Item,
-       CASE WHEN hs > 1000 AND rs = 0 THEN 'Supply-Driven (High Probability OOS) - Sudden zero sales'
-            WHEN hc > 5 AND rc = 0 THEN 'Supply-Driven (Widespread Stoppage) - All accounts stopped buying'
-            WHEN hs > 0 AND rs < hs / 2 AND rs > 0 THEN 'Demand-Driven (Declining Trend) - Sales dropped but not zero'
-            ELSE 'Inconclusive - Needs manual check' END AS Cause
-FROM per_item
+SELECT Item_Code AS Item, arg_min(label, place) AS Cause FROM verdict GROUP BY Item_Code
 """
 
+# A channel's last month against its eleven before; channels without sales in the eleven are left out.
 CHANNEL_OOS = f"""
-WITH g AS (
-  SELECT Item_Code, Channel,
-         SUM(CASE WHEN Invoice_Date >= {D30} THEN Amount ELSE 0 END) AS rs,
-         SUM(CASE WHEN Invoice_Date >= {M12} AND Invoice_Date < {D30} THEN Amount ELSE 0 END) AS hs,
-         COUNT(DISTINCT CASE WHEN Invoice_Date >= {D30} THEN Customer_Name END) AS Recent_Customers,
-         COUNT(DISTINCT CASE WHEN Invoice_Date >= {M12} AND Invoice_Date < {D30} THEN Customer_Name END)
-           AS Historical_Customers
-  FROM sales GROUP BY Item_Code, Channel
-  HAVING SUM(CASE WHEN Invoice_Date >= {M12} AND Invoice_Date < {D30} THEN Amount ELSE 0 END) > 0
+WITH slice AS (
+  SELECT Item_Code, Channel, Invoice_Date >= {D30} AS late, sum(Amount) AS spent, count(DISTINCT Customer_Name) AS buyers
+  FROM sales WHERE Invoice_Date >= {M12} GROUP BY ALL
+), pair AS (
+  SELECT e.Item_Code, e.Channel, e.spent AS before, e.buyers AS buyers_before, coalesce(l.spent, 0) AS after, coalesce(l.buyers, 0) AS buyers_after
+  FROM (FROM slice WHERE NOT late AND spent > 0) e
+  LEFT JOIN (FROM slice WHERE late) l ON l.Item_Code = e.Item_Code AND l.Channel IS NOT DISTINCT FROM e.Channel
 )
-SELECT Item_Code, Channel, {dbl('rs')} AS Recent_Sales, {dbl('hs')} AS Historical_Sales,
-       Recent_Customers, Historical_Customers, (hs > 0 AND rs = 0) AS OOS_Risk,
-       {rhu(f"({dbl('hs')} - {dbl('rs')}) / {dbl('hs')} * 100.0", 2)} AS Sales_Drop_Pct
-FROM g
+SELECT Item_Code, Channel, {dbl('after')} AS Recent_Sales, {dbl('before')} AS Historical_Sales, buyers_after AS Recent_Customers,
+       buyers_before AS Historical_Customers, after = 0 AS OOS_Risk,
+       {rhu(f"({dbl('before')} - {dbl('after')}) / {dbl('before')} * 100.0", 2)} AS Sales_Drop_Pct
+FROM pair
 """
 
 # An account has stopped on an item if its last purchase is older than 30 days; what it spent on the item's code

@@ -45,11 +45,11 @@ def run_on(tables: Tables, spark: SparkSession, key: str, sf_dir: str = "") -> D
 
 
 # ---- out-of-stock -------------------------------------------------------------------------------
-register("oos_items")(lambda t, s, d: stock.oos_items(t.sales, as_of=P.AS_OF, days_threshold=P.DAYS))
-register("decline_cause")(lambda t, s, d: stock.decline_cause(t.sales, as_of=P.AS_OF))
-register("channel_oos")(lambda t, s, d: stock.channel_oos(t.sales, as_of=P.AS_OF, days_threshold=P.DAYS))
-register("multi_account_oos")(lambda t, s, d: stock.multi_account_oos(t.sales, as_of=P.AS_OF))
-register("oos_impact")(lambda t, s, d: stock.oos_impact(t.sales, as_of=P.AS_OF, oos_days=P.DAYS))
+register("oos_items")(lambda t, s, d: stock.oos_items(t.item_days, as_of=P.AS_OF, days_threshold=P.DAYS))
+register("decline_cause")(lambda t, s, d: stock.decline_cause(t.item_days, as_of=P.AS_OF, items=t.items))
+register("channel_oos")(lambda t, s, d: stock.channel_oos(t.item_days, as_of=P.AS_OF, days_threshold=P.DAYS))
+register("multi_account_oos")(lambda t, s, d: stock.multi_account_oos(t.item_days, as_of=P.AS_OF))
+register("oos_impact")(lambda t, s, d: stock.oos_impact(t.item_days, as_of=P.AS_OF, oos_days=P.DAYS, items=t.items))
 
 # ---- marts and catalog --------------------------------------------------------------------------
 register("sales_summary")(lambda t, s, d: t.sales_summary.select(
@@ -110,18 +110,20 @@ register("coverage_windows")(lambda t, s, d: coverage.coverage_windows(t.sales,
 register("coverage_windows_brand")(lambda t, s, d: coverage.coverage_windows(t.sales, as_of=P.AS_OF, level="brand"))
 register("coverage_brand_vs_company")(
     lambda t, s, d: coverage.coverage_brand_vs_company(t.sales, as_of=P.AS_OF, brand=None))
-register("coverage_loss")(lambda t, s, d: coverage.coverage_loss(t.sales, as_of=P.AS_OF, entity=None))
+register("coverage_loss")(lambda t, s, d: coverage.coverage_loss(t.item_days, as_of=P.AS_OF, entity=None))
 register("coverage_comparison")(lambda t, s, d: coverage.coverage_comparison(
     t.sales, as_of=P.AS_OF, brand1=P.BRAND, brand2=P.BRAND2))
 register("new_lost_retained")(lambda t, s, d: coverage.new_lost_retained(t.sales, as_of=P.AS_OF, entity=None))
 
 # ---- run-rate and patterns ----------------------------------------------------------------------
-register("item_pattern")(lambda t, s, d: patterns.item_pattern(t.sales, as_of=P.AS_OF, months=P.ITEM_MONTHS))
+register("item_pattern")(lambda t, s, d: patterns.item_pattern(
+    t.item_days, as_of=P.AS_OF, months=P.ITEM_MONTHS, items=t.items))
 register("item_monthly_data")(
-    lambda t, s, d: patterns.item_monthly_data(t.sales, as_of=P.AS_OF, months=P.ITEM_MONTHS))
-register("seasonal_items")(lambda t, s, d: patterns.seasonal_items(t.sales, as_of=P.AS_OF, months=P.ITEM_MONTHS))
-register("anomalies")(lambda t, s, d: patterns.anomalies(t.sales, as_of=P.AS_OF, months=P.ITEM_MONTHS))
-register("run_rate_stability")(lambda t, s, d: patterns.run_rate_stability(t.sales, as_of=P.AS_OF, months=12))
+    lambda t, s, d: patterns.item_monthly_data(t.item_days, as_of=P.AS_OF, months=P.ITEM_MONTHS))
+register("seasonal_items")(lambda t, s, d: patterns.seasonal_items(t.item_days, as_of=P.AS_OF, months=P.ITEM_MONTHS))
+register("anomalies")(lambda t, s, d: patterns.anomalies(t.item_days, as_of=P.AS_OF, months=P.ITEM_MONTHS))
+register("run_rate_stability")(lambda t, s, d: patterns.run_rate_stability(
+    t.item_days, as_of=P.AS_OF, months=12, entities=t.items))
 register("overstock_risk")(lambda t, s, d: patterns.overstock_risk(t.sales, as_of=P.AS_OF, days_threshold=90))
 
 # ---- report pages (over the four performance views of the report year) -------------------------
@@ -176,12 +178,12 @@ register("gm_scatter")(lambda t, s, d: reports.gm_scatter(_gp(t)))
 register("salesman_scatter")(lambda t, s, d: reports.salesman_scatter(_sp(t)))
 
 # ---- integrated reports -------------------------------------------------------------------------
-register("item_health")(lambda t, s, d: integrated.health_columns(integrated.item_health(t.sales, as_of=P.AS_OF)))
-register("supply_chain_dashboard")(lambda t, s, d: integrated.supply_chain_dashboard(t.sales, as_of=P.AS_OF))
+register("item_health")(lambda t, s, d: integrated.health_columns(integrated.item_health(t.item_days, as_of=P.AS_OF, items=t.items)))
+register("supply_chain_dashboard")(lambda t, s, d: integrated.supply_chain_dashboard(t.item_days, as_of=P.AS_OF, items=t.items))
 register("dashboard_counts")(lambda t, s, d: integrated.supply_chain_dashboard(
-    t.sales, as_of=P.AS_OF, brand=P.BRAND, cards=("oos_items", "supply_issues", "coverage_loss", "seasonal_items")))
+    t.item_days, as_of=P.AS_OF, brand=P.BRAND, items=t.items, cards=("oos_items", "supply_issues", "coverage_loss", "seasonal_items")))
 register("coverage_windows_item")(lambda t, s, d: coverage.coverage_windows(
-    t.sales, as_of=P.AS_OF, level="item", time_windows=(12, 24, 36)))
+    t.item_days, as_of=P.AS_OF, level="item", time_windows=(12, 24, 36)))
 
 # ---- question tagging over templates crossed with every brand and item, and the conversations' user turns ------
 _QK = ["qid"]
@@ -203,10 +205,10 @@ register("q_years")(lambda t, s, d: questions.tag_rules(_questions(s, d)).select
 register("q_days")(_tag("Days"))
 register("q_is_classification")(_tag("Is_Classification"))
 register("q_overstock_route")(_tag("Overstock_Route"))
-register("q_brand")(lambda t, s, d: questions.detect_brand(_questions(s, d), t.sales, _QK))
-register("q_item")(lambda t, s, d: questions.detect_item(_questions(s, d), t.sales, _QK))
-register("q_auto_context")(lambda t, s, d: questions.auto_context(_questions(s, d), t.sales, _QK))
-register("q_route")(lambda t, s, d: questions.route(_questions(s, d), t.sales, _QK))
+register("q_brand")(lambda t, s, d: questions.detect_brand(_questions(s, d), t.items, _QK))
+register("q_item")(lambda t, s, d: questions.detect_item(_questions(s, d), t.items, _QK))
+register("q_auto_context")(lambda t, s, d: questions.auto_context(_questions(s, d), t.items, _QK))
+register("q_route")(lambda t, s, d: questions.route(_questions(s, d), t.items, _QK))
 
 # ---- SQL surface and documented questions -------------------------------------------------------
 _B = dict(brand=P.BRAND, year1=P.YEAR1, year2=P.YEAR2)
@@ -221,7 +223,7 @@ register("top10_brands")(lambda t, s, d: sqlsurface.top10_brands(s, t))
 register("top_bottom_n")(lambda t, s, d: sqlsurface.top_bottom_n(
     t, entity="Salesman", year=P.REPORT_YEAR, n=10, bottom=True))
 register("adhoc_sql")(lambda t, s, d: sqlsurface.adhoc_sql(s, t, ADHOC_SQL, {"year": P.REPORT_YEAR}))
-register("never_bought_brand")(lambda t, s, d: sqlsurface.never_bought_brand(t.sales, brand=P.BRAND))
+register("never_bought_brand")(lambda t, s, d: sqlsurface.never_bought_brand(t.accounts, brand=P.BRAND))
 register("items_lost_coverage")(lambda t, s, d: sqlsurface.items_lost_coverage(t.sales, as_of=P.AS_OF))
 register("underperforming_channels")(lambda t, s, d: sqlsurface.underperforming_channels(t.sales, **_G))
 register("items_not_repeated")(lambda t, s, d: sqlsurface.items_not_repeated(t.sales))

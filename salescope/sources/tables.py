@@ -1,8 +1,8 @@
 """The four-table holder every operator takes.
 
-``star_tables`` derives all four lazily from the star-schema test data; ``load_tables`` reads
-them from a stored layout (``sales`` and ``target`` partitioned by ``Year``, summaries beside
-them) as written by :func:`salescope.sources.ingest.write_tables`.
+``star_tables`` derives all lazily from the star-schema test data; ``load_tables`` reads them from a stored layout
+(``sales`` and ``target`` partitioned by ``Year`` and load, summaries, rollup and dimensions beside them) as written by
+:func:`salescope.sources.ingest.write_tables` and :func:`salescope.sources.ingest.append_load`.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salescope.sources import fixtures, marts
+from salescope.sources import fixtures, marts, rollups
 from salescope.sources.schema import SALES, TARGET, validate
 
 TABLE_NAMES = ("sales", "target", "sales_summary", "target_summary")
@@ -23,12 +23,16 @@ class Tables:
     target: DataFrame
     sales_summary: DataFrame
     target_summary: DataFrame
+    item_days: DataFrame  # sales by item, customer, channel and day
+    items: DataFrame  # items ever sold, by year
+    accounts: DataFrame  # customers and the brands they bought, by year
 
     @classmethod
     def from_facts(cls, sales: DataFrame, target: DataFrame) -> "Tables":
         sales = validate(sales, SALES, "sales")
         target = validate(target, TARGET, "target")
-        return cls(sales, target, marts.sales_summary(sales), marts.target_summary(target))
+        return cls(sales, target, marts.sales_summary(sales), marts.target_summary(target),
+                   rollups.item_days(sales), rollups.items(sales), rollups.accounts(sales))
 
     def register(self, spark: SparkSession) -> "Tables":
         """Expose the four tables as temp views for the SQL surface."""
@@ -45,7 +49,7 @@ def star_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 def load_tables(spark: SparkSession, root: str) -> Tables:
     root = root.rstrip("/")
-    sales = validate(spark.read.parquet(f"{root}/sales"), SALES, "sales")
-    target = validate(spark.read.parquet(f"{root}/target"), TARGET, "target")
-    return Tables(sales, target, spark.read.parquet(f"{root}/sales_summary"),
-                  spark.read.parquet(f"{root}/target_summary"))
+    sales = validate(spark.read.parquet(f"{root}/sales").drop("load"), SALES, "sales")
+    target = validate(spark.read.parquet(f"{root}/target").drop("load"), TARGET, "target")
+    beside = [spark.read.parquet(f"{root}/{name}") for name in ("sales_summary", "target_summary", "item_days", "items", "accounts")]
+    return Tables(sales, target, *beside)

@@ -48,7 +48,7 @@ def test_stored_layout_round_trip(spark, tables):
     stored = load_tables(spark, root)
     for name in TABLE_NAMES:
         assert getattr(stored, name).count() == getattr(tables, name).count(), name
-    assert glob.glob(f"{root}/sales/Year=2000/*.parquet")
+    assert glob.glob(f"{root}/sales/Year=2000/*/*.parquet")
 
 
 def test_csv_export_has_header(spark, tables):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from salescope.operators import questions as N
 
+# Questions with the tag they must get.
 FOCUS_CASES = [
     ("give me the reason why OBG is Growing in 2025 vs 2024", "growing"),
     ("Why is DUP declining in 2025?", "declining"),
@@ -22,6 +23,7 @@ FOCUS_CASES = [
     ("Compare OBG 2024 vs 2025", "all"),
 ]
 
+# Questions with the tag they must get.
 INTENT_CASES = [
     ("What is DUP brand coverage in the last 12 months?", "coverage"),
     ("Which accounts stopped buying DUP?", "coverage_loss"),
