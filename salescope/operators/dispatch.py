@@ -17,7 +17,7 @@ def answer(question: str, t: Tables, *, as_of) -> dict:
     an error.
     """
     spark = t.sales.sparkSession
-    r = questions.route(spark.createDataFrame([(0, question)], "qid int, question string"), t.sales, ["qid"]).first().asDict()
+    r = questions.route(spark.createDataFrame([(0, question)], "qid int, question string"), t.items, ["qid"], t.brand_names, t.item_grams).first().asDict()
     data, also = run_route(r, t, as_of=as_of)
     return {"route": r, "data": data, "also": also}
 

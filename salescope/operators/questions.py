@@ -1,10 +1,9 @@
 """Question tagging (N1-N12) as one Spark job over a questions table ``(qid..., question)``.
 
-Each tag is a column expression over the lower-cased question, except the two dictionary
-lookups (brand N3/N10, item N4), which are equi-joins between candidate substrings of the
-questions and the brand / item dictionaries derived from ``sales``. Candidates are generated
-only for the string lengths present in the dictionary (a small broadcast side), and word
-boundaries are tested on the matches only, so no question x dictionary product is formed.
+Each tag is a column expression over the lower-cased question, except the two dictionary lookups (brand N3/N10,
+item N4), which are equi-joins between parts of the questions and indexes of names (``sources/names.py``): tokens that a
+name begins with, or a name's rarest run of characters. A question gives rows in proportion to its length, and no
+question x dictionary product is formed.
 """
 
 from __future__ import annotations
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salescope.functions.text import any_keyword, first_label, is_word_char
+from salescope.session import written
+from salescope.sources import names
 
 Q = "question"
 
@@ -159,10 +160,10 @@ def tag_rules(questions: DataFrame) -> DataFrame:
 
 # ---- dictionary lookups -------------------------------------------------------------------------
 
-def brand_dictionary(sales: DataFrame) -> DataFrame:
-    """Distinct non-NULL brands with their lower-case form and length."""
-    b = sales.select("Brand").filter(F.col("Brand").isNotNull() & (F.col("Brand") != "")).distinct()
-    return b.select("Brand", F.lower("Brand").alias("_key")).withColumn("_len", F.length("_key"))
+def _names(brands: DataFrame) -> DataFrame:
+    """The index of brand names, made here where ``brands`` is a table with brands only."""
+    index = brands if "gram" in brands.columns else names.brand_names(brands)
+    return index.select("Brand", "name", "first", "n_tokens", "gram").distinct()
 
 
 def _alias_expr(aliases: list[tuple[str, str]]) -> Column:
@@ -172,29 +173,44 @@ def _alias_expr(aliases: list[tuple[str, str]]) -> Column:
     return expr
 
 
-def _dictionary_hits(questions: DataFrame, keys: list[str], dictionary: DataFrame, *, whole_word: bool) -> DataFrame:
-    """(keys, Brand, _len) for every dictionary entry found in the lower-cased question."""
-    lengths = dictionary.agg(F.collect_set("_len").alias("_lens"))  # one row, no longer than the longest name
-    q = questions.select(*keys, lower_q().alias("_ql"))
-    q = q.crossJoin(F.broadcast(lengths))
-    q = q.select(*keys, "_ql", F.explode(F.filter("_lens", lambda n: n <= F.length("_ql"))).alias("_len"))
-    ql, ln = F.col("_ql"), F.col("_len")
+def _whole_word_hits(questions: DataFrame, keys: list[str], index: DataFrame) -> DataFrame:
+    """(keys, Brand, _len) for every name that stands in the lower-cased question as whole words.
 
-    def at(s: Column) -> Column:
-        return F.struct(
-            ql.substr((s + 1).cast("int"), ln.cast("int")).alias("_key"),
-            ql.substr(s.cast("int"), F.when(s > 0, F.lit(1)).otherwise(F.lit(0))).alias("_prev"),  # char before
-            ql.substr((s + ln + 1).cast("int"), F.lit(1)).alias("_next"))  # char after ('' at the end)
-
-    # Only the candidates are exploded, not the question beside each of them; for whole words only those at boundaries.
-    found = F.transform(F.sequence(F.lit(0), F.length(ql) - ln), at)
-    if whole_word:
-        found = F.filter(found, lambda c: is_word_char(c["_prev"]) != is_word_char(F.substring(c["_key"], 1, 1)))
-    cand = q.select(*keys, "_len", F.explode(found).alias("_c")).select(*keys, "_len", "_c.*")
-    hits = cand.join(dictionary, ["_len", "_key"])
-    if whole_word:  # word boundary at both ends, tested on the matches only
-        hits = hits.filter(is_word_char(F.expr("substring(_key, -1, 1)")) != is_word_char(F.col("_next")))
-    return hits.select(*keys, "Brand", "_len").distinct()
+    One row for each token of a question, with the few tokens that a name may take. Those that no name begins with go
+    first; the others give one candidate for each number of tokens that a name with this first one has. A name that begins
+    or ends with another character than a word character has a boundary there only beside a word character.
+    """
+    longest = index.agg(F.max("n_tokens").alias("_most"))  # one row
+    starts = index.groupBy("first").agg(F.collect_set("n_tokens").alias("_sizes"))
+    words = questions.select(*keys, names.tokens(lower_q()).alias("_t")).crossJoin(F.broadcast(longest))
+    t = F.col("_t")
+
+    def at(token: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.try_element_at(t, i)).otherwise(F.lit(""))
+        return F.struct(token.alias("first"), F.slice(t, i + 1, F.col("_most") + 1).alias("w"), is_word_char(F.right(before, F.lit(1))).alias("after_word"))
+
+    each = words.select(*keys, F.explode(F.transform(t, at)).alias("_at")).select(*keys, "_at.*")
+    spans = each.join(starts, "first").select(*keys, "w", "after_word", F.explode("_sizes").alias("_n")).filter(F.col("_n") <= F.size("w"))
+    after = F.coalesce(F.try_element_at("w", F.col("_n") + 1), F.lit(""))
+    spans = spans.select(*keys, F.array_join(F.slice("w", F.lit(1), F.col("_n")), "").alias("name"), "after_word",
+                         is_word_char(F.left(after, F.lit(1))).alias("before_word"))
+    hits = spans.join(index, "name")
+    edges = (F.col("after_word") != is_word_char(F.left("name", F.lit(1)))) & (F.col("before_word") != is_word_char(F.right("name", F.lit(1))))
+    return hits.filter(edges).select(*keys, "Brand", F.length("name").alias("_len")).distinct()
+
+
+def _substring_hits(questions: DataFrame, keys: list[str], index: DataFrame) -> DataFrame:
+    """(keys, Brand, _len) for every name contained in the lower-cased question.
+
+    Names are found by their rarest run of characters, so a question gives as many rows as it has runs; whether the
+    name is contained is then tested on those alone.
+    """
+    sizes = index.agg(F.collect_set(F.length("gram")).alias("_sizes"))  # one row, at most GRAM numbers
+    asked = questions.select(*keys, lower_q().alias("_ql"))
+    runs = F.flatten(F.transform("_sizes", lambda n: names.grams(F.col("_ql"), n)))
+    found = asked.crossJoin(F.broadcast(sizes)).select(*keys, F.explode(runs).alias("gram")).join(index, "gram")
+    found = found.select(*keys, "Brand", "name").distinct().join(asked, keys)
+    return found.filter(F.col("_ql").contains(F.col("name"))).select(*keys, "Brand", F.length("name").alias("_len")).distinct()
 
 
 def _longest(hits: DataFrame, keys: list[str], out: str) -> DataFrame:
@@ -203,18 +219,20 @@ def _longest(hits: DataFrame, keys: list[str], out: str) -> DataFrame:
     return best.select(*keys, F.col("_m.b").alias(out))
 
 
-def detect_brand(questions: DataFrame, sales: DataFrame, keys: list[str]) -> DataFrame:
-    """Alias first (listed order), else the longest brand matched as a whole word."""
-    hits = _dictionary_hits(questions, keys, brand_dictionary(sales), whole_word=True)
+def detect_brand(questions: DataFrame, brands: DataFrame, keys: list[str]) -> DataFrame:
+    """Alias first (listed order), else the longest brand matched as a whole word.
+
+    ``brands`` is the index of names, or any table with brands."""
+    hits = _whole_word_hits(questions, keys, _names(brands))
     found = _longest(hits, keys, "_dict")
     return (questions.select(*keys, _alias_expr(BRAND_ALIASES).alias("_alias"))
             .join(found, keys, "left")
             .select(*keys, F.coalesce("_alias", "_dict").alias("Brand")))
 
 
-def auto_context(questions: DataFrame, sales: DataFrame, keys: list[str]) -> DataFrame:
+def auto_context(questions: DataFrame, brands: DataFrame, keys: list[str]) -> DataFrame:
     """Brand (alias, else a brand contained anywhere), years from a fixed list, analysis type."""
-    hits = _dictionary_hits(questions, keys, brand_dictionary(sales), whole_word=False)
+    hits = _substring_hits(questions, keys, _names(brands))
     found = _longest(hits, keys, "_dict")
     ql = lower_q()
     yrs = F.filter(F.array(*[F.when(ql.contains(str(y)), F.lit(y)) for y in AUTO_YEARS]), lambda y: y.isNotNull())
@@ -226,47 +244,35 @@ def auto_context(questions: DataFrame, sales: DataFrame, keys: list[str]) -> Dat
         *keys, F.coalesce("_alias", "_dict").alias("Brand"), "Years", "Analysis_Type")
 
 
-def item_dictionary(sales: DataFrame) -> DataFrame:
-    return sales.select("Item_Code", "Item_Desc").filter(F.col("Item_Code").isNotNull()).distinct()
-
-
-def detect_item(questions: DataFrame, sales: DataFrame, keys: list[str]) -> DataFrame:
+def detect_item(questions: DataFrame, items: DataFrame, keys: list[str], grams: DataFrame | None = None) -> DataFrame:
     """Quoted text as exact code/description, then (if longer than 4) as a description
     substring, then dashed codes in the question; first hit in that order; the smallest matching
     Item_Code stands in for the reference's unordered ``LIMIT 1``.
 
-    A quoted text without an exact match is looked up as a substring through its rarest 5-character window among
-    the descriptions, so that the words all descriptions share bring no pairs; containment is then verified.
+    ``items`` is the dimension, or any table with items; ``grams`` its index of character runs (made here without it).
+    The quoted texts and codes are written once. A quoted text without an exact match is looked up under its rarest
+    run of characters, so that the words all descriptions share bring no pairs; containment is then verified.
     """
-    items = item_dictionary(sales)
-    quoted = questions.select(*keys, F.posexplode(F.regexp_extract_all(F.col(Q), F.lit(QUOTED_PATTERN), F.lit(1)))
-                              .alias("_pos", "_q"))
-    by_code = quoted.join(items.select("Item_Code", F.col("Item_Code").alias("_q")), "_q")
-    by_desc = quoted.join(items.select("Item_Code", F.col("Item_Desc").alias("_q")), "_q")
-    exact = by_code.unionByName(by_desc).select(*keys, F.lit(0).alias("_src"), "_pos", F.lit(0).alias("_kind"),
-                                                "Item_Code")
-    open_q = quoted.filter(F.length("_q") >= SUBSTRING_MIN_LEN).join(exact.select(*keys, "_pos").distinct(), [*keys, "_pos"], "left_anti")
-
-    def windows(text: str) -> Column:
-        return F.when(F.length(text) >= SUBSTRING_MIN_LEN, F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length(text) - SUBSTRING_MIN_LEN + 1), lambda i: F.col(text).substr(i, F.lit(SUBSTRING_MIN_LEN)))))
-
-    d = items.select("Item_Code", F.lower("Item_Desc").alias("_dl"))
-    grams = d.select("Item_Code", "_dl", F.explode(windows("_dl")).alias("_g"))
-    counts = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    seeds = open_q.select(F.lower("_q").alias("_ql")).distinct()
-    seeds = seeds.select("_ql", F.explode(windows("_ql")).alias("_g")).join(counts, "_g", "left")
-    rarest = seeds.groupBy("_ql").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_m")).filter("_m.n > 0")
-    contained = (rarest.select("_ql", F.col("_m._g").alias("_g")).join(grams, "_g").filter(F.col("_dl").contains(F.col("_ql")))
-                 .groupBy("_ql").agg(F.min("Item_Code").alias("Item_Code")))
-    sub = open_q.withColumn("_ql", F.lower("_q")).join(contained, "_ql").select(
-        *keys, F.lit(0).alias("_src"), "_pos", F.lit(1).alias("_kind"), "Item_Code")
-    codes = questions.select(*keys, F.posexplode(F.regexp_extract_all(F.col(Q), F.lit(CODE_PATTERN), F.lit(0)))
-                             .alias("_pos", "_q"))
-    by_dash = codes.join(items.select("Item_Code", F.col("Item_Code").alias("_q")).distinct(), "_q").select(
-        *keys, F.lit(1).alias("_src"), "_pos", F.lit(0).alias("_kind"), "Item_Code")
-    cand = exact.unionByName(sub).unionByName(by_dash)
-    best = cand.groupBy(*keys).agg(F.min(F.struct("_src", "_pos", "_kind", "Item_Code")).alias("_m"))
+    quoted = F.regexp_extract_all(F.col(Q), F.lit(QUOTED_PATTERN), F.lit(1))
+    dashed = F.regexp_extract_all(F.col(Q), F.lit(CODE_PATTERN), F.lit(0))
+    named = lambda src: lambda q, i: F.struct(F.lit(src).alias("_src"), i.alias("_pos"), q.alias("_q"))
+    parts = questions.select(*keys, F.explode(F.concat(F.transform(quoted, named(0)), F.transform(dashed, named(1)))).alias("_p"))
+    parts = written(parts.select(*keys, "_p.*"))
+    known = items.filter(F.col("Item_Code").isNotNull()).select("Item_Code", F.explode(F.array(
+        F.struct(F.col("Item_Code").alias("_q"), F.lit(False).alias("_desc")), F.struct(F.col("Item_Desc").alias("_q"), F.lit(True).alias("_desc")))).alias("_n"))
+    known = known.select("Item_Code", "_n.*").distinct()
+    exact = parts.join(known, "_q").filter(~F.col("_desc") | (F.col("_src") == 0)).select(*keys, "_src", "_pos", F.lit(0).alias("_kind"), "Item_Code")
+
+    open_q = parts.filter((F.col("_src") == 0) & (F.length("_q") >= SUBSTRING_MIN_LEN)).join(
+        exact.filter(F.col("_src") == 0).select(*keys, "_pos").distinct(), [*keys, "_pos"], "left_anti").withColumn("_ql", F.lower("_q"))
+    postings = names.item_grams(items) if grams is None else grams
+    seeds = open_q.select("_ql").distinct().select("_ql", F.explode(names.grams(F.col("_ql"), names.ITEM_GRAM)).alias("gram"))
+    counts = postings.join(seeds.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = seeds.join(counts, "gram", "left").groupBy("_ql").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_m"))
+    contained = (rarest.filter("_m.n > 0").select("_ql", F.col("_m.gram").alias("gram")).join(postings, "gram")
+                 .filter(F.col("text").contains(F.col("_ql"))).groupBy("_ql").agg(F.min("Item_Code").alias("Item_Code")))
+    sub = open_q.join(contained, "_ql").select(*keys, "_src", "_pos", F.lit(1).alias("_kind"), "Item_Code")
+    best = exact.unionByName(sub).groupBy(*keys).agg(F.min(F.struct("_src", "_pos", "_kind", "Item_Code")).alias("_m"))
     return questions.select(*keys).join(best, keys, "left").select(*keys, F.col("_m.Item_Code").alias("Item_Code"))
 
 
@@ -274,16 +280,20 @@ PATTERN_MONTHS = 24  # window of the pattern routes
 MASK_BRANDS = {"BAYER_MASK": "Bayer"}  # fixed value: brand families that are found by Brand_Mask
 
 
-def route(questions: DataFrame, sales: DataFrame, keys: list[str]) -> DataFrame:
+def route(questions: DataFrame, items: DataFrame, keys: list[str], brands: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
     """N11 (+N12): the operator a question is routed to, with its arguments.
 
+    ``items`` is the dimension (or any table with items and brands), ``brands`` and ``grams`` the indexes of names. The
+    questions are written once and read from there by each of the lookups.
+
     Pattern questions route in the intended order overstock -> brand -> item -> all. A question without an intent
     that asks for an analysis and names a brand goes to the brand's two-year analysis, any other to SQL. A brand family
     has its mask in ``Route_Mask``.
     """
+    questions = written(questions)
     tags = tag_rules(questions)
-    j = tags.join(detect_brand(questions, sales, keys), keys, "left").join(detect_item(questions, sales, keys), keys,
-                                                                            "left")
+    j = tags.join(detect_brand(questions, items if brands is None else brands, keys), keys, "left").join(
+        detect_item(questions, items, keys, grams), keys, "left")
     it, b, i = F.col("Intent"), F.col("Brand"), F.col("Item_Code")
     has_b, has_i = b.isNotNull(), i.isNotNull()
     deep = (F.col("Needs_Analysis") | F.col("Decline_Analysis")) & has_b

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from salescope.operators import (coverage, growth, integrated, patterns, questions, reports, sqlsurface, stock,
                                  targets)
 from salescope.plans import params as P
+from salescope.session import written
 from salescope.sources import catalog
 from salescope.sources.questions import questions_table
 from salescope.sources.tables import Tables, star_tables
@@ -205,10 +206,10 @@ register("q_years")(lambda t, s, d: questions.tag_rules(_questions(s, d)).select
 register("q_days")(_tag("Days"))
 register("q_is_classification")(_tag("Is_Classification"))
 register("q_overstock_route")(_tag("Overstock_Route"))
-register("q_brand")(lambda t, s, d: questions.detect_brand(_questions(s, d), t.items, _QK))
-register("q_item")(lambda t, s, d: questions.detect_item(_questions(s, d), t.items, _QK))
-register("q_auto_context")(lambda t, s, d: questions.auto_context(_questions(s, d), t.items, _QK))
-register("q_route")(lambda t, s, d: questions.route(_questions(s, d), t.items, _QK))
+register("q_brand")(lambda t, s, d: questions.detect_brand(written(_questions(s, d)), t.brand_names, _QK))
+register("q_item")(lambda t, s, d: questions.detect_item(written(_questions(s, d)), t.items, _QK, t.item_grams))
+register("q_auto_context")(lambda t, s, d: questions.auto_context(written(_questions(s, d)), t.brand_names, _QK))
+register("q_route")(lambda t, s, d: questions.route(_questions(s, d), t.items, _QK, t.brand_names, t.item_grams))
 
 # ---- SQL surface and documented questions -------------------------------------------------------
 _B = dict(brand=P.BRAND, year1=P.YEAR1, year2=P.YEAR2)

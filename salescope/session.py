@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "salescope") -> SparkSession:
@@ -32,6 +32,12 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: the rows are written once to the shared folder and read from there."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the one the session names in ``spark.checkpoint.dir``.
 

@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.sources import marts, rollups
+from salescope.sources import marts, names, rollups
 from salescope.sources.schema import SALES, TARGET, validate
 from salescope.sources.tables import Tables
 
@@ -91,6 +91,8 @@ DERIVED = {
     "item_days": ("sales", rollups.item_days),
     "items": ("sales", rollups.items),
     "accounts": ("sales", rollups.accounts),
+    "brand_names": ("sales", lambda sales: names.brand_names(rollups.items(sales))),
+    "item_grams": ("sales", lambda sales: names.item_grams(rollups.items(sales))),
 }
 
 

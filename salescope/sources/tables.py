@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salescope.sources import fixtures, marts, rollups
+from salescope.sources import fixtures, marts, names, rollups
 from salescope.sources.schema import SALES, TARGET, validate
 
 TABLE_NAMES = ("sales", "target", "sales_summary", "target_summary")
@@ -26,13 +26,16 @@ class Tables:
     item_days: DataFrame  # sales by item, customer, channel and day
     items: DataFrame  # items ever sold, by year
     accounts: DataFrame  # customers and the brands they bought, by year
+    brand_names: DataFrame  # index of brand names
+    item_grams: DataFrame  # index of item descriptions
 
     @classmethod
     def from_facts(cls, sales: DataFrame, target: DataFrame) -> "Tables":
         sales = validate(sales, SALES, "sales")
         target = validate(target, TARGET, "target")
+        items = rollups.items(sales)
         return cls(sales, target, marts.sales_summary(sales), marts.target_summary(target),
-                   rollups.item_days(sales), rollups.items(sales), rollups.accounts(sales))
+                   rollups.item_days(sales), items, rollups.accounts(sales), names.brand_names(items), names.item_grams(items))
 
     def register(self, spark: SparkSession) -> "Tables":
         """Expose the four tables as temp views for the SQL surface."""
@@ -51,5 +54,5 @@ def load_tables(spark: SparkSession, root: str) -> Tables:
     root = root.rstrip("/")
     sales = validate(spark.read.parquet(f"{root}/sales").drop("load"), SALES, "sales")
     target = validate(spark.read.parquet(f"{root}/target").drop("load"), TARGET, "target")
-    beside = [spark.read.parquet(f"{root}/{name}") for name in ("sales_summary", "target_summary", "item_days", "items", "accounts")]
+    beside = [spark.read.parquet(f"{root}/{name}") for name in ("sales_summary", "target_summary", "item_days", "items", "accounts", "brand_names", "item_grams")]
     return Tables(sales, target, *beside)
