@@ -14,12 +14,25 @@ def answer(question: str, t: Tables, *, as_of) -> dict:
     """``route`` (one row as a dict), ``data`` and, where the route has a second list, ``also``.
 
     ``data`` is None where the question needs an entity or is left to SQL; a number of days that no calendar holds is
-    an error.
+    an error. ``parts`` has the lists behind a report by name: the eight parts of a brand's two years, the five lists of
+    its supply chain; no entry elsewhere.
     """
     spark = t.sales.sparkSession
     r = questions.route(spark.createDataFrame([(0, question)], "qid int, question string"), t.items, ["qid"], t.brand_names, t.item_grams).first().asDict()
     data, also = run_route(r, t, as_of=as_of)
-    return {"route": r, "data": data, "also": also}
+    return {"route": r, "data": data, "also": also, "parts": report_parts(r, t, as_of=as_of)}
+
+
+def report_parts(r: dict, t: Tables, *, as_of) -> dict[str, DataFrame]:
+    """The lists of the reports that have several."""
+    brand, mask = r["Route_Brand"], r["Route_Mask"]
+    if r["Route"] == "brand_analysis":
+        return growth.brand_report(t.sales, brand=mask or brand, year1=r["Year1"], year2=r["Year2"], focus=r["Focus"], use_brand_mask=bool(mask))
+    if r["Route"] == "supply_chain_dashboard":
+        if mask:
+            return integrated.supply_chain_parts(masked(t.sales, mask).withColumn("Brand", F.lit(mask)), as_of=as_of, brand=mask)
+        return integrated.supply_chain_parts(t.item_days, as_of=as_of, brand=brand)
+    return {}
 
 
 def masked(sales: DataFrame, mask: str | None) -> DataFrame:

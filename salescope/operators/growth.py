@@ -254,16 +254,17 @@ def contribution_by(sales: DataFrame, part: str, **kw) -> DataFrame:
     return contribution(sales, d, limit=limit, drop_empty=drop_empty, **kw)
 
 
-def contributions(sales: DataFrame, parts: tuple[str, ...], *, brand: str | None, year1: int, year2: int, only_falling: bool = False) -> DataFrame:
+def contributions(sales: DataFrame, parts: tuple[str, ...], *, brand: str | None, year1: int, year2: int, only_falling: bool = False,
+                  focus: str = "all", use_brand_mask: bool = False) -> DataFrame:
     """The breakdowns of several dimensions in one scan: (Brand,) Dimension, Member, Sales of both years, Variance and
-    Growth_Pct, each dimension with its own limit, smallest Variance first.
+    Growth_Pct, each dimension with its own limit, smallest Variance first (largest with the focus on growth).
 
     Each row counts once under each dimension; sums are taken before the shuffle.
     """
     specs = [CONTRIBUTION_SPECS[p] for p in parts]
     members = F.explode(F.array(*[F.struct(F.lit(d).alias("Dimension"), F.col(d).alias("Member")) for d, _, _ in specs]))
     keys = _keys(brand, "Dimension", "Member")
-    g = (brand_slice(sales, brand, year1, year2).select(*_keys(brand), "Year", "Amount", members.alias("_m"))
+    g = (brand_slice(sales, brand, year1, year2, use_brand_mask).select(*_keys(brand), "Year", "Amount", members.alias("_m"))
          .select(*_keys(brand), "Year", "Amount", "_m.*").groupBy(*keys).agg(
              sum_when(_y(year1), "Amount").alias("_s1"), sum_when(_y(year2), "Amount").alias("_s2")))
     wanted, most = F.lit(True), F.lit(None).cast("int")
@@ -273,13 +274,29 @@ def contributions(sales: DataFrame, parts: tuple[str, ...], *, brand: str | None
         if limit is not None:
             most = F.when(F.col("Dimension") == d, limit).otherwise(most)
     change = F.col("_s2") - F.col("_s1")
-    w = Window.partitionBy(*_keys(brand, "Dimension")).orderBy(change.asc(), F.col("Member").asc_nulls_first())
+    w = Window.partitionBy(*_keys(brand, "Dimension")).orderBy(
+        change.desc() if focus == "growing" else change.asc(), F.col("Member").asc_nulls_first())
     falling = g.filter(wanted & (change < 0) if only_falling else wanted)
     ranked = falling.withColumn("_rn", F.row_number().over(w)).filter(most.isNull() | (F.col("_rn") <= most))
     return ranked.select(*keys, money("_s1").alias("Sales_y1"), money("_s2").alias("Sales_y2"), money(change).alias("Variance"),
                          round_half_up(safe_div(change, F.col("_s1")) * F.lit(100.0), 2).alias("Growth_Pct"))
 
 
+def brand_report(sales: DataFrame, *, brand: str | None, year1: int, year2: int, focus: str = "all",
+                 use_brand_mask: bool = False) -> dict[str, DataFrame]:
+    """The eight parts of the two-year report of a brand (of every brand without one): the years' totals, their
+    summary, and the breakdowns by channel, group, item, customer, emirate and salesman. The breakdowns share one
+    scan of the two years."""
+    if focus not in FOCUS_VALUES:
+        raise ValueError(f"focus must be one of {FOCUS_VALUES}")
+    kw = dict(brand=brand, year1=year1, year2=year2, use_brand_mask=use_brand_mask)
+    members = contributions(sales, tuple(CONTRIBUTION_SPECS), focus=focus, **kw)
+    parts = {"overview": year_overview(sales, **kw), "summary": overview_summary(sales, **kw)}
+    for name, (d, _, _) in CONTRIBUTION_SPECS.items():
+        parts[name] = members.filter(F.col("Dimension") == d).drop("Dimension").withColumnRenamed("Member", d)
+    return parts
+
+
 def change_word(growth_value: Column, focus: str) -> Column:
     """G7: 'Growth' / 'Decline' / 'Change' heading from the focus and the sign of the growth."""
     if focus == "growing":

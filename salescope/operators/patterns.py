@@ -22,6 +22,7 @@ INSUFFICIENT = "Insufficient Data"
 SPIKE, DROP = "Strange (Spike)", "Strange (Drop)"
 SEASONAL, STABLE, FLUCTUATING, MODERATE = "Seasonal", "Stable", "Fluctuating", "Moderate Variation"
 IMPL_INSUFFICIENT = "Need more history for analysis."
+DETAILS_INSUFFICIENT = "Need at least 3 months of data"
 IMPL_STABLE = "Predictable demand. Automate replenishment."
 IMPL_SEASONAL = "Stock up 2 months prior to peak ({})."
 IMPL_FLUCTUATING = "Maintain higher safety stock to buffer volatility."
@@ -118,9 +119,11 @@ def item_pattern(sales: DataFrame, *, as_of, months: int = 12, item_code: str |
     it ``sales`` does."""
     one = lambda rows: rows if item_code is None else rows.filter(F.col("Item_Code") == F.lit(item_code))
     df = one(sales)
-    return _with_silent(_active_patterns(df, as_of=as_of, months=months), df if items is None else one(items), "Item_Code", {
+    found = _with_silent(_active_patterns(df, as_of=as_of, months=months), df if items is None else one(items), "Item_Code", {
         "months_present": 0, "pattern": INSUFFICIENT, "planning_implication": IMPL_INSUFFICIENT, "is_seasonal": False,
         "has_anomalies": False, "peak_months": ""})
+    few = F.col("pattern") == INSUFFICIENT
+    return found.withColumns({"confidence": F.when(few, F.lit(0)), "details": F.when(few, F.lit(DETAILS_INSUFFICIENT))})
 
 
 def _active_patterns(df: DataFrame, *, as_of, months: int) -> DataFrame:
@@ -301,6 +304,16 @@ def run_rate_stability(sales: DataFrame, *, as_of, entity: str | None = None, en
     return _with_silent(found, df if entities is None else known(entities), entity_type, {"stability": INSUFFICIENT})
 
 
+def run_rate_months(sales: DataFrame, *, as_of, entity: str | None = None, entity_type: str = "Brand", months: int = 12) -> DataFrame:
+    """The monthly sales behind the stability of every entity, for those with enough months."""
+    df = sales.filter(F.col(entity_type).isNotNull())
+    if entity is not None:
+        df = df.filter(F.col(entity_type) == F.lit(entity))
+    series = monthly(df, as_of=as_of, months=months, keys=[entity_type])
+    n = F.count(F.lit(1)).over(Window.partitionBy(entity_type))  # at most ``months`` rows
+    return series.withColumn("_n", n).filter(F.col("_n") >= MIN_POINTS).select(entity_type, "Month", money("Sales").alias("Sales"))
+
+
 def overstock_risk(sales: DataFrame, *, as_of, days_threshold: int = 90) -> DataFrame:
     """Accounts whose last-``days`` total exceeds 2 x (average line x days/30) and that have
     not bought in the last 30 days; Stock_Load_Index = recent / (average x days/30)."""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salescope.functions.quantile import exact_quantile, exact_quantiles
+from salescope.functions.rank import global_rank
 from salescope.functions.series import round_half_up
 
 CENTS = "decimal(38,2)"
@@ -216,10 +217,12 @@ def executive_summary(brand_perf: DataFrame) -> DataFrame:
 
 def ranked_gaps(perf: DataFrame, key: str, n: int | None, cols: list[str]) -> DataFrame:
     """Rows with Gap > 0 by gap descending (first n), with their rank."""
-    g = perf.filter(F.col("Gap") > 0).orderBy(F.col("Gap").desc(), F.col(key))
-    if n is not None:
-        g = g.limit(n)
-    w = Window.orderBy(F.col("Gap").desc(), F.col(key))  # over at most n rows
+    order = [F.col("Gap").desc(), F.col(key)]
+    g = perf.filter(F.col("Gap") > 0)
+    if n is None:
+        return global_rank(g.select(key, *cols), order).withColumn("Rank", F.col("Rank").cast("int"))
+    g = g.orderBy(*order).limit(n)
+    w = Window.orderBy(*order)  # over at most n rows
     return g.select(key, *cols).withColumn("Rank", F.row_number().over(w))
 
 

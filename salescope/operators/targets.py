@@ -151,6 +151,7 @@ def yoy_comparison(t: Tables, *, brand: str | None = None, salesman: str | None
 
 # Recommendation texts and their achievement bands per entity type.
 WORKING_DAYS = 22
+REC_NO_DATA = "No data available for analysis"
 REC_GAP = "🎯 **Gap Strategy**: Need AED {}/day run-rate to hit target."
 REC_MOMENTUM = "🚀 **Momentum**: Exceeding target by AED {}! Upsell new lines."
 REC_RULES = {
@@ -193,13 +194,16 @@ def _fill(template: str, name: F.Column, ach: F.Column) -> F.Column:
     return F.concat(*parts)
 
 
-def recommendations(perf: DataFrame, *, entity_type: str, key: str) -> DataFrame:
+def recommendations(perf: DataFrame, *, entity_type: str, key: str, entities: DataFrame | None = None) -> DataFrame:
     """Rule texts per entity from total gap (/22 working days) and mean achievement.
 
     One grouped aggregate per entity, then an array of texts chosen by ``when`` and exploded with
-    its position: (key, Rank, Recommendation).
+    its position: (key, Rank, Recommendation). ``entities`` lists those asked for: one without a row of the year gets
+    the text for no data.
     """
-    g = perf.groupBy(key).agg(F.sum("Gap").alias("_gap"), F.avg("Achievement").alias("_ach"))
+    g = perf.groupBy(key).agg(F.sum(F.col("Gap").cast("decimal(38,2)")).cast("double").alias("_gap"), F.avg("Achievement").alias("_ach"), F.count(F.lit(1)).alias("_rows"))
+    if entities is not None:
+        g = entities.select(key).filter(F.col(key).isNotNull()).distinct().join(g, key, "left")
     gap, ach = F.col("_gap"), F.col("_ach")
     ach_txt = F.format_number(ach, 1)
     first = F.when(gap > 0, F.format_string(REC_GAP.replace("{}", "%s"), F.format_number(gap / WORKING_DAYS, 0))) \
@@ -208,7 +212,7 @@ def recommendations(perf: DataFrame, *, entity_type: str, key: str) -> DataFrame
     tail = F.array().cast("array<string>")
     for bound, texts in reversed(REC_RULES.get(entity_type, [])):
         tail = F.when(ach < F.lit(bound), F.array(*[_fill(x, name, ach_txt) for x in texts])).otherwise(tail)
-    recs = F.concat(F.array(first), tail)
+    recs = F.when(F.col("_rows") > 0, F.concat(F.array(first), tail)).otherwise(F.array(F.lit(REC_NO_DATA)))
     return g.select(key, F.posexplode(recs).alias("Rank", "Recommendation")).withColumn(
         "Rank", (F.col("Rank") + 1).cast("int"))
 
@@ -232,5 +236,5 @@ def gap_top(perf: DataFrame, *, key: str, n: int = 10) -> DataFrame:
         .orderBy(F.col("Gap").desc(), F.col(key))
         .limit(n)
         .select(key, "Gap", "Achievement", gap_action(F.col("Achievement")).alias("Action"),
-                F.substring(F.col(key), 1, 20).alias("Label"))
+                F.concat(F.substring(F.col(key), 1, 20), F.lit("...")).alias("Label"))
     )

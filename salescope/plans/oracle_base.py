@@ -41,7 +41,10 @@ target AS (
          CAST(year(d) * 100 + month(d) AS INTEGER) AS Month_and_Year_Sort, p_brand AS Brand, s_name AS Salesman,
          s_nation AS Manager, s_region AS GM, c_region AS Emirate, c_mktsegment AS Channel, c_name AS Customer_Name,
          CAST(CAST((CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)
-                     * (40 + (7 * o_orderkey + 13 * l_linenumber) % 200) + 50) // 100 AS DECIMAL(18,0))
+                     * (40 + (7 * o_orderkey + 13 * l_linenumber) % 200)
+                     * [50, 75, 100, 150][CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) % 4 + 1]
+                     * [60, 80, 100, 120, 200][CAST(regexp_extract(s_name, '([0-9]+)', 1) AS BIGINT) % 5 + 1]
+                     + 500000) // 1000000 AS DECIMAL(18,0))
               * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS Target
   FROM star
 ),

@@ -1,9 +1,9 @@
 """DuckDB oracle text for the supply-chain dashboard counts."""
 
-from salescope.plans.oracle_base import dbl, days_ago, months_ago
-from salescope.plans.oracle_coverage import brand_windows
+from salescope.plans.oracle_base import dbl, days_ago, months_ago, rhu
+from salescope.plans.oracle_coverage import COVERAGE_LOSS, brand_windows
 from salescope.plans.oracle_patterns import item_pattern
-from salescope.plans.oracle_stock import CHANNEL_OOS, OOS_ITEMS
+from salescope.plans.oracle_stock import CHANNEL_OOS, MULTI_ACCOUNT_OOS, OOS_ITEMS
 from salescope.plans.params import BRAND
 
 D30, M12, M24 = days_ago(30), months_ago(12), months_ago(24)
@@ -75,7 +75,35 @@ SELECT p.Item_Code AS item_code, newest.item AS item_desc, newest.brand AS brand
 FROM pattern_of p LEFT JOIN year_of USING (Item_Code) LEFT JOIN wide USING (Item_Code) LEFT JOIN risk USING (Item_Code) LEFT JOIN channel USING (Item_Code)
 """
 
+# The lists behind one brand's dashboard. Lists of the brand's own rows see only these; potential lost and patterns do not.
+OWN = f"Brand = '{BRAND}'"
+LIST_OOS = OOS_ITEMS.replace("FROM sales WHERE", f"FROM sales WHERE {OWN} AND")
+LIST_SUPPLY = f"SELECT * FROM ({MULTI_ACCOUNT_OOS}) WHERE {OWN}"
+LIST_LOSS = f"SELECT * EXCLUDE (Brand) FROM ({COVERAGE_LOSS}) WHERE {OWN}"
+LIST_SEASONAL = f"""
+SELECT p.Item_Code, c.Item_Desc, c.Brand, {dbl('c.total')} AS Total_Sales, p.pattern AS Pattern, p.peak_months AS Peak_Months, p.cv AS CV, p.seasonal_lag AS Seasonal_Lag
+FROM ({item_pattern(M24)}) p JOIN (SELECT Item_Code, Item_Desc, Brand, sum(Amount) AS total FROM sales
+                                  WHERE Invoice_Date >= {M24} AND {OWN} GROUP BY ALL HAVING total > 50000) c USING (Item_Code) WHERE p.is_seasonal
+"""
+LIST_ANOMALIES = f"""
+WITH point AS (
+  SELECT Item_Code, Item_Desc, Brand, strftime(Invoice_Date, '%Y-%m') AS Month, sum(Amount) AS s FROM sales WHERE Invoice_Date >= {M12} AND {OWN} GROUP BY ALL
+), moment AS (
+  SELECT Item_Code, count(*) AS n, CAST(sum(s) AS DOUBLE) / count(*) AS mean,
+         sqrt(CAST(CAST(count(*) AS DECIMAL(20,0)) * sum(s * s) - sum(s) * sum(s) AS DOUBLE) / CAST(count(*) * count(*) AS DOUBLE)) AS std
+  FROM point GROUP BY Item_Code
+)
+SELECT Item_Code, min(Item_Desc) OVER (PARTITION BY Item_Code) AS Item_Desc, Brand, Month, {dbl('s')} AS Sales, {rhu(f"abs({dbl('s')} - mean) / std", 6)} AS Z_Score,
+       if({dbl('s')} > mean, 'Spike', 'Drop') AS Type, {rhu(f"({dbl('s')} - mean) / nullif(mean, 0) * 100.0", 2)} AS Deviation_Pct
+FROM point JOIN moment USING (Item_Code) WHERE n >= 3 AND std > 0 AND abs({dbl('s')} - mean) / std > 2.5
+"""
+
 ORACLES = {
+    "dashboard_oos_items": LIST_OOS,
+    "dashboard_supply_issues": LIST_SUPPLY,
+    "dashboard_coverage_loss": LIST_LOSS,
+    "dashboard_seasonal_items": LIST_SEASONAL,
+    "dashboard_anomalies": LIST_ANOMALIES,
     "item_health": ITEM_HEALTH,
     "supply_chain_dashboard": dashboard("", ALL),
     "dashboard_counts": dashboard(f"Brand = '{BRAND}'", CARDS),

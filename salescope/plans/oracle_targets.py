@@ -91,11 +91,39 @@ t AS (
 SELECT Brand, CAST(Rank AS INTEGER) AS Rank, Recommendation FROM t
 """
 
+def advice(view: str, key: str, bands: list[tuple[str, list[str]]], listed: str) -> str:
+    """Everyone of ``listed`` with the text of the gap, then the texts of the first band that fits; without rows one text."""
+    cases = " ".join(f"WHEN {cond} THEN [{', '.join(texts)}]" for cond, texts in bands)
+    return f"""
+WITH figures AS (SELECT {key}, CAST(sum(CAST(Gap AS DECIMAL(38,2))) AS DOUBLE) AS gap, avg(Achievement) AS ach FROM ({view}) v GROUP BY {key}),
+texts AS (
+  SELECT {key}, CASE WHEN gap IS NULL THEN ['No data available for analysis'] ELSE list_concat(
+    [if(gap > 0, '🎯 **Gap Strategy**: Need AED ' || format('{{:,.0f}}', gap / 22) || '/day run-rate to hit target.',
+        '🚀 **Momentum**: Exceeding target by AED ' || format('{{:,.0f}}', abs(gap)) || '! Upsell new lines.')],
+    CASE {cases} ELSE [] END) END AS said
+  FROM ({listed}) LEFT JOIN figures USING ({key})
+)
+SELECT {key}, CAST(unnest(range(1, len(said) + 1)) AS INTEGER) AS Rank, unnest(said) AS Recommendation FROM texts
+"""
+
+
+# The texts for salesmen and accounts.
+RECOMMENDATIONS_SALESMAN = advice(salesman_perf(), "Salesman", [
+    ("ach < 70", ["'🔴 **Coaching Required**: Achievement ' || format('{:,.1f}', ach) || '%.'",
+                  "'📋 **Audit**: Check top 5 non-buying accounts in route.'", "'🚶 **Activity**: Review Journey Plan compliance.'"]),
+    ("ach < 90", ["'🟡 **Focus Area**: Gap closing mode (' || format('{:,.1f}', ach) || '%).'",
+                  "'🔹 Action: Target accounts buying Brand A but not Brand B (Croos-sell).'"]),
+], f"SELECT DISTINCT Salesman FROM ({salesman_perf()}) s")
+RECOMMENDATIONS_ACCOUNT = advice(account_perf(), "Customer_Name", [
+    ("ach < 50", ["'🔴 **Risk Alert**: High risk of churn or credit issue.'", "'🤝 **Action**: Schedule Principal/Manager visit immediately.'"]),
+    ("ach < 80", ["'🟡 **Development**: Account under-indexing.'", "'📦 **Mix**: Propose 2 new SKUs to boost basket size.'"]),
+], "SELECT DISTINCT Customer_Name FROM sales")
+
 GAP_TOP10 = f"""
 SELECT Brand, Gap, Achievement,
        CASE WHEN Achievement < 50 THEN 'Urgent review needed' WHEN Achievement < 80 THEN 'Increase focus'
             ELSE 'Close the gap' END AS Action,
-       substr(Brand, 1, 20) AS Label
+       substr(Brand, 1, 20) || '...' AS Label
 FROM ({brand_perf()}) b WHERE Gap > 0 ORDER BY Gap DESC, Brand LIMIT 10
 """
 
@@ -142,6 +170,8 @@ ORACLES = {
     "yoy_comparison": YOY,
     "yoy_comparison_brand": YOY_BRAND,
     "recommendations": RECOMMENDATIONS,
+    "recommendations_salesman": RECOMMENDATIONS_SALESMAN,
+    "recommendations_account": RECOMMENDATIONS_ACCOUNT,
     "gap_top10": GAP_TOP10,
     "sales_summary": SALES_SUMMARY,
     "target_summary": TARGET_SUMMARY,

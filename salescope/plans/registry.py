@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from salescope.operators import (coverage, growth, integrated, patterns, questions, reports, sqlsurface, stock,
                                  targets)
+from salescope.functions.rank import global_rank
 from salescope.plans import params as P
 from salescope.session import written
 from salescope.sources import catalog
@@ -81,6 +83,10 @@ register("yoy_comparison")(lambda t, s, d: targets.yoy_comparison(t))
 register("yoy_comparison_brand")(lambda t, s, d: targets.yoy_comparison(t, brand=P.BRAND))
 register("recommendations")(lambda t, s, d: targets.recommendations(
     targets.brand_performance(t, year=P.REPORT_YEAR, ordered=False), entity_type="Brand", key="Brand"))
+register("recommendations_salesman")(lambda t, s, d: targets.recommendations(
+    targets.salesman_performance(t, year=P.REPORT_YEAR, ordered=False), entity_type="Salesman", key="Salesman"))
+register("recommendations_account")(lambda t, s, d: targets.recommendations(
+    targets.account_performance(t, year=P.REPORT_YEAR, ordered=False), entity_type="Account", key="Customer_Name", entities=t.accounts))
 register("gap_top10")(lambda t, s, d: targets.gap_top(
     targets.brand_performance(t, year=P.REPORT_YEAR, ordered=False), key="Brand"))
 
@@ -103,6 +109,8 @@ register("change_word")(lambda t, s, d: growth.change_words(growth.overview_summ
 for _part in growth.CONTRIBUTION_SPECS:
     register(f"contrib_{_part}")(
         lambda t, s, d, _p=_part: growth.contribution_by(t.sales, _p, focus="growing", **_G))
+register("brand_report_members")(lambda t, s, d: growth.contributions(
+    t.sales, tuple(growth.CONTRIBUTION_SPECS), focus="growing", **_G))
 register("contrib_brand_mask")(lambda t, s, d: growth.contribution_by(
     t.sales, "item", brand=P.MASK, year1=P.YEAR1, year2=P.YEAR2, focus="declining", use_brand_mask=True))
 
@@ -125,6 +133,7 @@ register("seasonal_items")(lambda t, s, d: patterns.seasonal_items(t.item_days,
 register("anomalies")(lambda t, s, d: patterns.anomalies(t.item_days, as_of=P.AS_OF, months=P.ITEM_MONTHS))
 register("run_rate_stability")(lambda t, s, d: patterns.run_rate_stability(
     t.item_days, as_of=P.AS_OF, months=12, entities=t.items))
+register("run_rate_months")(lambda t, s, d: patterns.run_rate_months(t.item_days, as_of=P.AS_OF, months=12))
 register("overstock_risk")(lambda t, s, d: patterns.overstock_risk(t.sales, as_of=P.AS_OF, days_threshold=90))
 
 # ---- report pages (over the four performance views of the report year) -------------------------
@@ -183,6 +192,24 @@ register("item_health")(lambda t, s, d: integrated.health_columns(integrated.ite
 register("supply_chain_dashboard")(lambda t, s, d: integrated.supply_chain_dashboard(t.item_days, as_of=P.AS_OF, items=t.items))
 register("dashboard_counts")(lambda t, s, d: integrated.supply_chain_dashboard(
     t.item_days, as_of=P.AS_OF, brand=P.BRAND, items=t.items, cards=("oos_items", "supply_issues", "coverage_loss", "seasonal_items")))
+for _part in ("oos_items", "supply_issues", "coverage_loss", "seasonal_items", "anomalies"):
+    register(f"dashboard_{_part}")(lambda t, s, d, _p=_part: integrated.supply_chain_parts(t.item_days, as_of=P.AS_OF, brand=P.BRAND)[_p])
+
+# ---- order as data: the rank of every row in a report's order --------------------------------------
+_desc, _asc = (lambda c: F.col(c).desc_nulls_last()), (lambda c: F.col(c).asc_nulls_first())
+register("oos_items_ranked")(lambda t, s, d: global_rank(
+    stock.oos_items(t.item_days, as_of=P.AS_OF, days_threshold=P.DAYS, ordered=False).select("Item_Code", "Item_Desc", "Historical_Sales"),
+    [_desc("Historical_Sales"), _asc("Item_Code"), _asc("Item_Desc")]))
+register("multi_account_oos_ranked")(lambda t, s, d: global_rank(
+    stock.multi_account_oos(t.item_days, as_of=P.AS_OF, ordered=False).select("Item_Code", "Stopped_Accounts", "Lost_Sales_Potential"),
+    [_desc("Stopped_Accounts"), _desc("Lost_Sales_Potential"), _asc("Item_Code")]))
+register("brand_months_ranked")(lambda t, s, d: global_rank(
+    growth.brand_months(t.sales, **_G), [_asc("Brand"), _asc("Year"), growth.month_number(F.substring("Month_and_Year", 1, 3)).asc_nulls_first()]))
+register("growth_classes_ranked")(lambda t, s, d: global_rank(
+    growth.growth_classes(t.sales, **_G).select("Brand", "Item_Desc", "Class", "Growth_Value"),
+    [_asc("Brand"), _asc("Class"), F.when(F.col("Class") == growth.CLASS_GROWING, -F.col("Growth_Value")).otherwise(F.col("Growth_Value")).asc_nulls_first(), _asc("Item_Desc")]))
+register("account_gaps_all")(lambda t, s, d: reports.ranked_gaps(
+    targets.account_performance(t, year=P.REPORT_YEAR, ordered=False).groupBy("Customer_Name").agg(reports.dsum("Gap").alias("Gap")), "Customer_Name", None, ["Gap"]))
 register("coverage_windows_item")(lambda t, s, d: coverage.coverage_windows(
     t.item_days, as_of=P.AS_OF, level="item", time_windows=(12, 24, 36)))
 

@@ -78,17 +78,23 @@ def sales_from_star(base: DataFrame) -> DataFrame:
     )
 
 
-# Fixed value of the target fixture: the target of a line is Amount * (40 + (7*orderkey +
-# 13*linenumber) % 200) / 100. Every order has one.
+# Fixed values of the target fixture: the target of a line is Amount * (40 + (7*orderkey + 13*linenumber) % 200) / 100,
+# times a percentage by brand number modulo 4 and one by salesman number modulo 5, so that every band of achievement
+# is met by brands and by salesmen. Every order has one.
+BRAND_PCT = (50, 75, 100, 150)
+SALESMAN_PCT = (60, 80, 100, 120, 200)
 
 
 def target_from_star(base: DataFrame) -> DataFrame:
     d = F.col("o_orderdate").cast("date")
     # Amount x factor / 100, rounded half up to the cent in integer arithmetic (amounts are
     # positive), then scaled back exactly: no engine-specific decimal division involved.
+    number = "CAST(regexp_extract({}, '([0-9]+)', 1) AS BIGINT)"
+    pct = " * ".join(f"element_at(array({', '.join(map(str, values))}), CAST({number.format(column)} % {len(values)} AS INT) + 1)"
+                     for column, values in (("p_brand", BRAND_PCT), ("s_name", SALESMAN_PCT)))
     target_cents = F.expr(
         "(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)"
-        " * (40 + (7 * o_orderkey + 13 * l_linenumber) % 200) + 50) div 100")
+        f" * (40 + (7 * o_orderkey + 13 * l_linenumber) % 200) * {pct} + 500000) div 1000000")
     target = (target_cents.cast("decimal(18,0)") * F.lit(0.01).cast("decimal(3,2)")).cast(MONEY)
     return base.select(
         *_dims(d),
