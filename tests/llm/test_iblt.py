@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from salescope.llm import iblt, queries
@@ -11,7 +12,22 @@ SF = "/root/testdata/sf0.001"
 
 
 def parts(text):
-    return {p for line in (text or "").split("\n") for p in ([line] if len(line) <= iblt.LONG else re.split(r"(?<=[.!?]) ", line))}
+    """The set of a text's pieces: lines; of long ones sentences; then after words, then signs, whose hash says so; then slices."""
+    def finer(pieces, cut):
+        return [q for p in pieces for q in ([p] if len(p) <= 160 else cut(p))]
+
+    def after(units, n):
+        pieces, now = [], ""
+        for u in units:
+            now += u
+            if xxhash.xxh64_intdigest(u.encode(), seed=42) % n == 0:
+                pieces, now = [*pieces, now], ""
+        return [p for p in [*pieces, now] if p]
+
+    pieces = finer((text or "").split("\n"), lambda p: re.split(r"(?<=[.!?]) ", p))
+    pieces = finer(pieces, lambda p: after(re.findall(r"[^ ]* |[^ ]+", p), 8))
+    pieces = finer(pieces, lambda p: after(p, 32))
+    return set(finer(pieces, lambda p: [p[i:i + 100] for i in range(0, len(p), 100)]))
 
 
 def sets(spark, pairs):
