@@ -7,7 +7,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,25 +18,51 @@ from salescope.sources.schema import SALES, TARGET, validate
 TABLE_NAMES = ("sales", "target", "sales_summary", "target_summary")
 
 
-@dataclass(frozen=True)
 class Tables:
-    sales: DataFrame
-    target: DataFrame
-    sales_summary: DataFrame
-    target_summary: DataFrame
-    item_days: DataFrame  # sales by item, customer, channel and day
-    items: DataFrame  # items ever sold, by year
-    accounts: DataFrame  # customers and the brands they bought, by year
-    brand_names: DataFrame  # index of brand names
-    item_grams: DataFrame  # index of item descriptions
+    """The two facts, and what is derived from them or stored beside them; each is made when it is first asked for."""
+
+    def __init__(self, sales: DataFrame, target: DataFrame, root: str | None = None):
+        self.sales, self.target, self.root = sales, target, root
 
     @classmethod
     def from_facts(cls, sales: DataFrame, target: DataFrame) -> "Tables":
-        sales = validate(sales, SALES, "sales")
-        target = validate(target, TARGET, "target")
-        items = rollups.items(sales)
-        return cls(sales, target, marts.sales_summary(sales), marts.target_summary(target),
-                   rollups.item_days(sales), items, rollups.accounts(sales), names.brand_names(items), names.item_grams(items))
+        return cls(validate(sales, SALES, "sales"), validate(target, TARGET, "target"))
+
+    def _derived(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return make() if self.root is None else self.sales.sparkSession.read.parquet(f"{self.root}/{name}")
+
+    @cached_property
+    def sales_summary(self) -> DataFrame:
+        return self._derived("sales_summary", lambda: marts.sales_summary(self.sales))
+
+    @cached_property
+    def target_summary(self) -> DataFrame:
+        return self._derived("target_summary", lambda: marts.target_summary(self.target))
+
+    @cached_property
+    def item_days(self) -> DataFrame:
+        """Sales by item, customer, channel and day."""
+        return self._derived("item_days", lambda: rollups.item_days(self.sales))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        """Items ever sold, by year."""
+        return self._derived("items", lambda: rollups.items(self.sales))
+
+    @cached_property
+    def accounts(self) -> DataFrame:
+        """Customers and the brands they bought, by year."""
+        return self._derived("accounts", lambda: rollups.accounts(self.sales))
+
+    @cached_property
+    def brand_names(self) -> DataFrame:
+        """Index of brand names."""
+        return self._derived("brand_names", lambda: names.brand_names(self.items))
+
+    @cached_property
+    def item_grams(self) -> DataFrame:
+        """Index of item descriptions."""
+        return self._derived("item_grams", lambda: names.item_grams(self.items))
 
     def register(self, spark: SparkSession) -> "Tables":
         """Expose the four tables as temp views for the SQL surface."""
@@ -54,5 +81,4 @@ def load_tables(spark: SparkSession, root: str) -> Tables:
     root = root.rstrip("/")
     sales = validate(spark.read.parquet(f"{root}/sales").drop("load"), SALES, "sales")
     target = validate(spark.read.parquet(f"{root}/target").drop("load"), TARGET, "target")
-    beside = [spark.read.parquet(f"{root}/{name}") for name in ("sales_summary", "target_summary", "item_days", "items", "accounts", "brand_names", "item_grams")]
-    return Tables(sales, target, *beside)
+    return Tables(sales, target, root)
