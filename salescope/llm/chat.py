@@ -14,7 +14,10 @@ conversation in order form a text in which marks are only marks, and ``parse`` g
 exactly. The loss mask is the span of an assistant's text.
 
 Defined results: a null or missing text is empty, a null role is empty; records without a known
-layout and records that are no JSON objects have no turns and are given by ``unmatched``; turns keep the order of
+layout, records that are no JSON objects and records nested too deeply for the parser have no turns and are given by
+``unmatched``; a dot or bracket inside a key is part of that key, never a step of a path; a text
+that is no string is written as JSON; half a surrogate pair in a
+role or text is U+FFFD; turns keep the order of
 their ``turn`` column (nulls first), then of their place in the record, then of role and text;
 repeated rows are repeated turns. Extra columns are dropped by ``canonical``, which names its own.
 """
@@ -68,12 +71,23 @@ LAYOUTS = (
 )
 
 
-def field_paths(value, at: str = "") -> set[str]:
-    if isinstance(value, dict) and value:
-        return set().union(*(field_paths(v, f"{at}.{k}" if at else str(k)) for k, v in value.items()))
-    if isinstance(value, list) and value:
-        return set().union(*(field_paths(v, f"{at}[]") for v in value))
-    return {at}
+def _step(key: str) -> str:
+    """A key as one step of a path: its own dots, brackets and backslashes are marked."""
+    return re.sub(r"([\\.\[\]])", r"\\\1", key)
+
+
+def field_paths(record: dict) -> set[str]:
+    """Paths to the leaves and empty containers of a record."""
+    found, open_ = set(), [(_step(k), v) for k, v in record.items()]
+    while open_:
+        at, value = open_.pop()
+        if isinstance(value, dict) and value:
+            open_ += [(f"{at}.{_step(k)}", v) for k, v in value.items()]
+        elif isinstance(value, list) and value:
+            open_ += [(f"{at}[]", v) for v in value]
+        else:
+            found.add(at)
+    return found
 
 
 def fingerprint(paths) -> str:
@@ -96,10 +110,11 @@ class Registry:
         """Fingerprint, layout and (role, text) of each turn."""
         try:
             record = json.loads(source)
-        except ValueError:
-            return None, None, []
-        if not isinstance(record, dict):
+            return self._turns(record) if isinstance(record, dict) else (None, None, [])
+        except (ValueError, RecursionError):  # no JSON, or nested too deeply to be read
             return None, None, []
+
+    def _turns(self, record: dict) -> tuple[str | None, str | None, list[tuple[str, str]]]:
         paths = field_paths(record) & self.known
         key = fingerprint(paths)
         layout = self.by_print.get(key) or self._nearest(paths)
@@ -120,7 +135,6 @@ class Registry:
         head = [("system", _text(record["system"]))] if layout.turns and "system" in paths and record["system"] is not None else []
         return key, layout.name, head + [(layout.roles.get(r := _text(i.get(layout.role)), r), _text(i.get(layout.text))) for i in items if isinstance(i, dict)]
 
-
     def _nearest(self, paths: set[str]) -> Layout | None:
         def rank(layout: Layout) -> tuple[int, bool]:
             fixed = set(layout.paths()) - set(layout.optional)
@@ -130,8 +144,13 @@ class Registry:
         return best if best and rank(best)[0] else None
 
 
+_HALF = re.compile("[\ud800-\udfff]")
+
+
 def _text(value) -> str:
-    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    """A value as text; half a surrogate pair, which JSON can write but no UTF-8 text can hold, is U+FFFD."""
+    text = value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    return _HALF.sub("\ufffd", text)
 
 
 def _read(records: DataFrame, record: str, conv_id: str, turn: str, layouts) -> DataFrame:

@@ -91,3 +91,21 @@ def test_records_with_paths_of_several_layouts(spark):
         got.setdefault(r.conv_id, []).append((r.layout, r.role, r.text))
     assert got == {i: [(name, *t) for t in ts] for i, (_, name, ts) in enumerate(cases) if ts}
     assert sorted((r.conv_id, r.record) for r in chat.unmatched(df).collect()) == [(8, '{"system": "s"}'), (9, '{"other": 1}'), (90, "no json"), (91, None)]
+
+
+def test_bad_records_stand_beside_good_ones(spark):
+    deep = '{"messages": ' + "[" * 100000 + "]" * 100000 + "}"
+    turn = [{"speaker": "human", "utterance": "u"}]
+    bad = [json.dumps({"chat.turns": turn}), json.dumps({"chat.turns[]": turn}), json.dumps({"chat": {"turns[]": turn}}), json.dumps({"chat.turns[].speaker": "x"}),
+           json.dumps({"": {"system": "s"}}), json.dumps({"": {"prompt": "p"}}), json.dumps({"\\": {"": []}}), "{}", deep, '{"prompt": ' + "1" * 5000 + "}"]
+    good = [('{"chat": {"turns": [{"speaker": "human", "utterance": "u"}]}}', [("user", "u")]),
+            ('{"prompt": "a\\ud83db", "completion": "\\ude00"}', [("user", "a\ufffdb"), ("assistant", "\ufffd")]),
+            ('{"prompt": "\\ud83d\\ude00", "completion": {"k": "\\ud83d"}}', [("user", "\U0001f600"), ("assistant", '{"k": "\ufffd"}')]),
+            ('{"messages": [{"role": "us\\udc00er", "content": "x"}]}', [("us\ufffder", "x")]),
+            ('{"": {"system": "s"}, "system": "t", "messages": [{"role": "user", "content": "c"}]}', [("system", "t"), ("user", "c")])]
+    df = spark.createDataFrame([(i, 0, r) for i, r in enumerate([*bad, *(r for r, _ in good)])], "conv_id long, turn int, record string").coalesce(1)
+    got = {}
+    for r in chat.format_turns(chat.canonical(df)).orderBy("conv_id", "place").collect():
+        got.setdefault(r.conv_id, []).extend(chat.parse(r.segment))
+    assert got == {len(bad) + i: turns for i, (_, turns) in enumerate(good)}
+    assert sorted(r.conv_id for r in chat.unmatched(df).collect()) == list(range(len(bad)))
