@@ -1,19 +1,23 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are lower-cased and cut into words (letters and digits; ASCII signs separate). A benchmark
+Texts are lower-cased and cut into words: runs of letters, digits and combining marks, and each sign
+by itself in scripts that put no blanks between words. A benchmark
 item and a document that share a seed of five consecutive words are compared: running Karp-Rabin
 hashes find their longest common runs of words that no tile covers yet, the longest are marked as
 tiles, and so on with shorter runs down to five words. Tiles may lie in any order, so a passage with
 its sentences rearranged is covered as well as a verbatim one. A document is contaminated by an item
-if tiles cover at least 0.8 of the item's words.
+if tiles cover at least 0.8 of the item's words. An item shorter than a seed is one tile: it must stand
+in the document as a whole, an item of a single word must be the whole document.
 
 Seeds of the item's words bound that coverage from above, so a pair below the threshold by its seeds
-alone is not tiled. The benchmark is the stated query set: it goes to the tasks in blocks of at most
-``block_bytes`` of text, each read against all documents; no row of the documents is shuffled.
-
-Defined results: null or short texts match nothing; an item of fewer than five words matches nothing
-(the shortest tile is five words); items of equal words are each reported; repeated rows each get
-their result; without items or documents the result is empty. Extra columns pass through; a column
+alone is not tiled. The benchmark is the stated query set: it goes to the tasks in blocks of about
+``block_bytes`` of text, each read against all documents; no row of the documents is shuffled. Every
+block is a pass of its own: only one block is on the driver and the executors at a time, and the rows
+with the matches so far are checkpointed between passes.
+
+Defined results: null texts and texts without words match nothing; items of equal words are each
+reported, also rows that repeat; repeated documents each get their
+result; without items or documents the result is empty. Extra columns pass through; a column
 named like the output is replaced.
 """
 
@@ -22,22 +26,27 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salescope.llm.common import with_columns
+from salescope.llm.common import cut, with_columns
 
 LEAST = 5
 COVERAGE = 0.8
 BLOCK_BYTES = 16 << 20
-_CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(128)) + bytes(range(128, 256))
+_UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_WORD = regex.compile(rf"(?V1)[[{_UNSPACED}]&&[\p{{L}}\p{{N}}]]\p{{M}}*+|[[\p{{L}}\p{{M}}\p{{N}}]--[{_UNSPACED}]]++|\p{{M}}++")
 _BASE = 0x9E3779B97F4A7C15
 _ODD, _BACK = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
 
 
 def words(text: bytes) -> list[bytes]:
-    return text.translate(_CLEAN).split()
+    if text.isascii():
+        return text.translate(_CLEAN).split()
+    return [w.encode() for w in _WORD.findall(text.decode("utf-8", "replace").lower())]
 
 
 def _runs(ids: np.ndarray, length: int) -> np.ndarray:
@@ -104,14 +113,18 @@ def _any_left(longer, in_doc, in_item) -> bool:
 class Index:
     """Seeds of one block of the benchmark."""
 
-    def __init__(self, items: Iterable[tuple[object, bytes]], least: int):
+    def __init__(self, items: Iterable[tuple[object, bytes, int]], least: int):
+        """``items``: key, text and how many rows of the benchmark have both."""
         self.least = least
         self.vocab: dict[bytes, int] = {}
         groups: dict[tuple[int, ...], list] = {}
-        for key, text in items:
+        for key, text, n in items:
             ids = tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text))
-            if len(ids) >= least:
-                groups.setdefault(ids, []).append(key)
+            if ids:
+                groups.setdefault(ids, []).extend([key] * n)
+        self.short: dict[int, dict[tuple[int, ...], list]] = {}
+        for ids in [g for g in groups if len(g) < least]:
+            self.short.setdefault(len(ids), {})[ids] = groups.pop(ids)
         self.keys = list(groups.values())
         self.items = [np.array(ids, np.int64) for ids in groups]
         if self.items:
@@ -126,7 +139,7 @@ class Index:
     def batch(self, batch: list[bytes], coverage: float) -> list[list[tuple]]:
         """For each text the matches: (key, coverage, tiles)."""
         out: list[list[tuple]] = [[] for _ in batch]
-        if not self.items:
+        if not self.items and not self.short:
             return out
         size = 0
         ids: list[int] = []
@@ -144,7 +157,9 @@ class Index:
         return out
 
     def _scan(self, ids, starts, rows, coverage, out) -> None:
-        if len(ids) < self.least:
+        for n, items in self.short.items():
+            self._whole(n, items, ids, np.append(starts, len(ids)), rows, out)
+        if len(ids) < self.least or not self.items:
             return
         known = np.concatenate([[0], np.cumsum(ids == 0)])
         at = np.flatnonzero(known[self.least:] == known[:-self.least])
@@ -173,6 +188,21 @@ class Index:
                         out[rows[d]] += [(key, share, found) for key in self.keys[i]]
 
 
+    def _whole(self, n: int, items: dict, ids, bounds, rows, out) -> None:
+        """Items of ``n`` words, fewer than a seed has: their first place in each document."""
+        known = np.concatenate([[0], np.cumsum(ids == 0)])
+        at = np.flatnonzero(known[n:] == known[:-n])
+        hashes = {int(h) for h in _seeds_at(np.array(list(items), np.int64).ravel(), np.arange(len(items)) * n, n)}
+        at = at[np.isin(_seeds_at(ids, at, n), np.fromiter(hashes, np.uint64, len(hashes)))]
+        owner = np.searchsorted(bounds, at, side="right") - 1
+        seen = set()
+        for i, d in zip(at.tolist(), owner.tolist()):
+            item = tuple(ids[i:i + n].tolist())
+            if item in items and (d, item) not in seen and (n > 1 or bounds[d + 1] - 1 - bounds[d] == 1):
+                seen.add((d, item))
+                out[rows[d]] += [(key, 1.0, [(i - int(bounds[d]), 0, n)]) for key in items[item]]
+
+
 def _seeds(ids: np.ndarray, least: int) -> np.ndarray:
     return _seeds_at(ids, np.arange(len(ids) - least + 1), least)
 
@@ -192,13 +222,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_i
     kind = T.ArrayType(T.StructType([T.StructField("item_id", key_type), T.StructField("coverage", T.DoubleType()), T.StructField(
         "tiles", T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("doc_word", "item_word", "words")])))]))
     items = benchmark.select(F.col(item_id).alias("k"), F.col(item_text).cast("binary").alias("t")).where("t is not null")
+    items = cut(items.groupBy("k", "t").agg(F.count(F.lit(1)).alias("n")))
     total = items.agg(F.sum(F.length("t") + 64)).first()[0] or 0
-    blocks = max(1, -(-2 * total // block_bytes))
-    result, names = docs, []
+    blocks = max(1, -(-2 * total // block_bytes))  # equal rows count once, so blocks by hash are about half full
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    so_far = "__tiles"
+    result = docs.select(*(F.col(f"`{c}`") for c in kept))
     for b in range(blocks):
-        part = [(r.k, bytes(r.t)) for r in items.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).collect()]
+        part = [(r.k, bytes(r.t), r.n) for r in items.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).collect()]
         sent = docs.sparkSession.sparkContext.broadcast(part)
-        names.append(f"__tiles_{b}")
 
         def start(sent=sent):
             index = Index(sent.value, least)
@@ -209,9 +241,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_i
 
             return rows
 
-        result = with_columns(result, text, [(names[-1], kind.simpleString())], start)
-    kept = [c for c in docs.columns if c.lower() != out.lower()]
-    return result.select(*(F.col(f"`{c}`") for c in kept), F.array_sort(F.concat(*names)).alias(out))
+        result = with_columns(result, text, [("__block", kind.simpleString())], start)
+        found = F.concat(so_far, "__block") if b else F.col("__block")
+        result = result.select(*(F.col(f"`{c}`") for c in kept), found.alias(so_far))
+        if b + 1 < blocks:
+            result = cut(result)
+            sent.unpersist()
+    return result.select(*(F.col(f"`{c}`") for c in kept), F.array_sort(so_far).alias(out))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

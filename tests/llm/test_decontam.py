@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -75,6 +76,52 @@ def test_empty_tables(spark):
     assert decontam.matches(docs.limit(0), docs.toDF("item_id", "text")).collect() == []
 
 
+def plain_words(text):
+    """Words sign by sign."""
+    out, before = [], ""
+    for c in text.lower():
+        kind = unicodedata.category(c)[0]
+        alone = kind in "LN" and any(n in unicodedata.name(c, "") for n in ("CJK", "HIRAGANA", "KATAKANA", "THAI"))
+        if before and kind == "M" or before == "run" and kind in "LN" and not alone:
+            out[-1] += c
+        elif kind in "LNM":
+            out.append(c)
+            before = "alone" if alone else "run"
+        else:
+            before = ""
+    return out
+
+
+def test_words_of_all_scripts():
+    for text in ("ÉTÉ\u00a0à “Köln”—don’t, a1b2_c", "東京は日本の首都です。Tokyo 2020年", "ภาษาไทย ง่าย", "e\u0301te\u0301 hôtel", "Привет, МИР", "हिन्दी भाषा", "", " - "):
+        assert [w.decode() for w in decontam.words(text.encode())] == plain_words(text), text
+    assert decontam.words("Über Nacht".encode()) == ["über".encode(), b"nacht"]
+
+
+@pytest.mark.parametrize("block_bytes", [16 << 20, 64])
+def test_short_items_and_scripts_without_blanks(spark, block_bytes):
+    zh = "人工智能正在改变我们的生活方式和工作方式"
+    texts = [zh, "他说：" + zh[10:] + "，又说：" + zh[:10], zh[:8], "Prague, Zürich", "in PRAGUE\u00a0ZÜRICH wins; prague zürich", "prague and zürich", "Yes!", "yes, no", "は", "x は",
+             "a b c d", "a b c d e", "b a c d"]
+    items = [(0, zh), (1, "Prague Zürich"), (2, "yes"), (3, "は"), (4, "A, b, c: d"), (4, "A, b, c: d"), (5, "zürich"), (None, "…")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = []
+    for d, t in enumerate(texts):
+        w = plain_words(t)
+        for k, it in items:
+            v = plain_words(it)
+            if 1 < len(v) < 5 and any(w[i:i + len(v)] == v for i in range(len(w))) or len(v) == 1 and w == v:
+                want.append((d, k))
+            elif len(v) >= 5:
+                ids = {x: i + 1 for i, x in enumerate(dict.fromkeys(v))}
+                if sum(x[2] for x in brute_tiles([ids.get(x, 0) for x in w], [ids[x] for x in v], 5)) / len(v) >= 0.8:
+                    want.append((d, k))
+    found = decontam.matches(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes).collect()
+    assert sorted((r.doc_id, m.item_id) for r in found for m in r.matches) == sorted(want)
+    assert {(0, 0), (1, 0), (4, 1), (6, 2), (8, 3), (11, 4)} <= set(want) and want.count((10, 4)) == 2
+    assert [tuple(t) for r in found if r.doc_id == 4 for m in r.matches for t in m.tiles] == [(1, 0, 2)]
+
+
 def test_query_finds_what_brute_force_finds(spark):
     from salescope.llm import queries
 
