@@ -44,6 +44,7 @@ LONG = 160
 WORD_CUT = 8
 SIGN_CUT = 32
 SLICE = 100
+ROWS = ("first", "second", "third")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -79,7 +80,7 @@ def _placed(values: Column, size: Column) -> Column:
     """Digests with their cell in each of the three rows of ``size`` cells, and their check hash."""
     def one(v: Column) -> Column:
         return _let(F.xxhash64(v, size), lambda h: F.struct(
-            v.alias("v"), F.array(*(F.pmod(F.shiftright(h, 20 * j), size).cast("int") for j in range(3))).alias("at"), _check(v).alias("h")))
+            v.alias("v"), *(F.pmod(F.shiftright(h, 20 * j), size).cast("int").alias(ROWS[j]) for j in range(3)), _check(v).alias("h")))
 
     return F.transform(values, one)
 
@@ -88,15 +89,17 @@ def _cell(n: Column, v: Column, h: Column) -> Column:
     return F.struct(n.alias("n"), v.alias("v"), h.alias("h"))
 
 
-def _zero() -> Column:
-    return _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
+def _folded(placed: Column, name: str, start: Column) -> Column:
+    return F.aggregate(placed, start, lambda s, p: s.bitwiseXOR(p[name]))
 
 
 def sketch(values: Column, size: Column) -> Column:
     """The cells of a set of digests: three rows of ``size`` cells."""
+    zero = F.lit(0).cast("long")
+
     def row(placed: Column, j: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), size - 1), lambda cell: F.aggregate(
-            placed, _zero(), lambda s, p: F.when(p["at"][j] == cell, _cell(s["n"] + 1, s["v"].bitwiseXOR(p["v"]), s["h"].bitwiseXOR(p["h"]))).otherwise(s)))
+        return F.transform(F.sequence(F.lit(0), size - 1), lambda i: _let(
+            F.filter(placed, lambda p: p[ROWS[j]] == i), lambda own: _cell(F.size(own), _folded(own, "v", zero), _folded(own, "h", zero))))
 
     return _let(_placed(values, size), lambda placed: F.array(*(row(placed, j) for j in range(3))))
 
@@ -111,11 +114,14 @@ def peel(cells: Column, size: Column) -> Column:
         pure = F.transform(F.filter(F.flatten(s["cells"]), lambda c: (F.abs(c["n"]) == 1) & (_check(c["v"]) == c["h"])), lambda c: F.struct(c["v"].alias("v"), c["n"].alias("n")))
 
         def taken(p: Column) -> Column:
-            placed = F.zip_with(_placed(p["v"], size), p["n"], lambda q, n: F.struct(q["v"].alias("v"), q["at"].alias("at"), q["h"].alias("h"), n.alias("n")))
+            placed = F.zip_with(_placed(p["v"], size), p["n"], lambda q, n: F.struct(*(q[c].alias(c) for c in ("v", *ROWS, "h")), n.alias("n")))
 
             def row(ps: Column, j: int) -> Column:
-                return F.transform(s["cells"][j], lambda c, i: F.aggregate(
-                    ps, c, lambda x, q: F.when(q["at"][j] == i, _cell(x["n"] - q["n"], x["v"].bitwiseXOR(q["v"]), x["h"].bitwiseXOR(q["h"]))).otherwise(x)))
+                def left(c: Column, own: Column) -> Column:
+                    return F.when(F.size(own) == 0, c).otherwise(_cell(
+                        F.aggregate(own, c["n"], lambda n, q: n - q["n"]), _folded(own, "v", c["v"]), _folded(own, "h", c["h"])))
+
+                return F.transform(s["cells"][j], lambda c, i: _let(F.filter(ps, lambda q: q[ROWS[j]] == i), lambda own: left(c, own)))
 
             rest = _let(placed, lambda ps: F.array(*(row(ps, j) for j in range(3))))
             return F.struct(rest.alias("cells"), F.concat(s["found"], p).alias("found"))
@@ -142,19 +148,22 @@ def _differing_group(a: Column, b: Column) -> Column:
 
 def differing(a: Column, b: Column) -> Column:
     """Number of digests that only one of two sets has."""
-    groups = F.ceil((F.size(a) + F.size(b)) / F.lit(float(GROUP))).cast("int")
-    side = F.ceil(F.sqrt(groups.cast("double"))).cast("int")  # groups are dealt in two steps, each through the square root of their number
-    total = lambda counts: F.aggregate(counts, F.lit(0), lambda s, n: s + n)
+    groups = F.ceil((F.size(a) + F.size(b)) / F.lit(float(GROUP)))
+
+    def dealt(x: Column, side: Column, step: int) -> Column:
+        """Groups are dealt in three steps, each through the cube root of their number. A part that is the same on
+        both sides needs no sketch: its cells would cancel."""
+        def part(values: Column, i: Column) -> Column:
+            return F.filter(values, lambda v: F.pmod(F.shiftright(v, 20 * step), side) == i)
 
-    def outer(g: Column) -> Column:
-        def part(values: Column, rest: Column, shift: int) -> Column:
-            return F.filter(values, lambda v: F.pmod(F.shiftright(v, shift), side).cast("int") == rest)
+        def both(y: Column) -> Column:
+            return F.when(y["a"] == y["b"], F.lit(0)).otherwise(dealt(y, side, step + 1) if step < 2 else _differing_group(y["a"], y["b"]))
 
-        return _let(F.struct(part(a, g, 0).alias("a"), part(b, g, 0).alias("b")), lambda x: total(F.transform(
-            F.sequence(F.lit(0), side - 1), lambda i: _let(F.struct(part(x["a"], i, 32).alias("a"), part(x["b"], i, 32).alias("b")), lambda y: F.when(
-                F.size(y["a"]) + F.size(y["b"]) == 0, F.lit(0)).otherwise(_differing_group(y["a"], y["b"]))))))
+        counts = F.transform(F.sequence(F.lit(0).cast("long"), side - 1), lambda i: _let(F.struct(part(x["a"], i).alias("a"), part(x["b"], i).alias("b")), both))
+        return F.aggregate(counts, F.lit(0), lambda s, n: s + n)
 
-    return F.when(groups <= 1, _differing_group(a, b)).otherwise(total(F.transform(F.sequence(F.lit(0), side - 1), outer)))
+    many = _let(F.struct(a.alias("a"), b.alias("b")), lambda x: _let(F.ceil(F.cbrt(groups.cast("double"))), lambda side: dealt(x, side, 0)))
+    return F.when(a == b, F.lit(0)).when(groups <= 1, _differing_group(a, b)).otherwise(many)
 
 
 def likeness(a: Column, b: Column) -> Column:
