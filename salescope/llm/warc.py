@@ -13,11 +13,13 @@ go; character references are resolved; blanks are folded and empty lines dropped
 Defined results: null html is an empty payload, a null url an empty target; a record that is no
 well-formed response (unknown version, missing id, payload shorter than announced) gives no
 derivatives and stands in ``failure``; a payload that differs from its digest is converted, and its
-metadata says so; repeated rows give records with equal ids. Extra columns pass through ``derive``.
+metadata says so (digests in base 32 or base 16, of any algorithm hashlib always has; others never match);
+a text key may hold line ends; repeated rows give records with equal ids. Extra columns pass through ``derive``.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import html
 import re
@@ -61,6 +63,16 @@ def digest(block: bytes) -> str:
     return "sha1:" + hashlib.sha1(block).hexdigest()
 
 
+def same_digest(given: str, block: bytes) -> bool:
+    """Whether ``given`` (algorithm, colon, value in base 32 or base 16) is the digest of ``block``."""
+    name, _, value = given.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in hashlib.algorithms_guaranteed or name.startswith("shake"):
+        return False
+    own = hashlib.new(name, block, usedforsecurity=False).digest()
+    return value.strip().rstrip("=").upper() in (base64.b32encode(own).decode().rstrip("="), own.hex().upper())
+
+
 def _id(kind: str, *parts: bytes) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, kind + ':' + hashlib.sha1(b'|'.join(parts)).hexdigest())}>"
 
@@ -113,18 +125,24 @@ def derivatives(source: bytes) -> list[dict]:
     about = [("title", plain_text(title[1]).replace("\n", " ") if title else ""), ("language", language[1].decode().lower() if language else ""), ("links", str(len(_LINK.findall(payload)))),
              ("conversion", conversion["record_id"]), ("conversion-digest", conversion["block_digest"]), ("conversion-chars", str(len(text))),
              ("source-status", status), *((f"source-header-{k.strip().lower()}", v.strip()) for k, _, v in (h.partition(":") for h in headers)),
-             ("source-payload-digest", given), ("source-payload-length", str(len(payload))), ("source-digest-matches", str(given == own).lower())]
+             ("source-payload-digest", given), ("source-payload-length", str(len(payload))), ("source-digest-matches", str(same_digest(given, payload)).lower())]
     return [conversion, made("metadata", "application/warc-fields", "".join(f"{k}: {v}{BREAK}" for k, v in about).encode("utf-8", "replace"))]
 
 
 def responses(pages: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html", date: str = DATE) -> DataFrame:
     """The key and ``record``: a response record for each page."""
-    packed = pages.select(F.col(key), F.concat_ws("\n", F.coalesce(F.col(key).cast("string"), F.lit("")),
-                                                  F.regexp_replace(F.coalesce(url, F.lit("")), "[\r\n]+", " "), F.coalesce(page, F.lit(""))).alias("__page"))
+    named = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    packed = pages.select(F.col(key), F.concat_ws("\n", F.octet_length(named), F.concat(named, F.regexp_replace(F.coalesce(url, F.lit("")), "[\r\n]+", " ")),
+                                                  F.coalesce(page, F.lit(""))).alias("__page"))
+
+    def made(packed: bytes) -> str:
+        size, rest = packed.split(b"\n", 1)
+        named, rest = rest[:int(size)], rest[int(size):]  # a key may hold line ends
+        address, payload = rest.split(b"\n", 1)
+        return response(address.decode("utf-8", "replace"), payload, named.decode("utf-8", "replace"), date).decode("utf-8", "replace")
 
     def rows(batch):
-        split = (p.split(b"\n", 2) for p in batch)
-        return ([response(u.decode("utf-8", "replace"), payload, k.decode(), date).decode("utf-8", "replace") for k, u, payload in split],)
+        return ([made(p) for p in batch],)
 
     return with_columns(packed, "__page", [("record", "string")], lambda: rows).drop("__page")
 

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import html
 import re
@@ -119,3 +120,23 @@ def test_query(spark):
     for r in got:
         if r.record_type == "conversion":
             assert r.block_digest == "sha1:" + hashlib.sha1(brute(pages[r.page_id].html).encode()).hexdigest()
+
+
+def test_digests_in_either_base_and_of_other_algorithms():
+    page = b"<p>\xc3\xa9"
+    for name, plain in (("sha1", hashlib.sha1(page)), ("SHA1", hashlib.sha1(page)), ("md5", hashlib.md5(page)), ("sha256", hashlib.sha256(page)), ("sha-256", hashlib.sha256(page))):
+        for value in (plain.hexdigest(), plain.hexdigest().upper(), base64.b32encode(plain.digest()).decode(), base64.b32encode(plain.digest()).decode().rstrip("=")):
+            assert warc.same_digest(f"{name}:{value}", page) and not warc.same_digest(f"{name}:{value}", page + b"x")
+    for odd in ("", "sha1", "sha1:", "crc32:00", "shake_128:00", hashlib.sha1(page).hexdigest()):
+        assert not warc.same_digest(odd, page)
+    source = warc.response("u", page, "1").replace(warc.digest(page).encode(), b"sha1:" + base64.b32encode(hashlib.sha1(page).digest()))
+    assert "source-digest-matches: true" in warc.derivatives(source)[1]["record"]
+
+
+def test_text_keys_with_line_ends(spark):
+    rows = [("a\nb", "http://x/", "<p>1"), ("", "http://y/", "2\n\n3"), (None, None, None), ("é\r\n", "u\nv", "\n")]
+    made = {r.k: warc.parse(r.record.encode()) for r in warc.responses(spark.createDataFrame(rows, "k string, url string, html string"), key="k").collect()}
+    for k, url, page in rows:
+        fields, block = made[k]
+        assert fields["warc-target-uri"] == (url or "").replace("\n", " ") and block.split(b"\r\n\r\n", 1)[1].decode() == (page or "")
+    assert len({f["warc-record-id"] for f, _ in made.values()}) == 4
