@@ -26,17 +26,17 @@ each get their row.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from hashlib import blake2b
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salescope.llm.common import cut, parts
+from salescope.llm.common import parts
+from salescope.session import checkpoint_dir
 
-END = b""
 DEPTH = 3
 MIN_SHARE = 0.0
 DIVERGENCE = 0.01
@@ -46,19 +46,46 @@ _BASE = 0x9E3779B97F4A7C15
 _BITS = 1 << 26  # of a bitmap: 8 MB, as each broadcast is a file at the driver and at every executor
 _PIECE = 1 << 15  # bits of a row of bitmap_construct_agg
 _BLOCK = 2_000_000  # bytes of text taken at once
+_PIECE_BYTES = 500_000  # of them hashed at once
 _HELD = 2_000_000  # keys that a task adds up before it sends their counts
 
 
-def symbols(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]  # bytes: A-Z only, blanks \x20 and \x09-\x0D only
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return h
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Numbers scattered over 64 bits."""
+    x = x + np.uint64(_BASE)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_SIGNS = _mix(np.arange(256, dtype=np.uint64))
+_SIGNS[[32, *range(9, 14)]] = 0  # blanks add nothing to the word before them
+_END = _mix(np.array([1 << 40], np.uint64))[0]
+
+
+def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of the texts, as hashes: an end, then each text's words and its end; and each text's number of
+    symbols. A word's hash is the sum of its signs' numbers, each times a number of its place, scattered."""
+    joined = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)  # bytes: A-Z only, blanks \x20 and \x09-\x0D only
+    blank = (joined == 32) | ((joined >= 9) & (joined <= 13))
+    edges = np.flatnonzero(np.diff(blank.view(np.int8), prepend=1, append=1))
+    starts, ends = edges[::2], edges[1::2]
+    words = np.empty(len(starts), np.uint64)
+    places = _mix(np.arange(1 << 32, (1 << 32) + (int((ends - starts).max()) if len(starts) else 0), dtype=np.uint64))
+    at = 0
+    while at < len(starts):  # a piece of the bytes at a time
+        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + _PIECE_BYTES)))
+        first, signs = starts[at:stop] - starts[at], joined[starts[at]:ends[stop - 1]]
+        place = np.arange(len(signs), dtype=np.int32) - np.repeat(first.astype(np.int32), np.diff(first, append=len(signs)))
+        place[blank[starts[at]:ends[stop - 1]]] = 0
+        words[at:stop] = np.add.reduceat(_SIGNS[signs] * places[place], first)
+        at = stop
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    upto = np.searchsorted(starts, bounds)  # words of the texts so far
+    own = np.diff(upto, prepend=0) + 1
+    out = np.full(len(words) + len(texts) + 1, _END)
+    out[1 + np.arange(len(words)) + np.repeat(np.arange(len(texts)), own - 1)] = _mix(words)
+    return out, own
 
 
 @dataclass
@@ -74,17 +101,37 @@ class Model:
         return self.tokens + 0.5 * (self.distinct + 1)
 
 
-def _keys(blocks: list[list[bytes]], hashes: _Hashes, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length up to ``length``: keys of the sequences that end at each place of the texts, each text after an
-    end, and whether they lie within a text; an end may be their first and their last symbol only."""
-    ids = np.fromiter((hashes[w] for words in ([END], *blocks) for w in words), np.uint64)
-    inner = ids != np.uint64(hashes[END])
+def _keys(texts: list[bytes], length: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Each text's number of symbols. For each length up to ``length``: keys of the sequences that end at each place of
+    the texts, each text after an end, and whether they lie within a text; an end may be their first and their last
+    symbol only."""
+    ids, sizes = _hashes(texts)
+    inner = ids != _END
     found = [(ids, np.ones(len(ids), bool))]
     for k in range(1, length):
         key, valid = found[-1]
         longer = np.concatenate([ids[:1], key[:-1] * np.uint64(_BASE) + ids[1:]])
         found.append((longer, np.concatenate([[False], valid[:-1] & (inner[:-1] | (k == 1))])))
-    return found
+    return sizes, found
+
+
+class _Tables:
+    """Tables written to a folder of their own under the shared checkpoint folder. What a table was made from is
+    dropped once it stands: tables by ``drop``, shuffle files by Spark, which is asked to look for unused ones."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{checkpoint_dir(spark)}/suffix-tree-{uuid4().hex}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -110,22 +157,24 @@ def _count(docs: DataFrame, text: str, length: int, shorter: np.ndarray | None,
     columns = ["key", "ctx", "suf", "n"] if whole else ["key", "n"]
 
     def run(batches):
-        hashes = _Hashes()
         held: list[tuple[np.ndarray, ...]] = []
 
         def counted():
-            key, ctx, suf = (np.concatenate(x) for x in zip(*held))
+            joined = [np.concatenate(x) for x in zip(*held)]
             held.clear()
-            key, at, n = np.unique(key, return_index=True, return_counts=True)
-            for i in range(0, len(key), 100_000):
-                own = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_pydict({"key": key[own].view(np.int64), "ctx": ctx[at[own]].view(np.int64), "suf": suf[at[own]].view(np.int64), "n": n[own].astype(np.int64)}).select(columns)
+            if whole:
+                key, at, n = np.unique(joined[0], return_index=True, return_counts=True)
+                made = {"key": key, "ctx": joined[1][at], "suf": joined[2][at], "n": n}
+            else:
+                made = dict(zip(columns, np.unique(joined[0], return_counts=True)))
+            for i in range(0, len(made["key"]), 100_000):
+                yield pa.RecordBatch.from_pydict({c: v[i:i + 100_000].view(np.int64) for c, v in made.items()})
 
         for _, own in parts(batches, text, _BLOCK):
-            found = _keys([symbols(t) for t in own], hashes, length)
+            _, found = _keys(own, length)
             key, valid = found[-1]
             if length == 1:
-                held.append((key[1:],) * 3)  # the first place is the end before the first text
+                held.append((key[1:],))  # the first place is the end before the first text
             else:
                 near = found[-2][0]
                 places = np.flatnonzero(valid)
@@ -134,7 +183,7 @@ def _count(docs: DataFrame, text: str, length: int, shorter: np.ndarray | None,
                 places = places[listed[places] & listed[places - 1]]
                 if often is not None:
                     places = places[_listed(often, key[places])]
-                held.append((key[places], near[places - 1], near[places]))
+                held.append((key[places], near[places - 1], near[places]) if whole else (key[places],))
             if sum(len(h[0]) for h in held) >= _HELD:
                 yield from counted()
         if held:
@@ -144,7 +193,7 @@ def _count(docs: DataFrame, text: str, length: int, shorter: np.ndarray | None,
     return rows.groupBy("key").agg(*(F.first(c).alias(c) for c in columns[1:-1]), F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
-def _retain(longer: DataFrame, shorter: DataFrame, divergence: float, evidence: float) -> tuple[DataFrame, DataFrame]:
+def _retain(tables: _Tables, length: int, longer: DataFrame, shorter: DataFrame, divergence: float, evidence: float) -> tuple[DataFrame, DataFrame]:
     """Divergence tests of the contexts ``shorter`` (key, n, p) with the followers ``longer``: the retained contexts
     (ctx, rest, total), and (key, n, p, term) of the followers."""
     beside = longer.join(shorter.select(F.col("key").alias("suf"), F.col("p").alias("parent")), "suf").select("key", "ctx", "n", "parent")
@@ -156,35 +205,39 @@ def _retain(longer: DataFrame, shorter: DataFrame, divergence: float, evidence:
     left = F.col("uncounted") * F.ln(F.col("rest") / F.col("total"))
     gains = beside.join(sums, "ctx").groupBy("ctx", "seen", "rest", "total", left.alias("left")).agg(F.sum(F.col("n") * F.ln(own / F.col("parent"))).alias("gain"))
     gain = F.col("gain") + F.col("left")
-    kept = cut(gains.where((gain >= evidence) & (gain >= divergence * F.col("seen"))).select("ctx", "rest", "total"))
+    kept = tables.put(f"kept-{length}", gains.where((gain >= evidence) & (gain >= divergence * F.col("seen"))).select("ctx", "rest", "total"))
     term = F.log10(own / F.col("parent")) - F.log10(F.col("rest") / F.col("total"))
     return kept, beside.join(kept, "ctx", "left").select("key", "n", F.coalesce(own, "parent").alias("p"), F.coalesce(term, F.lit(0.0)).alias("term"))
 
 
 def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE, evidence: float = EVIDENCE) -> Model:
     """The tree of the training texts."""
-    single = cut(_count(docs, text, 1, None, 1, whole=False))
+    tables = _Tables(docs.sparkSession)
+    single = tables.put("single", _count(docs, text, 1, None, 1, whole=False))
     size = single.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     model = Model(single, np.zeros(0, np.uint8), size.n or 0, size.v, depth)
     least, sent = max(2.0, min_share * model.tokens), SENT * model.tokens
     p = (F.col("n") + 0.5) / F.lit(model.scale)
     level = single.select("key", "n", p.alias("p"), F.log10(p).alias("term"), F.log10(p).alias("root"))
-    values = []
+    valued = F.col("root").isNotNull() | (F.col("v") != 0) | (F.col("n") >= sent)
     for length in range(2, depth + 2):
         known = level.where(F.col("n") >= least)
         near = _bitmap(known)
         # Most pairs occur once: they are left out by their keys, before their parts are shuffled.
         often = _bitmap(_count(docs, text, length, near, least, whole=False)) if length == 2 else None
-        longer = cut(_count(docs, text, length, near, least, often=often))
-        kept, after = _retain(longer, known, divergence, evidence)
-        values.append(level.join(kept.withColumnRenamed("ctx", "key"), "key", "left").select(
-            "key", "n", "root", (F.col("term") + F.coalesce(F.log10(F.col("rest") / F.col("total")), F.lit(0.0))).alias("v")))
-        level = cut(after).withColumn("root", F.lit(None).cast("double"))
-    values.append(level.select("key", "n", "root", F.col("term").alias("v")))
-    table = values[0]
-    for other in values[1:]:
-        table = table.unionByName(other)
-    model.values = cut(table.where(F.col("root").isNotNull() | (F.col("v") != 0) | (F.col("n") >= sent)))
+        tables.drop()
+        longer = tables.put(f"longer-{length}", _count(docs, text, length, near, least, often=often))
+        tables.drop()
+        kept, after = _retain(tables, length, longer, known, divergence, evidence)
+        with_own = level.join(kept.withColumnRenamed("ctx", "key"), "key", "left")
+        v = F.col("term") + F.coalesce(F.log10(F.col("rest") / F.col("total")), F.lit(0.0))
+        tables.put(f"values/of={length - 1}", with_own.select("key", "n", "root", v.alias("v")).where(valued))
+        level = tables.put(f"level-{length}", after).withColumn("root", F.lit(None).cast("double"))
+        tables.drop("single" if length == 2 else f"level-{length - 1}", f"longer-{length}", f"kept-{length}")
+    last = level.select("key", "n", "root", F.col("term").alias("v"))
+    tables.put(f"values/of={depth + 1}", last.where(valued))
+    tables.drop(f"level-{depth + 1}")
+    model.values = docs.sparkSession.read.schema(last.schema).parquet(f"{tables.root}/values").select("key", "n", "root", "v")
     model.bitmap = _bitmap(model.values)
     return model
 
@@ -197,20 +250,20 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
     sent = docs.sparkSession.sparkContext.broadcast((keys[order], np.nan_to_num(root), value, model.bitmap))
     length = model.depth + 1
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    schema = T.StructType([source.schema["doc_id"], source.schema["text_hash"], *(T.StructField(n, t) for n, t in (
-        ("key", T.LongType()), ("n", T.LongType()), ("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("tree", T.DoubleType())))])
+    named = [source.schema["doc_id"], source.schema["text_hash"]]
+    own = T.StructType([*named, *(T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("tree", T.DoubleType())))])
+    others = T.StructType([*named, T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
 
-    def run(batches):
+    def read(batches):
+        """Blocks of texts with their sums over frequent sequences, and the text and key of each other one that has a value."""
         keys, root, value, bitmap = sent.value
-        hashes = _Hashes()
-        for batch, own in parts(batches, "text", _BLOCK):
-            words = [symbols(t) for t in own]
-            heads = len(own)
-            sizes = np.array([len(w) for w in words])
+        for batch, texts in parts(batches, "text", _BLOCK):
+            heads = len(texts)
+            sizes, found = _keys(texts, length)
             owner = np.concatenate([[0], np.repeat(np.arange(heads), sizes)])
             known, base, tree = np.zeros(heads, np.int64), np.zeros(heads), np.zeros(heads)
             rows, rest = [], []
-            for k, (key, valid) in enumerate(_keys(words, hashes, length)):
+            for k, (key, valid) in enumerate(found):
                 places = 1 + np.flatnonzero(valid[1:])
                 places = places[_listed(bitmap, key[places])]
                 own_keys, text_at = key[places], owner[places]
@@ -225,31 +278,31 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
                     own_keys, text_at = own_keys[~hit], text_at[~hit]
                 rows.append(text_at)
                 rest.append(own_keys)
-            rows, rest = np.concatenate(rows), np.concatenate(rest)
+            yield batch, (sizes, known, base, tree), np.concatenate(rows), np.concatenate(rest)
+
+    def sums_of_frequent(batches):
+        for batch, sums, _, _ in read(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x) for x in sums)], own.names)
+
+    def counts_of_others(batches):
+        for batch, _, rows, rest in read(batches):
             by = np.lexsort((rest, rows))
             rows, rest = rows[by], rest[by]
             first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (rest[1:] != rest[:-1])])[:len(rows)])
             n = np.diff(np.append(first, len(rows)))
-            rows, rest = rows[first], rest[first]
-            # One head for each text, with n of zero; its key is by its place in the block, against skew, and joined with nothing.
-            spread = (np.arange(heads, dtype=np.uint64) * np.uint64(_BASE)).view(np.int64)
-            for i in range(0, heads + len(rows), 100_000):
-                head, tail = slice(min(i, heads), min(i + 100_000, heads)), slice(max(i - heads, 0), max(i + 100_000 - heads, 0))
-                take = pa.array(np.concatenate([np.arange(heads)[head], rows[tail]]), pa.int64())
-                tail_here = len(rows[tail])
-                column = lambda x, t: pa.concat_arrays([pa.array(x[head], t), pa.nulls(tail_here, t)])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate([spread[head], rest[tail].view(np.int64)]), pa.int64()),
-                    pa.array(np.concatenate([np.zeros(len(sizes[head]), np.int64), n[tail]]), pa.int64()),
-                    column(sizes, pa.int64()), column(known, pa.int64()), column(base, pa.float64()), column(tree, pa.float64())], schema.names)
-
-    rows = source.mapInArrow(run, schema)
-    values = model.values.select(F.col("key").alias("valued"), "root", "v")
-    rows = rows.join(values, (F.col("key") == F.col("valued")) & (F.col("n") > 0), "left")
+            for i in range(0, len(first), 100_000):
+                here = first[i:i + 100_000]
+                take = pa.array(rows[here])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(rest[here].view(np.int64)), pa.array(n[i:i + 100_000])], others.names)
+
+    values = model.values.select("key", "root", "v")
+    also = F.when(F.col("root").isNotNull(), F.col("n")).otherwise(0)
+    rare = source.mapInArrow(counts_of_others, others).join(values, "key").select(
+        "doc_id", "text_hash", also.alias("also"), (F.col("n") * F.col("root")).alias("rare"), (F.col("n") * F.col("v")).alias("more"))
+    rows = source.mapInArrow(sums_of_frequent, own).unionByName(rare, allowMissingColumns=True)
     sums = rows.groupBy("doc_id", "text_hash").agg(
-        F.count("n_tokens").alias("copies"), F.max("n_tokens").alias("n_tokens"), F.max("known").alias("known"), F.max("base").alias("base"), F.max("tree").alias("tree"),
-        F.sum(F.when(F.col("root").isNotNull(), F.col("n")).otherwise(0)).alias("also"), F.coalesce(F.sum(F.col("n") * F.col("root")), F.lit(0.0)).alias("rare"),
-        F.coalesce(F.sum(F.col("n") * F.col("v")), F.lit(0.0)).alias("more"))
+        F.count("n_tokens").alias("copies"), *(F.max(c).alias(c) for c in ("n_tokens", "known", "base", "tree")),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("also", "rare", "more")))
     known = F.col("known") + F.expr("also div copies")
     lacking = (F.col("n_tokens") - known) * F.log10(F.lit(0.5 / model.scale))
     one = sums.select("doc_id", "text_hash", "n_tokens", known.alias("n_known"), (F.col("base") + F.col("rare") / F.col("copies") + lacking).alias("base_score"),
