@@ -26,6 +26,7 @@ each get their row.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 from uuid import uuid4
 
 import numpy as np
@@ -47,6 +48,7 @@ _BITS = 1 << 26  # of a bitmap: 8 MB, as each broadcast is a file at the driver
 _PIECE = 1 << 15  # bits of a row of bitmap_construct_agg
 _BLOCK = 2_000_000  # bytes of text taken at once
 _PIECE_BYTES = 500_000  # of them hashed at once
+_RANGE = 12_000_000  # bytes of text for each range of keys: about two million symbols, whose keys a task holds at once
 _HELD = 2_000_000  # keys that a task adds up before it sends their counts
 
 
@@ -149,26 +151,34 @@ def _listed(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _count(docs: DataFrame, text: str, length: int, shorter: np.ndarray | None, least: float, *, often: np.ndarray | None = None, whole: bool = True) -> DataFrame:
+def _count(docs: DataFrame, text: str, length: int, shorter: np.ndarray | None, least: float, buckets: int, *, often: np.ndarray | None = None, whole: bool = True) -> DataFrame:
     """(key, ctx, suf, n): sequences of ``length`` symbols that occur at least ``least`` times, with the keys of the
     sequences without their last and without their first symbol. Those with parts not in ``shorter``, or not in ``often`` themselves, are passed over;
-    without ``whole`` they are counted by key alone."""
+    without ``whole`` they are counted by key alone. Tasks add up what they hold and send it packed, one row for each
+    of ``buckets`` ranges of keys; a range is added up as a whole."""
     sent = docs.sparkSession.sparkContext.broadcast((shorter, often))
-    columns = ["key", "ctx", "suf", "n"] if whole else ["key", "n"]
+    columns = ["key", "n", "ctx", "suf"] if whole else ["key", "n"]
+
+    def summed(key, n, *others):
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
+        n = np.diff(np.append(first, len(key))) if n is None else np.add.reduceat(n[order], first) if len(first) else n
+        return key[first], n.astype(np.int64), *(x[order[first]] for x in others)
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
 
         def counted():
-            joined = [np.concatenate(x) for x in zip(*held)]
+            key, *others = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            if whole:
-                key, at, n = np.unique(joined[0], return_index=True, return_counts=True)
-                made = {"key": key, "ctx": joined[1][at], "suf": joined[2][at], "n": n}
-            else:
-                made = dict(zip(columns, np.unique(joined[0], return_counts=True)))
-            for i in range(0, len(made["key"]), 100_000):
-                yield pa.RecordBatch.from_pydict({c: v[i:i + 100_000].view(np.int64) for c, v in made.items()})
+            made = summed(key, None, *others)
+            ranges = ((made[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            starts = np.flatnonzero(np.diff(ranges, prepend=-1))
+            ends = np.append(starts[1:], len(ranges))
+            for i in range(0, len(starts), 64):
+                here = list(zip(starts[i:i + 64], ends[i:i + 64]))
+                yield pa.RecordBatch.from_arrays([pa.array(ranges[starts[i:i + 64]]), *(pa.array([x[a:b].tobytes() for a, b in here], pa.binary()) for x in made)], ["bucket", *columns])
 
         for _, own in parts(batches, text, _BLOCK):
             _, found = _keys(own, length)
@@ -189,8 +199,13 @@ def _count(docs: DataFrame, text: str, length: int, shorter: np.ndarray | None,
         if held:
             yield from counted()
 
-    rows = docs.select(text).mapInArrow(run, ", ".join(f"{c} long" for c in columns))
-    return rows.groupBy("key").agg(*(F.first(c).alias(c) for c in columns[1:-1]), F.sum("n").alias("n")).where(F.col("n") >= least)
+    def bucket(table: pa.Table) -> pa.Table:
+        made = summed(*(np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in columns))
+        enough = made[1] >= least
+        return pa.table({c: x[enough] for c, x in zip(columns, made)})
+
+    rows = docs.select(text).mapInArrow(run, ", ".join(["bucket long", *(f"{c} binary" for c in columns)]))
+    return rows.groupBy("bucket").applyInArrow(bucket, ", ".join(f"{c} long" for c in columns))
 
 
 def _retain(tables: _Tables, length: int, longer: DataFrame, shorter: DataFrame, divergence: float, evidence: float) -> tuple[DataFrame, DataFrame]:
@@ -213,7 +228,9 @@ def _retain(tables: _Tables, length: int, longer: DataFrame, shorter: DataFrame,
 def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE, evidence: float = EVIDENCE) -> Model:
     """The tree of the training texts."""
     tables = _Tables(docs.sparkSession)
-    single = tables.put("single", _count(docs, text, 1, None, 1, whole=False))
+    size = docs.agg(F.sum(F.octet_length(text)).alias("bytes")).first().bytes or 0
+    count = partial(_count, docs, text, buckets=1 + size // _RANGE)
+    single = tables.put("single", count(1, None, 1, whole=False))
     size = single.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     model = Model(single, np.zeros(0, np.uint8), size.n or 0, size.v, depth)
     least, sent = max(2.0, min_share * model.tokens), SENT * model.tokens
@@ -223,10 +240,10 @@ def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: f
     for length in range(2, depth + 2):
         known = level.where(F.col("n") >= least)
         near = _bitmap(known)
-        # Most pairs occur once: they are left out by their keys, before their parts are shuffled.
-        often = _bitmap(_count(docs, text, length, near, least, whole=False)) if length == 2 else None
+        # Most sequences occur once: they are left out by their keys, before their parts are shuffled.
+        often = _bitmap(count(length, near, least, whole=False))
         tables.drop()
-        longer = tables.put(f"longer-{length}", _count(docs, text, length, near, least, often=often))
+        longer = tables.put(f"longer-{length}", count(length, near, least, often=often))
         tables.drop()
         kept, after = _retain(tables, length, longer, known, divergence, evidence)
         with_own = level.join(kept.withColumnRenamed("ctx", "key"), "key", "left")
