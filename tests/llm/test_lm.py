@@ -119,3 +119,22 @@ def test_rare_contexts_are_kept_whatever_the_size_of_the_corpus(spark):
     brute = Brute(noise + rare, lm.DEPTH, 0.0, lm.DIVERGENCE, 5.0)
     assert math.isclose(got[900].score, brute.score("qa qb qc qd qe", lm.DEPTH), rel_tol=1e-9)
     assert got[900].score > got[900].base_score + 5
+
+
+def test_other_columns_take_no_part(spark):
+    rows = [(i, t) for i, t in enumerate(["a b a b c", "A  b a b c", "", None, "a b " * 50_000, "a b a b c"])]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    clashing = spark.createDataFrame([(i, t, "x", -1, None, 0.5, "y") for i, t in rows], "doc_id long, text string, key string, n int, text_hash long, score double, n_tokens string")
+    train = lambda docs: docs.doc_id != 1
+    got = [sorted(tuple(r) for r in lm.fit_and_score(d, train(d), evidence=1.0)[0].drop("text_hash").collect()) for d in (plain, clashing)]
+    assert len(got[0]) == len(rows) and [r[:3] for r in got[0]] == [r[:3] for r in got[1]]
+    assert all(math.isclose(x, y, rel_tol=1e-9) for a, b in zip(*got) for x, y in zip(a[3:], b[3:]))
+    assert got[0][0][1:] == got[0][5][1:] and got[0][4][1] == 100_001  # equal texts, and a long one
+
+
+def test_hashes_follow_the_words():
+    texts = [b"", b" ", b"A a\tb\n", b"  x \x0by", "ä   é".encode(), b"ab ba aab", b"z" * 600_000 + b" Z"]
+    hashes, sizes = lm._hashes(texts)
+    said = [w for t in texts for w in [*t.lower().split(), b""]]
+    assert sizes.tolist() == [len(t.split()) + 1 for t in texts] and len(hashes) == 1 + len(said)
+    assert hashes[0] == lm._END and len(set(zip(said, hashes[1:].tolist()))) == len(set(said)) == len(set(hashes.tolist()))
