@@ -20,7 +20,11 @@ no result.
 
 Defined results: null text is empty and consists of its end; without training texts every symbol
 has probability one at the root; a symbol that training texts lack has the root's rest. Repeated rows
-each get their row.
+each get their row; columns other than id and text take no part and are dropped, whatever their names.
+A text is held by one task as a whole, with some tens of bytes for each of its symbols.
+
+The tables of a fit lie in a folder of their own under the checkpoint folder. Each is dropped when the
+next one stands; the values stay, since scores are read from them.
 """
 
 from __future__ import annotations
@@ -211,7 +215,8 @@ def _count(docs: DataFrame, text: str, length: int, shorter: np.ndarray | None,
 def _retain(tables: _Tables, length: int, longer: DataFrame, shorter: DataFrame, divergence: float, evidence: float) -> tuple[DataFrame, DataFrame]:
     """Divergence tests of the contexts ``shorter`` (key, n, p) with the followers ``longer``: the retained contexts
     (ctx, rest, total), and (key, n, p, term) of the followers."""
-    beside = longer.join(shorter.select(F.col("key").alias("suf"), F.col("p").alias("parent")), "suf").select("key", "ctx", "n", "parent")
+    beside = tables.put(f"beside-{length}", longer.join(shorter.select(F.col("key").alias("suf"), F.col("p").alias("parent")), "suf").select("key", "ctx", "n", "parent"))
+    tables.drop(f"longer-{length}")
     sums = beside.groupBy("ctx").agg(F.sum("n").alias("counted"), F.count(F.lit(1)).alias("followers"))
     sums = sums.join(shorter.select(F.col("key").alias("ctx"), F.col("n").alias("seen")), "ctx")
     sums = sums.withColumn("uncounted", F.greatest(F.col("seen") - F.col("counted"), F.lit(0)))
@@ -250,7 +255,7 @@ def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: f
         v = F.col("term") + F.coalesce(F.log10(F.col("rest") / F.col("total")), F.lit(0.0))
         tables.put(f"values/of={length - 1}", with_own.select("key", "n", "root", v.alias("v")).where(valued))
         level = tables.put(f"level-{length}", after).withColumn("root", F.lit(None).cast("double"))
-        tables.drop("single" if length == 2 else f"level-{length - 1}", f"longer-{length}", f"kept-{length}")
+        tables.drop("single" if length == 2 else f"level-{length - 1}", f"beside-{length}", f"kept-{length}")
     last = level.select("key", "n", "root", F.col("term").alias("v"))
     tables.put(f"values/of={depth + 1}", last.where(valued))
     tables.drop(f"level-{depth + 1}")
