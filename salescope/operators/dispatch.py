@@ -18,7 +18,7 @@ def answer(question: str, t: Tables, *, as_of) -> dict:
     its supply chain; no entry elsewhere.
     """
     spark = t.sales.sparkSession
-    r = questions.route(spark.createDataFrame([(0, question)], "qid int, question string"), t.items, ["qid"], t.brand_names, t.item_grams).first().asDict()
+    r = questions.route(spark.createDataFrame([(0, question)], "qid int, question string"), t.items, ["qid"], t.brand_names, t.stored_grams).first().asDict()
     data, also = run_route(r, t, as_of=as_of)
     return {"route": r, "data": data, "also": also, "parts": report_parts(r, t, as_of=as_of)}
 

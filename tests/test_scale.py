@@ -36,3 +36,12 @@ def test_tokens_that_every_question_holds_are_spread_or_dropped(spark):
     for hits in (questions._whole_word_hits, questions._substring_hits):
         text = executed(hits(asked, ["qid"], index))
         assert re.search(r"Join \[(first|gram)#\d+L?, _salt#", text), text
+
+
+def test_descriptions_are_found_without_an_index(spark):
+    items = spark.createDataFrame([(y, c, d) for y in (1999, 2000) for c, d in (("A-1", "Cold Widget"), ("A-2", "cold widget two"), ("A-3", None), (None, "Warm"))],
+                                  "Year int, Item_Code string, Item_Desc string")
+    asked = spark.createDataFrame([(0, 'is "Widget T" stable'), (1, 'is "old wid" stable'), (2, '"zzzzz"'), (3, "A-3 or A-2")], "qid int, question string")
+    want = {0: "A-2", 1: "A-1", 2: None, 3: "A-3"}
+    for grams in (None, names.item_grams(items)):
+        assert {r["qid"]: r["Item_Code"] for r in questions.detect_item(asked, items, ["qid"], grams).collect()} == want
