@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from salescope.operators import questions
-from salescope.sources import names
+from salescope.sources import fixtures, names
 from salescope.sources.questions import questions_table
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +45,17 @@ def test_descriptions_are_found_without_an_index(spark):
     want = {0: "A-2", 1: "A-1", 2: None, 3: "A-3"}
     for grams in (None, names.item_grams(items)):
         assert {r["qid"]: r["Item_Code"] for r in questions.detect_item(asked, items, ["qid"], grams).collect()} == want
+
+
+
+def test_lines_are_never_sent_by_nation(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = executed(fixtures.sales_from_star(fixtures.star_base(spark, SF)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    lines = text.split("\n")
+    for at, line in enumerate(lines):
+        if re.search(r"Exchange hashpartitioning\([cs]_nationkey", line):
+            assert "l_orderkey" not in lines[at + 1] and "o_orderkey" not in lines[at + 1]
