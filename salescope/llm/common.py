@@ -51,18 +51,20 @@ def parts(batches: Iterable[pa.RecordBatch], column: str, size: int = 4_000_000)
 
 
 def with_columns(df: DataFrame, column: str, fields: list[tuple[str, str]],
-                 start: Callable[[], Callable[[list[bytes]], Iterable[Iterable]]]) -> DataFrame:
+                 start: Callable[[], Callable[[list[bytes]], Iterable[Iterable]]], *, keep: bool = True) -> DataFrame:
     """Append columns computed from the whole text of each row, in Arrow batches.
 
     ``start()`` runs once per task and gives the function from a batch's texts (UTF-8 bytes) to one
     sequence per new column. Other columns pass through unchanged; an existing column named like a
-    new one (compared without case, as Spark does) is replaced.
+    new one (compared without case, as Spark does) is replaced. Without ``keep`` the text stays behind:
+    it is not sent back from the worker.
     """
     new = {name.lower() for name, _ in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in new or f.name == column]
     if column.lower() in new:
         raise ValueError(f"the text column {column!r} cannot be replaced")
-    schema = T.StructType([*kept, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in fields)])
+    passed = [i for i, f in enumerate(kept) if keep or f.name != column]
+    schema = T.StructType([*(kept[i] for i in passed), *(T.StructField(n, T._parse_datatype_string(t)) for n, t in fields)])
     source = df.select(*(F.col(f"`{f.name}`") for f in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +75,7 @@ def with_columns(df: DataFrame, column: str, fields: list[tuple[str, str]],
         for batch, own in parts(batches, column):
             made = fn(own)
             arrays = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *(n for n, _ in fields)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in passed), *arrays], schema.names)
 
     return source.mapInArrow(run, schema)
 

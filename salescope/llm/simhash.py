@@ -59,9 +59,9 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones.ravel() > len(hashes)).tobytes(), "big", signed=True)
 
 
-def fingerprints(df: DataFrame, *, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """All rows with ``fp`` (bigint, the 64 bits of the fingerprint)."""
-    return with_columns(df, text, [("fp", "long")], lambda: lambda batch: ([fingerprint(t, shingle) for t in batch],))
+def fingerprints(df: DataFrame, *, text: str = "text", shingle: int = SHINGLE, keep: bool = True) -> DataFrame:
+    """All rows with ``fp`` (bigint, the 64 bits of the fingerprint); without ``keep``, without their text."""
+    return with_columns(df, text, [("fp", "long")], lambda: lambda batch: ([fingerprint(t, shingle) for t in batch],), keep=keep)
 
 
 def _byte(fp: Column, position: int) -> Column:
@@ -155,7 +155,7 @@ def classes(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingl
     class), ``component_id`` (the class's smallest doc_id) and ``first`` (this is the class's first row by doc_id,
     null ids last, then text_hash)."""
     rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = cut(fingerprints(rows.withColumn("text_hash", F.xxhash64("text")), shingle=shingle).drop("text"))
+    rows = cut(fingerprints(rows.withColumn("text_hash", F.xxhash64("text")), shingle=shingle, keep=False))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     each = cut(rows.groupBy("fp").agg(F.min(rank).alias("head")))
     roots = components(linked(each, max_bits=max_bits, hot=hot))

@@ -77,6 +77,13 @@ def test_classes_and_deduplicate(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(v) for v in least.values())
 
 
+def test_texts_need_not_come_back_from_the_workers(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, source string")
+    got = simhash.fingerprints(docs, keep=False)
+    assert got.columns == ["doc_id", "source", "fp"]
+    assert sorted(map(tuple, got.collect())) == [(i, "x", signed(brute_fp(t))) for i, t in enumerate(TEXTS)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.classes(docs).collect() == []
