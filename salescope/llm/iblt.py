@@ -99,7 +99,8 @@ def sketch(values: Column, size: Column) -> Column:
 
     def row(placed: Column, j: int) -> Column:
         return F.transform(F.sequence(F.lit(0), size - 1), lambda i: _let(
-            F.filter(placed, lambda p: p[ROWS[j]] == i), lambda own: _cell(F.size(own), _folded(own, "v", zero), _folded(own, "h", zero))))
+            F.filter(placed, lambda p: p[ROWS[j]] == i), lambda own: F.when(F.size(own) == 0, _cell(F.lit(0), zero, zero)).otherwise(
+                _cell(F.size(own), _folded(own, "v", zero), _folded(own, "h", zero)))))
 
     return _let(_placed(values, size), lambda placed: F.array(*(row(placed, j) for j in range(3))))
 
@@ -146,23 +147,31 @@ def _differing_group(a: Column, b: Column) -> Column:
     return _let(tried, lambda n: F.when(n >= 0, n).otherwise(F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))))
 
 
+def _sides(groups: Column) -> Column:
+    """Three numbers of parts, dealt one after the other, that make ``groups`` groups or few more."""
+    first = F.ceil(F.cbrt(groups.cast("double")))
+    both = _let(first, lambda x: F.array(x, F.ceil(F.sqrt(groups / x))))
+    return _let(both, lambda x: F.array(x[0], x[1], F.ceil(groups / (x[0] * x[1]))))
+
+
 def differing(a: Column, b: Column) -> Column:
     """Number of digests that only one of two sets has."""
     groups = F.ceil((F.size(a) + F.size(b)) / F.lit(float(GROUP)))
 
-    def dealt(x: Column, side: Column, step: int) -> Column:
-        """Groups are dealt in three steps, each through the cube root of their number. A part that is the same on
-        both sides needs no sketch: its cells would cancel."""
+    def dealt(x: Column, sides: Column, step: int) -> Column:
+        """Groups are dealt in three steps. A part that is the same on both sides needs no sketch: its cells would cancel."""
+        side = sides[step]
+
         def part(values: Column, i: Column) -> Column:
             return F.filter(values, lambda v: F.pmod(F.shiftright(v, 20 * step), side) == i)
 
         def both(y: Column) -> Column:
-            return F.when(y["a"] == y["b"], F.lit(0)).otherwise(dealt(y, side, step + 1) if step < 2 else _differing_group(y["a"], y["b"]))
+            return F.when(y["a"] == y["b"], F.lit(0)).otherwise(dealt(y, sides, step + 1) if step < 2 else _differing_group(y["a"], y["b"]))
 
         counts = F.transform(F.sequence(F.lit(0).cast("long"), side - 1), lambda i: _let(F.struct(part(x["a"], i).alias("a"), part(x["b"], i).alias("b")), both))
         return F.aggregate(counts, F.lit(0), lambda s, n: s + n)
 
-    many = _let(F.struct(a.alias("a"), b.alias("b")), lambda x: _let(F.ceil(F.cbrt(groups.cast("double"))), lambda side: dealt(x, side, 0)))
+    many = _let(F.struct(a.alias("a"), b.alias("b")), lambda x: _let(_sides(groups), lambda sides: dealt(x, sides, 0)))
     return F.when(a == b, F.lit(0)).when(groups <= 1, _differing_group(a, b)).otherwise(many)
 
 
@@ -181,8 +190,9 @@ def sketched(df: DataFrame, *, text: str = "text", out: str = "fingerprint") ->
     return df.withColumn(out, fingerprint(digests(F.col(text))))
 
 
-def successors(docs: DataFrame, *, rows: int = RANGE_ROWS) -> DataFrame:
-    """(doc_id, text, next_text) for every row of ``docs`` (doc_id, text): the text of the row that follows by doc_id."""
+def successors(docs: DataFrame, *, rows: int = RANGE_ROWS, digested: bool = False) -> DataFrame:
+    """(doc_id, text, next_text) for every row of ``docs`` (doc_id, text): the text of the row that follows by doc_id;
+    with ``digested`` also ``own`` and ``next``, the digests of both texts, made once for each text."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text"))
     known = docs.agg(F.count(F.lit(1)).alias("n")).first().n
@@ -209,5 +219,9 @@ def successors(docs: DataFrame, *, rows: int = RANGE_ROWS) -> DataFrame:
                                                      F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h")))
     copies = first.select("doc_id", "text", "h", F.col("before").alias("range"), F.lit(True).alias("copy")).dropDuplicates(["range"])
     both = dealt.select("doc_id", "text", "h", "range", F.lit(False).alias("copy")).unionByName(copies)
+    carried = {"text": "next_text"} | ({"own": "next"} if digested else {})
+    if digested:
+        both = both.withColumn("own", digests(F.col("text")))
     near = Window.partitionBy("range").orderBy("copy", F.col("doc_id").isNotNull(), "doc_id", "h")
-    return both.withColumn("next_text", F.lead("text").over(near)).where(~F.col("copy")).select("doc_id", "text", "next_text")
+    both = both.select("*", *(F.lead(name).over(near).alias(after) for name, after in carried.items()))
+    return both.where(~F.col("copy")).select("doc_id", *carried, *carried.values())

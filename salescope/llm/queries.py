@@ -91,13 +91,12 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = iblt.successors(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = iblt.successors(read(spark, sf_dir, "documents").select("doc_id", "text"), digested=True)
     size = F.char_length("text")
     quarter = F.floor(size / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - quarter), F.substring("next_text", F.lit(1), quarter))
-    rows = rows.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_text")
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), iblt.digests(F.col("text")).alias("own"),
-                       iblt.digests(F.col("edited")).alias("other"), iblt.digests(F.col("next_text")).alias("next"))
+    rows = rows.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next")
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", iblt.digests(F.col("edited")).alias("other"), "next")
     own, other, following = F.col("own"), F.col("other"), F.col("next")
     return rows.select("doc_id", "n_chars", "edited_sha256", iblt.fingerprint(own).alias("fingerprint"), iblt.fingerprint(other).alias("edited_fingerprint"),
                        iblt.likeness(own, other).alias("near_edited"), iblt.likeness(own, following).alias("near_next"))

@@ -63,6 +63,21 @@ def test_differing_is_exact_whatever_the_first_size(spark, pairs, setting, monke
     assert {r.i: r.d for r in df.select("i", iblt.differing(F.col("a"), F.col("b")).alias("d")).collect()} == want
 
 
+def test_digests_are_dealt_into_few_more_groups_than_asked(spark):
+    rows = spark.range(2, 1500).select("id", iblt._sides(F.col("id")).alias("s")).collect()
+    made = {r.id: r.s[0] * r.s[1] * r.s[2] for r in rows}
+    assert all(len(r.s) == 3 and min(r.s) >= 1 for r in rows)
+    assert all(n <= m <= 1.5 * n + 1 for n, m in made.items()), made
+
+
+@pytest.mark.parametrize("rows", [1000, 3])
+def test_successors_digest_each_text_once(spark, rows):
+    docs = spark.createDataFrame([(i, None if i == 5 else f"a{i}\nb\na{i}") for i in range(20)], "doc_id long, text string")
+    got = iblt.successors(docs, rows=rows, digested=True)
+    checked = got.select("doc_id", (F.col("own") == iblt.digests(F.col("text"))) & (F.col("next") == iblt.digests(F.col("next_text"))))
+    assert sorted(tuple(r) for r in checked.collect()) == [(i, True) for i in range(20)]
+
+
 @pytest.mark.parametrize("rows", [1000, 3, 1])
 def test_successors(spark, rows):
     rnd = random.Random(rows)
