@@ -8,7 +8,8 @@ into a sketch of three rows of cells, each digest into one cell of each row. A c
 the digests and their check hashes, both folded by exclusive or. The cells of one version subtract
 from another's, what both have cancels, and peeling recovers the rest: a cell with one digest left
 (count one, digest and check agree) gives it away and it is taken out of its other cells, until all
-cells are empty. If cells remain, the sketch was too small and a larger one is tried.
+cells are empty. If cells remain, the sketch was too small and a larger one is tried on the digests
+that it did not give away.
 
 The fingerprint is a sketch of fixed size, written out. Versions are compared by sketches sized to
 them: digests are dealt by their hash into groups of about ``GROUP`` per pair of versions, each with
@@ -33,8 +34,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP = 8
-CELLS = 6
+GROUP = 6
+CELLS = 4
 FIXED = 6
 TRIES = 6
 ROUNDS = 6
@@ -48,7 +49,9 @@ ROWS = ("first", "second", "third")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.transform(F.array(value), body).getItem(0)
+    """The body over a value that is computed once: the end of a fold over nothing. An element of a transformed array would
+    be copied with all it holds at every level, and ``getItem`` would derive its type from all of the body for every value."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda s, _: s, body)
 
 
 def paragraphs(text: Column) -> Column:
@@ -89,20 +92,22 @@ def _cell(n: Column, v: Column, h: Column) -> Column:
     return F.struct(n.alias("n"), v.alias("v"), h.alias("h"))
 
 
-def _folded(placed: Column, name: str, start: Column) -> Column:
-    return F.aggregate(placed, start, lambda s, p: s.bitwiseXOR(p[name]))
+def _zero() -> Column:
+    return _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
+
+
+def _merged(x: Column, y: Column, n: Column) -> Column:
+    """A cell with another, or a digest and its check hash, folded in; ``n`` is the new count."""
+    return _cell(n, x["v"].bitwiseXOR(y["v"]), x["h"].bitwiseXOR(y["h"]))
 
 
 def sketch(values: Column, size: Column) -> Column:
     """The cells of a set of digests: three rows of ``size`` cells."""
-    zero = F.lit(0).cast("long")
+    def row(placed: Column, name: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(
+            placed, _zero(), lambda c, p: F.when(p[name] == i, _merged(c, p, c["n"] + 1)).otherwise(c)))
 
-    def row(placed: Column, j: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), size - 1), lambda i: _let(
-            F.filter(placed, lambda p: p[ROWS[j]] == i), lambda own: F.when(F.size(own) == 0, _cell(F.lit(0), zero, zero)).otherwise(
-                _cell(F.size(own), _folded(own, "v", zero), _folded(own, "h", zero)))))
-
-    return _let(_placed(values, size), lambda placed: F.array(*(row(placed, j) for j in range(3))))
+    return _let(_placed(values, size), lambda placed: F.array(*(row(placed, name) for name in ROWS)))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -110,41 +115,63 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peel(cells: Column, size: Column) -> Column:
-    """Struct of ``cells``, those that remain, and ``found``, the recovered digests with the side they are on (1 or -1)."""
-    def step(s: Column) -> Column:
-        pure = F.transform(F.filter(F.flatten(s["cells"]), lambda c: (F.abs(c["n"]) == 1) & (_check(c["v"]) == c["h"])), lambda c: F.struct(c["v"].alias("v"), c["n"].alias("n")))
+    """Struct of ``cells``, those that remain, and ``found``, the recovered digests with the side they are on (1 or -1).
 
-        def taken(p: Column) -> Column:
-            placed = F.zip_with(_placed(p["v"], size), p["n"], lambda q, n: F.struct(*(q[c].alias(c) for c in ("v", *ROWS, "h")), n.alias("n")))
+    Every digest is in one cell of each row, so what a whole row folds to, less those found in a round, is a cell of all that
+    are left: if it holds one, that is found as well, and if it is empty, so are all cells. Otherwise those found are taken
+    out cell by cell. ``open`` ends the rounds."""
+    def pure(c: Column) -> Column:
+        return (F.abs(c["n"]) == 1) & (_check(c["v"]) == c["h"])
 
-            def row(ps: Column, j: int) -> Column:
-                def left(c: Column, own: Column) -> Column:
-                    return F.when(F.size(own) == 0, c).otherwise(_cell(
-                        F.aggregate(own, c["n"], lambda n, q: n - q["n"]), _folded(own, "v", c["v"]), _folded(own, "h", c["h"])))
+    def once(cs: Column, side: int) -> Column:
+        """The digests of one side, as plain numbers: structs would be compared pair by pair."""
+        own = F.array_distinct(F.transform(F.filter(cs, lambda c: c["n"] == side), lambda c: c["v"]))
+        return F.transform(own, lambda v: _cell(F.lit(side), v, _check(v)))
 
-                return F.transform(s["cells"][j], lambda c, i: _let(F.filter(ps, lambda q: q[ROWS[j]] == i), lambda own: left(c, own)))
+    def taken(rows: Column, found: Column) -> Column:
+        def row(placed: Column, j: int) -> Column:
+            return F.transform(rows[j], lambda cell, i: F.aggregate(
+                placed, cell, lambda c, p: F.when(p["at"][ROWS[j]] == i, _merged(c, p["at"], c["n"] - p["n"])).otherwise(c)))
+
+        at = F.zip_with(_placed(found["v"], size), found["n"], lambda q, n: F.struct(q.alias("at"), n.alias("n")))
+        return _let(at, lambda placed: F.array(*(row(placed, j) for j in range(3))))
+
+    def step(s: Column) -> Column:
+        def left(found: Column) -> Column:
+            whole = F.aggregate(s["cells"][0], _zero(), lambda x, c: _merged(x, c, x["n"] + c["n"]))
+            return F.aggregate(found, whole, lambda x, c: _merged(x, c, x["n"] - c["n"]))
 
-            rest = _let(placed, lambda ps: F.array(*(row(ps, j) for j in range(3))))
-            return F.struct(rest.alias("cells"), F.concat(s["found"], p).alias("found"))
+        def after(found: Column, rest: Column) -> Column:
+            last = F.when(pure(rest), F.array(rest)).otherwise(F.array().cast("array<struct<n:int,v:bigint,h:bigint>>"))
+            end = pure(rest) | (rest == _zero())
+            cells = F.when(end, F.array_repeat(F.array_repeat(_zero(), size), 3)).otherwise(taken(s["cells"], found))
+            return F.struct(cells.alias("cells"), F.concat(s["found"], found, last).alias("found"), (~end & (F.size(found) > 0)).alias("open"))
 
-        return _let(F.array_distinct(pure), lambda p: F.when(F.size(p) > 0, taken(p)).otherwise(s))
+        sure = _let(F.filter(F.flatten(s["cells"]), pure), lambda cs: F.concat(once(cs, 1), once(cs, -1)))
+        return _let(sure, lambda found: _let(left(found), lambda rest: after(found, rest)))
 
-    empty = F.array().cast("array<struct<v:bigint,n:int>>")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(cells.alias("cells"), empty.alias("found")), lambda s, _: step(s))
+    empty = F.array().cast("array<struct<n:int,v:bigint,h:bigint>>")
+    start = F.struct(cells.alias("cells"), empty.alias("found"), F.lit(True).alias("open"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: F.when(s["open"], step(s)).otherwise(s))
 
 
 def _differing_group(a: Column, b: Column) -> Column:
-    """Number of digests that only one side has, by sketches; larger ones where one fails."""
-    def attempt(k: Column) -> Column:
-        def done(s: Column) -> Column:
-            clear = F.forall(F.flatten(s["cells"]), lambda c: (c["n"] == 0) & (c["v"] == 0) & (c["h"] == 0))
-            return F.when(clear, F.size(s["found"])).otherwise(F.lit(-1))
+    """Number of digests that only one side has, by sketches; where one fails, larger ones of those it did not give away."""
+    def attempt(s: Column, k: Column) -> Column:
+        def after(p: Column) -> Column:
+            clear = F.forall(F.flatten(p["cells"]), lambda c: c == _zero())
+            of = lambda side: F.transform(F.filter(p["found"], lambda c: c["n"] == side), lambda c: c["v"])
+            rest = lambda: _let(F.struct(F.array_except(s["a"], of(1)).alias("a"), F.array_except(s["b"], of(-1)).alias("b")), lambda r: F.struct(
+                r["a"].alias("a"), r["b"].alias("b"), (s["n"] + F.size(s["a"]) - F.size(r["a"]) + F.size(s["b"]) - F.size(r["b"])).alias("n"), F.lit(True).alias("open")))
+            return F.when(clear, F.struct(s["a"].alias("a"), s["b"].alias("b"), (s["n"] + F.size(p["found"])).alias("n"), F.lit(False).alias("open"))).otherwise(rest())
 
         return _let(F.lit(CELLS) * F.pow(F.lit(2), k).cast("int"), lambda size: _let(
-            peel(subtract(sketch(a, size), sketch(b, size)), size), done))
+            peel(subtract(sketch(s["a"], size), sketch(s["b"], size)), size), after))
 
-    tried = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(-1), lambda found, k: F.when(found >= 0, found).otherwise(attempt(k)))
-    return _let(tried, lambda n: F.when(n >= 0, n).otherwise(F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))))
+    start = F.struct(a.alias("a"), b.alias("b"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+    tried = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), start, lambda s, k: F.when(s["open"], attempt(s, k)).otherwise(s))
+    plain = lambda s: F.size(F.array_except(s["a"], s["b"])) + F.size(F.array_except(s["b"], s["a"]))
+    return _let(tried, lambda s: s["n"] + F.when(s["open"], plain(s)).otherwise(F.lit(0)))
 
 
 def _sides(groups: Column) -> Column:

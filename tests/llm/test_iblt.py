@@ -55,6 +55,26 @@ def test_peeling_recovers_the_difference(spark, pairs):
         assert all(c.n == 0 and c.v == 0 and c.h == 0 for row in r.p.cells for c in row)
 
 
+def test_a_whole_row_gives_the_last_digest_away(spark, monkeypatch):
+    monkeypatch.setattr(iblt, "ROUNDS", 1)
+    size = F.lit(2)
+    df = spark.range(1, 200).select(F.array(F.xxhash64("id"), F.xxhash64("id", F.lit(1)), F.xxhash64("id", F.lit(2))).alias("a"))
+    cells = iblt.sketch(F.col("a"), size)
+    once = df.select("a", iblt.peel(cells, size).alias("p"), F.filter(F.flatten(cells), lambda c: c["n"] == 1)["v"].alias("alone")).collect()
+    one_left = [r for r in once if len(set(r.alone)) == 2]
+    assert one_left and all({(f.v, f.n) for f in r.p.found} == {(v, 1) for v in r.a} for r in one_left)
+    assert all(len(r.p.found) == len({f.v for f in r.p.found}) and {f.v for f in r.p.found} <= set(r.a) for r in once)
+    assert all((len(r.p.found) == 3) == all((c.n, c.v, c.h) == (0, 0, 0) for row in r.p.cells for c in row) for r in once)
+
+
+def test_bound_values_are_neither_copied_nor_typed_anew(spark):
+    value = iblt._let(F.col("id") + 1, lambda x: iblt._let(F.array(x, x * 2), lambda y: F.struct(x.alias("x"), y.alias("y"))))
+    df = spark.range(3).select(value.alias("r"))
+    assert [(r.r.x, r.r.y) for r in df.collect()] == [(1, [1, 2]), (2, [2, 4]), (3, [3, 6])]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert "transform(" not in plan and "[0]" not in plan
+
+
 @pytest.mark.parametrize("setting", [{}, {"GROUP": 64, "CELLS": 1, "TRIES": 7}, {"CELLS": 1, "TRIES": 1}])
 def test_differing_is_exact_whatever_the_first_size(spark, pairs, setting, monkeypatch):
     for k, v in setting.items():
