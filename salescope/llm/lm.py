@@ -29,12 +29,15 @@ next one stands; the values stay, since scores are read from them.
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 from functools import partial
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,11 +52,14 @@ EVIDENCE = 20.0
 SENT = 2e-6  # share of all symbols from which on a sequence's value is sent to the tasks
 _BASE = 0x9E3779B97F4A7C15
 _BITS = 1 << 26  # of a bitmap: 8 MB, as each broadcast is a file at the driver and at every executor
-_PIECE = 1 << 15  # bits of a row of bitmap_construct_agg
+_SHIFT = np.uint64(64 - 26)  # a key's bit is its first 26 bits: a range of keys has a stretch of the bitmap
 _BLOCK = 2_000_000  # bytes of text taken at once
 _PIECE_BYTES = 500_000  # of them hashed at once
 _RANGE = 12_000_000  # bytes of text for each range of keys: about two million symbols, whose keys a task holds at once
 _HELD = 2_000_000  # keys that a task adds up before it sends their counts
+_VALUES = 4_000_000  # values that a task holds at once when texts ask for them
+_ASKED = 4_000_000  # sequences for whose values a task asks at once
+_WAVES = 2  # parts of the texts scored one after another: the questions of one lie on disk at a time
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -97,6 +103,8 @@ def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     values: DataFrame  #: (key, n, root, v): log10 at the root, of single symbols; what a sequence adds to a text's score
+    packed: DataFrame  #: (bucket, key, root, v): the same, by ranges of keys, as sorted arrays; NaN for no root
+    buckets: int
     bitmap: np.ndarray  #: of the keys of ``values``
     tokens: int
     distinct: int
@@ -133,6 +141,7 @@ class _Tables:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
+        gc.collect()  # frames that are no longer used hold their shuffle files
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -140,49 +149,67 @@ class _Tables:
         jvm.System.gc()
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits at the keys modulo ``_BITS``; at most its own size is gathered."""
-    at = F.pmod(F.col("key"), F.lit(_BITS))
-    bits = keys.select(F.floor(at / _PIECE).cast("int").alias("piece"), F.pmod("key", F.lit(_PIECE)).alias("bit")).repartition("piece")
+def _ranges(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The range of each key, of ``buckets`` even ones."""
+    return ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _stretches(ranges: np.ndarray):
+    """(range, start, end) of sorted ranges."""
+    starts = np.flatnonzero(np.diff(ranges, prepend=-1))
+    return list(zip(ranges[starts].tolist(), starts.tolist(), np.append(starts[1:], len(ranges)).tolist()))
+
+
+def _bits(key: np.ndarray) -> tuple[int, bytes]:
+    """The stretch of the bitmap from the first byte with one of the keys' bits to the last, and where it starts."""
+    at = np.unique(key.view(np.uint64) >> _SHIFT).astype(np.int64)
+    start = int(at[0]) // 8 if len(at) else 0
+    marked = np.zeros((int(at[-1]) // 8 + 1 - start) * 8 if len(at) else 0, bool)
+    marked[at - start * 8] = True
+    return start, np.packbits(marked, bitorder="little").tobytes()
+
+
+def _bitmap(stretches: DataFrame) -> np.ndarray:
+    """Bits at the first bits of keys, from (start, bits) of ranges of keys; little more than its own size is gathered."""
     out = np.zeros(_BITS // 8, np.uint8)
-    for r in bits.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
-        out[r.piece * _PIECE // 8:(r.piece + 1) * _PIECE // 8] = np.frombuffer(r.bits, np.uint8)
+    for r in stretches.select("start", "bits").toLocalIterator():
+        out[r.start:r.start + len(r.bits)] |= np.frombuffer(r.bits, np.uint8)
     return out
 
 
 def _listed(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(_BITS - 1)
+    at = keys >> _SHIFT
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _count(docs: DataFrame, text: str, length: int, shorter: np.ndarray | None, least: float, buckets: int, *, often: np.ndarray | None = None, whole: bool = True) -> DataFrame:
+def _summed(key, n, *others):
+    """Each key once, with the sum of its counts (``n`` None: how often it stands there) and its other numbers."""
+    order = np.argsort(key) if others or n is not None else None
+    key = np.sort(key) if order is None else key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
+    n = np.diff(np.append(first, len(key))) if n is None else np.add.reduceat(n[order], first) if len(first) else n
+    return key[first], n.astype(np.int64), *(x[order[first]] for x in others)
+
+
+def _count(docs: DataFrame, text: str, length: int, shorter: Broadcast | None, least: float, buckets: int, *, often: Broadcast | None = None, give: str = "all") -> DataFrame:
     """(key, ctx, suf, n): sequences of ``length`` symbols that occur at least ``least`` times, with the keys of the
-    sequences without their last and without their first symbol. Those with parts not in ``shorter``, or not in ``often`` themselves, are passed over;
-    without ``whole`` they are counted by key alone. Tasks add up what they hold and send it packed, one row for each
+    sequences without their last and without their first symbol. Those with parts not in ``shorter``, or not in ``often`` themselves, are passed over.
+    ``give``: "counts": (key, n) alone; "bits": (start, bits), their stretches of the bitmap. Tasks add up what they hold and send it packed, one row for each
     of ``buckets`` ranges of keys; a range is added up as a whole."""
-    sent = docs.sparkSession.sparkContext.broadcast((shorter, often))
+    whole = give == "all"
     columns = ["key", "n", "ctx", "suf"] if whole else ["key", "n"]
 
-    def summed(key, n, *others):
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
-        n = np.diff(np.append(first, len(key))) if n is None else np.add.reduceat(n[order], first) if len(first) else n
-        return key[first], n.astype(np.int64), *(x[order[first]] for x in others)
-
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
 
         def counted():
             key, *others = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            made = summed(key, None, *others)
-            ranges = ((made[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            starts = np.flatnonzero(np.diff(ranges, prepend=-1))
-            ends = np.append(starts[1:], len(ranges))
-            for i in range(0, len(starts), 64):
-                here = list(zip(starts[i:i + 64], ends[i:i + 64]))
-                yield pa.RecordBatch.from_arrays([pa.array(ranges[starts[i:i + 64]]), *(pa.array([x[a:b].tobytes() for a, b in here], pa.binary()) for x in made)], ["bucket", *columns])
+            made = _summed(key, None, *others)
+            found = _stretches(_ranges(made[0], buckets))
+            for i in range(0, len(found), 64):
+                here = found[i:i + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in here], pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in here], pa.binary()) for x in made)], ["bucket", *columns])
 
         for _, own in parts(batches, text, _BLOCK):
             _, found = _keys(own, length)
@@ -192,11 +219,10 @@ def _count(docs: DataFrame, text: str, length: int, shorter: np.ndarray | None,
             else:
                 near = found[-2][0]
                 places = np.flatnonzero(valid)
-                shorter, often = sent.value
-                listed = _listed(shorter, near)
+                listed = _listed(shorter.value, near)
                 places = places[listed[places] & listed[places - 1]]
                 if often is not None:
-                    places = places[_listed(often, key[places])]
+                    places = places[_listed(often.value, key[places])]
                 held.append((key[places], near[places - 1], near[places]) if whole else (key[places],))
             if sum(len(h[0]) for h in held) >= _HELD:
                 yield from counted()
@@ -204,12 +230,39 @@ def _count(docs: DataFrame, text: str, length: int, shorter: np.ndarray | None,
             yield from counted()
 
     def bucket(table: pa.Table) -> pa.Table:
-        made = summed(*(np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in columns))
+        made = _summed(*(np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in columns))
         enough = made[1] >= least
+        if give == "bits":
+            start, bits = _bits(made[0][enough])
+            return pa.table({"start": [start], "bits": pa.array([bits], pa.binary())})
         return pa.table({c: x[enough] for c, x in zip(columns, made)})
 
     rows = docs.select(text).mapInArrow(run, ", ".join(["bucket long", *(f"{c} binary" for c in columns)]))
-    return rows.groupBy("bucket").applyInArrow(bucket, ", ".join(f"{c} long" for c in columns))
+    return rows.groupBy("bucket").applyInArrow(bucket, "start long, bits binary" if give == "bits" else ", ".join(f"{c} long" for c in columns))
+
+
+def _packed(values: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, key, root, v, start, bits): (key, root, v) by ranges of keys, as arrays sorted by key, and the keys' stretch of the bitmap."""
+    kinds = {"key": np.uint64, "root": np.float64, "v": np.float64}
+    fields = ", ".join(["bucket long", *(f"{c} binary" for c in kinds)])
+
+    def run(batches):
+        for batch in batches:
+            ranges = _ranges(batch.column(0).to_numpy(), buckets)
+            order = np.argsort(ranges, kind="stable")
+            made = [batch.column(0).to_numpy(), *(batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in (1, 2))]
+            found, made = _stretches(ranges[order]), [x[order] for x in made]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in found], pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in found], pa.binary()) for x in made)], ["bucket", *kinds])
+
+    def bucket(table: pa.Table) -> pa.Table:
+        made = [np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in kinds.items()]
+        order = np.argsort(made[0])
+        start, bits = _bits(made[0])
+        return pa.table({"bucket": table["bucket"][:1], **{c: pa.array([x[order].tobytes()], pa.binary()) for c, x in zip(kinds, made)}, "start": [start], "bits": pa.array([bits], pa.binary())})
+
+    spread = values.select(*kinds).mapInArrow(run, fields)
+    return spread.groupBy("bucket").applyInArrow(bucket, f"{fields}, start long, bits binary")
 
 
 def _retain(tables: _Tables, length: int, longer: DataFrame, shorter: DataFrame, divergence: float, evidence: float) -> tuple[DataFrame, DataFrame]:
@@ -235,20 +288,22 @@ def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: f
     tables = _Tables(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text)).alias("bytes")).first().bytes or 0
     count = partial(_count, docs, text, buckets=1 + size // _RANGE)
-    single = tables.put("single", count(1, None, 1, whole=False))
+    single = tables.put("single", count(1, None, 1, give="counts"))
     size = single.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    model = Model(single, np.zeros(0, np.uint8), size.n or 0, size.v, depth)
-    least, sent = max(2.0, min_share * model.tokens), SENT * model.tokens
-    p = (F.col("n") + 0.5) / F.lit(model.scale)
+    tokens, distinct = size.n or 0, size.v
+    least, sent = max(2.0, min_share * tokens), SENT * tokens
+    p = (F.col("n") + 0.5) / F.lit(tokens + 0.5 * (distinct + 1))
     level = single.select("key", "n", p.alias("p"), F.log10(p).alias("term"), F.log10(p).alias("root"))
     valued = F.col("root").isNotNull() | (F.col("v") != 0) | (F.col("n") >= sent)
+    send = docs.sparkSession.sparkContext.broadcast  # one file at the driver and at every executor until destroyed
+    often = send(_bitmap(_packed(single.where(F.col("n") >= least).select("key", F.lit(None).cast("double").alias("root"), F.lit(0.0).alias("v")), 12)))
     for length in range(2, depth + 2):
         known = level.where(F.col("n") >= least)
-        near = _bitmap(known)
-        # Most sequences occur once: they are left out by their keys, before their parts are shuffled.
-        often = _bitmap(count(length, near, least, whole=False))
+        # Most sequences occur once: they are left out by their keys, before their parts are shuffled. What is left is all of the next level.
+        near, often = often, send(_bitmap(count(length, often, least, give="bits")))
         tables.drop()
         longer = tables.put(f"longer-{length}", count(length, near, least, often=often))
+        near.destroy()
         tables.drop()
         kept, after = _retain(tables, length, longer, known, divergence, evidence)
         with_own = level.join(kept.withColumnRenamed("ctx", "key"), "key", "left")
@@ -256,80 +311,150 @@ def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: f
         tables.put(f"values/of={length - 1}", with_own.select("key", "n", "root", v.alias("v")).where(valued))
         level = tables.put(f"level-{length}", after).withColumn("root", F.lit(None).cast("double"))
         tables.drop("single" if length == 2 else f"level-{length - 1}", f"beside-{length}", f"kept-{length}")
+    often.destroy()
     last = level.select("key", "n", "root", F.col("term").alias("v"))
     tables.put(f"values/of={depth + 1}", last.where(valued))
     tables.drop(f"level-{depth + 1}")
-    model.values = docs.sparkSession.read.schema(last.schema).parquet(f"{tables.root}/values").select("key", "n", "root", "v")
-    model.bitmap = _bitmap(model.values)
-    return model
+    values = docs.sparkSession.read.schema(last.schema).parquet(f"{tables.root}/values").select("key", "n", "root", "v")
+    buckets = max(24, 1 + values.count() // _VALUES)
+    packed = tables.put("packed", _packed(values, buckets))
+    bitmap = _bitmap(packed)
+    tables.drop()
+    return Model(values, packed.drop("start", "bits"), buckets, bitmap, tokens, distinct, depth)
+
+
+def _shuffled(key: np.ndarray) -> bytes:
+    """Sorted keys as their differences, first bytes first: those that are zero stand together."""
+    return np.diff(key, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _sorted(packet: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(packet, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n_tokens, n_known, base_score, score) for each row of ``docs``."""
+    """(doc_id, text_hash, n_tokens, n_known, base_score, score) for each row of ``docs``. Tasks add up the frequent
+    sequences of a block of texts and ask for the values of the others: one packet for each range of keys, which has
+    each key once and the texts that have it. The answers, sums by text, meet in the block's own group.
+    The rows of a partition of ``docs`` must come in the same order when it is read again, as those of files do."""
+    spark = docs.sparkSession
     frequent = model.values.where(F.col("n") >= max(2.0, SENT * model.tokens)).orderBy("key").toPandas()  # at most 1 / SENT rows of each length
     order = np.argsort(keys := frequent.key.to_numpy(np.int64).view(np.uint64))
     root, value = (frequent[c].to_numpy(np.float64)[order] for c in ("root", "v"))
-    sent = docs.sparkSession.sparkContext.broadcast((keys[order], np.nan_to_num(root), value, model.bitmap))
-    length = model.depth + 1
+    sent = spark.sparkContext.broadcast((keys[order], np.nan_to_num(root), value, model.bitmap))
+    length, buckets, lacking = model.depth + 1, model.buckets, float(np.log10(0.5 / model.scale))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    named = [source.schema["doc_id"], source.schema["text_hash"]]
-    own = T.StructType([*named, *(T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("tree", T.DoubleType())))])
-    others = T.StructType([*named, T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
-
-    def read(batches):
-        """Blocks of texts with their sums over frequent sequences, and the text and key of each other one that has a value."""
+    kinds = (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
+    out = T.StructType([source.schema["doc_id"], source.schema["text_hash"], *(T.StructField(n, t) for n, t in kinds)])
+    fields = "bucket long, block long, kind int, key binary, root binary, v binary"
+    names = ["bucket", "block", "kind", "key", "root", "v"]
+
+    def ask(batches):
+        """Of each block of texts: its rows with their sums over frequent sequences (kind 1); and packets (kind 2): the
+        keys of others that may have a value, the text of each of their places, and which places are a key's first."""
         keys, root, value, bitmap = sent.value
+        block = TaskContext.get().partitionId() << 32
+        heads, asked = [], []
+
+        def packets():
+            nonlocal block
+            table = pa.Table.from_batches(heads)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as stream:
+                stream.write_table(table)
+            yield [(block % buckets, sink.getvalue().to_pybytes(), b"", b"")], 1
+            key, text_at = (np.concatenate(x) for x in zip(*asked))
+            order = np.argsort(key)
+            key, text_at = key[order], text_at[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])[:len(key)]
+            found = _stretches(_ranges(key, buckets))
+            for i in range(0, len(found), 16):
+                yield [(k, _shuffled(key[a:b][first[a:b]]), text_at[a:b].tobytes(), np.packbits(first[a:b]).tobytes()) for k, a, b in found[i:i + 16]], 2
+            heads.clear()
+            asked.clear()
+            block += 1
+
+        def rows(made):
+            for own, kind in made:
+                bucket, *packed = zip(*own)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([block] * len(own), pa.int64()), pa.array([kind] * len(own), pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names)
+
         for batch, texts in parts(batches, "text", _BLOCK):
-            heads = len(texts)
-            sizes, found = _keys(texts, length)
-            owner = np.concatenate([[0], np.repeat(np.arange(heads), sizes)])
-            known, base, tree = np.zeros(heads, np.int64), np.zeros(heads), np.zeros(heads)
-            rows, rest = [], []
-            for k, (key, valid) in enumerate(found):
-                places = 1 + np.flatnonzero(valid[1:])
-                places = places[_listed(bitmap, key[places])]
-                own_keys, text_at = key[places], owner[places]
-                if len(keys):
-                    at = np.searchsorted(keys, own_keys)
-                    at[at == len(keys)] = 0
-                    hit = keys[at] == own_keys
-                    tree += np.bincount(text_at[hit], value[at[hit]], heads)
-                    if k == 0:
-                        known += np.bincount(text_at[hit], minlength=heads)
-                        base += np.bincount(text_at[hit], root[at[hit]], heads)
-                    own_keys, text_at = own_keys[~hit], text_at[~hit]
-                rows.append(text_at)
-                rest.append(own_keys)
-            yield batch, (sizes, known, base, tree), np.concatenate(rows), np.concatenate(rest)
-
-    def sums_of_frequent(batches):
-        for batch, sums, _, _ in read(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x) for x in sums)], own.names)
-
-    def counts_of_others(batches):
-        for batch, _, rows, rest in read(batches):
-            by = np.lexsort((rest, rows))
-            rows, rest = rows[by], rest[by]
-            first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (rest[1:] != rest[:-1])])[:len(rows)])
-            n = np.diff(np.append(first, len(rows)))
-            for i in range(0, len(first), 100_000):
-                here = first[i:i + 100_000]
-                take = pa.array(rows[here])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(rest[here].view(np.int64)), pa.array(n[i:i + 100_000])], others.names)
-
-    values = model.values.select("key", "root", "v")
-    also = F.when(F.col("root").isNotNull(), F.col("n")).otherwise(0)
-    rare = source.mapInArrow(counts_of_others, others).join(values, "key").select(
-        "doc_id", "text_hash", also.alias("also"), (F.col("n") * F.col("root")).alias("rare"), (F.col("n") * F.col("v")).alias("more"))
-    rows = source.mapInArrow(sums_of_frequent, own).unionByName(rare, allowMissingColumns=True)
-    sums = rows.groupBy("doc_id", "text_hash").agg(
-        F.count("n_tokens").alias("copies"), *(F.max(c).alias(c) for c in ("n_tokens", "known", "base", "tree")),
-        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("also", "rare", "more")))
-    known = F.col("known") + F.expr("also div copies")
-    lacking = (F.col("n_tokens") - known) * F.log10(F.lit(0.5 / model.scale))
-    one = sums.select("doc_id", "text_hash", "n_tokens", known.alias("n_known"), (F.col("base") + F.col("rare") / F.col("copies") + lacking).alias("base_score"),
-                      (F.col("tree") + F.col("more") / F.col("copies") + lacking).alias("score"), F.expr("array_repeat(0, int(copies))").alias("each"))
-    return one.withColumn("each", F.explode("each")).drop("each")
+            n, before = len(texts), sum(h.num_rows for h in heads)
+            if heads and (before + n > 1 << 16 or sum(len(x[0]) for x in asked) >= _ASKED):
+                yield from rows(packets())
+                before = 0
+            for at in range(0, n, 1 << 16):  # a block has at most so many texts
+                if at:
+                    yield from rows(packets())
+                    before = 0
+                here = texts[at:at + (1 << 16)]
+                sizes, found = _keys(here, length)
+                owner = np.concatenate([[0], np.repeat(np.arange(len(here)), sizes)])
+                known, base, tree = np.zeros(len(here), np.int64), np.zeros(len(here)), np.zeros(len(here))
+                for k, (key, valid) in enumerate(found):
+                    places = 1 + np.flatnonzero(valid[1:])
+                    places = places[_listed(bitmap, key[places])]
+                    own_keys, text_at = key[places], owner[places]
+                    if len(keys):
+                        near = np.searchsorted(keys, own_keys)
+                        near[near == len(keys)] = 0
+                        hit = keys[near] == own_keys
+                        tree += np.bincount(text_at[hit], value[near[hit]], len(here))
+                        if k == 0:
+                            known += np.bincount(text_at[hit], minlength=len(here))
+                            base += np.bincount(text_at[hit], root[near[hit]], len(here))
+                        own_keys, text_at = own_keys[~hit], text_at[~hit]
+                    asked.append((own_keys, (before + text_at).astype(np.uint16)))
+                piece = batch.slice(at, len(here))
+                heads.append(pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(x) for x in (sizes, known, base, tree))], out.names))
+        if heads:
+            yield from rows(packets())
+
+    def answer(table: pa.Table) -> pa.Table:
+        """The packets' sums by text (kind 2: texts, (known, root), value), and rows as they came."""
+        given = table.filter(pc.equal(table["kind"], 0)).to_pylist()
+        key, root, v = (np.frombuffer(given[0][c] if given else b"", kind) for c, kind in (("key", np.uint64), ("root", np.float64), ("v", np.float64)))
+        made = []
+        for batch in table.to_batches(max_chunksize=16):
+            for r in batch.to_pylist():
+                if r["kind"] == 1:
+                    made.append(r)
+                elif r["kind"] == 2 and len(key):
+                    asked, text_at = _sorted(r["key"]), np.frombuffer(r["root"], np.uint16)
+                    near = np.searchsorted(key, asked)
+                    near[near == len(key)] = 0
+                    which = np.cumsum(np.unpackbits(np.frombuffer(r["v"], np.uint8), count=len(text_at))) - 1
+                    hit = key[near] == asked
+                    is_known = hit & ~np.isnan(root[near])
+                    sums = [np.bincount(text_at, x[which]) for x in (is_known.astype(float), np.where(is_known, root[near], 0.0), np.where(hit, v[near], 0.0), hit.astype(float))]
+                    some = np.flatnonzero(sums[3])
+                    made.append(r | {"key": some.astype(np.uint16).tobytes(), "root": np.concatenate([sums[0][some], sums[1][some]]).tobytes(), "v": sums[2][some].tobytes()})
+        return pa.Table.from_pylist([{n: r[n] for n in names} for r in made], table.schema)
+
+    def total(table: pa.Table) -> pa.Table:
+        made = table.to_pylist()
+        rows = pa.ipc.open_stream(next(r["key"] for r in made if r["kind"] == 1)).read_all()
+        n_tokens, known, base, tree = (rows[c].to_numpy().copy() for c in out.names[2:])
+        for r in made:
+            if r["kind"] == 2:
+                at, (also, rare) = np.frombuffer(r["key"], np.uint16), np.frombuffer(r["root"], np.float64).reshape(2, -1)
+                known[at] += np.rint(also).astype(np.int64)
+                base[at] += rare
+                tree[at] += np.frombuffer(r["v"], np.float64)
+        rest = (n_tokens - known) * lacking
+        return pa.table([rows[0], rows[1], n_tokens, known, base + rest, tree + rest], out.names)
+
+    tables = _Tables(spark)
+    given = model.packed.select("bucket", F.lit(None).cast("long").alias("block"), F.lit(0).alias("kind"), "key", "root", "v")
+    for wave in range(_WAVES):
+        asked = source.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(_WAVES)) == wave).mapInArrow(ask, fields)
+        answers = given.unionByName(asked).groupBy("bucket").applyInArrow(answer, fields)
+        tables.put(f"scores/wave={wave}", answers.groupBy("block").applyInArrow(total, out))
+        del asked, answers
+        tables.drop()
+    sent.destroy()
+    return spark.read.schema(out).parquet(f"{tables.root}/scores").select(*out.names)
 
 
 def fit_and_score(docs: DataFrame, train, **options) -> tuple[DataFrame, Model]:
