@@ -54,7 +54,7 @@ _BASE = 0x9E3779B97F4A7C15
 _BITS = 1 << 26  # of a bitmap: 8 MB, as each broadcast is a file at the driver and at every executor
 _SHIFT = np.uint64(64 - 26)  # a key's bit is its first 26 bits: a range of keys has a stretch of the bitmap
 _BLOCK = 2_000_000  # bytes of text taken at once
-_PIECE_BYTES = 500_000  # of them hashed at once
+_PIECE_BYTES = 500_000  # of a long word, hashed at once
 _RANGE = 12_000_000  # bytes of text for each range of keys: about two million symbols, whose keys a task holds at once
 _HELD = 2_000_000  # keys that a task adds up before it sends their counts
 _VALUES = 4_000_000  # values that a task holds at once when texts ask for them
@@ -70,33 +70,42 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SIGNS = _mix(np.arange(256, dtype=np.uint64))
-_SIGNS[[32, *range(9, 14)]] = 0  # blanks add nothing to the word before them
 _END = _mix(np.array([1 << 40], np.uint64))[0]
+_SIGNS = _mix(np.arange(256, dtype=np.uint64))
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
+_ROUNDS = 8  # times eight bytes of a word are taken; the rest of a longer one is a sum
 
 
 def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of the texts, as hashes: an end, then each text's words and its end; and each text's number of
-    symbols. A word's hash is the sum of its signs' numbers, each times a number of its place, scattered."""
-    joined = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)  # bytes: A-Z only, blanks \x20 and \x09-\x0D only
+    symbols. A word's hash starts from its length and takes in eight bytes at a time; what a word has after ``_ROUNDS``
+    of these is taken in as the sum of its signs' numbers, each times a number of its place."""
+    held = b" ".join(texts).lower() + b" " * 8  # bytes: A-Z only, blanks \x20 and \x09-\x0D only
+    joined = np.frombuffer(held, np.uint8)[:len(held) - 7]
     blank = (joined == 32) | ((joined >= 9) & (joined <= 13))
     edges = np.flatnonzero(np.diff(blank.view(np.int8), prepend=1, append=1))
     starts, ends = edges[::2], edges[1::2]
-    words = np.empty(len(starts), np.uint64)
-    places = _mix(np.arange(1 << 32, (1 << 32) + (int((ends - starts).max()) if len(starts) else 0), dtype=np.uint64))
-    at = 0
-    while at < len(starts):  # a piece of the bytes at a time
-        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + _PIECE_BYTES)))
-        first, signs = starts[at:stop] - starts[at], joined[starts[at]:ends[stop - 1]]
-        place = np.arange(len(signs), dtype=np.int32) - np.repeat(first.astype(np.int32), np.diff(first, append=len(signs)))
-        place[blank[starts[at]:ends[stop - 1]]] = 0
-        words[at:stop] = np.add.reduceat(_SIGNS[signs] * places[place], first)
-        at = stop
+    eights = np.ndarray(len(held) - 7, np.dtype("<u8"), held, strides=(1,))  # at every byte
+    left = ends - starts
+    words = _mix(left.astype(np.uint64)) ^ (eights[starts] & _FIRST[np.minimum(left, 8)])
+    words = _mix(words)
+    longer = np.flatnonzero(left > 8)
+    for taken in range(8, 8 * _ROUNDS, 8):
+        if not len(longer):
+            break
+        words[longer] = _mix(words[longer] ^ (eights[starts[longer] + taken] & _FIRST[np.minimum(left[longer] - taken, 8)]))
+        longer = longer[left[longer] > taken + 8]
+    for word in longer:
+        total = np.uint64(0)
+        for at in range(starts[word] + 8 * _ROUNDS, ends[word], _PIECE_BYTES):
+            signs = joined[at:min(at + _PIECE_BYTES, ends[word])]
+            total += (_SIGNS[signs] * _mix(np.arange(at - starts[word], at - starts[word] + len(signs), dtype=np.uint64))).sum(dtype=np.uint64)
+        words[word] = _mix(words[word:word + 1] ^ total)[0]
     bounds = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(starts, bounds)  # words of the texts so far
     own = np.diff(upto, prepend=0) + 1
     out = np.full(len(words) + len(texts) + 1, _END)
-    out[1 + np.arange(len(words)) + np.repeat(np.arange(len(texts)), own - 1)] = _mix(words)
+    out[1 + np.arange(len(words)) + np.repeat(np.arange(len(texts)), own - 1)] = words
     return out, own
 
 
@@ -140,6 +149,11 @@ class _Tables:
         df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def split(self, name: str, df: DataFrame, by: str) -> DataFrame:
+        """As ``put``, with a folder for each value of a column."""
+        df.write.option("compression", "zstd").partitionBy(by).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
     def drop(self, *names: str) -> None:
         gc.collect()  # frames that are no longer used hold their shuffle files
         jvm = self.spark.sparkContext._jvm
@@ -241,53 +255,97 @@ def _count(docs: DataFrame, text: str, length: int, shorter: Broadcast | None, l
     return rows.groupBy("bucket").applyInArrow(bucket, "start long, bits binary" if give == "bits" else ", ".join(f"{c} long" for c in columns))
 
 
-def _packed(values: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, key, root, v, start, bits): (key, root, v) by ranges of keys, as arrays sorted by key, and the keys' stretch of the bitmap."""
-    kinds = {"key": np.uint64, "root": np.float64, "v": np.float64}
-    fields = ", ".join(["bucket long", *(f"{c} binary" for c in kinds)])
+def _spread(rows: DataFrame, by: str, buckets: int) -> DataFrame:
+    """(bucket, the columns of ``rows`` as arrays): numbers packed by ranges of the keys in the column ``by``. Null is NaN."""
+    kinds = {f.name: pa.float64() if f.dataType == T.DoubleType() else pa.int64() for f in rows.schema}
 
     def run(batches):
         for batch in batches:
-            ranges = _ranges(batch.column(0).to_numpy(), buckets)
+            made = {c: batch.column(i).cast(kind).to_numpy(zero_copy_only=False) for i, (c, kind) in enumerate(kinds.items())}
+            ranges = _ranges(made[by], buckets)
             order = np.argsort(ranges, kind="stable")
-            made = [batch.column(0).to_numpy(), *(batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in (1, 2))]
-            found, made = _stretches(ranges[order]), [x[order] for x in made]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in found], pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in found], pa.binary()) for x in made)], ["bucket", *kinds])
+            if found := _stretches(ranges[order]):
+                packed = (x[order] for x in made.values())
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in found], pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in found], pa.binary()) for x in packed)], ["bucket", *kinds])
+
+    return rows.mapInArrow(run, ", ".join(["bucket long", *(f"{c} binary" for c in kinds)]))
+
+
+def _numbers(table: pa.Table, **kinds) -> list[np.ndarray]:
+    """Columns of packed numbers of a range, each put together."""
+    return [np.frombuffer(b"".join(table[c].drop_null().to_pylist()), kind) for c, kind in kinds.items()]
+
+
+def _packed(values: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, key, root, v, start, bits): (key, root, v) by ranges of keys, as arrays sorted by key, and the keys' stretch of the bitmap."""
+    kinds = {"key": np.uint64, "root": np.float64, "v": np.float64}
 
     def bucket(table: pa.Table) -> pa.Table:
-        made = [np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in kinds.items()]
+        made = _numbers(table, **kinds)
         order = np.argsort(made[0])
         start, bits = _bits(made[0])
         return pa.table({"bucket": table["bucket"][:1], **{c: pa.array([x[order].tobytes()], pa.binary()) for c, x in zip(kinds, made)}, "start": [start], "bits": pa.array([bits], pa.binary())})
 
-    spread = values.select(*kinds).mapInArrow(run, fields)
-    return spread.groupBy("bucket").applyInArrow(bucket, f"{fields}, start long, bits binary")
-
-
-def _retain(tables: _Tables, length: int, longer: DataFrame, shorter: DataFrame, divergence: float, evidence: float) -> tuple[DataFrame, DataFrame]:
-    """Divergence tests of the contexts ``shorter`` (key, n, p) with the followers ``longer``: the retained contexts
-    (ctx, rest, total), and (key, n, p, term) of the followers."""
-    beside = tables.put(f"beside-{length}", longer.join(shorter.select(F.col("key").alias("suf"), F.col("p").alias("parent")), "suf").select("key", "ctx", "n", "parent"))
-    tables.drop(f"longer-{length}")
-    sums = beside.groupBy("ctx").agg(F.sum("n").alias("counted"), F.count(F.lit(1)).alias("followers"))
-    sums = sums.join(shorter.select(F.col("key").alias("ctx"), F.col("n").alias("seen")), "ctx")
-    sums = sums.withColumn("uncounted", F.greatest(F.col("seen") - F.col("counted"), F.lit(0)))
-    sums = sums.withColumn("rest", F.col("uncounted") + F.col("followers") + 1.0).withColumn("total", F.col("counted") + F.col("rest"))
-    own = (F.col("n") + F.col("rest") * F.col("parent")) / F.col("total")
-    left = F.col("uncounted") * F.ln(F.col("rest") / F.col("total"))
-    gains = beside.join(sums, "ctx").groupBy("ctx", "seen", "rest", "total", left.alias("left")).agg(F.sum(F.col("n") * F.ln(own / F.col("parent"))).alias("gain"))
-    gain = F.col("gain") + F.col("left")
-    kept = tables.put(f"kept-{length}", gains.where((gain >= evidence) & (gain >= divergence * F.col("seen"))).select("ctx", "rest", "total"))
-    term = F.log10(own / F.col("parent")) - F.log10(F.col("rest") / F.col("total"))
-    return kept, beside.join(kept, "ctx", "left").select("key", "n", F.coalesce(own, "parent").alias("p"), F.coalesce(term, F.lit(0.0)).alias("term"))
+    spread = _spread(values.select(*kinds), "key", buckets)
+    return spread.groupBy("bucket").applyInArrow(bucket, "bucket long, key binary, root binary, v binary, start long, bits binary")
+
+
+def _retain(longer: DataFrame, level: DataFrame, divergence: float, evidence: float, buckets: int) -> DataFrame:
+    """Divergence tests of the contexts ``level`` (key, n, p, term, root) with the followers ``longer`` (key, ctx, suf, n), by ranges of suffixes,
+    then of contexts: (kind, key, n, p, term, root, v). Kind 0: the followers with p and term; kind 1: the contexts with root
+    and v, their term and their own. A task holds all followers of a context."""
+
+    def beside(table: pa.Table) -> pa.Table:
+        key, n, ctx, suf, own, p = _numbers(table, key=np.int64, n=np.int64, ctx=np.int64, suf=np.int64, own=np.int64, p=np.float64)
+        order = np.argsort(own)
+        own, p = own[order], p[order]
+        at = np.minimum(np.searchsorted(own, suf), max(len(own) - 1, 0))
+        has = own[at] == suf if len(own) else np.zeros(len(suf), bool)
+        return pa.table({"key": key[has], "n": n[has], "ctx": ctx[has], "parent": p[at[has]]})
+
+    def test(table: pa.Table) -> pa.Table:
+        key, n, ctx, parent = _numbers(table, key=np.int64, n=np.int64, ctx=np.int64, parent=np.float64)
+        own, seen, root, before = _numbers(table, own=np.int64, seen=np.int64, root=np.float64, term=np.float64)
+        order = np.argsort(own)
+        own, seen, root, v = own[order], seen[order], root[order], before[order]
+        order = np.argsort(ctx)
+        key, n, ctx, parent = key[order], n[order], ctx[order], parent[order]
+        p, term = parent.copy(), np.zeros(len(key))
+        if len(key) and len(own):
+            first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+            followers = np.diff(np.append(first, len(ctx)))
+            counted = np.add.reduceat(n, first)
+            at = np.minimum(np.searchsorted(own, ctx[first]), len(own) - 1)
+            uncounted = np.maximum(seen[at] - counted, 0)
+            rest = uncounted + followers + 1.0
+            whole = counted + rest
+            here = np.repeat(np.arange(len(first)), followers)
+            smoothed = (n + rest[here] * parent) / whole[here]
+            gain = np.add.reduceat(n * np.log(smoothed / parent), first) + uncounted * np.log(rest / whole)
+            kept = (own[at] == ctx[first]) & (gain >= evidence) & (gain >= divergence * seen[at])
+            left = np.log10(rest / whole)
+            v[at[kept]] += left[kept]
+            p = np.where(kept[here], smoothed, parent)
+            term = np.where(kept[here], np.log10(smoothed / parent) - left[here], 0.0)
+        none, nan = len(own), np.full
+        return pa.table({
+            "kind": np.repeat(np.array([0, 1], np.int32), [len(key), none]), "key": np.concatenate([key, own]), "n": np.concatenate([n, seen]),
+            "p": np.concatenate([p, nan(none, np.nan)]), "term": np.concatenate([term, nan(none, np.nan)]),
+            "root": pa.array(np.concatenate([nan(len(key), np.nan), root]), from_pandas=True), "v": np.concatenate([nan(len(key), np.nan), v])})
+
+    rows = _spread(longer.select("key", "n", "ctx", "suf"), "suf", buckets).unionByName(_spread(level.select(F.col("key").alias("own"), "p"), "own", buckets), allowMissingColumns=True)
+    followers = rows.groupBy("bucket").applyInArrow(beside, "key long, n long, ctx long, parent double")
+    contexts = _spread(level.select(F.col("key").alias("own"), F.col("n").alias("seen"), "root", "term"), "own", buckets)
+    rows = _spread(followers, "ctx", buckets).unionByName(contexts, allowMissingColumns=True)
+    return rows.groupBy("bucket").applyInArrow(test, "kind int, key long, n long, p double, term double, root double, v double")
 
 
 def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE, evidence: float = EVIDENCE) -> Model:
     """The tree of the training texts."""
     tables = _Tables(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text)).alias("bytes")).first().bytes or 0
-    count = partial(_count, docs, text, buckets=1 + size // _RANGE)
+    buckets = 1 + size // _RANGE
+    count = partial(_count, docs, text, buckets=buckets)
     single = tables.put("single", count(1, None, 1, give="counts"))
     size = single.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, distinct = size.n or 0, size.v
@@ -298,24 +356,21 @@ def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: f
     send = docs.sparkSession.sparkContext.broadcast  # one file at the driver and at every executor until destroyed
     often = send(_bitmap(_packed(single.where(F.col("n") >= least).select("key", F.lit(None).cast("double").alias("root"), F.lit(0.0).alias("v")), 12)))
     for length in range(2, depth + 2):
-        known = level.where(F.col("n") >= least)
         # Most sequences occur once: they are left out by their keys, before their parts are shuffled. What is left is all of the next level.
         near, often = often, send(_bitmap(count(length, often, least, give="bits")))
         tables.drop()
-        longer = tables.put(f"longer-{length}", count(length, near, least, often=often))
+        longer = count(length, near, least, often=often)
+        # The values of the level before lie with this level.
+        made = tables.split(f"tree/of={length}", _retain(longer, level, divergence, evidence, buckets).where((F.col("kind") == 0) | valued), "kind")
         near.destroy()
-        tables.drop()
-        kept, after = _retain(tables, length, longer, known, divergence, evidence)
-        with_own = level.join(kept.withColumnRenamed("ctx", "key"), "key", "left")
-        v = F.col("term") + F.coalesce(F.log10(F.col("rest") / F.col("total")), F.lit(0.0))
-        tables.put(f"values/of={length - 1}", with_own.select("key", "n", "root", v.alias("v")).where(valued))
-        level = tables.put(f"level-{length}", after).withColumn("root", F.lit(None).cast("double"))
-        tables.drop("single" if length == 2 else f"level-{length - 1}", f"beside-{length}", f"kept-{length}")
+        del longer
+        tables.drop("single" if length == 2 else f"tree/of={length - 1}/kind=0")
+        level = made.where(F.col("kind") == 0).select("key", "n", "p", "term", F.lit(None).cast("double").alias("root"))
     often.destroy()
-    last = level.select("key", "n", "root", F.col("term").alias("v"))
-    tables.put(f"values/of={depth + 1}", last.where(valued))
-    tables.drop(f"level-{depth + 1}")
-    values = docs.sparkSession.read.schema(last.schema).parquet(f"{tables.root}/values").select("key", "n", "root", "v")
+    last = level.select("key", "n", "p", "term", "root", F.col("term").alias("v")).where(valued)
+    tables.put(f"tree/of={depth + 2}/kind=1", last)
+    tables.drop(f"tree/of={depth + 1}/kind=0")
+    values = docs.sparkSession.read.schema(last.schema).parquet(f"{tables.root}/tree").select("key", "n", "root", "v")
     buckets = max(24, 1 + values.count() // _VALUES)
     packed = tables.put("packed", _packed(values, buckets))
     bitmap = _bitmap(packed)
