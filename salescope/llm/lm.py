@@ -57,6 +57,7 @@ _BLOCK = 2_000_000  # bytes of text taken at once
 _PIECE_BYTES = 500_000  # of a long word, hashed at once
 _RANGE = 12_000_000  # bytes of text for each range of keys: about two million symbols, whose keys a task holds at once
 _HELD = 2_000_000  # keys that a task adds up before it sends their counts
+_SPREAD = 500_000  # rows that a task packs by ranges at once
 _VALUES = 4_000_000  # values that a task holds at once when texts ask for them
 _ASKED = 4_000_000  # sequences for whose values a task asks at once
 _WAVES = 2  # parts of the texts scored one after another: the questions of one lie on disk at a time
@@ -206,7 +207,7 @@ def _summed(key, n, *others):
 
 
 def _count(docs: DataFrame, text: str, length: int, shorter: Broadcast | None, least: float, buckets: int, *, often: Broadcast | None = None, give: str = "all") -> DataFrame:
-    """(key, ctx, suf, n): sequences of ``length`` symbols that occur at least ``least`` times, with the keys of the
+    """(bucket, key, n, ctx, suf), packed by ranges of suf: sequences of ``length`` symbols that occur at least ``least`` times, with the keys of the
     sequences without their last and without their first symbol. Those with parts not in ``shorter``, or not in ``often`` themselves, are passed over.
     ``give``: "counts": (key, n) alone; "bits": (start, bits), their stretches of the bitmap. Tasks add up what they hold and send it packed, one row for each
     of ``buckets`` ranges of keys; a range is added up as a whole."""
@@ -249,26 +250,46 @@ def _count(docs: DataFrame, text: str, length: int, shorter: Broadcast | None, l
         if give == "bits":
             start, bits = _bits(made[0][enough])
             return pa.table({"start": [start], "bits": pa.array([bits], pa.binary())})
-        return pa.table({c: x[enough] for c, x in zip(columns, made)})
+        found = {c: x[enough] for c, x in zip(columns, made)}
+        return _pack(found, "suf", buckets) if whole else pa.table(found)
 
-    rows = docs.select(text).mapInArrow(run, ", ".join(["bucket long", *(f"{c} binary" for c in columns)]))
-    return rows.groupBy("bucket").applyInArrow(bucket, "start long, bits binary" if give == "bits" else ", ".join(f"{c} long" for c in columns))
+    given = {"all": _fields(*columns), "bits": "start long, bits binary", "counts": "key long, n long"}[give]
+    return docs.select(text).mapInArrow(run, _fields(*columns)).groupBy("bucket").applyInArrow(bucket, given)
+
+
+def _pack(made: dict[str, np.ndarray], by: str, buckets: int) -> pa.Table:
+    """(bucket, the columns of ``made`` as arrays): numbers by ranges of the keys in ``by``."""
+    ranges = _ranges(made[by], buckets)
+    order = np.argsort(ranges, kind="stable")
+    found = _stretches(ranges[order])
+    packed = {c: x[order] for c, x in made.items()}
+    return pa.table({"bucket": pa.array([k for k, _, _ in found], pa.int64()), **{c: pa.array([x[a:b].tobytes() for _, a, b in found], pa.binary()) for c, x in packed.items()}})
+
+
+def _fields(*columns: str) -> str:
+    return ", ".join(["bucket long", *(f"{c} binary" for c in columns)])
 
 
 def _spread(rows: DataFrame, by: str, buckets: int) -> DataFrame:
-    """(bucket, the columns of ``rows`` as arrays): numbers packed by ranges of the keys in the column ``by``. Null is NaN."""
+    """The numbers of ``rows`` packed by ranges of the keys in the column ``by``. Null is NaN."""
     kinds = {f.name: pa.float64() if f.dataType == T.DoubleType() else pa.int64() for f in rows.schema}
 
     def run(batches):
+        held: list[dict[str, np.ndarray]] = []
+
+        def packed():
+            made = _pack({c: np.concatenate([h[c] for h in held]) for c in kinds}, by, buckets)
+            held.clear()
+            return made.to_batches(max_chunksize=64)
+
         for batch in batches:
-            made = {c: batch.column(i).cast(kind).to_numpy(zero_copy_only=False) for i, (c, kind) in enumerate(kinds.items())}
-            ranges = _ranges(made[by], buckets)
-            order = np.argsort(ranges, kind="stable")
-            if found := _stretches(ranges[order]):
-                packed = (x[order] for x in made.values())
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in found], pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in found], pa.binary()) for x in packed)], ["bucket", *kinds])
+            held.append({c: batch.column(i).cast(kind).to_numpy(zero_copy_only=False) for i, (c, kind) in enumerate(kinds.items())})
+            if sum(len(h[by]) for h in held) >= _SPREAD:
+                yield from packed()
+        if held:
+            yield from packed()
 
-    return rows.mapInArrow(run, ", ".join(["bucket long", *(f"{c} binary" for c in kinds)]))
+    return rows.mapInArrow(run, _fields(*kinds))
 
 
 def _numbers(table: pa.Table, **kinds) -> list[np.ndarray]:
@@ -291,7 +312,7 @@ def _packed(values: DataFrame, buckets: int) -> DataFrame:
 
 
 def _retain(longer: DataFrame, level: DataFrame, divergence: float, evidence: float, buckets: int) -> DataFrame:
-    """Divergence tests of the contexts ``level`` (key, n, p, term, root) with the followers ``longer`` (key, ctx, suf, n), by ranges of suffixes,
+    """Divergence tests of the contexts ``level`` (key, n, p, term, root) with the followers ``longer``, as counted, by ranges of suffixes,
     then of contexts: (kind, key, n, p, term, root, v). Kind 0: the followers with p and term; kind 1: the contexts with root
     and v, their term and their own. A task holds all followers of a context."""
 
@@ -301,7 +322,7 @@ def _retain(longer: DataFrame, level: DataFrame, divergence: float, evidence: fl
         own, p = own[order], p[order]
         at = np.minimum(np.searchsorted(own, suf), max(len(own) - 1, 0))
         has = own[at] == suf if len(own) else np.zeros(len(suf), bool)
-        return pa.table({"key": key[has], "n": n[has], "ctx": ctx[has], "parent": p[at[has]]})
+        return _pack({"key": key[has], "n": n[has], "ctx": ctx[has], "parent": p[at[has]]}, "ctx", buckets)
 
     def test(table: pa.Table) -> pa.Table:
         key, n, ctx, parent = _numbers(table, key=np.int64, n=np.int64, ctx=np.int64, parent=np.float64)
@@ -333,10 +354,10 @@ def _retain(longer: DataFrame, level: DataFrame, divergence: float, evidence: fl
             "p": np.concatenate([p, nan(none, np.nan)]), "term": np.concatenate([term, nan(none, np.nan)]),
             "root": pa.array(np.concatenate([nan(len(key), np.nan), root]), from_pandas=True), "v": np.concatenate([nan(len(key), np.nan), v])})
 
-    rows = _spread(longer.select("key", "n", "ctx", "suf"), "suf", buckets).unionByName(_spread(level.select(F.col("key").alias("own"), "p"), "own", buckets), allowMissingColumns=True)
-    followers = rows.groupBy("bucket").applyInArrow(beside, "key long, n long, ctx long, parent double")
+    rows = longer.unionByName(_spread(level.select(F.col("key").alias("own"), "p"), "own", buckets), allowMissingColumns=True)
+    followers = rows.groupBy("bucket").applyInArrow(beside, _fields("key", "n", "ctx", "parent"))
     contexts = _spread(level.select(F.col("key").alias("own"), F.col("n").alias("seen"), "root", "term"), "own", buckets)
-    rows = _spread(followers, "ctx", buckets).unionByName(contexts, allowMissingColumns=True)
+    rows = followers.unionByName(contexts, allowMissingColumns=True)
     return rows.groupBy("bucket").applyInArrow(test, "kind int, key long, n long, p double, term double, root double, v double")
 
 
@@ -359,12 +380,12 @@ def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: f
         # Most sequences occur once: they are left out by their keys, before their parts are shuffled. What is left is all of the next level.
         near, often = often, send(_bitmap(count(length, often, least, give="bits")))
         tables.drop()
-        longer = count(length, near, least, often=often)
+        longer = tables.put(f"longer-{length}", count(length, near, least, often=often))
+        near.destroy()
+        tables.drop()
         # The values of the level before lie with this level.
         made = tables.split(f"tree/of={length}", _retain(longer, level, divergence, evidence, buckets).where((F.col("kind") == 0) | valued), "kind")
-        near.destroy()
-        del longer
-        tables.drop("single" if length == 2 else f"tree/of={length - 1}/kind=0")
+        tables.drop("single" if length == 2 else f"tree/of={length - 1}/kind=0", f"longer-{length}")
         level = made.where(F.col("kind") == 0).select("key", "n", "p", "term", F.lit(None).cast("double").alias("root"))
     often.destroy()
     last = level.select("key", "n", "p", "term", "root", F.col("term").alias("v")).where(valued)
