@@ -59,7 +59,7 @@ _RANGE = 12_000_000  # bytes of text for each range of keys: about two million s
 _HELD = 2_000_000  # keys that a task adds up before it sends their counts
 _SPREAD = 500_000  # rows that a task packs by ranges at once
 _VALUES = 4_000_000  # values that a task holds at once when texts ask for them
-_ASKED = 4_000_000  # sequences for whose values a task asks at once
+_ASKED = 1_000_000  # sequences for whose values a task asks at once
 _WAVES = 2  # parts of the texts scored one after another: the questions of one lie on disk at a time
 
 
