@@ -297,8 +297,21 @@ def _numbers(table: pa.Table, **kinds) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(table[c].drop_null().to_pylist()), kind) for c, kind in kinds.items()]
 
 
-def _packed(values: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, key, root, v, start, bits): (key, root, v) by ranges of keys, as arrays sorted by key, and the keys' stretch of the bitmap."""
+def _flat(spread: DataFrame) -> DataFrame:
+    """(key, n, root, v) of packets, one row each; NaN reads as null."""
+    kinds = {"key": np.int64, "n": np.int64, "root": np.float64, "v": np.float64}
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                made = _numbers(pa.table(batch.slice(i, 1).columns, list(kinds)), **kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(x, from_pandas=True) for x in made], list(kinds))
+
+    return spread.select(*kinds).mapInArrow(run, "key long, n long, root double, v double")
+
+
+def _packed(spread: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, key, root, v, start, bits): (key, root, v), packed anyhow, by ``buckets`` ranges of keys, as arrays sorted by key, and the keys' stretch of the bitmap."""
     kinds = {"key": np.uint64, "root": np.float64, "v": np.float64}
 
     def bucket(table: pa.Table) -> pa.Table:
@@ -307,14 +320,18 @@ def _packed(values: DataFrame, buckets: int) -> DataFrame:
         start, bits = _bits(made[0])
         return pa.table({"bucket": table["bucket"][:1], **{c: pa.array([x[order].tobytes()], pa.binary()) for c, x in zip(kinds, made)}, "start": [start], "bits": pa.array([bits], pa.binary())})
 
-    spread = _spread(values.select(*kinds), "key", buckets)
+    def run(batches):
+        for batch in batches:
+            yield from _pack(dict(zip(kinds, _numbers(pa.table(batch.columns, list(kinds)), **kinds))), "key", buckets).to_batches(max_chunksize=64)
+
+    spread = spread.select(*kinds).mapInArrow(run, _fields(*kinds))
     return spread.groupBy("bucket").applyInArrow(bucket, "bucket long, key binary, root binary, v binary, start long, bits binary")
 
 
-def _retain(longer: DataFrame, level: DataFrame, divergence: float, evidence: float, buckets: int) -> DataFrame:
-    """Divergence tests of the contexts ``level`` (key, n, p, term, root) with the followers ``longer``, as counted, by ranges of suffixes,
-    then of contexts: (kind, key, n, p, term, root, v). Kind 0: the followers with p and term; kind 1: the contexts with root
-    and v, their term and their own. A task holds all followers of a context."""
+def _retain(longer: DataFrame, level: DataFrame, divergence: float, evidence: float, sent: float, buckets: int) -> DataFrame:
+    """Divergence tests of the contexts ``level`` (key, n, p, term, root), packed by ranges of keys, with the followers ``longer``, as counted, by ranges of suffixes,
+    then of contexts: (kind, bucket, key, n, p, term, root, v), packed by ranges of keys. Kind 0: the followers with p and term; kind 1: the contexts
+    with root and v, their term and their own, if they have a value or occur ``sent`` times. A task holds all followers of a context."""
 
     def beside(table: pa.Table) -> pa.Table:
         key, n, ctx, suf, own, p = _numbers(table, key=np.int64, n=np.int64, ctx=np.int64, suf=np.int64, own=np.int64, p=np.float64)
@@ -327,6 +344,7 @@ def _retain(longer: DataFrame, level: DataFrame, divergence: float, evidence: fl
     def test(table: pa.Table) -> pa.Table:
         key, n, ctx, parent = _numbers(table, key=np.int64, n=np.int64, ctx=np.int64, parent=np.float64)
         own, seen, root, before = _numbers(table, own=np.int64, seen=np.int64, root=np.float64, term=np.float64)
+        root = root if len(root) else np.full(len(own), np.nan)  # no level but the first has any
         order = np.argsort(own)
         own, seen, root, v = own[order], seen[order], root[order], before[order]
         order = np.argsort(ctx)
@@ -348,17 +366,17 @@ def _retain(longer: DataFrame, level: DataFrame, divergence: float, evidence: fl
             v[at[kept]] += left[kept]
             p = np.where(kept[here], smoothed, parent)
             term = np.where(kept[here], np.log10(smoothed / parent) - left[here], 0.0)
-        none, nan = len(own), np.full
-        return pa.table({
-            "kind": np.repeat(np.array([0, 1], np.int32), [len(key), none]), "key": np.concatenate([key, own]), "n": np.concatenate([n, seen]),
-            "p": np.concatenate([p, nan(none, np.nan)]), "term": np.concatenate([term, nan(none, np.nan)]),
-            "root": pa.array(np.concatenate([nan(len(key), np.nan), root]), from_pandas=True), "v": np.concatenate([nan(len(key), np.nan), v])})
+        below = _pack({"key": key, "n": n, "p": p, "term": term}, "key", buckets)
+        has = ~np.isnan(root) | (v != 0) | (seen >= sent)
+        values = _pack({"key": own[has], "n": seen[has], "root": root[has], "v": v[has]}, "key", buckets)
+        made = [t.append_column("kind", pa.array([kind] * t.num_rows, pa.int32())) for kind, t in ((0, below), (1, values))]
+        return pa.concat_tables(made, promote_options="default").select(["kind", "bucket", "key", "n", "p", "term", "root", "v"])
 
-    rows = longer.unionByName(_spread(level.select(F.col("key").alias("own"), "p"), "own", buckets), allowMissingColumns=True)
+    rows = longer.unionByName(level.select("bucket", F.col("key").alias("own"), "p"), allowMissingColumns=True)
     followers = rows.groupBy("bucket").applyInArrow(beside, _fields("key", "n", "ctx", "parent"))
-    contexts = _spread(level.select(F.col("key").alias("own"), F.col("n").alias("seen"), "root", "term"), "own", buckets)
+    contexts = level.select("bucket", F.col("key").alias("own"), F.col("n").alias("seen"), "root", "term")
     rows = followers.unionByName(contexts, allowMissingColumns=True)
-    return rows.groupBy("bucket").applyInArrow(test, "kind int, key long, n long, p double, term double, root double, v double")
+    return rows.groupBy("bucket").applyInArrow(test, f"kind int, {_fields('key', 'n', 'p', 'term', 'root', 'v')}")
 
 
 def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE, evidence: float = EVIDENCE) -> Model:
@@ -372,10 +390,9 @@ def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: f
     tokens, distinct = size.n or 0, size.v
     least, sent = max(2.0, min_share * tokens), SENT * tokens
     p = (F.col("n") + 0.5) / F.lit(tokens + 0.5 * (distinct + 1))
-    level = single.select("key", "n", p.alias("p"), F.log10(p).alias("term"), F.log10(p).alias("root"))
-    valued = F.col("root").isNotNull() | (F.col("v") != 0) | (F.col("n") >= sent)
+    level = _spread(single.select("key", "n", p.alias("p"), F.log10(p).alias("term"), F.log10(p).alias("root")), "key", buckets)
     send = docs.sparkSession.sparkContext.broadcast  # one file at the driver and at every executor until destroyed
-    often = send(_bitmap(_packed(single.where(F.col("n") >= least).select("key", F.lit(None).cast("double").alias("root"), F.lit(0.0).alias("v")), 12)))
+    often = send(_bitmap(_packed(_spread(single.where(F.col("n") >= least).select("key", F.lit(0.0).alias("root"), F.lit(0.0).alias("v")), "key", buckets), 12)))
     for length in range(2, depth + 2):
         # Most sequences occur once: they are left out by their keys, before their parts are shuffled. What is left is all of the next level.
         near, often = often, send(_bitmap(count(length, often, least, give="bits")))
@@ -384,16 +401,17 @@ def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: f
         near.destroy()
         tables.drop()
         # The values of the level before lie with this level.
-        made = tables.split(f"tree/of={length}", _retain(longer, level, divergence, evidence, buckets).where((F.col("kind") == 0) | valued), "kind")
+        made = tables.split(f"tree/of={length}", _retain(longer, level, divergence, evidence, sent, buckets), "kind")
         tables.drop("single" if length == 2 else f"tree/of={length - 1}/kind=0", f"longer-{length}")
-        level = made.where(F.col("kind") == 0).select("key", "n", "p", "term", F.lit(None).cast("double").alias("root"))
+        level = made.where(F.col("kind") == 0).select("bucket", "key", "n", "p", "term", "root")
     often.destroy()
-    last = level.select("key", "n", "p", "term", "root", F.col("term").alias("v")).where(valued)
-    tables.put(f"tree/of={depth + 2}/kind=1", last)
+    nothing = level.limit(0).select("bucket", F.col("key").alias("suf"), "key", "n", F.col("key").alias("ctx"))
+    tables.split(f"tree/of={depth + 2}", _retain(nothing, level, divergence, evidence, sent, buckets), "kind")  # contexts that nothing follows
     tables.drop(f"tree/of={depth + 1}/kind=0")
-    values = docs.sparkSession.read.schema(last.schema).parquet(f"{tables.root}/tree").select("key", "n", "root", "v")
-    buckets = max(24, 1 + values.count() // _VALUES)
-    packed = tables.put("packed", _packed(values, buckets))
+    spread = docs.sparkSession.read.schema(level.select("bucket", "key", "n", "root", F.col("root").alias("v")).schema).parquet(f"{tables.root}/tree")
+    values = _flat(spread)
+    buckets = max(24, 1 + int(spread.agg(F.sum(F.octet_length("key")).alias("bytes")).first().bytes or 0) // 8 // _VALUES)
+    packed = tables.put("packed", _packed(spread, buckets))
     bitmap = _bitmap(packed)
     tables.drop()
     return Model(values, packed.drop("start", "bits"), buckets, bitmap, tokens, distinct, depth)
