@@ -57,6 +57,7 @@ _BLOCK = 2_000_000  # bytes of text taken at once
 _PIECE_BYTES = 500_000  # of a long word, hashed at once
 _RANGE = 12_000_000  # bytes of text for each range of keys: about two million symbols, whose keys a task holds at once
 _HELD = 2_000_000  # keys that a task adds up before it sends their counts
+_ROW = 50_000  # values in a packed row
 _SPREAD = 500_000  # rows that a task packs by ranges at once
 _VALUES = 4_000_000  # values that a task holds at once when texts ask for them
 _ASKED = 1_000_000  # sequences for whose values a task asks at once
@@ -222,8 +223,8 @@ def _count(docs: DataFrame, text: str, length: int, shorter: Broadcast | None, l
             held.clear()
             made = _summed(key, None, *others)
             found = _stretches(_ranges(made[0], buckets))
-            for i in range(0, len(found), 64):
-                here = found[i:i + 64]
+            for i in range(0, len(found), 8):  # few at once: a batch is held outside the heap
+                here = found[i:i + 8]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in here], pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in here], pa.binary()) for x in made)], ["bucket", *columns])
 
         for _, own in parts(batches, text, _BLOCK):
@@ -280,7 +281,7 @@ def _spread(rows: DataFrame, by: str, buckets: int) -> DataFrame:
         def packed():
             made = _pack({c: np.concatenate([h[c] for h in held]) for c in kinds}, by, buckets)
             held.clear()
-            return made.to_batches(max_chunksize=64)
+            return made.to_batches(max_chunksize=16)
 
         for batch in batches:
             held.append({c: batch.column(i).cast(kind).to_numpy(zero_copy_only=False) for i, (c, kind) in enumerate(kinds.items())})
@@ -311,18 +312,20 @@ def _flat(spread: DataFrame) -> DataFrame:
 
 
 def _packed(spread: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, key, root, v, start, bits): (key, root, v), packed anyhow, by ``buckets`` ranges of keys, as arrays sorted by key, and the keys' stretch of the bitmap."""
+    """(bucket, key, root, v, start, bits): (key, root, v), packed anyhow, by ``buckets`` ranges in rows of ``_ROW`` values of keys, as arrays sorted by key, and the keys' stretch of the bitmap."""
     kinds = {"key": np.uint64, "root": np.float64, "v": np.float64}
 
     def bucket(table: pa.Table) -> pa.Table:
         made = _numbers(table, **kinds)
         order = np.argsort(made[0])
         start, bits = _bits(made[0])
-        return pa.table({"bucket": table["bucket"][:1], **{c: pa.array([x[order].tobytes()], pa.binary()) for c, x in zip(kinds, made)}, "start": [start], "bits": pa.array([bits], pa.binary())})
+        cuts = range(0, max(len(order), 1), _ROW)
+        rows = {c: pa.array([x[order[i:i + _ROW]].tobytes() for i in cuts], pa.binary()) for c, x in zip(kinds, made)}
+        return pa.table({"bucket": [table["bucket"][0].as_py()] * len(cuts), **rows, "start": [start] * len(cuts), "bits": pa.array([bits, *[b""] * (len(cuts) - 1)], pa.binary())})
 
     def run(batches):
         for batch in batches:
-            yield from _pack(dict(zip(kinds, _numbers(pa.table(batch.columns, list(kinds)), **kinds))), "key", buckets).to_batches(max_chunksize=64)
+            yield from _pack(dict(zip(kinds, _numbers(pa.table(batch.columns, list(kinds)), **kinds))), "key", buckets).to_batches(max_chunksize=16)
 
     spread = spread.select(*kinds).mapInArrow(run, _fields(*kinds))
     return spread.groupBy("bucket").applyInArrow(bucket, "bucket long, key binary, root binary, v binary, start long, bits binary")
@@ -507,8 +510,9 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
 
     def answer(table: pa.Table) -> pa.Table:
         """The packets' sums by text (kind 2: texts, (known, root), value), and rows as they came."""
-        given = table.filter(pc.equal(table["kind"], 0)).to_pylist()
-        key, root, v = (np.frombuffer(given[0][c] if given else b"", kind) for c, kind in (("key", np.uint64), ("root", np.float64), ("v", np.float64)))
+        key, root, v = _numbers(table.filter(pc.equal(table["kind"], 0)), key=np.uint64, root=np.float64, v=np.float64)
+        order = np.argsort(key)
+        key, root, v = key[order], root[order], v[order]
         made = []
         for batch in table.to_batches(max_chunksize=16):
             for r in batch.to_pylist():

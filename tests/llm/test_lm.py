@@ -138,3 +138,25 @@ def test_hashes_follow_the_words():
     said = [w for t in texts for w in [*t.lower().split(), b""]]
     assert sizes.tolist() == [len(t.split()) + 1 for t in texts] and len(hashes) == 1 + len(said)
     assert hashes[0] == lm._END and len(set(zip(said, hashes[1:].tolist()))) == len(set(said)) == len(set(hashes.tolist()))
+
+
+def test_rare_sequences_are_asked_for_in_packets(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SENT", 1.0)  # no value but of sequences that are everything goes to the tasks
+    rnd = random.Random(11)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(400)) for _ in range(150)] + ["", None, "w1 " * 900, "never seen"]
+    rows = [*enumerate(texts), (3, texts[3]), (None, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs.write.mode("overwrite").parquet(path := f"{lm.checkpoint_dir(spark)}/packets-{rnd.random()}")
+    docs = spark.read.parquet(path)
+    train = ~docs.doc_id.isin(7, 11, 153)
+    brute = Brute([t for i, t in rows if i not in (None, 7, 11, 153)], lm.DEPTH, 0.0, lm.DIVERGENCE, 2.0)
+    scored, model = lm.fit_and_score(docs, train, evidence=2.0)
+    assert "SortMergeJoin" not in scored._jdf.queryExecution().toString()  # no row for each sequence of a text
+    got = scored.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _ in rows)
+    said = {**dict(enumerate(texts)), None: texts[4]}
+    for r in got:
+        t = said[r.doc_id]
+        assert r.n_tokens == len(words(t)) and r.n_known == sum(brute.c[w] > 0 for w in words(t))
+        assert math.isclose(r.base_score, brute.base(t), rel_tol=1e-9) and math.isclose(r.score, brute.score(t, lm.DEPTH), rel_tol=1e-9)
+    assert model.values.where("root is not null").count() == model.distinct
