@@ -12,8 +12,8 @@ every counted follower. A symbol is scored by the longest retained context befor
 Sequences are known by 64-bit keys, a polynomial in hashes of their symbols. Counts, tests and the
 tree are tables by key. A retained context changes the log probability of what follows by log(rest /
 total), and by a further term if the follower is counted after it, so a text's score is the sum over
-its sequences of one value each: the sequence's term as a follower and its own as a context. These
-sums are joins of values with counts pre-aggregated by text. Only the values of frequent sequences
+its sequences of one value each: the sequence's term as a follower and its own as a context. Tasks ask
+for these values by packets of keys, one for each range of keys, and get sums by text back. Only the values of frequent sequences
 (``SENT`` of all symbols) go to the tasks, which add them up themselves; and a bitmap of fixed size
 by which sequences without a value are passed over. A fuller bitmap passes over fewer, and changes
 no result.
@@ -30,6 +30,7 @@ next one stands; the values stay, since scores are read from them.
 from __future__ import annotations
 
 import gc
+import time
 from dataclasses import dataclass
 from functools import partial
 from uuid import uuid4
@@ -157,12 +158,14 @@ class _Tables:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
-        gc.collect()  # frames that are no longer used hold their shuffle files
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
+        for _ in range(2):  # frames that are no longer used hold their shuffle files, and are let go in two turns
+            gc.collect()
+            jvm.System.gc()
+            time.sleep(0.2)
 
 
 def _ranges(key: np.ndarray, buckets: int) -> np.ndarray:
