@@ -103,6 +103,26 @@ def test_out_of_stock_against_a_plain_search(spark):
     assert want
 
 
+def lines_read_by(spark, key):
+    """How often the plan of a query over unstored tables reads the lines."""
+    return plan(registry.run_on(make_tables(spark, odd_rows()), spark, key, SF)).count("Scan ExistingRDD")
+
+
+def test_dashboards_join_the_star_once(spark):
+    """All lists read one rollup, written once; only the list of brands still reads the lines."""
+    for key in ("supply_chain_dashboard", "dashboard_counts"):
+        assert lines_read_by(spark, key) == 1, key
+
+
+def test_dashboard_of_a_written_rollup(spark):
+    t = make_tables(spark, odd_rows())
+    days = t.days_of(AS_OF, integrated.DASHBOARD_MONTHS)
+    same(days, t.item_days)  # the rows are younger
+    same(integrated.supply_chain_dashboard(days, as_of=AS_OF, days_threshold=10, items=t.items),
+         integrated.supply_chain_dashboard(t.sales, as_of=AS_OF, days_threshold=10))
+    assert {r.Invoice_Date for r in t.days_of(AS_OF, 12).collect()} == {dt.date(2000, 8, 2), dt.date(2000, 12, 5), dt.date(2001, 7, 20)}
+
+
 def files(root, table):
     return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{root}/{table}/**/*.parquet", recursive=True)}
 
