@@ -123,6 +123,25 @@ def test_dashboard_of_a_written_rollup(spark):
     assert {r.Invoice_Date for r in t.days_of(AS_OF, 12).collect()} == {dt.date(2000, 8, 2), dt.date(2000, 12, 5), dt.date(2001, 7, 20)}
 
 
+def test_item_health_joins_the_star_once(spark):
+    """All parts read one rollup, written once; the list of items is read before, and written with the patterns."""
+    assert lines_read_by(spark, "item_health") == 0
+
+
+def test_coverage_against_a_plain_count(spark):
+    """A member without a name has amounts but is not counted."""
+    t = make_tables(spark, odd_rows())
+    all_ = [dict(zip(t.sales.columns, r)) for r in odd_rows()]
+    want = []
+    for code in ("I1", "I2", "I3"):
+        for m, cut in ((12, dt.date(2000, 8, 1)), (24, dt.date(1999, 8, 1))):
+            own = [r for r in all_ if r["Item_Code"] == code and r["Invoice_Date"] >= cut]
+            want.append((code, m, len({r["Customer_Name"] for r in own} - {None}), float(sum(r["Amount"] for r in own)), len({r["Invoice_No"] for r in own} - {None})))
+    for rows in (t.sales, t.item_days):
+        got = coverage.coverage_windows(rows, as_of=AS_OF, level="item", time_windows=(12, 24)).collect()
+        assert sorted((r.Item_Code, r.Months, r.Coverage_Count, r.Total_Sales, r.Transaction_Count) for r in got) == want
+
+
 def files(root, table):
     return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{root}/{table}/**/*.parquet", recursive=True)}
 
