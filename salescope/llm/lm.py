@@ -14,9 +14,9 @@ tree are tables by key. A retained context changes the log probability of what f
 total), and by a further term if the follower is counted after it, so a text's score is the sum over
 its sequences of one value each: the sequence's term as a follower and its own as a context. Tasks ask
 for these values by packets of keys, one for each range of keys, and get sums by text back. Only the values of frequent sequences
-(``SENT`` of all symbols) go to the tasks, which add them up themselves; and a bitmap of fixed size
-by which sequences without a value are passed over. A fuller bitmap passes over fewer, and changes
-no result.
+(``SENT`` of all symbols) go to the tasks, which add them up themselves; and a bitmap, larger for
+more text up to a bound, by which sequences without a value are passed over. A fuller bitmap passes
+over fewer, and changes no result.
 
 Defined results: null text is empty and consists of its end; without training texts every symbol
 has probability one at the root; a symbol that training texts lack has the root's rest. Repeated rows
@@ -52,15 +52,15 @@ DIVERGENCE = 0.01
 EVIDENCE = 20.0
 SENT = 2e-6  # share of all symbols from which on a sequence's value is sent to the tasks
 _BASE = 0x9E3779B97F4A7C15
-_BITS = 1 << 26  # of a bitmap: 8 MB, as each broadcast is a file at the driver and at every executor
-_SHIFT = np.uint64(64 - 26)  # a key's bit is its first 26 bits: a range of keys has a stretch of the bitmap
+_BITS = (26, 28)  # a bitmap has 2 to one of these bits, 8 to 32 MB, by the size of the texts: each broadcast is a file at the driver and at every executor
+_SLOTS = 20  # first bits of a key by which its place among the frequent ones is found
 _BLOCK = 2_000_000  # bytes of text taken at once
 _PIECE_BYTES = 500_000  # of a long word, hashed at once
 _RANGE = 12_000_000  # bytes of text for each range of keys: about two million symbols, whose keys a task holds at once
 _HELD = 2_000_000  # keys that a task adds up before it sends their counts
 _ROW = 50_000  # values in a packed row
 _SPREAD = 500_000  # rows that a task packs by ranges at once
-_VALUES = 4_000_000  # values that a task holds at once when texts ask for them
+_VALUES = 1_000_000  # values that a task holds at once when texts ask for them
 _ASKED = 1_000_000  # sequences for whose values a task asks at once
 _WAVES = 2  # parts of the texts scored one after another: the questions of one lie on disk at a time
 
@@ -117,7 +117,7 @@ class Model:
     values: DataFrame  #: (key, n, root, v): log10 at the root, of single symbols; what a sequence adds to a text's score
     packed: DataFrame  #: (bucket, key, root, v): the same, by ranges of keys, as sorted arrays; NaN for no root
     buckets: int
-    bitmap: np.ndarray  #: of the keys of ``values``
+    bitmap: np.ndarray  #: of the keys of ``values``: a key's bit is its first bits, so a range of keys has a stretch of the bitmap
     tokens: int
     distinct: int
     depth: int
@@ -179,28 +179,55 @@ def _stretches(ranges: np.ndarray):
     return list(zip(ranges[starts].tolist(), starts.tolist(), np.append(starts[1:], len(ranges)).tolist()))
 
 
-def _bits(key: np.ndarray) -> tuple[int, bytes]:
+def _power(size: int) -> int:
+    """The power of 2 that a bitmap has as bits for so many bytes of text: the least up to 2 GB, then more with it."""
+    return min(max((size // 1_000_000_000).bit_length() + _BITS[0] - 1, _BITS[0]), _BITS[1])
+
+
+def _bits(key: np.ndarray, power: int) -> tuple[int, bytes]:
     """The stretch of the bitmap from the first byte with one of the keys' bits to the last, and where it starts."""
-    at = np.unique(key.view(np.uint64) >> _SHIFT).astype(np.int64)
+    at = np.unique(key.view(np.uint64) >> np.uint64(64 - power)).astype(np.int64)
     start = int(at[0]) // 8 if len(at) else 0
     marked = np.zeros((int(at[-1]) // 8 + 1 - start) * 8 if len(at) else 0, bool)
     marked[at - start * 8] = True
     return start, np.packbits(marked, bitorder="little").tobytes()
 
 
-def _bitmap(stretches: DataFrame) -> np.ndarray:
-    """Bits at the first bits of keys, from (start, bits) of ranges of keys; little more than its own size is gathered."""
-    out = np.zeros(_BITS // 8, np.uint8)
+def _bitmap(stretches: DataFrame, power: int) -> np.ndarray:
+    """Bits at the first bits of keys, from (start, bits) of ranges of keys; little more than its own size is gathered.
+    The stretches are a table, since what they are made from would be worked on by one task after another here."""
+    out = np.zeros((1 << power) // 8, np.uint8)
     for r in stretches.select("start", "bits").toLocalIterator():
         out[r.start:r.start + len(r.bits)] |= np.frombuffer(r.bits, np.uint8)
     return out
 
 
 def _listed(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys >> _SHIFT
+    at = keys >> np.uint64(62 - len(bitmap).bit_length())
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+class _Places:
+    """Places of keys among sorted ones, found by their first bits: most slots have one key or none."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, keys[-1:])  # a place after the last, that is no other key's
+        slots = keys >> np.uint64(64 - _SLOTS)
+        self.first = np.searchsorted(slots, np.arange(1 << _SLOTS, dtype=np.uint64)).astype(np.int32)
+        self.more = np.append(slots[1:] == slots[:-1], [False, False])[:len(self.keys)]  # the next place is of the same slot
+
+    def of(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key, and whether it is there."""
+        near = self.first[(asked >> np.uint64(64 - _SLOTS)).astype(np.int64)]
+        hit = self.keys[near] == asked
+        left = np.flatnonzero(~hit & self.more[near])
+        while len(left):
+            near[left] += 1
+            hit[left] = self.keys[near[left]] == asked[left]
+            left = left[~hit[left] & self.more[near[left]]]
+        return near, hit
+
+
 def _summed(key, n, *others):
     """Each key once, with the sum of its counts (``n`` None: how often it stands there) and its other numbers."""
     order = np.argsort(key) if others or n is not None else None
@@ -213,9 +240,9 @@ def _summed(key, n, *others):
 def _count(docs: DataFrame, text: str, length: int, shorter: Broadcast | None, least: float, buckets: int, *, often: Broadcast | None = None, give: str = "all") -> DataFrame:
     """(bucket, key, n, ctx, suf), packed by ranges of suf: sequences of ``length`` symbols that occur at least ``least`` times, with the keys of the
     sequences without their last and without their first symbol. Those with parts not in ``shorter``, or not in ``often`` themselves, are passed over.
-    ``give``: "counts": (key, n) alone; "bits": (start, bits), their stretches of the bitmap. Tasks add up what they hold and send it packed, one row for each
+    ``give``: "counts": (key, n) alone; "bits": (start, bits), their stretches of a bitmap as ``shorter``. Tasks add up what they hold and send it packed, one row for each
     of ``buckets`` ranges of keys; a range is added up as a whole."""
-    whole = give == "all"
+    whole, power = give == "all", len(shorter.value).bit_length() + 2 if give == "bits" else 0
     columns = ["key", "n", "ctx", "suf"] if whole else ["key", "n"]
 
     def run(batches):
@@ -249,10 +276,11 @@ def _count(docs: DataFrame, text: str, length: int, shorter: Broadcast | None, l
             yield from counted()
 
     def bucket(table: pa.Table) -> pa.Table:
+        _released()
         made = _summed(*(np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in columns))
         enough = made[1] >= least
         if give == "bits":
-            start, bits = _bits(made[0][enough])
+            start, bits = _bits(made[0][enough], power)
             return pa.table({"start": [start], "bits": pa.array([bits], pa.binary())})
         found = {c: x[enough] for c, x in zip(columns, made)}
         return _pack(found, "suf", buckets) if whole else pa.table(found)
@@ -296,6 +324,11 @@ def _spread(rows: DataFrame, by: str, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, _fields(*kinds))
 
 
+def _released() -> None:
+    """Arrow lets go of what it keeps of the groups before: workers stay for later tasks, several to an executor."""
+    pa.default_memory_pool().release_unused()
+
+
 def _numbers(table: pa.Table, **kinds) -> list[np.ndarray]:
     """Columns of packed numbers of a range, each put together."""
     return [np.frombuffer(b"".join(table[c].drop_null().to_pylist()), kind) for c, kind in kinds.items()]
@@ -314,14 +347,15 @@ def _flat(spread: DataFrame) -> DataFrame:
     return spread.select(*kinds).mapInArrow(run, "key long, n long, root double, v double")
 
 
-def _packed(spread: DataFrame, buckets: int) -> DataFrame:
+def _packed(spread: DataFrame, buckets: int, power: int) -> DataFrame:
     """(bucket, key, root, v, start, bits): (key, root, v), packed anyhow, by ``buckets`` ranges in rows of ``_ROW`` values of keys, as arrays sorted by key, and the keys' stretch of the bitmap."""
     kinds = {"key": np.uint64, "root": np.float64, "v": np.float64}
 
     def bucket(table: pa.Table) -> pa.Table:
+        _released()
         made = _numbers(table, **kinds)
         order = np.argsort(made[0])
-        start, bits = _bits(made[0])
+        start, bits = _bits(made[0], power)
         cuts = range(0, max(len(order), 1), _ROW)
         rows = {c: pa.array([x[order[i:i + _ROW]].tobytes() for i in cuts], pa.binary()) for c, x in zip(kinds, made)}
         return pa.table({"bucket": [table["bucket"][0].as_py()] * len(cuts), **rows, "start": [start] * len(cuts), "bits": pa.array([bits, *[b""] * (len(cuts) - 1)], pa.binary())})
@@ -340,6 +374,7 @@ def _retain(longer: DataFrame, level: DataFrame, divergence: float, evidence: fl
     with root and v, their term and their own, if they have a value or occur ``sent`` times. A task holds all followers of a context."""
 
     def beside(table: pa.Table) -> pa.Table:
+        _released()
         key, n, ctx, suf, own, p = _numbers(table, key=np.int64, n=np.int64, ctx=np.int64, suf=np.int64, own=np.int64, p=np.float64)
         order = np.argsort(own)
         own, p = own[order], p[order]
@@ -348,6 +383,7 @@ def _retain(longer: DataFrame, level: DataFrame, divergence: float, evidence: fl
         return _pack({"key": key[has], "n": n[has], "ctx": ctx[has], "parent": p[at[has]]}, "ctx", buckets)
 
     def test(table: pa.Table) -> pa.Table:
+        _released()
         key, n, ctx, parent = _numbers(table, key=np.int64, n=np.int64, ctx=np.int64, parent=np.float64)
         own, seen, root, before = _numbers(table, own=np.int64, seen=np.int64, root=np.float64, term=np.float64)
         root = root if len(root) else np.full(len(own), np.nan)  # no level but the first has any
@@ -389,7 +425,7 @@ def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: f
     """The tree of the training texts."""
     tables = _Tables(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text)).alias("bytes")).first().bytes or 0
-    buckets = 1 + size // _RANGE
+    buckets, power = 1 + size // _RANGE, _power(size)
     count = partial(_count, docs, text, buckets=buckets)
     single = tables.put("single", count(1, None, 1, give="counts"))
     size = single.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -398,11 +434,13 @@ def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: f
     p = (F.col("n") + 0.5) / F.lit(tokens + 0.5 * (distinct + 1))
     level = _spread(single.select("key", "n", p.alias("p"), F.log10(p).alias("term"), F.log10(p).alias("root")), "key", buckets)
     send = docs.sparkSession.sparkContext.broadcast  # one file at the driver and at every executor until destroyed
-    often = send(_bitmap(_packed(_spread(single.where(F.col("n") >= least).select("key", F.lit(0.0).alias("root"), F.lit(0.0).alias("v")), "key", buckets), 12)))
+    known = _spread(single.where(F.col("n") >= least).select("key", F.lit(0.0).alias("root"), F.lit(0.0).alias("v")), "key", buckets)
+    often = send(_bitmap(tables.put("bits-1", _packed(known, 12, power).select("start", "bits")), power))
+    tables.drop("bits-1")
     for length in range(2, depth + 2):
         # Most sequences occur once: they are left out by their keys, before their parts are shuffled. What is left is all of the next level.
-        near, often = often, send(_bitmap(count(length, often, least, give="bits")))
-        tables.drop()
+        near, often = often, send(_bitmap(tables.put(f"bits-{length}", count(length, often, least, give="bits")), power))
+        tables.drop(f"bits-{length}")
         longer = tables.put(f"longer-{length}", count(length, near, least, often=often))
         near.destroy()
         tables.drop()
@@ -416,9 +454,9 @@ def fit(docs: DataFrame, *, text: str = "text", depth: int = DEPTH, min_share: f
     tables.drop(f"tree/of={depth + 1}/kind=0")
     spread = docs.sparkSession.read.schema(level.select("bucket", "key", "n", "root", F.col("root").alias("v")).schema).parquet(f"{tables.root}/tree")
     values = _flat(spread)
-    buckets = max(24, 1 + int(spread.agg(F.sum(F.octet_length("key")).alias("bytes")).first().bytes or 0) // 8 // _VALUES)
-    packed = tables.put("packed", _packed(spread, buckets))
-    bitmap = _bitmap(packed)
+    buckets = max(48, 1 + int(spread.agg(F.sum(F.octet_length("key")).alias("bytes")).first().bytes or 0) // 8 // _VALUES)
+    packed = tables.put("packed", _packed(spread, buckets, power))
+    bitmap = _bitmap(packed, power)
     tables.drop()
     return Model(values, packed.drop("start", "bits"), buckets, bitmap, tokens, distinct, depth)
 
@@ -441,7 +479,7 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
     frequent = model.values.where(F.col("n") >= max(2.0, SENT * model.tokens)).orderBy("key").toPandas()  # at most 1 / SENT rows of each length
     order = np.argsort(keys := frequent.key.to_numpy(np.int64).view(np.uint64))
     root, value = (frequent[c].to_numpy(np.float64)[order] for c in ("root", "v"))
-    sent = spark.sparkContext.broadcast((keys[order], np.nan_to_num(root), value, model.bitmap))
+    sent = spark.sparkContext.broadcast((_Places(keys[order]), np.nan_to_num(root), value, model.bitmap))
     length, buckets, lacking = model.depth + 1, model.buckets, float(np.log10(0.5 / model.scale))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     kinds = (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
@@ -452,7 +490,7 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
     def ask(batches):
         """Of each block of texts: its rows with their sums over frequent sequences (kind 1); and packets (kind 2): the
         keys of others that may have a value, the text of each of their places, and which places are a key's first."""
-        keys, root, value, bitmap = sent.value
+        sure, root, value, bitmap = sent.value
         block = TaskContext.get().partitionId() << 32
         heads, asked = [], []
 
@@ -496,14 +534,13 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
                     places = 1 + np.flatnonzero(valid[1:])
                     places = places[_listed(bitmap, key[places])]
                     own_keys, text_at = key[places], owner[places]
-                    if len(keys):
-                        near = np.searchsorted(keys, own_keys)
-                        near[near == len(keys)] = 0
-                        hit = keys[near] == own_keys
-                        tree += np.bincount(text_at[hit], value[near[hit]], len(here))
+                    if len(value):
+                        near, hit = sure.of(own_keys)
+                        near, own_texts = near[hit], text_at[hit]
+                        tree += np.bincount(own_texts, value[near], len(here))
                         if k == 0:
-                            known += np.bincount(text_at[hit], minlength=len(here))
-                            base += np.bincount(text_at[hit], root[near[hit]], len(here))
+                            known += np.bincount(own_texts, minlength=len(here))
+                            base += np.bincount(own_texts, root[near], len(here))
                         own_keys, text_at = own_keys[~hit], text_at[~hit]
                     asked.append((own_keys, (before + text_at).astype(np.uint16)))
                 piece = batch.slice(at, len(here))
@@ -513,6 +550,7 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
 
     def answer(table: pa.Table) -> pa.Table:
         """The packets' sums by text (kind 2: texts, (known, root), value), and rows as they came."""
+        _released()
         key, root, v = _numbers(table.filter(pc.equal(table["kind"], 0)), key=np.uint64, root=np.float64, v=np.float64)
         order = np.argsort(key)
         key, root, v = key[order], root[order], v[order]
@@ -534,6 +572,7 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
         return pa.Table.from_pylist([{n: r[n] for n in names} for r in made], table.schema)
 
     def total(table: pa.Table) -> pa.Table:
+        _released()
         made = table.to_pylist()
         rows = pa.ipc.open_stream(next(r["key"] for r in made if r["kind"] == 1)).read_all()
         n_tokens, known, base, tree = (rows[c].to_numpy().copy() for c in out.names[2:])

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from salescope.llm import lm, queries
@@ -160,3 +161,37 @@ def test_rare_sequences_are_asked_for_in_packets(spark, monkeypatch):
         assert r.n_tokens == len(words(t)) and r.n_known == sum(brute.c[w] > 0 for w in words(t))
         assert math.isclose(r.base_score, brute.base(t), rel_tol=1e-9) and math.isclose(r.score, brute.score(t, lm.DEPTH), rel_tol=1e-9)
     assert model.values.where("root is not null").count() == model.distinct
+
+
+def test_bitmaps_are_read_from_tables(spark, monkeypatch):
+    """Their stretches are made by all tasks at once, not by one task after another as they are gathered."""
+    plans, gather = [], lm._bitmap
+
+    def seen(stretches, *rest):
+        plans.append(stretches._jdf.queryExecution().executedPlan().toString())
+        return gather(stretches, *rest)
+
+    monkeypatch.setattr(lm, "_bitmap", seen)
+    lm.fit(spark.createDataFrame([("a b c a b c d",), ("a b c",)], "text string"))
+    assert len(plans) == lm.DEPTH + 2 and not [p for p in plans if "Arrow" in p or "Exchange" in p]
+
+
+def test_bitmaps_grow_with_the_texts():
+    sizes = [lm._power(n) for n in (0, 999_999_999, 1_999_999_999, 2_000_000_000, 3_999_999_999, 4_000_000_000, 10 ** 12)]
+    assert sizes == [26, 26, 26, 27, 27, 28, 28]
+    keys = lm._mix(np.arange(5000, dtype=np.uint64))
+    for power in (26, 27):
+        bitmap = np.zeros((1 << power) // 8, np.uint8)
+        for part in np.array_split(np.sort(keys[:2500]), 3):
+            start, bits = lm._bits(part, power)
+            bitmap[start:start + len(bits)] |= np.frombuffer(bits, np.uint8)
+        assert lm._listed(bitmap, keys[:2500]).all() and lm._listed(bitmap, keys[2500:]).sum() < 5
+
+
+def test_places_of_frequent_keys():
+    near_ones = (np.uint64(77) << np.uint64(44)) + np.arange(0, 40, 2, dtype=np.uint64)  # of one slot
+    keys = np.sort(np.concatenate([near_ones, lm._mix(np.arange(3000, dtype=np.uint64)), np.array([0, 2 ** 64 - 1], np.uint64)]))
+    asked = np.concatenate([keys, near_ones + np.uint64(1), lm._mix(np.arange(2000, 9000, dtype=np.uint64))])
+    near, hit = lm._Places(keys).of(asked)
+    assert hit.tolist() == np.isin(asked, keys).tolist()
+    assert (keys[near[hit]] == asked[hit]).all()
