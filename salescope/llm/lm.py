@@ -29,6 +29,7 @@ next one stands; the values stay, since scores are read from them.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 from dataclasses import dataclass
@@ -61,7 +62,7 @@ _HELD = 2_000_000  # keys that a task adds up before it sends their counts
 _ROW = 50_000  # values in a packed row
 _SPREAD = 500_000  # rows that a task packs by ranges at once
 _VALUES = 1_000_000  # values that a task holds at once when texts ask for them
-_ASKED = 1_000_000  # sequences for whose values a task asks at once
+_ASKED = 500_000  # sequences for whose values a task asks at once
 _WAVES = 2  # parts of the texts scored one after another: the questions of one lie on disk at a time
 
 
@@ -274,6 +275,7 @@ def _count(docs: DataFrame, text: str, length: int, shorter: Broadcast | None, l
                 yield from counted()
         if held:
             yield from counted()
+        _released()
 
     def bucket(table: pa.Table) -> pa.Table:
         _released()
@@ -325,8 +327,11 @@ def _spread(rows: DataFrame, by: str, buckets: int) -> DataFrame:
 
 
 def _released() -> None:
-    """Arrow lets go of what it keeps of the groups before: workers stay for later tasks, several to an executor."""
+    """Arrow and the C library let go of what they keep of the work before: workers stay for later tasks, several to an executor."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
 
 
 def _numbers(table: pa.Table, **kinds) -> list[np.ndarray]:
@@ -547,6 +552,7 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
                 heads.append(pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(x) for x in (sizes, known, base, tree))], out.names))
         if heads:
             yield from rows(packets())
+        _released()
 
     def answer(table: pa.Table) -> pa.Table:
         """The packets' sums by text (kind 2: texts, (known, root), value), and rows as they came."""
